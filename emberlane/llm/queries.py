@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlane.llm import exact_dedup, jaccard_join, language, mixing, packing, quality, substring_dedup, tokens
+from emberlane.llm import exact_dedup, jaccard_join, language, lm_score, mixing, packing, quality, substring_dedup, tokens, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,16 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").withColumn("x", topk.scaled(F.col("embedding")))
+    return topk.top_k(vectors, F.col("vec_id") % 20 == 0)
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_score.stupid_backoff(_table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", "n_backed_off", F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.repeated_spans(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -61,10 +71,17 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op3_token_counts, op4_quality, op5_mixing, op8_substring_dedup, op9_exact_dedup, op10_best_fit_packing)
+    f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op3_token_counts, op4_quality, op5_mixing, op6_exact_top_k, op7_lm_scoring, op8_substring_dedup, op9_exact_dedup, op10_best_fit_packing)
 }
 
 ORACLE = {
+    "op6_exact_top_k": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda e: floor(64 * e::DOUBLE)::BIGINT) AS x FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+             p AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.x, c.x), lambda z: z[1] * z[2]))::BIGINT AS score
+                   FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 20""",
     "op1_ngram_jaccard_join": """
         WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
              v AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM t WHERE len(w) > 0),
@@ -76,6 +93,20 @@ ORACLE = {
              r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id WHERE r.c < l.b)
         SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id
         FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) m USING (doc_id)""",
+    "op7_lm_scoring": """
+        WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+             k AS (SELECT doc_id, i, w[i] AS b, CASE WHEN i > 1 THEN w[i - 1] END AS a FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t)),
+             n AS (SELECT count(*) AS n FROM k),
+             u AS (SELECT b, count(*) AS c FROM k GROUP BY b), ud AS (SELECT doc_id, b, count(*) AS c FROM k GROUP BY doc_id, b),
+             g AS (SELECT a, b, count(*) AS c FROM k WHERE a IS NOT NULL GROUP BY a, b), gd AS (SELECT doc_id, a, b, count(*) AS c FROM k WHERE a IS NOT NULL GROUP BY doc_id, a, b),
+             s AS (SELECT k.doc_id, k.a IS NOT NULL AS two, g.c - gd.c AS cg, ua.c - uda.c AS ca, u.c - ud.c AS cb, (SELECT n FROM n) - len(t.w) AS rest
+                   FROM k JOIN t USING (doc_id) JOIN u ON u.b = k.b JOIN ud ON ud.doc_id = k.doc_id AND ud.b = k.b
+                   LEFT JOIN g ON g.a = k.a AND g.b = k.b LEFT JOIN gd ON gd.doc_id = k.doc_id AND gd.a = k.a AND gd.b = k.b
+                   LEFT JOIN u ua ON ua.b = k.a LEFT JOIN ud uda ON uda.doc_id = k.doc_id AND uda.b = k.a),
+             x AS (SELECT doc_id, CASE WHEN two AND cg > 0 THEN ln(cg / ca) WHEN cb > 0 THEN CASE WHEN two THEN ln(0.4) ELSE 0 END + ln(cb / rest)
+                          ELSE CASE WHEN two THEN 2 ELSE 1 END * ln(0.4) - ln(rest + 1) END AS score, (two AND cg = 0) OR cb = 0 AS backed FROM s)
+        SELECT t.doc_id, len(t.w)::BIGINT AS n_words, coalesce(n_backed, 0)::BIGINT AS n_backed_off, round(m, 6) AS mean_log_score
+        FROM t LEFT JOIN (SELECT doc_id, avg(score) AS m, sum(backed::INT)::BIGINT AS n_backed FROM x GROUP BY doc_id) USING (doc_id)""",
     "op8_substring_dedup": """
         WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
              v AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM t)),
