@@ -1 +1,57 @@
-STAGES = []
+"""From raw documents to packed training sequences: STAGES in order, each on all that its predecessor kept.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
+one's documents. All but the last return the columns of documents.
+"""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from emberlane.llm import exact_dedup, jaccard_join, mixing, packing, quality
+from emberlane.llm.common import stored
+from emberlane.llm.queries import id_remainder, tokenizer_path
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under 0.3 go; learnt from the labels that op4 learns from."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), id_remainder(5, 0))
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the largest doc_id stays."""
+    return exact_dedup.keep_one(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked at Jaccard 0.8 of five-word shingles stays: the one with the smallest doc_id."""
+    return jaccard_join.one_of_each(docs, shingle=5, percent=80)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents once, twice or not at all, so that sources come near their word targets."""
+    return mixing.mixed(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 4096 tokens."""
+    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("exact dedup", exact_copies),
+    ("n-gram jaccard join", near_copies),
+    ("mixing sources", source_mix),
+    ("best-fit packing", pack_sequences),
+]
+
+#: Trees, hashes and tokenizers have no SQL; tests hold the pipeline against a brute-force version instead.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each stage's result is written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir))
+    return docs

@@ -81,6 +81,20 @@ def bit_filter(df: DataFrame, key: Column, ids: DataFrame, id_col: str, bits: in
     return bit_flag(df, key, ids, id_col, "_may", bits).where("_may").drop("_may")
 
 
+def row_keys(id_col: Column, text: Column) -> list[Column]:
+    """Two hashes (k1 long, k2 int) of a row's id and text; rows that agree in both are treated as one row listed twice."""
+    return [F.xxhash64(text, id_col).alias("k1"), F.hash(id_col, text).alias("k2")]
+
+
+def without(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` less the rows whose keys (k1, k2) are listed; only rows that a bit filter suspects are shuffled."""
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.select("*", *row_keys(F.col(id_col), text))
+    flagged = bit_flag(keyed, F.col("k1"), keys, "k1", "_may")
+    return flagged.where("not _may").select(*cols).unionByName(flagged.where("_may").join(keys, ["k1", "k2"], "left_anti").select(*cols))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (u long, v long): rows (node, component), component the smallest node.
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlane.llm.common import bit_flag
+from emberlane.llm.common import bit_flag, row_keys, without
 
 _UPPER, _LOWER = string.ascii_uppercase, string.ascii_lowercase
 #: Code points of the normalised text that the second level hashes.
@@ -50,8 +50,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, all columns as they were."""
-    cols = docs.columns
-    whole = docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in cols]))
-    kept = exact_groups(whole, id_col, text_col, carry=["_row"]).where("kept")
-    return kept.select(*[F.col("_row").getField(c).alias(c) for c in cols])
+    """The documents that stay, all columns as they were; no text is shuffled but those that a bit filter suspects."""
+    keyed = docs.select("*", *row_keys(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
+    losers = exact_groups(keyed, id_col, text_col, carry=["k1", "k2"]).where("not kept").select("k1", "k2")
+    return without(docs, losers, id_col, text_col)

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlane.llm.common import bit_filter, components, cut, stored
+from emberlane.llm.common import bit_filter, bit_flag, components, cut, stored
 from emberlane.llm.words import mix, slices, windows, word_hashes
 
 #: Counters of the shingle-frequency table, and the rows it travels in; it only orders shingles, so its noise costs time, not results.
@@ -189,6 +189,9 @@ def _labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """The documents, one of each component: the one with the component's smallest id. All columns as they were."""
-    named = linked_components(docs, id_col, text_col, shingle, percent)
-    stay = named.where(F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("_stay")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(F.col("_stay")), "left_semi")
+    named = linked_components(docs, id_col, text_col, shingle, percent).where(F.col("component_id") != F.col(id_col))
+    losers = stored(named.select(F.col(id_col).alias("id")).distinct())
+    cols = docs.columns
+    flagged = bit_flag(docs, F.col(id_col).cast("long"), losers, "id", "_may")
+    rest = flagged.where("_may").join(losers, F.col(id_col).cast("long") == losers.id, "left_anti").select(*cols)
+    return flagged.where("not _may").select(*cols).unionByName(rest)

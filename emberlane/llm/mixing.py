@@ -94,6 +94,70 @@ def _solve(cells: DataFrame, sources: list[dict], cap: float) -> None:
             s["dual"] = step
 
 
+class Mix:
+    """Targets, duals and rounding thresholds of all sources, found once; :meth:`on` applies them to any rows of the same ids."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[float], share: float, cap: int, seed: int) -> None:
+        self.spark, self.id, self.text, self.source, self.cap, self.seed = docs.sparkSession, id_col, text_col, source_col, cap, seed
+        sized = cut(docs.select(F.col(id_col), F.col(source_col).cast("string").alias(source_col), word_count(F.col(text_col)).alias("size")))
+        self.sized = sized
+        stats = sized.groupBy(source_col).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
+        stats.sort(key=lambda r: (r[0] is None, r[0] or ""))
+        goal = share_targets([r["size"] for r in stats], [weights[i % len(weights)] for i in range(len(stats))], share, cap)
+        self.sources = [
+            {"k": i, "source": r[0], "size": r["size"], "mean": max(r["size"] / r["n"], 1e-9), "target": t, "limit": 0}
+            for i, (r, t) in enumerate(zip(stats, goal, strict=True))
+        ]
+        if self.sources:
+            numbers = F.broadcast(_table(self.spark, self.sources, {"k": "int", "source": "string"}).withColumnRenamed("source", "_s"))
+            cells = sized.join(numbers, F.col(source_col).eqNullSafe(F.col("_s"))).groupBy("k", "size").agg(F.count(F.lit(1)).alias("n"))
+            _solve(cut(cells), self.sources, float(cap))
+            self._thresholds()
+
+    def _rated(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (with a size) with rate, base copies, and the slot of [0, 1) in which the hash of the id lies from the fraction."""
+        kinds = {"k": "int", "source": "string", "dual": "double", "mean": "double", "target": "double", "size": "long", "limit": "long"}
+        each = _table(self.spark, self.sources, kinds).withColumnsRenamed({"source": "_s", "size": "source_size", "limit": "_limit", "mean": "_mean", "dual": "_dual", "k": "_k"})
+        rated = rows.join(F.broadcast(each), F.col(self.source).eqNullSafe(F.col("_s"))).withColumn("rate", _rate(F.col("size") / F.col("_mean"), F.col("_dual"), float(self.cap)))
+        u = F.shiftrightunsigned(F.xxhash64(F.lit(self.seed), self.id), 11) / F.lit(float(1 << 53))
+        rated = rated.withColumn("_base", F.floor("rate").cast("int"))
+        v = (u - (F.col("rate") - F.col("_base")) + 1) / 2
+        rated = rated.withColumn("_slot", F.least(F.floor(v * (BINS * BINS)), F.lit(BINS * BINS - 1)).cast("long"))
+        return rated.withColumn("_free", (F.col("_base") < self.cap) & (F.col("size") > 0))
+
+    def _thresholds(self) -> None:
+        """A document takes one more copy below its source's limit; the limit that brings the source next to its target."""
+        rated = self._rated(self.sized).withColumn("bin", F.expr(f"_slot div {BINS}"))
+        extra = F.sum(F.when(F.col("_free"), F.col("size")).otherwise(0))
+        coarse = rated.groupBy("_k", "bin").agg(extra.alias("w"), F.sum(F.col("_base") * F.col("size")).alias("b")).collect()
+        left = {s["k"]: s["target"] for s in self.sources}
+        for r in coarse:
+            left[r["_k"]] -= r["b"]
+        at = dict.fromkeys(left, BINS)
+        for r in sorted(coarse, key=lambda r: (r["_k"], r["bin"])):
+            if at[r["_k"]] == BINS:
+                if r["w"] > left[r["_k"]]:
+                    at[r["_k"]] = r["bin"]
+                else:
+                    left[r["_k"]] -= r["w"]
+        marks = _table(self.spark, [{"m": k, "at": a} for k, a in at.items()], {"m": "int", "at": "long"})
+        inner = rated.where("_free").join(F.broadcast(marks), F.expr("m = _k and at = bin")).groupBy("_k", "_slot").agg(F.sum("size").alias("w")).collect()
+        for s in self.sources:
+            need, s["limit"] = left[s["k"]], at[s["k"]] * BINS
+            for r in sorted((r for r in inner if r["_k"] == s["k"]), key=lambda r: r["_slot"]):
+                if need <= 0 or r["w"] - need > need:  # the nearer side
+                    break
+                need, s["limit"] = need - r["w"], r["_slot"] + 1
+
+    def on(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (with a size) with source_size, target, rate, copies and taken."""
+        if not self.sources:
+            return rows.select("*", *[F.lit(0).cast(t).alias(c) for c, t in (("source_size", "long"), ("target", "double"), ("rate", "double"), ("copies", "int"), ("taken", "long"))])
+        copies = F.col("_base") + F.when(F.col("_free") & (F.col("_slot") < F.col("_limit")), 1).otherwise(0)
+        rated = self._rated(rows).withColumn("copies", copies).withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
+        return rated.select(*[F.col(f"`{c}`") for c in rows.columns], "source_size", "target", "rate", "copies", "taken")
+
+
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: int = 2, seed: int = 17,
@@ -109,59 +173,18 @@ def mix(
 
     Null or empty texts have size 0 and take 0; repeated ids round alike; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    sized = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")))
-    stats = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
-    kinds = {id_col: docs.schema[id_col].dataType}
-    if not stats:
-        return sized.select(F.col("id").alias(id_col), "size", "source", F.col("size").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0.0).alias("rate"), F.lit(0).alias("copies"), F.lit(0).cast("long").alias("taken"))
-    stats.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    goal = share_targets([r["size"] for r in stats], [weights[i % len(weights)] for i in range(len(stats))], share, cap)
-    sources = [
-        {"k": i, "source": r["source"], "size": r["size"], "mean": max(r["size"] / r["n"], 1e-9), "target": t}
-        for i, (r, t) in enumerate(zip(stats, goal, strict=True))
-    ]
-    numbers = F.broadcast(_table(spark, sources, {"k": "int", "source": "string"}).withColumnRenamed("source", "s"))
-    sized = sized.join(numbers, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    cells = cut(sized.groupBy("k", "size").agg(F.count(F.lit(1)).alias("n")))
-    _solve(cells, sources, float(cap))
-
-    # rounding: whole part, plus one where the id's hash lies under the fraction (moved by the source's threshold)
-    duals = _table(spark, sources, {"k": "int", "dual": "double", "mean": "double", "target": "double", "size": "long"}).withColumnRenamed("size", "source_size")
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 11) / F.lit(float(1 << 53)))
-    rated = sized.join(F.broadcast(duals), "k").withColumn("rate", _rate(F.col("size") / F.col("mean"), F.col("dual"), float(cap)))
-    rated = rated.withColumn("base", F.floor("rate").cast("int")).withColumn("v", (u - (F.col("rate") - F.col("base")) + 1) / 2)
-    fine = F.least(F.floor(F.col("v") * (BINS * BINS)), F.lit(BINS * BINS - 1)).cast("long")
-    rated = rated.withColumn("slot", fine).withColumn("bin", F.expr(f"slot div {BINS}"))
-    free = (F.col("base") < cap) & (F.col("size") > 0)
-    extra = F.sum(F.when(free, F.col("size")).otherwise(0))
-    coarse = rated.groupBy("k", "bin").agg(extra.alias("w"), F.sum(F.col("base") * F.col("size")).alias("b")).collect()
-    need, base = {s["k"]: s["target"] for s in sources}, {}
-    for r in coarse:
-        need[r["k"]] -= r["b"]
-    edge = {}
-    for s in sources:
-        k, left, at = s["k"], need[s["k"]], BINS
-        for r in sorted((r for r in coarse if r["k"] == k), key=lambda r: r["bin"]):
-            if r["w"] > left:
-                at = r["bin"]
-                break
-            left -= r["w"]
-        edge[k] = (at, left)
-    marks = _table(spark, [{"k": k, "at": a} for k, (a, _) in edge.items()], {"k": "int", "at": "long"})
-    inner = rated.where(free).join(F.broadcast(marks), "k").where("bin = at").groupBy("k", "slot").agg(F.sum("size").alias("w")).collect()
-    limits = []
-    for k, (at, left) in edge.items():
-        limit = at * BINS
-        for r in sorted((r for r in inner if r["k"] == k), key=lambda r: r["slot"]):
-            if r["w"] > left and r["w"] - left > left:  # the nearer side
-                break
-            left, limit = left - r["w"], r["slot"] + 1
-            if left <= 0:
-                break
-        limits.append({"k": k, "limit": limit})
-    final = rated.join(F.broadcast(_table(spark, limits, {"k": "int", "limit": "long"})), "k")
-    copies = F.col("base") + F.when(free & (F.col("slot") < F.col("limit")), 1).otherwise(0)
-    return final.select(
-        F.col("id").alias(id_col), "size", "source", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken")
-    )
+    plan = Mix(docs, id_col, text_col, source_col, weights, share, cap, seed)
+    return plan.on(plan.sized)
+
+
+def mixed(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: int = 2, seed: int = 17,
+) -> DataFrame:
+    """The documents as often as :func:`mix` takes them, all columns as they were; no text is shuffled."""
+    plan = Mix(docs, id_col, text_col, source_col, weights, share, cap, seed)
+    cols = docs.columns
+    rows = docs.withColumn("_type", F.col(source_col)).withColumn(source_col, F.col(source_col).cast("string"))
+    taken = plan.on(rows.withColumn("size", word_count(F.col(text_col)))).where("copies > 0")
+    taken = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies")))
+    return taken.withColumn(source_col, F.col("_type")).select(*[F.col(f"`{c}`") for c in cols])

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberlane.llm.common import stored
+from emberlane.llm.common import bit_filter, stored
 from emberlane.llm.words import slices, spans, windows, word_hashes
 
 #: Labelled rows that the trees are fitted on at most (those with the smallest hash of their id).
@@ -137,6 +137,15 @@ def _features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 
 
+def _fit(table: DataFrame, labels: DataFrame, held_out, id_col: str, label_col: str, max_train: int) -> Trees:  # noqa: ANN001
+    known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y"))
+    learn = ~F.coalesce(held_out(F.col("id")), F.lit(False))
+    sample = table.join(known.where(learn), "id").select("x", "y", F.xxhash64("id").alias("h")).orderBy("h", "y").limit(max_train).select("x", "y").toArrow()
+    y = sample.column("y").to_numpy()
+    x = np.asarray(sample.column("x").combine_chunks().flatten().to_numpy() if len(y) else np.zeros(0)).reshape(len(y), len(STATISTICS))
+    return fit_trees(x, y)
+
+
 def score_quality(
     docs: DataFrame, labels: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", cutoff: float = 0.3, max_train: int = MAX_TRAIN,
 ) -> DataFrame:
@@ -147,17 +156,8 @@ def score_quality(
     and reach the workers as three small arrays. Rows without a label 0 or 1 teach nothing; without any labels every
     score is 0.5. A null id is not held out and can't be labelled; null and empty texts are scored as texts of zeros.
     """
-    spark = docs.sparkSession
-    out_flag = F.coalesce(held_out(F.col("id")), F.lit(False))
     table = stored(_features(docs, id_col, text_col))
-    known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y"))
-    sample = (
-        table.join(known, "id").where(~out_flag).select("x", "y", F.xxhash64("id").alias("h"))
-        .orderBy("h", "y").limit(max_train).select("x", "y").toArrow()
-    )
-    y = sample.column("y").to_numpy()
-    x = np.asarray(sample.column("x").combine_chunks().flatten().to_numpy() if len(y) else np.zeros(0)).reshape(len(y), len(STATISTICS))
-    trees = spark.sparkContext.broadcast(fit_trees(x, y))
+    trees = docs.sparkSession.sparkContext.broadcast(_fit(table, labels, held_out, id_col, label_col, max_train))
 
     @F.pandas_udf("double")
     def score(v):  # noqa: ANN001, ANN202
@@ -165,7 +165,24 @@ def score_quality(
 
         return pd.Series(trees.value.score(np.stack(v.to_numpy())) if len(v) else [])
 
-    scored = table.select(F.col("id").alias(id_col), out_flag.alias("held_out"), score("x").alias("score"))
+    held = F.coalesce(held_out(F.col("id")), F.lit(False)).alias("held_out")
+    scored = table.select(F.col("id").alias(id_col), held, score("x").alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= cutoff, 1).otherwise(0))
 
 
+def keep_good(
+    docs: DataFrame, labels: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", cutoff: float = 0.3, max_train: int = MAX_TRAIN,
+) -> DataFrame:
+    """The documents that score at least ``cutoff``, all columns as they were; trees as in :func:`score_quality`, no shuffle of texts.
+
+    Only labelled texts are measured for the fit; then one narrow pass scores and filters.
+    """
+    labelled = bit_filter(docs, F.col(id_col), labels.select(F.col(id_col).alias("id")).where("id is not null").distinct(), "id")
+    trees = docs.sparkSession.sparkContext.broadcast(_fit(_features(labelled, id_col, text_col), labels, held_out, id_col, label_col, max_train))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(trees.value.score(statistics(batch.column(at))) >= cutoff))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -5,11 +5,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberlane.llm.common import bit_filter, stored
+from emberlane.llm.common import bit_filter, row_keys, stored
 from emberlane.llm.words import _power_tables, buffers, mix, slices, windows, word_hashes
 
 #: Words of a seed. A window of L words holds L - SEED + 1 seeds and is anchored at the one with the least hash.
@@ -57,7 +57,7 @@ def anchors(words: np.ndarray, firsts: np.ndarray, length: int) -> tuple[np.ndar
 def _keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Each row under two hashes of its id and text: rows that agree in both have the same repeats, so they may share them."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text, F.col(id_col)).alias("k1"), F.hash(F.col(id_col), text).alias("k2"))
+    return docs.select(F.col(id_col).alias("id"), text.alias("text"), *row_keys(F.col(id_col), text))
 
 
 def _scan(length: int):
@@ -174,6 +174,3 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, text) with every repeated window removed."""
     return repeated_spans(docs, id_col, text_col, length).select(F.col(id_col), F.col("kept").alias(text_col))
 
-
-def digest(text: Column) -> Column:
-    return F.sha2(text, 256)
