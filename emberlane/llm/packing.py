@@ -12,16 +12,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberlane.llm.common import stored
+from emberlane.llm.words import slices, spans, word_hashes
 
-#: Texts between spaces whose ids a worker remembers; pieces that one ranking task handles at most on average.
-CACHE, RANK_ROWS = 300_000, 100_000
+#: Words that a worker remembers; bytes encoded at a time; pieces that one ranking task gets on average at most.
+WORDS, BLOCK, RANK_ROWS = 2_000_000, 4 << 20, 100_000
 _encoders: dict[str, "_Encoder"] = {}
 
 
 class _Encoder:
-    """Ids of a text as little-endian 32-bit bytes, put together from its parts between blanks.
+    """Ids of texts, put together word by word from a table of words seen before.
 
-    The tokenizer drops white space and never merges over it, so encoding part by part gives the whole text's ids.
+    The tokenizer drops white space and never merges over it, so encoding a text's words (runs between blanks) gives the
+    ids of the whole text. Words are found in the table by their 64-bit hashes, a batch at a time.
     """
 
     def __init__(self, path: str) -> None:
@@ -30,42 +32,98 @@ class _Encoder:
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _learn(self, parts: set[str]) -> None:
-        if len(self.known) + len(parts) > CACHE:
-            self.known = {"": b""}
-        new = list(parts)
-        for a in range(0, len(new), 4096):
-            block = new[a : a + 4096]
-            for part, e in zip(block, self.model.encode_batch_fast(block, add_special_tokens=False), strict=True):
-                self.known[part] = np.asarray(e.ids, dtype="<u4").tobytes()
-
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            parts = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            for a in range(0, len(parts), 50_000):  # a very long text in blocks
-                block = parts[a : a + 50_000]
-                try:
-                    ids = b"".join(map(self.known.__getitem__, block))
-                except KeyError:
-                    need = set(block)
-                    if new := need - self.known.keys():
-                        if len(self.known) + len(new) > CACHE:
-                            new = need
-                        self._learn(new)
-                    ids = b"".join(map(self.known.__getitem__, block))
-                yield a == 0, ids
-            yield None, b""
-
-    def whole(self, texts: list[str]) -> Iterator[bytes]:
-        held: list[bytes] = []
-        for first, ids in self(texts):
-            if first is None:
-                yield b"".join(held)
-                held = []
-            else:
-                held.append(ids)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.slots = 1 << 16
+        self.hashes, self.n = np.zeros(1 << 15, dtype=np.uint64), 0
+        self.index = np.full(self.slots, -1, dtype=np.int32)
+        self.starts, self.flat, self.used = np.zeros((1 << 15) + 1, dtype=np.int64), np.zeros(1 << 17, dtype="<u4"), 0
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Table rows of hashes, -1 where unknown: open addressing, all probes at once."""
+        mask = np.uint64(self.slots - 1)
+        at = (h & mask).astype(np.int64)
+        row = self.index[at]
+        todo = np.flatnonzero((row >= 0) & (self.hashes[row] != h))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & (self.slots - 1)
+            row[todo] = self.index[at[todo]]
+            todo = todo[(row[todo] >= 0) & (self.hashes[row[todo]] != h[todo])]
+        return row
+
+    def _place(self, rows: np.ndarray) -> None:
+        at = (self.hashes[rows] & np.uint64(self.slots - 1)).astype(np.int64)
+        while len(rows):
+            free = self.index[at] < 0
+            self.index[at[free]] = rows[free]
+            lost = self.index[at] != rows  # taken before, or by another of these
+            rows, at = rows[lost], (at[lost] + 1) & (self.slots - 1)
+
+    def _add(self, h: np.ndarray, ids: list[np.ndarray]) -> None:
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        n, used = self.n + len(h), self.used + int(sizes.sum())
+        if n > len(self.hashes):
+            size = 1 << n.bit_length()
+            self.hashes = np.concatenate([self.hashes[: self.n], np.zeros(size - self.n, dtype=np.uint64)])
+            self.starts = np.concatenate([self.starts[: self.n + 1], np.zeros(size - self.n, dtype=np.int64)])
+        if used > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(used + used // 2 - self.used, dtype="<u4")])
+        self.hashes[self.n : n] = h
+        self.starts[self.n + 1 : n + 1] = self.used + np.cumsum(sizes)
+        if used > self.used:
+            self.flat[self.used : used] = np.concatenate(ids)
+        rows = np.arange(self.n, n)
+        self.n, self.used = n, used
+        if 2 * n > self.slots:
+            self.slots = 1 << (2 * n).bit_length()
+            self.index, rows = np.full(self.slots, -1, dtype=np.int32), np.arange(n)
+        self._place(rows)
+
+    def _encode(self, words: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        for a in range(0, len(words), 8192):
+            out += [np.asarray(e.ids, dtype="<u4") for e in self.model.encode_batch_fast(words[a : a + 8192], add_special_tokens=False)]
+        return out
+
+    def _learn(self, h: np.ndarray, words: list[bytes]) -> None:
+        """Add words; one of Latin letters with a full stop or comma behind is put together from the two."""
+        text = [w.decode() for w in words]
+        marked = [w[-1] in ".," and max(w) < "\u0250" and w[:-1].lower().isalpha() for w in text]
+        bases = list({w[:-1] for w, m in zip(text, marked, strict=True) if m})
+        if bases:
+            data = np.frombuffer(" ".join(bases).encode(), dtype=np.uint8)
+            own, _ = word_hashes(data, np.array([0, len(data)]), lower=False)
+            new = np.flatnonzero((self._find(own) < 0) & ~np.isin(own, h))
+            self._add(own[new], self._encode([bases[i] for i in new]))
+        plain = [i for i, m in enumerate(marked) if not m]
+        self._add(h[plain], self._encode([text[i] for i in plain]))
+        rest = [i for i, m in enumerate(marked) if m]
+        if rest:
+            marks = {c: self._encode([c])[0] for c in ".,"}
+            data = np.frombuffer(" ".join(text[i][:-1] for i in rest).encode(), dtype=np.uint8)
+            own, _ = word_hashes(data, np.array([0, len(data)]), lower=False)
+            row = self._find(own)
+            self._add(h[rest], [np.concatenate([self.flat[self.starts[r] : self.starts[r + 1]], marks[text[i][-1]]]) for r, i in zip(row, rest, strict=True)])
+
+    def __call__(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a run of texts, and where each text's ids begin."""
+        h, firsts = word_hashes(data, offs, lower=False)
+        row = self._find(h)
+        if len(missing := np.flatnonzero(row < 0)):
+            new, first = np.unique(h[missing], return_index=True)
+            if self.n and self.n + 2 * len(new) > WORDS:
+                self._clear()
+                missing = np.arange(len(h))
+                new, first = np.unique(h, return_index=True)
+            begin, end = spans(data, offs)
+            raw = data.tobytes()
+            self._learn(new, [raw[begin[i] : end[i]] for i in missing[first]])
+            row = self._find(h)
+        size = self.starts[row + 1] - self.starts[row]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        ids = self.flat[np.repeat(self.starts[row] - ends[:-1], size) + np.arange(ends[-1])]
+        return ids, ends[firsts]
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -81,15 +139,17 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col:
         encode = _encoders.get(path) or _encoders.setdefault(path, _Encoder(path))
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for i, value in enumerate(batch.column(1)):
-                ids = next(encode.whole([value.as_py() or ""])) + end
-                for p, a in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[a : a + 4 * capacity]
-                    row.append(i)
-                    piece.append(p)
-                    start.append(a // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
+            for i, _, data, offs in slices(batch.column(1), BLOCK):
+                ids, firsts = encode(data, offs)
+                for k, (u, v) in enumerate(zip(firsts[:-1], firsts[1:], strict=True), i):
+                    whole = ids[u:v].tobytes() + end
+                    for p, a in enumerate(range(0, len(whole), 4 * capacity)):
+                        part = whole[a : a + 4 * capacity]
+                        row.append(k)
+                        piece.append(p)
+                        start.append(a // 4)
+                        length.append(len(part) // 4)
+                        crc.append(zlib.crc32(part))
             arrays = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
