@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -12,10 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberlane.llm.common import stored
-from emberlane.llm.words import slices, spans, word_hashes
+from emberlane.llm.words import mix, slices, spans, word_hashes
 
 #: Words that a worker remembers; bytes encoded at a time; pieces that one ranking task gets on average at most.
 WORDS, BLOCK, RANK_ROWS = 2_000_000, 4 << 20, 100_000
+#: A run of Latin letters, and ASCII marks behind it that a tokenizer of words keeps apart from letters.
+_STEM = re.compile("([A-Za-z\u00df-\u00f6\u00f8-\u00ff\u00c0-\u00d6\u00d8-\u00de]+)([!-/:-@\\[-`{-~]*)")
 _encoders: dict[str, "_Encoder"] = {}
 
 
@@ -86,29 +89,57 @@ class _Encoder:
             out += [np.asarray(e.ids, dtype="<u4") for e in self.model.encode_batch_fast(words[a : a + 8192], add_special_tokens=False)]
         return out
 
-    def _learn(self, h: np.ndarray, words: list[bytes]) -> None:
-        """Add words; one of Latin letters with a full stop or comma behind is put together from the two."""
-        text = [w.decode() for w in words]
-        marked = [w[-1] in ".," and max(w) < "\u0250" and w[:-1].lower().isalpha() for w in text]
-        bases = list({w[:-1] for w, m in zip(text, marked, strict=True) if m})
-        if bases:
-            data = np.frombuffer(" ".join(bases).encode(), dtype=np.uint8)
-            own, _ = word_hashes(data, np.array([0, len(data)]), lower=False)
-            new = np.flatnonzero((self._find(own) < 0) & ~np.isin(own, h))
-            self._add(own[new], self._encode([bases[i] for i in new]))
-        plain = [i for i, m in enumerate(marked) if not m]
-        self._add(h[plain], self._encode([text[i] for i in plain]))
-        rest = [i for i, m in enumerate(marked) if m]
-        if rest:
-            marks = {c: self._encode([c])[0] for c in ".,"}
-            data = np.frombuffer(" ".join(text[i][:-1] for i in rest).encode(), dtype=np.uint8)
-            own, _ = word_hashes(data, np.array([0, len(data)]), lower=False)
-            row = self._find(own)
-            self._add(h[rest], [np.concatenate([self.flat[self.starts[r] : self.starts[r + 1]], marks[text[i][-1]]]) for r, i in zip(row, rest, strict=True)])
+    def _encode_stems(self, stems: list[str]) -> list[np.ndarray]:
+        """Runs of Latin letters, many in one text: each is one word to the tokenizer, so its last id carries the word end."""
+        if not hasattr(self, "ends"):
+            self.ends = np.zeros(self.model.get_vocab_size(), dtype=bool)
+            self.ends[[i for t, i in self.model.get_vocab().items() if t.endswith("</w>")]] = True
+        out: list[np.ndarray] = []
+        for a in range(0, len(stems), 20_000):
+            block = stems[a : a + 20_000]
+            joined = [" ".join(block[k : k + 500]) for k in range(0, len(block), 500)]
+            ids = np.concatenate([np.asarray(e.ids, dtype="<u4") for e in self.model.encode_batch_fast(joined, add_special_tokens=False)])
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(block) or cuts[-1] != len(ids):
+                out += self._encode(block)
+            else:
+                out += [ids[u:v] for u, v in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
+        return out
+
+    def _hash(self, words: list[str]) -> np.ndarray:
+        data = np.frombuffer(" ".join(words).encode(), dtype=np.uint8)
+        return word_hashes(data, np.array([0, len(data)]), lower=True)[0]
+
+    def _learn(self, h: np.ndarray, words: list[str]) -> None:
+        """Add words by their hashes; Latin letters with marks behind are put together from the two."""
+        split = [_STEM.fullmatch(w) for w in words]
+        stems = list({m[1].encode().lower().decode() for m in split if m})  # ASCII only, as the hashes
+        if stems:
+            own = self._hash(stems)
+            new = np.flatnonzero(self._find(own) < 0)
+            self._add(own[new], self._encode_stems([stems[i] for i in new]))
+        rest = np.flatnonzero(self._find(h) < 0)
+        tails = {m[2] for i in rest if (m := split[i])}
+        marks = dict(zip(tails, self._encode(list(tails)), strict=True))
+        marked = [i for i in rest if split[i]]
+        if marked:
+            row = self._find(self._hash([split[i][1] for i in marked]))
+            a, b = self.starts[row].tolist(), self.starts[row + 1].tolist()
+            self._add(h[marked], [np.concatenate([self.flat[u:v], marks[split[i][2]]]) for u, v, i in zip(a, b, marked, strict=True)])
+        plain = [i for i in rest if not split[i]]
+        self._add(h[plain], self._encode([words[i] for i in plain]))
 
     def __call__(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of a run of texts, and where each text's ids begin."""
-        h, firsts = word_hashes(data, offs, lower=False)
+        """All ids of a run of texts, and where each text's ids begin.
+
+        The tokenizer lower-cases, so words are known by their lower-case forms - but special strings are told apart by
+        case before that, so runs with one of their openings keep their case, under hashes of their own.
+        """
+        raw = data.tobytes()
+        special = b"<|" in raw
+        h, firsts = word_hashes(data, offs, lower=not special)
+        if special:
+            h = mix(h ^ np.uint64(0x6A09E667F3BCC909))
         row = self._find(h)
         if len(missing := np.flatnonzero(row < 0)):
             new, first = np.unique(h[missing], return_index=True)
@@ -117,8 +148,11 @@ class _Encoder:
                 missing = np.arange(len(h))
                 new, first = np.unique(h, return_index=True)
             begin, end = spans(data, offs)
-            raw = data.tobytes()
-            self._learn(new, [raw[begin[i] : end[i]] for i in missing[first]])
+            words = [raw[begin[i] : end[i]].decode() for i in missing[first]]
+            if special:
+                self._add(new, self._encode(words))
+            else:
+                self._learn(new, words)
             row = self._find(h)
         size = self.starts[row + 1] - self.starts[row]
         ends = np.concatenate(([0], np.cumsum(size)))
