@@ -11,7 +11,7 @@ import pyarrow as pa
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
@@ -114,10 +114,12 @@ def windows(words: np.ndarray, n: int) -> np.ndarray:
         return mix((run[n:] - run[:m]) * q[:m] + np.uint64(n))
 
 
-def slices(texts: pa.Array, limit: int = 4 << 20):
+def slices(texts: pa.Array, limit: int = 1 << 20):
     """Cut an array of texts into runs of about ``limit`` bytes: (first row, array)."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
+    if pa.default_memory_pool().backend_name != "system":  # gives freed batches back to the machine at once
+        pa.set_memory_pool(pa.system_memory_pool())
     data, offs = buffers(texts)
     i = 0
     while i < len(texts):
