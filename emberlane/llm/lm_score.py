@@ -14,7 +14,7 @@ from emberlane.llm.common import stored
 from emberlane.llm.words import slices, windows, word_hashes
 
 #: Bytes of text whose n-grams travel together; n-grams of a count partition, about.
-CHUNK, PARTITION = 12 << 20, 1_500_000
+CHUNK, PARTITION = 6 << 20, 1_500_000
 ALPHA = 0.4
 
 
@@ -41,14 +41,20 @@ def _part_of(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
 
 
-def _planes(codes: np.ndarray) -> bytes:
-    """Word numbers, low and high halves apart; frequent words have small numbers, so the high halves compress away."""
-    return (codes & 0xFFFF).astype("<u2").tobytes() + (codes >> 16).astype("<u2").tobytes()
+def _packed(values: np.ndarray) -> bytes:
+    """Integers as compressed byte planes: planes that are all zeros cost nothing."""
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-def _codes(data: bytes) -> np.ndarray:
-    low, high = np.split(np.frombuffer(data, dtype="<u2"), 2)
-    return low.astype(np.int64) | (high.astype(np.int64) << 16)
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=8 * n, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view("<u8").ravel()
+
+
+def _gaps(hashes: np.ndarray) -> np.ndarray:
+    """Differences of sorted hashes, which are small; a running sum undoes it."""
+    return np.diff(hashes, prepend=np.uint64(0))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,15 +67,16 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             number = np.empty(len(rank), dtype=np.int64)
             number[rank] = np.arange(len(rank))
             ids = pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), batch.column(0).slice(i, j - i))
-            cols = [pa.array([(context.partitionId() << 32) + seq]), ids, pa.array([len(words)], pa.int64()), *(pa.array([b], pa.binary()) for b in (firsts.tobytes(), vocab[rank].tobytes(), _planes(number[codes])))]
-            yield pa.RecordBatch.from_arrays(cols, names=["chunk", "ids", "n", "firsts", "vocab", "codes"])
+            cols = [pa.array([(context.partitionId() << 32) + seq]), ids, pa.array([len(words)], pa.int64()), *(pa.array([b], pa.binary()) for b in (_packed(np.diff(firsts)), vocab[rank].tobytes(), _packed(number[codes])))]
+            yield pa.RecordBatch.from_arrays(cols, names=["chunk", "ids", "n", "sizes", "vocab", "codes"])
             seq += 1
 
 
 def _open(batch: pa.RecordBatch, r: int) -> tuple[np.ndarray, np.ndarray]:
     get = lambda c: batch.column(c)[r].as_py()
     vocab = np.frombuffer(get("vocab"), dtype=np.uint64)
-    return vocab[_codes(get("codes"))], np.frombuffer(get("firsts"), dtype=np.int64)
+    sizes = _unpacked(get("sizes"), len(batch.column("ids")[r])).astype(np.int64)
+    return vocab[_unpacked(get("codes"), get("n")).astype(np.int64)], np.concatenate(([0], np.cumsum(sizes)))
 
 
 def _dealt(order: int, parts: int):
@@ -81,20 +88,22 @@ def _dealt(order: int, parts: int):
                 full = np.flatnonzero(np.diff(at))
                 for some in np.array_split(full, max(1, len(full) // 64)):
                     cols = [pa.array(np.full(len(some), batch.column(0)[r].as_py())), pa.array(some.astype(np.int32))]
-                    cols += [pa.array([x[at[p] : at[p + 1]].tobytes() for p in some], pa.binary()) for x in (hashes, counts.astype("<u4"))]
-                    yield pa.RecordBatch.from_arrays(cols, names=["chunk", "p", "hashes", "counts"])
+                    cols.append(pa.array(np.diff(at)[some]))
+                    cols += [pa.array([f(x[at[p] : at[p + 1]]) for p in some], pa.binary()) for x, f in ((hashes, lambda v: _packed(_gaps(v))), (counts, _packed))]
+                    yield pa.RecordBatch.from_arrays(cols, names=["chunk", "p", "n", "hashes", "counts"])
 
     return run
 
 
 def _totals(group: pa.Table) -> pa.Table:
     """One partition of the count table: every chunk's n-grams in it get their counts over all chunks."""
-    hashes = [np.frombuffer(b.as_buffer(), dtype=np.uint64) for b in group.column("hashes")]
-    counts = np.concatenate([np.frombuffer(b.as_buffer(), dtype="<u4") for b in group.column("counts")])
-    _, where = np.unique(np.concatenate(hashes), return_inverse=True)
-    total = np.bincount(where, weights=counts).astype(np.int64)[where]
-    ends = np.cumsum([len(h) for h in hashes])[:-1]
-    return pa.table({"chunk": group.column("chunk"), "p": group.column("p"), "totals": pa.array([t.astype("<i8").tobytes() for t in np.split(total, ends)], pa.binary())})
+    sizes = group.column("n").to_pylist()
+    open_up = lambda name: [_unpacked(b.as_buffer(), n) for b, n in zip(group.column(name), sizes, strict=True)]
+    hashes = np.concatenate([np.cumsum(d, dtype=np.uint64) for d in open_up("hashes")])
+    _, where = np.unique(hashes, return_inverse=True)
+    total = np.bincount(where, weights=np.concatenate(open_up("counts"))).astype(np.int64)[where]
+    ends = np.cumsum(sizes)[:-1]
+    return pa.table({"chunk": group.column("chunk"), "p": group.column("p"), "n": group.column("n"), "totals": pa.array([_packed(t) for t in np.split(total, ends)], pa.binary())})
 
 
 def _scored(order: int, alpha: float, n_all: int, schema: T.StructType):
@@ -104,7 +113,7 @@ def _scored(order: int, alpha: float, n_all: int, schema: T.StructType):
         words, firsts = _open(batch, 0)
         grams = _grams(words, firsts, order)
         hashes, _ = _distinct(grams)
-        totals = np.concatenate([np.frombuffer(b.as_buffer(), dtype="<i8") for b in group.column("totals").slice(1)] or [np.zeros(0, np.int64)])
+        totals = np.concatenate([_unpacked(b.as_buffer(), n.as_py()).astype(np.int64) for b, n in zip(group.column("totals").slice(1), group.column("n").slice(1), strict=True)] or [np.zeros(0, np.int64)])
         doc = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
         n_own = np.diff(firsts)
         rest = (n_all - n_own)[doc]
@@ -152,12 +161,12 @@ def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType
-    chunk_type = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("n", T.LongType()), *(T.StructField(c, T.BinaryType()) for c in ("firsts", "vocab", "codes"))])
+    chunk_type = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("n", T.LongType()), *(T.StructField(c, T.BinaryType()) for c in ("sizes", "vocab", "codes"))])
     chunks = stored(docs.select(F.col(id_col), F.col(text_col)).mapInArrow(_chunks, chunk_type))
     n_all = chunks.agg(F.sum("n")).first()[0] or 0
     parts = max(8, -(-n_all * order // (2 * PARTITION)))
-    dealt = chunks.select("chunk", "vocab", "codes", "firsts").mapInArrow(_dealt(order, parts), "chunk long, p int, hashes binary, counts binary")
-    totals = dealt.groupBy("p").applyInArrow(_totals, "chunk long, p int, totals binary")
+    dealt = chunks.mapInArrow(_dealt(order, parts), "chunk long, p int, n long, hashes binary, counts binary")
+    totals = dealt.groupBy("p").applyInArrow(_totals, "chunk long, p int, n long, totals binary")
     out = T.StructType([T.StructField(id_col, kind), T.StructField("n_words", T.LongType()), T.StructField("n_backed_off", T.LongType()), T.StructField("log_score", T.DoubleType()), T.StructField("mean_log_score", T.DoubleType())])
-    both = chunks.drop("n").withColumn("p", F.lit(-1)).unionByName(totals, allowMissingColumns=True)
+    both = chunks.withColumn("p", F.lit(-1)).unionByName(totals, allowMissingColumns=True)
     return both.groupBy("chunk").applyInArrow(_scored(order, alpha, n_all, out), out)
