@@ -119,10 +119,12 @@ def _scored(order: int, alpha: float, n_all: int, schema: T.StructType):
         rest = (n_all - n_own)[doc]
         others = []
         for g in grams:
-            at = np.searchsorted(hashes, g)
-            at[g == 0] = 0
-            _, where, own = np.unique(doc * np.int64(max(1, len(hashes))) + at, return_inverse=True, return_counts=True)
-            others.append(np.where(g == 0, 0, totals[at] - own[where]) if len(totals) else np.zeros(len(g), np.int64))
+            some = np.flatnonzero(g)
+            at = np.searchsorted(hashes, g[some])
+            _, where, own = np.unique(doc[some] * np.int64(max(1, len(hashes))) + at, return_inverse=True, return_counts=True)
+            rest_of = np.zeros(len(g), dtype=np.int64)
+            rest_of[some] = totals[at] - own[where]
+            others.append(rest_of)
         place = np.arange(len(words)) - firsts[:-1][doc]
         longest = np.minimum(order, place + 1)
         score, used = np.zeros(len(words)), np.zeros(len(words), dtype=np.int64)
@@ -136,7 +138,7 @@ def _scored(order: int, alpha: float, n_all: int, schema: T.StructType):
             used[take] = n
         new = used == 0
         score[new] = np.log(alpha) * longest[new] - np.log(rest[new] + 1.0)
-        sums = np.bincount(doc, weights=score, minlength=len(n_own))
+        sums = np.bincount(doc, weights=score, minlength=len(n_own)).astype(float)
         backed = np.bincount(doc, weights=used < longest, minlength=len(n_own)).astype(np.int64)
         mean = np.where(n_own > 0, sums / np.maximum(n_own, 1), np.nan)
         ids = group.column("ids").combine_chunks().slice(0, 1).flatten()
