@@ -8,13 +8,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlane.llm.common import bit_filter, bit_flag, components, cut, stored
+from emberlane.llm.common import bit_filter, bit_flag, components, cut, drop_stored, stored
 from emberlane.llm.words import mix, slices, windows, word_hashes
 
 #: Counters of the shingle-frequency table, and the rows it travels in; it only orders shingles, so its noise costs time, not results.
 COUNTERS, CHUNKS = 1 << 21, 32
-#: Rounds in which every group meets at most one partner, before what is still apart meets in full.
-PIVOT_ROUNDS = 2
+#: Rounds in which every set meets at most one partner, and pivots a shingle offers in a round, before what is still apart meets in full.
+PIVOT_ROUNDS, PIVOTS = 3, 4
+#: 64-bit words of a set's parity bitmap: bit k is the parity of its members hashed to k, so two bitmaps differ in at most as many bits as the sets in members.
+PARITY = 8
+_BITS = [f"b{i}" for i in range(PARITY)]
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int) -> list[np.ndarray]:
@@ -67,9 +70,10 @@ def _signatures(order, n: int, percent: int):  # noqa: ANN001
         counts = order.value
         for batch in batches:
             for i, j, data, offs in slices(batch.column(1)):
-                size, one, two, group, prefix = [], [], [], [], []
+                size, one, two, group, prefix, parity = [], [], [], [], [], []
                 for s in shingle_sets(data, offs, n):
                     size.append(len(s))
+                    parity.append(np.bincount((mix(s) >> np.uint64(40)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1)
                     with np.errstate(over="ignore"):
                         one.append(int(mix(s).sum()) if len(s) else 0)
                         two.append(int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum()) if len(s) else 0)
@@ -83,11 +87,12 @@ def _signatures(order, n: int, percent: int):  # noqa: ANN001
                     with np.errstate(over="ignore"):
                         group.append(int(mix(mix(first) + np.arange(len(first), dtype=np.uint64)).sum()))
                 flat = np.concatenate(prefix).view(np.int64)
+                bits = np.packbits(np.stack(parity).astype(np.uint8), axis=1).view(np.int64)
                 ends = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
                 longs = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(size, pa.int32()), longs(one), longs(two), longs(group), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                    names=["id", "n", "s1", "s2", "g", "prefix"],
+                    [batch.column(0).slice(i, j - i), pa.array(size, pa.int32()), longs(one), longs(two), longs(group), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), *(pa.array(np.ascontiguousarray(b)) for b in bits.T)],
+                    names=["id", "n", "s1", "s2", "g", "prefix", *_BITS],
                 )
 
     return run
@@ -102,8 +107,9 @@ def _sets(n: int):
     return run
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sets reach the threshold, by their whole sets."""
+def _verify(pairs: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (u, v) whose sets reach the threshold, by the whole sets of just the texts that occur in pairs."""
+    pairs = stored(pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,14 +121,23 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("w")).distinct()
+    texts = bit_filter(rows, F.col("id"), wanted, "w").select("id", "text")
+    sets = stored(texts.mapInArrow(_sets(shingle), "id long, members binary").where("length(members) > 0"))
     both = pairs.join(sets.select(F.col("id").alias("u"), F.col("members").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("members").alias("b")), "v")
-    return cut(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long").distinct())
+    links = cut(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long").distinct())
+    drop_stored(pairs, sets)
+    return links
 
 
 def _near(a: str, b: str, percent: int):
-    """Sizes and places in the prefixes still allow the overlap that the threshold needs."""
-    best = f"least({a}.pos, {b}.pos) + 1 + least({a}.n - {a}.pos, {b}.n - {b}.pos) - 1"
-    return F.expr(f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) AND (100 + {percent}) * ({best}) >= {percent} * ({a}.n + {b}.n)")
+    """Sizes, places in the prefixes and parity bitmaps still allow what the threshold needs. Each bound is exact: no link fails it."""
+    best = f"least({a}.pos, {b}.pos) + least({a}.n - {a}.pos, {b}.n - {b}.pos)"
+    apart = " + ".join(f"bit_count({a}.{c} ^ {b}.{c})" for c in _BITS)
+    return F.expr(
+        f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) AND (100 + {percent}) * ({best}) >= {percent} * ({a}.n + {b}.n)"
+        f" AND (100 + {percent}) * ({apart}) <= {100 - percent} * ({a}.n + {b}.n)"
+    )
 
 
 def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, percent: int = 85) -> DataFrame:
@@ -131,8 +146,8 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Documents link when ``100 * intersection >= percent * union`` of their sets of ``shingle``-word shingles (words
     lower-cased A-Z). Rare shingles come first, by a frequency table over all texts, so common passages stay out of the
     prefixes. Documents with one prefix and size are one group; groups are filtered by shared prefix shingles, sizes and
-    places; then their members (distinct sets) are expanded and verified on whole sets. Groups of very many near copies
-    are never paired in full: in :data:`PIVOT_ROUNDS` rounds each group meets only the pivot it shares most shingles with
+    places; their members (distinct sets) are expanded, filtered by parity bitmaps (:data:`PARITY`), and verified on whole sets. Groups of very many near copies
+    are never paired in full: in :data:`PIVOT_ROUNDS` rounds each set meets only the pivot it shares most shingles with
     and linked ones merge; then, for every shingle, members of different components are paired with all others that are
     not yet in theirs, so no link between components is lost. Pairs within a component can add nothing and are left out.
 
@@ -142,40 +157,41 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     order = spark.sparkContext.broadcast(_sketch(rows, "text", shingle))
-    signed = stored(rows.mapInArrow(_signatures(order, shingle, percent), "id long, n int, s1 long, s2 long, g long, prefix array<long>"))
+    shape = "id long, n int, s1 long, s2 long, g long, prefix array<long>, " + ", ".join(f"{b} long" for b in _BITS)
+    signed = stored(rows.mapInArrow(_signatures(order, shingle, percent), shape))
     real = signed.where("n > 0 and id is not null")
-    units = stored(real.groupBy("s1", "s2", "g", "n").agg(F.min("id").alias("uid")))
-    groups = real.groupBy("g", "n").agg(F.min(F.col("id")).alias("gid"), F.min_by("prefix", "id").alias("prefix"))
+    units = stored(real.groupBy("s1", "s2", "g", "n").agg(F.min("id").alias("uid"), *[F.min(b).alias(b) for b in _BITS]))
+    groups = real.groupBy("g", "n").agg(F.min_by("prefix", "id").alias("prefix"))
     members = units.groupBy("g", "n").agg(F.count(F.lit(1)).alias("units"))
-    posted = groups.join(members, ["g", "n"]).select("gid", "g", "n", "units", F.posexplode("prefix").alias("pos", "tok"))
-    posted = stored(posted)
+    posted = stored(groups.join(members, ["g", "n"]).select("g", "n", "units", F.posexplode("prefix").alias("pos", "tok")))
     again = stored(posted.groupBy("tok").agg(F.sum("units").alias("c")).where("c > 1").select("tok"))
-    lists = stored(bit_filter(posted, F.col("tok"), again, "tok").join(again, "tok", "left_semi"))
-    expanded = lists.select("g", "n", "gid", "tok", "pos").join(units.select("g", "n", "uid"), ["g", "n"]).select("tok", "uid", "n", "pos")
-    postings = stored(expanded)
-    wanted = postings.select("uid").distinct()
-    sets = bit_filter(rows.where("id is not null"), F.col("id"), wanted, "uid").select("id", "text")
-    sets = stored(sets.mapInArrow(_sets(shingle), "id long, members binary").where("length(members) > 0"))
+    lists = bit_filter(posted, F.col("tok"), again, "tok").join(again, "tok", "left_semi").select("g", "n", "tok", "pos")
+    postings = stored(lists.join(units.select("g", "n", "uid", *_BITS), ["g", "n"]).select("tok", "uid", "n", "pos", *_BITS))
+    drop_stored(posted, again)
 
-    comp = wanted.select("uid", F.col("uid").alias("comp"))
+    wanted = postings.select("uid").distinct()
+    rows = rows.where("id is not null")
+    comp = None
     links = None
     for r in range(PIVOT_ROUNDS):
-        here = postings.join(comp, "uid") if r else postings.withColumn("comp", F.col("uid"))
-        pivots = here.groupBy("tok").agg(F.min(F.struct(F.xxhash64(F.lit(r), "uid").alias("h"), "uid", "n", "pos", "comp")).alias("p"))
+        here = postings.join(comp, "uid") if comp is not None else postings.withColumn("comp", F.col("uid"))
+        slot = F.pmod(F.xxhash64(F.lit(r), F.lit(1), "uid"), F.lit(PIVOTS))
+        pivots = here.groupBy("tok", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64(F.lit(r), "uid").alias("h"), "uid", "n", "pos", "comp", *_BITS)).alias("p"))
         met = here.alias("x").join(pivots.select("tok", "p.*").alias("p"), "tok").where("x.uid != p.uid and x.comp != p.comp").where(_near("x", "p", percent))
         tally = met.groupBy(F.col("x.uid").alias("uid"), F.col("p.uid").alias("pivot")).agg(F.count(F.lit(1)).alias("c"))
         best = tally.groupBy("uid").agg(F.max(F.struct("c", F.col("pivot").alias("v"))).alias("b")).select(F.col("uid").alias("u"), F.col("b.v").alias("v"))
-        new = _verify(best, sets, percent)
+        new = _verify(best, rows, shingle, percent)
         links = new if links is None else links.union(new)
         comp = _labels(wanted, links)
     here = stored(postings.join(comp, "uid"))
     split = here.groupBy("tok").agg(F.min(F.struct(F.xxhash64("uid").alias("h"), "comp")).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("tok", F.col("p.comp").alias("main"))
-    open_lists = stored(here.join(split, "tok"))
+    open_lists = here.join(split, "tok")
     left = open_lists.where("comp != main").alias("x")
     pairs = left.join(open_lists.alias("y"), "tok").where("x.comp != y.comp and (y.comp = y.main or x.uid < y.uid)").where(_near("x", "y", percent))
     pairs = pairs.select(F.least("x.uid", "y.uid").alias("u"), F.greatest("x.uid", "y.uid").alias("v")).distinct()
-    links = links.union(_verify(pairs, sets, percent))
+    links = links.union(_verify(pairs, rows, shingle, percent))
     comp = _labels(wanted, links)
+    drop_stored(postings, here)
 
     by_set = units.join(comp, "uid", "left").select("s1", "s2", F.coalesce("comp", "uid").alias("comp"))
     out = signed.select("id", "n", "s1", "s2").join(by_set, ["s1", "s2"], "left")
