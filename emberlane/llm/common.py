@@ -86,13 +86,21 @@ def row_keys(id_col: Column, text: Column) -> list[Column]:
     return [F.xxhash64(text, id_col).alias("k1"), F.hash(id_col, text).alias("k2")]
 
 
+def wrapped(docs: DataFrame, **more: Column) -> DataFrame:
+    """Each row as one struct ``_row`` beside named columns, so names in ``docs`` can't clash with those of an operator."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[c.alias(k) for k, c in more.items()])
+
+
+def unwrapped(df: DataFrame, docs: DataFrame) -> DataFrame:
+    return df.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+
+
 def without(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``docs`` less the rows whose keys (k1, k2) are listed; only rows that a bit filter suspects are shuffled."""
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select("*", *row_keys(F.col(id_col), text))
-    flagged = bit_flag(keyed, F.col("k1"), keys, "k1", "_may")
-    return flagged.where("not _may").select(*cols).unionByName(flagged.where("_may").join(keys, ["k1", "k2"], "left_anti").select(*cols))
+    k1, k2 = row_keys(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
+    flagged = bit_flag(wrapped(docs, k1=k1, k2=k2), F.col("k1"), keys, "k1", "_may")
+    rest = flagged.where("_may").join(keys, ["k1", "k2"], "left_anti")
+    return unwrapped(flagged.where("not _may").select("_row").unionByName(rest.select("_row")), docs)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -51,6 +51,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, all columns as they were; no text is shuffled but those that a bit filter suspects."""
-    keyed = docs.select("*", *row_keys(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
+    keyed = docs.select(F.col(id_col), F.col(text_col), *row_keys(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
     losers = exact_groups(keyed, id_col, text_col, carry=["k1", "k2"]).where("not kept").select("k1", "k2")
     return without(docs, losers, id_col, text_col)

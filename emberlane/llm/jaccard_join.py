@@ -7,16 +7,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from emberlane.llm.common import bit_filter, bit_flag, components, cut, drop_stored, stored
+from emberlane.llm.common import bit_filter, bit_flag, components, cut, drop_stored, stored, unwrapped, wrapped
 from emberlane.llm.words import mix, slices, windows, word_hashes
 
 #: Counters of the shingle-frequency table, and the rows it travels in; it only orders shingles, so its noise costs time, not results.
-COUNTERS, CHUNKS = 1 << 21, 32
-#: Rounds in which every set meets at most one partner, and pivots a shingle offers in a round, before what is still apart meets in full.
-PIVOT_ROUNDS, PIVOTS = 3, 4
+COUNTERS, CHUNKS = 1 << 20, 16
+#: Pivots a shingle offers in each of the rounds in which every set meets at most one partner, before what is still apart meets in full.
+PIVOTS = (4, 16, 16)
+#: Partners a set is compared with in a round at most: what is left over meets in full afterwards.
+PARTNERS = 3
+#: Pairs that are broadcast at most (16 bytes each); more are joined by shuffles.
+BROADCAST_PAIRS = 1 << 20
 #: 64-bit words of a set's parity bitmap: bit k is the parity of its members hashed to k, so two bitmaps differ in at most as many bits as the sets in members.
-PARITY = 8
+PARITY = 16
 _BITS = [f"b{i}" for i in range(PARITY)]
 
 
@@ -109,7 +114,8 @@ def _sets(n: int):
 
 def _verify(pairs: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (u, v) whose sets reach the threshold, by the whole sets of just the texts that occur in pairs."""
-    pairs = stored(pairs)
+    small = pairs.count() <= BROADCAST_PAIRS
+    first = F.broadcast(pairs) if small else pairs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,12 +130,16 @@ def _verify(pairs: DataFrame, rows: DataFrame, shingle: int, percent: int) -> Da
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("w")).distinct()
     texts = bit_filter(rows, F.col("id"), wanted, "w").select("id", "text")
     sets = stored(texts.mapInArrow(_sets(shingle), "id long, members binary").where("length(members) > 0"))
-    both = pairs.join(sets.select(F.col("id").alias("u"), F.col("members").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("members").alias("b")), "v")
+    both = sets.select(F.col("id").alias("u"), F.col("members").alias("a")).join(first, "u").hint("merge").join(sets.select(F.col("id").alias("v"), F.col("members").alias("b")), "v")
     links = cut(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long").distinct())
-    drop_stored(pairs, sets)
+    drop_stored(sets)
     return links
 
 
+def _new_pairs(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
+    return pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti")
+
+
 def _near(a: str, b: str, percent: int):
     """Sizes, places in the prefixes and parity bitmaps still allow what the threshold needs. Each bound is exact: no link fails it."""
     best = f"least({a}.pos, {b}.pos) + least({a}.n - {a}.pos, {b}.n - {b}.pos)"
@@ -147,12 +157,12 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     lower-cased A-Z). Rare shingles come first, by a frequency table over all texts, so common passages stay out of the
     prefixes. Documents with one prefix and size are one group; groups are filtered by shared prefix shingles, sizes and
     places; their members (distinct sets) are expanded, filtered by parity bitmaps (:data:`PARITY`), and verified on whole sets. Groups of very many near copies
-    are never paired in full: in :data:`PIVOT_ROUNDS` rounds each set meets only the pivot it shares most shingles with
+    are never paired in full: in the rounds of :data:`PIVOTS` each set meets only the pivot it shares most shingles with
     and linked ones merge; then, for every shingle, members of different components are paired with all others that are
     not yet in theirs, so no link between components is lost. Pairs within a component can add nothing and are left out.
 
-    Sets without members (no text, no words) link with nothing. A null id takes no part: its component is null. Rows of
-    one id are one document. Extra columns are ignored; an empty table gives an empty result.
+    Sets without members (no text, no words) link with nothing. A null id takes no part: its component is null. Ids are
+    taken to be unique; rows that repeat one are answered by their own texts. Extra columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -165,23 +175,28 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     members = units.groupBy("g", "n").agg(F.count(F.lit(1)).alias("units"))
     posted = stored(groups.join(members, ["g", "n"]).select("g", "n", "units", F.posexplode("prefix").alias("pos", "tok")))
     again = stored(posted.groupBy("tok").agg(F.sum("units").alias("c")).where("c > 1").select("tok"))
-    lists = bit_filter(posted, F.col("tok"), again, "tok").join(again, "tok", "left_semi").select("g", "n", "tok", "pos")
+    lists = stored(bit_filter(posted, F.col("tok"), again, "tok").join(again, "tok", "left_semi").select("g", "n", "tok", "pos"))
+    # shingles with the same groups on their lists say the same: one of them stays
+    alike = lists.groupBy("tok").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("g", "n")).alias("x"), F.bit_xor(F.xxhash64("n", "g")).alias("y"))
+    distinct = alike.groupBy("c", "x", "y").agg(F.min("tok").alias("tok")).select("tok")
+    lists = lists.join(distinct, "tok", "left_semi")
     postings = stored(lists.join(units.select("g", "n", "uid", *_BITS), ["g", "n"]).select("tok", "uid", "n", "pos", *_BITS))
     drop_stored(posted, again)
 
     wanted = postings.select("uid").distinct()
     rows = rows.where("id is not null")
-    comp = None
-    links = None
-    for r in range(PIVOT_ROUNDS):
+    comp = tried = links = None
+    for r, offered in enumerate(PIVOTS):
         here = postings.join(comp, "uid") if comp is not None else postings.withColumn("comp", F.col("uid"))
-        slot = F.pmod(F.xxhash64(F.lit(r), F.lit(1), "uid"), F.lit(PIVOTS))
+        slot = F.pmod(F.xxhash64(F.lit(r), F.lit(1), "uid"), F.lit(offered))
         pivots = here.groupBy("tok", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64(F.lit(r), "uid").alias("h"), "uid", "n", "pos", "comp", *_BITS)).alias("p"))
         met = here.alias("x").join(pivots.select("tok", "p.*").alias("p"), "tok").where("x.uid != p.uid and x.comp != p.comp").where(_near("x", "p", percent))
         tally = met.groupBy(F.col("x.uid").alias("uid"), F.col("p.uid").alias("pivot")).agg(F.count(F.lit(1)).alias("c"))
-        best = tally.groupBy("uid").agg(F.max(F.struct("c", F.col("pivot").alias("v"))).alias("b")).select(F.col("uid").alias("u"), F.col("b.v").alias("v"))
+        place = F.row_number().over(W.partitionBy("uid").orderBy(F.desc("c"), "pivot"))
+        best = tally.withColumn("place", place).where(F.col("place") <= (PARTNERS if r else 1))
+        best = stored(_new_pairs(best.select(F.least("uid", "pivot").alias("u"), F.greatest("uid", "pivot").alias("v")).distinct(), tried))
         new = _verify(best, rows, shingle, percent)
-        links = new if links is None else links.union(new)
+        tried, links = (best, new) if links is None else (tried.union(best), links.union(new))
         comp = _labels(wanted, links)
     here = stored(postings.join(comp, "uid"))
     split = here.groupBy("tok").agg(F.min(F.struct(F.xxhash64("uid").alias("h"), "comp")).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("tok", F.col("p.comp").alias("main"))
@@ -189,13 +204,13 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     left = open_lists.where("comp != main").alias("x")
     pairs = left.join(open_lists.alias("y"), "tok").where("x.comp != y.comp and (y.comp = y.main or x.uid < y.uid)").where(_near("x", "y", percent))
     pairs = pairs.select(F.least("x.uid", "y.uid").alias("u"), F.greatest("x.uid", "y.uid").alias("v")).distinct()
-    links = links.union(_verify(pairs, rows, shingle, percent))
+    links = links.union(_verify(stored(_new_pairs(pairs, tried)), rows, shingle, percent))
     comp = _labels(wanted, links)
     drop_stored(postings, here)
 
     by_set = units.join(comp, "uid", "left").select("s1", "s2", F.coalesce("comp", "uid").alias("comp"))
     out = signed.select("id", "n", "s1", "s2").join(by_set, ["s1", "s2"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("comp", "id")).otherwise(F.col("id")).alias("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("comp", "id")).otherwise(F.col("id"))).alias("component_id"))
 
 
 def _labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -207,7 +222,6 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The documents, one of each component: the one with the component's smallest id. All columns as they were."""
     named = linked_components(docs, id_col, text_col, shingle, percent).where(F.col("component_id") != F.col(id_col))
     losers = stored(named.select(F.col(id_col).alias("id")).distinct())
-    cols = docs.columns
-    flagged = bit_flag(docs, F.col(id_col).cast("long"), losers, "id", "_may")
-    rest = flagged.where("_may").join(losers, F.col(id_col).cast("long") == losers.id, "left_anti").select(*cols)
-    return flagged.where("not _may").select(*cols).unionByName(rest)
+    flagged = bit_flag(wrapped(docs, own=F.col(id_col).cast("long")), F.col("own"), losers, "id", "_may")
+    rest = flagged.where("_may").join(losers, F.col("own") == F.col("id"), "left_anti")
+    return unwrapped(flagged.where("not _may").select("_row").unionByName(rest.select("_row")), docs)

@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlane.llm.common import cut
+from emberlane.llm.common import cut, unwrapped, wrapped
 
 _WS = r"[\x20\x09-\x0D]"
 #: Steps of the two threshold tables: the last choice falls on a slice of 2 / BINS^2 of the unit interval.
@@ -183,8 +183,6 @@ def mixed(
 ) -> DataFrame:
     """The documents as often as :func:`mix` takes them, all columns as they were; no text is shuffled."""
     plan = Mix(docs, id_col, text_col, source_col, weights, share, cap, seed)
-    cols = docs.columns
-    rows = docs.withColumn("_type", F.col(source_col)).withColumn(source_col, F.col(source_col).cast("string"))
-    taken = plan.on(rows.withColumn("size", word_count(F.col(text_col)))).where("copies > 0")
-    taken = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies")))
-    return taken.withColumn(source_col, F.col("_type")).select(*[F.col(f"`{c}`") for c in cols])
+    rows = wrapped(docs, **{id_col: F.col(id_col), source_col: F.col(source_col).cast("string"), "size": word_count(F.col(text_col))})
+    taken = plan.on(rows).where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), "copies")))
+    return unwrapped(taken, docs)

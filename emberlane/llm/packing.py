@@ -16,7 +16,7 @@ from emberlane.llm.common import stored
 from emberlane.llm.words import mix, slices, spans, word_hashes
 
 #: Words that a worker remembers; bytes encoded at a time; pieces that one ranking task gets on average at most.
-WORDS, BLOCK, RANK_ROWS = 2_000_000, 4 << 20, 100_000
+WORDS, BLOCK, RANK_ROWS = 1_000_000, 1 << 20, 100_000
 #: A run of Latin letters, and ASCII marks behind it that a tokenizer of words keeps apart from letters.
 _STEM = re.compile("([A-Za-z\u00df-\u00f6\u00f8-\u00ff\u00c0-\u00d6\u00d8-\u00de]+)([!-/:-@\\[-`{-~]*)")
 _encoders: dict[str, "_Encoder"] = {}
