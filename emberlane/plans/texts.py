@@ -203,7 +203,7 @@ _G = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789 '"
 
 @query("row_column_mass", W, doubles="row_mass column_mass neither_mass expected_row expected_column expected_neither", sql=f"""
     WITH t AS (SELECT n, instr({_G}, intended) - 1 AS i, instr({_G}, selected) - 1 AS j FROM {_CM} WHERE intended <> selected)
-    SELECT sum(n) FILTER (i // 6 = j // 6) / sum(n)::DOUBLE AS row_mass, sum(n) FILTER (i % 6 = j % 6) / sum(n)::DOUBLE AS column_mass, sum(n) FILTER (i // 6 <> j // 6 AND i % 6 <> j % 6) / sum(n)::DOUBLE AS neither_mass,
+    SELECT coalesce(sum(n) FILTER (i // 6 = j // 6), 0) / sum(n)::DOUBLE AS row_mass, coalesce(sum(n) FILTER (i % 6 = j % 6), 0) / sum(n)::DOUBLE AS column_mass, coalesce(sum(n) FILTER (i // 6 <> j // 6 AND i % 6 <> j % 6), 0) / sum(n)::DOUBLE AS neither_mass,
            5.0::DOUBLE / 35 AS expected_row, 5.0::DOUBLE / 35 AS expected_column, 25.0::DOUBLE / 35 AS expected_neither FROM t""")
 def _(w): return noise.row_column_mass(noise.matrix_long(w))  # noqa: E704
 
