@@ -71,16 +71,17 @@ def ensemble(df: DataFrame, policy: str | Column = "primary", rule_free: bool =
         policy = F.lit(policy)
     names = [f"vote__{a}_{b}" for a, b in EVALUATORS]
     out = df.withColumns({n: vote(a, b, rule_free, tau) for n, (a, b) in zip(names, EVALUATORS, strict=True)})
-    votes = F.array(*names)
-    count = lambda c: F.size(F.filter(votes, lambda v: v == c))
-    faithful, degraded, drift = count("faithful"), count("degraded"), count("drift")
-    most = F.greatest(faithful, degraded, drift)
-    tied = F.array_compact(F.array(F.when(degraded == most, "degraded"), F.when(drift == most, "drift"), F.when(faithful == most, "faithful")))
-    first = F.element_at(F.filter(votes, lambda v: F.array_contains(tied, v)), 1)
-    mild = F.when(faithful == most, "faithful").when(degraded == most, "degraded").otherwise("drift")
-    severe = F.when(drift == most, "drift").when(degraded == most, "degraded").otherwise("faithful")
+    count = lambda c: sum((F.when(F.col(n) == c, 1).otherwise(0) for n in names), F.lit(0))
+    out = out.withColumns({"_f": count("faithful"), "_d": count("degraded"), "_x": count("drift")})
+    most = F.greatest("_f", "_d", "_x")
+    is_tied = {"degraded": F.col("_d") == most, "drift": F.col("_x") == most, "faithful": F.col("_f") == most}
+    of = lambda n: F.when(F.col(n) == "faithful", F.col("_f")).when(F.col(n) == "degraded", F.col("_d")).otherwise(F.col("_x"))
+    first = F.coalesce(*[F.when(of(n) == most, F.col(n)) for n in names])
+    mild = F.when(is_tied["faithful"], "faithful").when(is_tied["degraded"], "degraded").otherwise("drift")
+    severe = F.when(is_tied["drift"], "drift").when(is_tied["degraded"], "degraded").otherwise("faithful")
     chosen = F.when(policy == "primary", first).when(policy == "drift_averse", mild).otherwise(severe)
-    return out.withColumns({"label": chosen, "agreement": (most / 4).cast("double"), "tie": F.size(tied) > 1, "tied_labels": F.array_join(tied, "|")})
+    tied = F.concat_ws("|", *[F.when(c, k) for k, c in is_tied.items()])
+    return out.withColumns({"label": chosen, "agreement": (most / 4).cast("double"), "tie": sum((c.cast("int") for c in is_tied.values()), F.lit(0)) > 1, "tied_labels": tied}).drop("_f", "_d", "_x")
 
 
 def sweep(df: DataFrame, taus: tuple[float, ...] = (0.3, 0.5, 0.7), rule_free: bool = False) -> DataFrame:
