@@ -8,12 +8,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from emberlane.llm import exact_dedup, jaccard_join, mixing, packing, quality
-from emberlane.llm.common import stored
+from emberlane.llm.common import bounded_batches, stored
 from emberlane.llm.queries import id_remainder, tokenizer_path
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.3 go; learnt from the labels that op4 learns from."""
+    bounded_batches(spark)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), id_remainder(5, 0))
 
 
@@ -24,6 +25,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked at Jaccard 0.8 of five-word shingles stays: the one with the smallest doc_id."""
+    bounded_batches(spark)
     return jaccard_join.one_of_each(docs, shingle=5, percent=80)
 
 
@@ -34,6 +36,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 4096 tokens."""
+    bounded_batches(spark)
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
 

@@ -26,6 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
     return conf
 
 
+def bounded_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
+    """Arrow batches of at most ``limit`` bytes in this session, whatever the length of a row's text, where more was allowed."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, "67108864b").rstrip("b")) > limit:
+        spark.conf.set(key, str(limit))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Eager reliable checkpoint; for tables of few, narrow rows."""
     shared_dir(df.sparkSession)

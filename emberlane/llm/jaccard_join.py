@@ -13,13 +13,13 @@ from emberlane.llm.common import bit_filter, bit_flag, components, cut, drop_sto
 from emberlane.llm.words import mix, slices, windows, word_hashes
 
 #: Counters of the shingle-frequency table, and the rows it travels in; it only orders shingles, so its noise costs time, not results.
-COUNTERS, CHUNKS = 1 << 20, 16
+COUNTERS, CHUNKS = 1 << 22, 64
 #: Pivots a shingle offers in each of the rounds in which every set meets at most one partner, before what is still apart meets in full.
 PIVOTS = (4, 16, 16)
 #: Partners a set is compared with in a round at most: what is left over meets in full afterwards.
 PARTNERS = 3
-#: Pairs that are broadcast at most (16 bytes each); more are joined by shuffles.
-BROADCAST_PAIRS = 1 << 20
+#: Rows of two longs that are broadcast at most (16 bytes each); more are joined by shuffles.
+BROADCAST_ROWS = 1 << 20
 #: 64-bit words of a set's parity bitmap: bit k is the parity of its members hashed to k, so two bitmaps differ in at most as many bits as the sets in members.
 PARITY = 16
 _BITS = [f"b{i}" for i in range(PARITY)]
@@ -43,30 +43,42 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
+def _squeezed(counts: np.ndarray) -> bytes:
+    """32-bit counts as compressed byte planes."""
+    planes = np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _restored(data: bytes) -> np.ndarray:
+    n = COUNTERS // CHUNKS
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel()
+
+
 def _sketch(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
-    """In how many texts the shingles of each hash bucket occur, over all texts: :data:`COUNTERS` numbers."""
+    """How frequent the shingles of each hash bucket are over all texts, as :data:`COUNTERS` one-byte classes (eight to a doubling)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, dtype=np.uint32)
         for batch in batches:
             for _, _, data, offs in slices(batch.column(0)):
-                sets = shingle_sets(data, offs, n)
-                total += np.bincount((np.concatenate(sets) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([p.tobytes() for p in np.split(total, CHUNKS)], pa.binary())], names=["chunk", "counts"])
+                at, c = np.unique(np.concatenate(shingle_sets(data, offs, n)) & np.uint64(COUNTERS - 1), return_counts=True)
+                total[at] += c.astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([_squeezed(p) for p in np.split(total, CHUNKS)], pa.binary())], names=["chunk", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, c in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                part = np.frombuffer(c.as_buffer(), dtype=np.uint32).astype(np.uint64)
-                sums[k] = sums[k] + part if k in sums else part
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(s, 2**32 - 1).astype(np.uint32).tobytes() for s in sums.values()], pa.binary())], names=["chunk", "counts"])
+                sums[k] = sums.get(k, 0) + _restored(c.as_buffer()).astype(np.uint64)
+        classes = [np.minimum(255, np.round(8 * np.log2(s.astype(float) + 1))).astype(np.uint8).tobytes() for s in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(classes, pa.binary())], names=["chunk", "classes"])
 
     parts = docs.select(F.col(text_col)).mapInArrow(count, "chunk int, counts binary")
-    rows = parts.repartition(8, "chunk").mapInArrow(add, "chunk int, counts binary").collect()
-    total = np.zeros((CHUNKS, COUNTERS // CHUNKS), dtype=np.uint32)
+    rows = parts.repartition(8, "chunk").mapInArrow(add, "chunk int, classes binary").collect()
+    total = np.zeros((CHUNKS, COUNTERS // CHUNKS), dtype=np.uint8)
     for r in rows:
-        total[r["chunk"]] = np.frombuffer(r["counts"], dtype=np.uint32)
+        total[r["chunk"]] = np.frombuffer(r["classes"], dtype=np.uint8)
     return total.ravel()
 
 
@@ -86,7 +98,7 @@ def _signatures(order, n: int, percent: int):  # noqa: ANN001
                         group.append(0)
                         prefix.append(s)
                         continue
-                    key = (np.minimum(counts[s & np.uint64(COUNTERS - 1)], (1 << 20) - 1).astype(np.uint64) << np.uint64(44)) | (s >> np.uint64(20))
+                    key = (counts[s & np.uint64(COUNTERS - 1)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
                     first = s[np.argsort(key, kind="stable")[: prefix_length(len(s), percent)]]
                     prefix.append(first)
                     with np.errstate(over="ignore"):
@@ -112,10 +124,14 @@ def _sets(n: int):
     return run
 
 
+def _if_small(rows: DataFrame) -> DataFrame:
+    """Broadcast behind a check of the size: at most 16 MiB; a larger table is joined as it is."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def _verify(pairs: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (u, v) whose sets reach the threshold, by the whole sets of just the texts that occur in pairs."""
-    small = pairs.count() <= BROADCAST_PAIRS
-    first = F.broadcast(pairs) if small else pairs
+    first = _if_small(pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,7 +203,7 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = rows.where("id is not null")
     comp = tried = links = None
     for r, offered in enumerate(PIVOTS):
-        here = postings.join(comp, "uid") if comp is not None else postings.withColumn("comp", F.col("uid"))
+        here = postings.join(_if_small(comp), "uid") if comp is not None else postings.withColumn("comp", F.col("uid"))
         slot = F.pmod(F.xxhash64(F.lit(r), F.lit(1), "uid"), F.lit(offered))
         pivots = here.groupBy("tok", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64(F.lit(r), "uid").alias("h"), "uid", "n", "pos", "comp", *_BITS)).alias("p"))
         met = here.alias("x").join(pivots.select("tok", "p.*").alias("p"), "tok").where("x.uid != p.uid and x.comp != p.comp").where(_near("x", "p", percent))
@@ -198,7 +214,7 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         new = _verify(best, rows, shingle, percent)
         tried, links = (best, new) if links is None else (tried.union(best), links.union(new))
         comp = _labels(wanted, links)
-    here = stored(postings.join(comp, "uid"))
+    here = stored(postings.join(_if_small(comp), "uid"))
     split = here.groupBy("tok").agg(F.min(F.struct(F.xxhash64("uid").alias("h"), "comp")).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("tok", F.col("p.comp").alias("main"))
     open_lists = here.join(split, "tok")
     left = open_lists.where("comp != main").alias("x")

@@ -39,8 +39,9 @@ def profiles(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 def _svm(x: np.ndarray, y: np.ndarray, steps: int = 150, c: float = 20.0) -> np.ndarray:
     """Weights (bias last) of a linear SVM with squared hinge loss, by accelerated gradient steps; y is -1 or 1."""
     x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    w = v = np.zeros(x.shape[1])
+    y = y.astype(x.dtype)
+    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(x.dtype)
+    w = v = np.zeros(x.shape[1], dtype=x.dtype)
     rate = 1 / (1 + 2 * c * 2.1)
     for k in range(steps):
         slack = np.maximum(0, 1 - y * (x @ v))
