@@ -44,7 +44,7 @@ VIEWS: dict[str, str] = {
     "fx_text_pairs": """
         SELECT a.conv_id, a.turn, a.text AS intended_text, b.text AS output_message
         FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
-        WHERE a.role = 'user' AND b.role = 'assistant' AND length(a.text) < 400 AND length(b.text) < 400
+        WHERE a.role = 'user' AND b.role = 'assistant' 
           AND regexp_replace(a.text, '[\\x00-\\x7F]', '', 'g') = '' AND regexp_replace(b.text, '[\\x00-\\x7F]', '', 'g') = ''""",
     "fx_interface": """
         SELECT model, message_id, corpus, cer_target, replicate_idx, realized_cer, label,
@@ -54,11 +54,9 @@ VIEWS: dict[str, str] = {
         FROM fx_attempts""",
     "fx_words": """
         SELECT p_partkey, p_name, upper(substr(p_name, 1, 1)) AS intended, upper(substr(p_name, 2, 1)) AS selected FROM part""",
-    "fx_docs": """
-        SELECT doc_id, text, lang, source, n_chars FROM documents WHERE regexp_replace(text, '[\\x00-\\x7F]', '', 'g') = ''""",
 }
 #: Tables and views each view reads.
-_READS = {"fx_attempts": ["lineitem"], "fx_pairs": ["lineitem"], "fx_ratings": ["orders"], "fx_text_pairs": ["conversations"], "fx_words": ["part"], "fx_docs": ["documents"]}
+_READS = {"fx_attempts": ["lineitem"], "fx_pairs": ["lineitem"], "fx_ratings": ["orders"], "fx_text_pairs": ["conversations"], "fx_words": ["part"]}
 _READS |= dict.fromkeys(("fx_raw", "fx_signals", "fx_interface"), ["fx_attempts"])
 
 

@@ -10,7 +10,7 @@ from emberlane.operators import label as lb
 from emberlane.operators import ranking as rk
 from emberlane.plans.registry import query
 
-P, DOC = "fx_text_pairs", "fx_docs"
+P, DOC = "fx_text_pairs", "documents"
 _NORM = "trim(regexp_replace(regexp_replace(lower({}), '[[:punct:]]', '', 'g'), '\\s+', ' ', 'g'))"
 _TOK = "regexp_extract_all({}, '[A-Za-z0-9]+(?:''[A-Za-z]+)?')"
 
@@ -68,7 +68,7 @@ def _(p): return p.select("p_partkey", tx.grid_character((F.col("p_partkey") % 3
 
 
 @query("off_grid_fraction", DOC, doubles="mean median", sql=f"""
-    SELECT avg(f) AS mean, quantile_cont(f, 0.5) AS median, count(*) AS n FROM (SELECT CASE WHEN length(text) = 0 THEN 0 ELSE length(translate(upper(text), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789 ', ''))::DOUBLE / length(text) END AS f FROM {DOC})""")
+    SELECT avg(f) AS mean, quantile_cont(f, 0.5) AS median, count(*) AS n FROM (SELECT CASE WHEN length(text) = 0 THEN 0 ELSE length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789 ', ''))::DOUBLE / length(t) END AS f FROM (SELECT text, upper(replace(text, 'ß', 'SS')) AS t FROM {DOC}))""")
 def _(d): return noise.off_grid_summary(d)  # noqa: E704
 
 
@@ -208,8 +208,8 @@ _G = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789 '"
 def _(w): return noise.row_column_mass(noise.matrix_long(w))  # noqa: E704
 
 
-def _messages(w, n=40):
-    return w.where(F.col("p_partkey") < n).select(F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("message_id"), F.lit("AUTH").alias("corpus"), F.col("p_name").alias("text"))
+def _messages(w):
+    return w.select(F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("message_id"), F.lit("AUTH").alias("corpus"), F.col("p_name").alias("text"))
 
 
 @query("noise_exposure", W)
