@@ -573,3 +573,54 @@ def _(a): return rk.span_extremes(a.groupBy("message_id").agg(F.avg("realized_ce
 
 @query("example_picker", A)
 def _(a): return rk.first_per_spec(a, [{"label": "drift", "corpus": "CRIT"}, {"label": "degraded", "corpus": "AUTH"}, {"label": "drift", "corpus": "AUTH"}], ["message_id", "model", "l_orderkey", "l_partkey"])  # noqa: E704
+
+
+@query("outcome_guard", _I, sql=f"SELECT condition, CASE WHEN {_DEC} THEN 'declined' ELSE label END AS outcome, count(*) AS n FROM {_I} GROUP BY ALL")
+def _(i): return i.groupBy("condition", lb.outcome(F.col("label"), F.col("abstained")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))  # noqa: E704
+
+
+_CAND = "l_suppkey % 6 = 4"
+
+
+@query("any_candidate_faithful", A, sql=f"""
+    WITH t AS (SELECT message_id, label, CASE WHEN {_CAND} THEN label = 'faithful' OR (length(message_id) + l_orderkey % 4) % 3 = 0 OR (length(message_id) + l_orderkey % 5) % 3 = 0 END AS any_candidate_faithful FROM {A})
+    SELECT any_candidate_faithful, label, count(*) AS n FROM t GROUP BY ALL""")
+def _(a):
+    c = F.explode(F.sequence(F.lit(0), F.lit(4))).alias("c")
+    good = (F.length("message_id") + F.col("c")) % 3 == 0
+    labels = a.select("message_id").distinct().select("message_id", c).select(F.col("message_id").alias("intended_text"), F.concat(F.lit("c"), F.col("c").cast("string")).alias("output_message"), F.when(good, "faithful").otherwise("drift").alias("label"))
+    name = lambda k: F.concat(F.lit("c"), (F.col("l_orderkey") % k).cast("string"))
+    rows = a.withColumn("row_id", F.monotonically_increasing_id()).withColumns({"intended_text": F.col("message_id"), "candidates": F.when(F.expr(_CAND), F.array(name(4), name(5)))})
+    rows = rows.select("row_id", "intended_text", "candidates", "label")
+    return lb.any_candidate_faithful(rows, labels, ("row_id",)).groupBy("any_candidate_faithful", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("dedupe_apply", S, sql=f"SELECT {_vote_sql('roberta', 'minilm')} AS vote, count(*) AS n FROM {S} GROUP BY 1")
+def _(s):
+    key = ["nli_roberta_fwd", "nli_roberta_bwd", "cos_minilm", "fluency_raw", *lb.CRIT_COLUMNS]
+    return ct.dedupe_apply(s, key, lambda d: d.withColumn("vote", lb.vote("roberta", "minilm"))).groupBy("vote").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("ordered_classes", A, sql=f"SELECT row_number() OVER (ORDER BY CASE label WHEN 'faithful' THEN 0 WHEN 'degraded' THEN 1 ELSE 2 END) AS place, label, count(*) AS n FROM {A} GROUP BY label")
+def _(a):
+    from pyspark.sql import Window as W
+
+    rank = F.array_position(F.array(*[F.lit(c) for c in _CL]), F.col("label"))
+    t = a.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return t.select(F.row_number().over(W.orderBy(rank)).cast("long").alias("place"), "label", "n")
+
+
+@query("null_drop_counts", A, sql=f"SELECT count(*) FILTER (confidence IS NOT NULL) AS kept, count(*) FILTER (confidence IS NULL) AS dropped FROM {A}")
+def _(a):
+    kept, dropped = ct.drop_nulls_counted(a, ["confidence"])
+    return kept.agg(F.count(F.lit(1)).alias("kept"), F.lit(dropped).cast("long").alias("dropped"))
+
+
+@query("power_target_sizing", R, sql=f"""
+    WITH c AS (SELECT count(*) AS n FROM {R} WHERE corpus = 'CRIT'), s AS (SELECT *, row_number() OVER (ORDER BY sha256(concat_ws('|', '13', item_id)), item_id) AS r FROM {R} WHERE corpus <> 'CRIT')
+    SELECT item_id, 'stratified' AS provenance FROM s, c WHERE r <= greatest(0, 6000 - c.n) UNION ALL SELECT item_id, 'message_critical' FROM {R} WHERE corpus = 'CRIT'""")
+def _(r):
+    critical = r.where("corpus = 'CRIT'")
+    n = critical.count()
+    rest = sm.shuffle_items(r.where("corpus != 'CRIT'").select("item_id"), "13").where(F.col("place") <= max(0, 6000 - n))
+    return sm.union_with_provenance(rest, critical, ["item_id"])

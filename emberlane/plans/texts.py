@@ -234,3 +234,14 @@ def _(p): return p.select("conv_id", "turn", F.size(F.filter(tx.changed_words("i
 
 @query("half_up_text", "fx_attempts", doubles="realized_cer", sql="SELECT DISTINCT realized_cer, printf('%.1f', round((realized_cer * 100)::DECIMAL(38,12), 1)::DOUBLE) AS shown FROM fx_attempts")
 def _(a): return a.select("realized_cer").distinct().withColumn("shown", stats.half_up(F.col("realized_cer") * 100, 1))  # noqa: E704
+
+
+@query("record_normalisation", "events", sql="""
+    SELECT event_id, event_id % 3 = 0 AS abstained, CASE WHEN event_id % 6 = 4 THEN event_type || '|x' END AS candidates FROM events""")
+def _(e):
+    from emberlane.schema import CONDITIONS
+
+    reg = e.sparkSession.createDataFrame(CONDITIONS, "condition string, prompt_id string, permits_abstention boolean, permits_candidates boolean")
+    raw = F.concat(F.lit('{"candidates": ["'), F.col("event_type"), F.lit('", " ", "x"]}'))
+    rows = e.select("event_id", F.concat(F.lit("P"), (F.col("event_id") % 6).cast("string")).alias("prompt_id"), raw.alias("raw_output"), F.when(F.col("event_id") % 3 == 0, True).alias("abstained"))
+    return lb.normalised_record(rows, reg).select("event_id", "abstained", F.array_join("candidates", "|").alias("candidates"))
