@@ -110,6 +110,11 @@ def without(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> Dat
     return unwrapped(flagged.where("not _may").select("_row").unionByName(rest.select("_row")), docs)
 
 
+def few(rows: int) -> int:
+    """Partitions for a table of so many narrow rows: small tables in few files, large ones spread as they grow."""
+    return rows // 200_000 + 1
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (u long, v long): rows (node, component), component the smallest node.
 
@@ -118,15 +123,17 @@ def components(edges: DataFrame) -> DataFrame:
     Nodes without links to others do not appear.
     """
     e = cut(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    parts = few(e.count())
+    e = e.coalesce(parts)
     before = None
     while True:
         both = e.union(e.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(parts)
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct().coalesce(parts)
+        low = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts)
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        e = cut(small)
+        e = cut(small.coalesce(parts))
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or now[0] == 0:
             break

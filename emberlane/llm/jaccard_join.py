@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from emberlane.llm.common import bit_filter, bit_flag, components, cut, drop_stored, stored, unwrapped, wrapped
+from emberlane.llm.common import bit_filter, bit_flag, components, cut, drop_stored, few, stored, unwrapped, wrapped
 from emberlane.llm.words import mix, slices, windows, word_hashes
 
 #: Counters of the shingle-frequency table, and the rows it travels in; it only orders shingles, so its noise costs time, not results.
@@ -115,11 +115,37 @@ def _signatures(order, n: int, percent: int):  # noqa: ANN001
     return run
 
 
+def _parity(s: np.ndarray, bits: int) -> np.ndarray:
+    return np.packbits((np.bincount(((mix(s) >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8))
+
+
 def _sets(n: int):
+    """Each text's size, a parity bitmap that grows with it (at least four bits a member), and its members."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offs in slices(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([s.tobytes() for s in shingle_sets(data, offs, n)], pa.binary())], names=["id", "members"])
+                sets = shingle_sets(data, offs, n)
+                maps = [_parity(s, 256 << max(0, (len(s) >> 6).bit_length())).tobytes() for s in sets]
+                cols = [batch.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int32()), pa.array(maps, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "n", "bits", "members"])
+
+    return run
+
+
+def _may_reach(percent: int):
+    """Keep pairs whose bitmaps, the larger folded to the size of the smaller, don't differ in too many bits."""
+    ones = np.array([bin(i).count("1") for i in range(256)], dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for n, m, a, b in zip(*(batch.column(k).to_pylist() for k in (2, 3)), batch.column(4), batch.column(5), strict=True):
+                x, y = (np.frombuffer(c.as_buffer(), dtype=np.uint8) for c in (a, b))
+                size = min(len(x), len(y))
+                x, y = (np.bitwise_xor.reduce(z.reshape(-1, size), axis=0) for z in (x, y))
+                ok.append((100 + percent) * int(ones[x ^ y].sum()) <= (100 - percent) * (n + m))
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
@@ -130,7 +156,11 @@ def _if_small(rows: DataFrame) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sets reach the threshold, by the whole sets of just the texts that occur in pairs."""
+    """The pairs (u, v) whose sets reach the threshold, by the whole sets of just the texts that occur in pairs.
+
+    Bitmaps, a fraction of the sets' size, go first; whole sets are moved for the pairs that pass.
+    """
+    parts = few(pairs.count())
     first = _if_small(pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,10 +175,13 @@ def _verify(pairs: DataFrame, rows: DataFrame, shingle: int, percent: int) -> Da
 
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("w")).distinct()
     texts = bit_filter(rows, F.col("id"), wanted, "w").select("id", "text")
-    sets = stored(texts.mapInArrow(_sets(shingle), "id long, members binary").where("length(members) > 0"))
-    both = sets.select(F.col("id").alias("u"), F.col("members").alias("a")).join(first, "u").hint("merge").join(sets.select(F.col("id").alias("v"), F.col("members").alias("b")), "v")
-    links = cut(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long").distinct())
-    drop_stored(sets)
+    sets = stored(texts.mapInArrow(_sets(shingle), "id long, n int, bits binary, members binary").where("n > 0"))
+    side = lambda key, n, col, to: sets.select(F.col("id").alias(key), F.col("n").alias(n), F.col(col).alias(to))
+    maps = side("u", "n", "bits", "a").join(first, "u").hint("merge").join(side("v", "m", "bits", "b"), "v")
+    likely = stored(maps.select("u", "v", "n", "m", "a", "b").mapInArrow(_may_reach(percent), "u long, v long").distinct().coalesce(parts))
+    both = side("u", "n", "members", "a").join(_if_small(likely), "u").hint("merge").join(side("v", "m", "members", "b"), "v")
+    links = cut(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long").distinct().coalesce(parts))
+    drop_stored(sets, likely)
     return links
 
 
@@ -199,39 +232,45 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     postings = stored(lists.join(units.select("g", "n", "uid", *_BITS), ["g", "n"]).select("tok", "uid", "n", "pos", *_BITS))
     drop_stored(posted, again)
 
-    wanted = postings.select("uid").distinct()
+    wanted = cut(postings.select("uid").distinct())
+    parts = few(wanted.count())
+    wanted = wanted.coalesce(parts)
     rows = rows.where("id is not null")
     comp = tried = links = None
+    here = postings.withColumn("comp", F.col("uid"))
     for r, offered in enumerate(PIVOTS):
-        here = postings.join(_if_small(comp), "uid") if comp is not None else postings.withColumn("comp", F.col("uid"))
         slot = F.pmod(F.xxhash64(F.lit(r), F.lit(1), "uid"), F.lit(offered))
         pivots = here.groupBy("tok", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64(F.lit(r), "uid").alias("h"), "uid", "n", "pos", "comp", *_BITS)).alias("p"))
         met = here.alias("x").join(pivots.select("tok", "p.*").alias("p"), "tok").where("x.uid != p.uid and x.comp != p.comp").where(_near("x", "p", percent))
         tally = met.groupBy(F.col("x.uid").alias("uid"), F.col("p.uid").alias("pivot")).agg(F.count(F.lit(1)).alias("c"))
         place = F.row_number().over(W.partitionBy("uid").orderBy(F.desc("c"), "pivot"))
         best = tally.withColumn("place", place).where(F.col("place") <= (PARTNERS if r else 1))
-        best = stored(_new_pairs(best.select(F.least("uid", "pivot").alias("u"), F.greatest("uid", "pivot").alias("v")).distinct(), tried))
+        best = _new_pairs(best.select(F.least("uid", "pivot").alias("u"), F.greatest("uid", "pivot").alias("v")).distinct(), tried)
+        best = stored(best.coalesce(parts))
         new = _verify(best, rows, shingle, percent)
         tried, links = (best, new) if links is None else (tried.union(best), links.union(new))
-        comp = _labels(wanted, links)
-    here = stored(postings.join(_if_small(comp), "uid"))
-    split = here.groupBy("tok").agg(F.min(F.struct(F.xxhash64("uid").alias("h"), "comp")).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("tok", F.col("p.comp").alias("main"))
-    open_lists = here.join(split, "tok")
+        comp = _labels(wanted, links, parts)
+        # what goes on: shingles whose sets aren't all in one component yet
+        named = postings.join(_if_small(comp), "uid")
+        split = stored(named.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("uid").alias("h"), "comp")).alias("p")).where("lo != hi").select("tok", F.col("p.comp").alias("main")).coalesce(parts))
+        here = bit_filter(named, F.col("tok"), split, "tok")
+    open_lists = stored(here.join(split, "tok"))
     left = open_lists.where("comp != main").alias("x")
     pairs = left.join(open_lists.alias("y"), "tok").where("x.comp != y.comp and (y.comp = y.main or x.uid < y.uid)").where(_near("x", "y", percent))
     pairs = pairs.select(F.least("x.uid", "y.uid").alias("u"), F.greatest("x.uid", "y.uid").alias("v")).distinct()
-    links = links.union(_verify(stored(_new_pairs(pairs, tried)), rows, shingle, percent))
-    comp = _labels(wanted, links)
-    drop_stored(postings, here)
+    pairs = stored(_new_pairs(pairs, tried).coalesce(parts))
+    links = links.union(_verify(pairs, rows, shingle, percent))
+    comp = _labels(wanted, links, parts)
+    drop_stored(postings, open_lists)
 
     by_set = units.join(comp, "uid", "left").select("s1", "s2", F.coalesce("comp", "uid").alias("comp"))
     out = signed.select("id", "n", "s1", "s2").join(by_set, ["s1", "s2"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("comp", "id")).otherwise(F.col("id"))).alias("component_id"))
 
 
-def _labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def _labels(nodes: DataFrame, links: DataFrame, parts: int) -> DataFrame:
     named = components(links)
-    return cut(nodes.join(named.withColumnRenamed("node", "uid"), "uid", "left").select("uid", F.coalesce("component", "uid").alias("comp")))
+    return cut(nodes.join(named.withColumnRenamed("node", "uid"), "uid", "left").select("uid", F.coalesce("component", "uid").alias("comp")).coalesce(parts))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
