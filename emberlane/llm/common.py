@@ -1,12 +1,16 @@
 """Shared helpers: the shared folder, lineage cuts, bounded bit filters, connected components."""
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlane.llm.words import trim
+
 #: Code points that separate words: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -58,6 +62,14 @@ def drop_stored(*tables: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what finished jobs left: the driver's free memory, and shuffle files that no frame needs any more."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim()
+    spark._jvm.System.gc()
+
+
 def _bit(key: Column, bits: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(bits))
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from emberlane.llm.common import bit_filter, bit_flag, components, cut, drop_stored, few, stored, unwrapped, wrapped
+from emberlane.llm.common import bit_filter, bit_flag, components, cut, drop_stored, few, release, stored, unwrapped, wrapped
 from emberlane.llm.words import mix, slices, windows, word_hashes
 
 #: Counters of the shingle-frequency table, and the rows it travels in; it only orders shingles, so its noise costs time, not results.
@@ -182,6 +182,7 @@ def _verify(pairs: DataFrame, rows: DataFrame, shingle: int, percent: int) -> Da
     both = side("u", "n", "members", "a").join(_if_small(likely), "u").hint("merge").join(side("v", "m", "members", "b"), "v")
     links = cut(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long").distinct().coalesce(parts))
     drop_stored(sets, likely)
+    release(rows.sparkSession)
     return links
 
 
@@ -223,14 +224,17 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     groups = real.groupBy("g", "n").agg(F.min_by("prefix", "id").alias("prefix"))
     members = units.groupBy("g", "n").agg(F.count(F.lit(1)).alias("units"))
     posted = stored(groups.join(members, ["g", "n"]).select("g", "n", "units", F.posexplode("prefix").alias("pos", "tok")))
+    sizes = stored(signed.select("id", "n", "s1", "s2"))
+    drop_stored(signed)
+    release(spark)
     again = stored(posted.groupBy("tok").agg(F.sum("units").alias("c")).where("c > 1").select("tok"))
     lists = stored(bit_filter(posted, F.col("tok"), again, "tok").join(again, "tok", "left_semi").select("g", "n", "tok", "pos"))
     # shingles with the same groups on their lists say the same: one of them stays
     alike = lists.groupBy("tok").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("g", "n")).alias("x"), F.bit_xor(F.xxhash64("n", "g")).alias("y"))
     distinct = alike.groupBy("c", "x", "y").agg(F.min("tok").alias("tok")).select("tok")
-    lists = lists.join(distinct, "tok", "left_semi")
-    postings = stored(lists.join(units.select("g", "n", "uid", *_BITS), ["g", "n"]).select("tok", "uid", "n", "pos", *_BITS))
-    drop_stored(posted, again)
+    postings = stored(lists.join(distinct, "tok", "left_semi").join(units.select("g", "n", "uid", *_BITS), ["g", "n"]).select("tok", "uid", "n", "pos", *_BITS))
+    drop_stored(posted, again, lists)
+    release(spark)
 
     wanted = cut(postings.select("uid").distinct())
     parts = few(wanted.count())
@@ -264,7 +268,7 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     drop_stored(postings, open_lists)
 
     by_set = units.join(comp, "uid", "left").select("s1", "s2", F.coalesce("comp", "uid").alias("comp"))
-    out = signed.select("id", "n", "s1", "s2").join(by_set, ["s1", "s2"], "left")
+    out = sizes.join(by_set, ["s1", "s2"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("comp", "id")).otherwise(F.col("id"))).alias("component_id"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberlane.llm.common import bit_filter, stored
+from emberlane.llm.common import bit_filter, release, stored
 from emberlane.llm.words import slices, spans, windows, word_hashes
 
 #: Labelled rows that the trees are fitted on at most (those with the smallest hash of their id).
@@ -143,7 +143,9 @@ def _fit(table: DataFrame, labels: DataFrame, held_out, id_col: str, label_col:
     sample = table.join(known.where(learn), "id").select("x", "y", F.xxhash64("id").alias("h")).orderBy("h", "y").limit(max_train).select("x", "y").toArrow()
     y = sample.column("y").to_numpy()
     x = np.asarray(sample.column("x").combine_chunks().flatten().to_numpy() if len(y) else np.zeros(0)).reshape(len(y), len(STATISTICS))
-    return fit_trees(x, y)
+    trees = fit_trees(x, y)
+    release(table.sparkSession)
+    return trees
 
 
 def score_quality(
