@@ -243,6 +243,49 @@ def conditional_strata(df: DataFrame, stratum: str, y: Column, xs: dict[str, Col
         base.unpersist()
 
 
+def conditional_counts(df: DataFrame, stratum: str, critical: str, y: Column) -> Fit:
+    """Conditional logit of one two-armed factor in m:n strata, on (stratum, arm) counts of rows and successes.
+
+    Given its successes a stratum's count in the critical arm is noncentral hypergeometric, the likelihood of
+    :func:`conditional_strata` on the rows (and of :func:`conditional_pairs` where strata are 1:1). Strata without both
+    arms or without both outcomes tell nothing; rows without outcome or arm are left out. ``clusters`` counts the strata used.
+    """
+    arm, yy = F.col(critical).cast("int"), y.cast("double")
+    counts = [f.alias(f"{n}{a}") for a in (1, 0) for n, f in (("n", F.count(F.when(arm == a, yy))), ("k", F.count_if((arm == a) & (yy > 0))))]
+    t = df.groupBy(stratum).agg(*counts)
+    t = t.withColumn("m", F.col("k1") + F.col("k0")).where("n1 > 0 and n0 > 0 and m > 0 and m < n1 + n0")
+    cells = t.groupBy("n1", "n0", "m").agg(F.sum("k1").alias("k1"), F.count(F.lit(1)).alias("c")).persist()
+
+    def stats(beta: np.ndarray):  # noqa: ANN202
+        b = float(beta[0])
+
+        def run(batches):  # noqa: ANN001, ANN202
+            import pandas as pd
+
+            for pdf in batches:
+                logs = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, int((pdf["n1"] + pdf["n0"]).max()) + 1))))) if len(pdf) else None
+                rows = []
+                for n1, n0, m, k1, c in pdf[["n1", "n0", "m", "k1", "c"]].itertuples(index=False):
+                    k = np.arange(max(0, m - n0), min(n1, m) + 1)
+                    w = k * b - logs[k] - logs[n1 - k] - logs[m - k] - logs[n0 - m + k]
+                    top = w.max()
+                    e = np.exp(w - top)
+                    mean = float(k @ e / e.sum())
+                    ways = logs[n1] + logs[n0] + top + math.log(e.sum())
+                    rows.append((k1 * b - c * float(ways), k1 - c * mean, c * float((k - mean) ** 2 @ e / e.sum())))
+                yield pd.DataFrame(rows, columns=["ll", "g", "h"])
+
+        row = cells.mapInPandas(run, "ll double, g double, h double").agg(F.sum("ll"), F.sum("g"), F.sum("h")).first()
+        return float(row[0] or 0), np.array([float(row[1] or 0)]), np.array([[float(row[2] or 0)]])
+
+    try:
+        beta, info, ok, _ = _newton(stats, 1)
+        used = cells.agg(F.sum("c"), F.sum(F.col("c") * (F.col("n1") + F.col("n0")))).first()
+        return Fit([critical], beta, _inverse(info), float(used[1] or 0), ok, clusters={stratum: int(used[0] or 0)})
+    finally:
+        cells.unpersist()
+
+
 def gee_exchangeable(df: DataFrame, y: Column, xs: dict[str, Column], cluster: str, steps: int = 40) -> dict:
     """Population-averaged logit with exchangeable working correlation, robust errors; falls back to independence.
 

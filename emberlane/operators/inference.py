@@ -113,11 +113,9 @@ def interface_model(df: DataFrame, interaction: bool = True) -> DataFrame:
 
 
 def matched_effect(matched: DataFrame, stratum: list[str]) -> DataFrame:
-    """Critical against control within 1:1 strata; a stratum key made of several columns, first row of each arm."""
-    key = F.concat_ws("|", *stratum)
-    t = matched.withColumn("_s", key).groupBy("_s", "critical").agg(F.max(_drift()).alias("_y"))
-    fit = glm.conditional_pairs(t, "_s", "critical", F.col("_y"))
-    return _frame(matched, [r | {"n_discordant": int(fit.n), "converged": fit.converged} for r in fit.table()])
+    """Critical against control within strata of any size, on all rows; a stratum key made of several columns."""
+    fit = glm.conditional_counts(matched.withColumn("_s", F.concat_ws("|", *stratum)), "_s", "critical", _drift())
+    return _frame(matched, [r | {"n_discordant": fit.clusters["_s"], "n_rows": int(fit.n), "converged": fit.converged} for r in fit.table()])
 
 
 def matched_effect_strata(matched: DataFrame, stratum: list[str], xs: dict[str, Column]) -> DataFrame:

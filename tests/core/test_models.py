@@ -67,6 +67,18 @@ def test_conditional_logit_is_the_discordant_ratio(spark):
         glm.conditional_pairs(df.union(df), "s", "critical", F.col("y"))
 
 
+def test_matched_effect_uses_every_row_of_a_stratum(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"s{s}", c, "drift" if rng.random() < (0.45 if c else 0.3) else "faithful") for s in range(40) for c in (1, 0) for _ in range(rng.integers(1, 6))]
+    df = spark.createDataFrame(rows, "pair_id string, critical int, label string")
+    got = inference.matched_effect(df, ["pair_id"]).first()
+    whole = glm.conditional_strata(df, "pair_id", (F.col("label") == "drift").cast("double"), {"critical": F.col("critical").cast("double")})
+    assert got["beta"] == pytest.approx(whole.beta[0], abs=1e-7) and got["se"] == pytest.approx(whole.table()[0]["se"], rel=1e-6) and got["converged"]
+    lone = spark.createDataFrame([(f"s{i}", c, "drift" if c == (i % 3 != 0) else "faithful") for i in range(60) for c in (1, 0)], "pair_id string, critical int, label string")
+    got = inference.matched_effect(lone, ["pair_id"]).first()
+    assert got["beta"] == pytest.approx(math.log(2), abs=1e-6) and got["n_discordant"] == 60
+
+
 def test_gee_close_to_the_marginal_slope(simulated):
     r = inference.gee_slope(simulated).first()
     plain = {x["term"]: x for x in inference.dose_model(simulated).collect()}["cer_target"]
