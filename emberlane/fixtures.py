@@ -46,6 +46,10 @@ VIEWS: dict[str, str] = {
         FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
         WHERE a.role = 'user' AND b.role = 'assistant' 
           AND regexp_replace(a.text, '[\\x00-\\x7F]', '', 'g') = '' AND regexp_replace(b.text, '[\\x00-\\x7F]', '', 'g') = ''""",
+    "fx_reply_pairs": """
+        SELECT a.conv_id, a.turn, a.text AS intended_text, b.text AS output_message
+        FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
+        WHERE a.role = 'user' AND b.role = 'assistant'""",
     "fx_interface": """
         SELECT model, message_id, corpus, cer_target, replicate_idx, realized_cer, label,
                CASE l_suppkey % 6 WHEN 0 THEN 'forced' WHEN 1 THEN 'minimal_edit' WHEN 2 THEN 'copy_when_uncertain' WHEN 3 THEN 'abstain_enabled' WHEN 4 THEN 'candidate_list' ELSE 'expansion' END AS condition,
@@ -56,7 +60,7 @@ VIEWS: dict[str, str] = {
         SELECT p_partkey, p_name, upper(substr(p_name, 1, 1)) AS intended, upper(substr(p_name, 2, 1)) AS selected FROM part""",
 }
 #: Tables and views each view reads.
-_READS = {"fx_attempts": ["lineitem"], "fx_pairs": ["lineitem"], "fx_ratings": ["orders"], "fx_text_pairs": ["conversations"], "fx_words": ["part"]}
+_READS = {"fx_attempts": ["lineitem"], "fx_pairs": ["lineitem"], "fx_ratings": ["orders"], "fx_text_pairs": ["conversations"], "fx_reply_pairs": ["conversations"], "fx_words": ["part"]}
 _READS |= dict.fromkeys(("fx_raw", "fx_signals", "fx_interface"), ["fx_attempts"])
 
 

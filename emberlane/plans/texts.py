@@ -10,7 +10,8 @@ from emberlane.operators import label as lb
 from emberlane.operators import ranking as rk
 from emberlane.plans.registry import query
 
-P, DOC = "fx_text_pairs", "documents"
+#: All pairs of a request and its reply; those of ASCII text alone, on which DuckDB's edit distance (in bytes) is one of characters.
+P, P_ASCII, DOC = "fx_reply_pairs", "fx_text_pairs", "documents"
 _NORM = "trim(regexp_replace(regexp_replace(lower({}), '[[:punct:]]', '', 'g'), '\\s+', ' ', 'g'))"
 _TOK = "regexp_extract_all({}, '[A-Za-z0-9]+(?:''[A-Za-z]+)?')"
 
@@ -19,10 +20,18 @@ def _in(words) -> str:
     return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
 
 
-@query("cer_text", P, doubles="cer ned", sql=f"""
+def _cer(p):
+    return p.select("conv_id", "turn", tx.cer(F.col("intended_text"), F.col("output_message")).alias("cer"), tx.normalised_edit_distance(F.col("intended_text"), F.col("output_message")).alias("ned"))
+
+
+@query("cer_text", P_ASCII, doubles="cer ned", sql=f"""
     SELECT conv_id, turn, CASE WHEN length(intended_text) = 0 THEN 0 ELSE levenshtein(output_message, intended_text)::DOUBLE / length(intended_text) END AS cer,
-           levenshtein(upper(trim(intended_text)), upper(trim(output_message)))::DOUBLE / greatest(length(trim(intended_text)), length(trim(output_message)), 1) AS ned FROM {P}""")
-def _(p): return p.select("conv_id", "turn", tx.cer(F.col("intended_text"), F.col("output_message")).alias("cer"), tx.normalised_edit_distance(F.col("intended_text"), F.col("output_message")).alias("ned"))  # noqa: E704
+           levenshtein(upper(trim(intended_text)), upper(trim(output_message)))::DOUBLE / greatest(length(trim(intended_text)), length(trim(output_message)), 1) AS ned FROM {P_ASCII}""")
+def _(p): return _cer(p)  # noqa: E704
+
+
+@query("cer_text_all_pairs", P)
+def _(p): return _cer(p)  # noqa: E704
 
 
 @query("normalise_text", P, sql=f"SELECT conv_id, turn, {_NORM.format('intended_text')} AS norm, length({_NORM.format('output_message')}) <= 3 AS near_empty FROM {P}")

@@ -49,6 +49,32 @@ def test_query_without_sql_runs(spark, name):
     assert registry.QUERIES[name](spark, DATA).count() > 0
 
 
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("name", ["cer_text_all_pairs", "normalise_text", "sentence_form", "clean_examples", "critical_flags_lexical", "changed_words"])
+def test_text_pairs_of_any_script_are_read(spark, duck, name):
+    n = duck.sql("SELECT count(*) FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant'").fetchall()[0][0]
+    assert registry.QUERIES[name](spark, DATA).count() == n
+
+
+def test_edit_rates_of_any_script_against_brute_force(spark):
+    texts = {(r["conv_id"], r["turn"]): (r["intended_text"], r["output_message"]) for r in view(spark, DATA, "fx_reply_pairs").collect()}
+    wide = {k: (a, b) for k, (a, b) in texts.items() if not (a + b).isascii()}
+    out = {(r["conv_id"], r["turn"]): (r["cer"], r["ned"]) for r in registry.QUERIES["cer_text_all_pairs"](spark, DATA).collect()}
+    assert wide and out.keys() == texts.keys()
+    for k, (a, b) in wide.items():
+        ta, tb = (x.strip(" ").upper() for x in (a, b))
+        want = (_distance(a, b) / len(a) if a else 0.0, _distance(ta, tb) / max(len(ta), len(tb), 1))
+        assert out[k] == pytest.approx(want, abs=1e-8)
+
+
 def one(df):
     return df.first().asDict()
 
