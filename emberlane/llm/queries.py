@@ -57,6 +57,12 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_words", "n_backed_off", F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
+def op7_trigram_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op7_lm_scoring, whose SQL is of bigrams, with two words of context; no SQL."""
+    scored = lm_score.stupid_backoff(_table(spark, sf_dir, "documents"), order=3)
+    return scored.select("doc_id", "n_words", "n_backed_off", F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.repeated_spans(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -73,7 +79,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op3_token_counts, op4_quality, op5_mixing, op6_exact_top_k, op7_lm_scoring, op8_substring_dedup, op9_exact_dedup, op10_best_fit_packing)
+    f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op3_token_counts, op4_quality, op5_mixing, op6_exact_top_k, op7_lm_scoring, op7_trigram_scoring, op8_substring_dedup, op9_exact_dedup, op10_best_fit_packing)
 }
 
 ORACLE = {

@@ -312,6 +312,12 @@ def test_backoff_scores(docs, rows, order):
         assert out[i][:2] == (n, b) and out[i][2] == pytest.approx(s, rel=1e-9, abs=1e-9)
 
 
+def test_the_trigram_query_scores_two_words_of_context(spark, docs, rows, tmp_path):
+    docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r["doc_id"]: (r["n_words"], r["n_backed_off"]) for r in got(queries.QUERIES["op7_trigram_scoring"](spark, str(tmp_path)))}
+    assert out == {i: w[:2] for i, w in brute_backoff(rows, 3).items()} != {i: w[:2] for i, w in brute_backoff(rows, 2).items()}
+
+
 def brute_top(vectors, k):
     out = {}
     for q, v, *_ in vectors:
