@@ -168,7 +168,7 @@ def _interval(df: DataFrame, point: float, draws: list[float], **more: object) -
     return _frame(df, [{"point": float(point), "lo": float(lo), "hi": float(hi), "se": float(d.std(ddof=1)) if len(d) > 1 else math.nan, "n_draws": len(d), **more}])
 
 
-def slope_bootstrap(df: DataFrame, cluster: str = "message_id", x: str = "realized_cer", draws: int = 200, seed: int = 0) -> DataFrame:
+def slope_bootstrap(df: DataFrame, cluster: str = "message_id", x: str = "realized_cer", draws: int = 500, seed: int = 0) -> DataFrame:
     """Cluster bootstrap of a logit slope on (cluster, x) counts; few clusters are flagged unstable, degenerate draws skipped."""
     t = df.groupBy(F.col(cluster).alias("g"), F.col(x).alias("x")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(_drift()).alias("k")).toPandas()
     ids, at = np.unique(t["g"].to_numpy(), return_inverse=True)
@@ -191,7 +191,7 @@ def risk_difference_bootstrap(sums: DataFrame, draws: int = 1000, seed: int = 0)
     return _interval(sums, rd(a.sum(0)), [rd(_weights(rng, len(a)) @ a) for _ in range(draws)], n_pairs=len(a))
 
 
-def ece_auroc_bootstrap(df: DataFrame, draws: int = 200, seed: int = 0) -> DataFrame:
+def ece_auroc_bootstrap(df: DataFrame, draws: int = 1000, seed: int = 0) -> DataFrame:
     """Message-clustered bootstrap of ECE and AUROC per model, from counts per (message, confidence value)."""
     rows = cal.calibration_frame(df)
     t = rows.groupBy("model", "message_id", "confidence").agg(F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("k"))
@@ -222,7 +222,7 @@ def ece_auroc_bootstrap(df: DataFrame, draws: int = 200, seed: int = 0) -> DataF
     return t.groupBy("model").applyInPandas(one, "model string, ece double, auroc double, ece_lo double, ece_hi double, auroc_lo double, auroc_hi double, n_clusters long")
 
 
-def prevalence_bootstrap(cohort: DataFrame, validated: DataFrame, target: str = "drift", draws: int = 300, seed: int = 0, method: str = "cluster") -> DataFrame:
+def prevalence_bootstrap(cohort: DataFrame, validated: DataFrame, target: str = "drift", draws: int = 1000, seed: int = 0, method: str = "cluster") -> DataFrame:
     """Interval of a corrected class share: clusters of both frames resampled apart, or counts redrawn (parametric)."""
     k = CLASSES.index(target)
     co = cohort.groupBy("message_id").agg(*[F.count_if(F.col("auto_label") == c).alias(c) for c in CLASSES]).orderBy("message_id").toPandas()[list(CLASSES)].to_numpy(float)
@@ -248,7 +248,7 @@ def slopes_bootstrap(slopes: DataFrame, column: str = "slope", draws: int = 2000
     return _interval(slopes, v.mean(), [float(v[rng.integers(0, len(v), len(v))].mean()) for _ in range(draws)], n_clusters=len(v), unstable=len(v) < 15)
 
 
-def rate_bootstrap(df: DataFrame, draws: int = 1000, seed: int = 0) -> DataFrame:
+def rate_bootstrap(df: DataFrame, draws: int = 2000, seed: int = 0) -> DataFrame:
     """Row bootstrap of a drift rate: rows of a rate are two counts, so draws are binomial."""
     n, k = df.agg(F.count(F.lit(1)), F.sum(_drift())).first()
     rng = np.random.default_rng(seed)
@@ -264,13 +264,35 @@ def paired_rate_bootstrap(df: DataFrame, arm: str, a: str, b: str, draws: int =
     return _interval(df, c[a][1] / c[a][0] - c[b][1] / c[b][0], d.tolist(), p=min(1.0, p))
 
 
-def resample(df: DataFrame, statistic: Callable[[DataFrame], float], draws: int = 20, seed: int = 0) -> DataFrame:
-    """Bootstrap of any statistic of a frame by Poisson resampling within Spark; one job a draw."""
-    got = [float(statistic(df.sample(withReplacement=True, fraction=1.0, seed=seed + i))) for i in range(draws)]
-    return _interval(df, float(statistic(df)), got)
+def resample(df: DataFrame, terms: dict[str, Column], statistic: Callable[[dict[str, np.ndarray]], np.ndarray], draws: int = 2000, seed: int = 0) -> DataFrame:
+    """Row bootstrap of a statistic of sums: ``statistic`` gets each term's sum over the rows, one value a draw.
+
+    Rows of equal terms are counted first; a draw weighs such a cell by a Poisson of its count, which is the sum of a Poisson
+    weight for each of its rows. Weights are seeded by the cell, so partitions don't show. All draws are made in one pass,
+    and only sums a draw reach the driver. A row with a null term is left out.
+    """
+    names = list(terms)
+    rows = df.select(*[c.cast("double").alias(n) for n, c in terms.items()]).dropna()
+    cells = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).withColumn("_key", F.xxhash64(*names))
+
+    def run(batches):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        sums = np.zeros((draws + 1, len(names)))
+        for pdf in batches:
+            for key, n, x in zip(pdf["_key"], pdf["_n"], pdf[names].to_numpy(float), strict=True):
+                rng = np.random.default_rng([seed, int(key) & (1 << 64) - 1])
+                sums += np.concatenate(([n], rng.poisson(n, draws)))[:, None] * x  # the first line is the table itself
+        yield pd.DataFrame(sums, columns=names).assign(_draw=np.arange(draws + 1))
+
+    shape = ", ".join([*[f"`{n}` double" for n in names], "_draw int"])
+    t = cells.mapInPandas(run, shape).groupBy("_draw").agg(*[F.sum(n).alias(n) for n in names]).orderBy("_draw").toPandas()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        got = statistic({n: t[n].to_numpy() for n in names})
+    return _interval(df, got[0], got[1:].tolist())
 
 
-def curve_bootstrap(df: DataFrame, draws: int = 500, seed: int = 0) -> DataFrame:
+def curve_bootstrap(df: DataFrame, draws: int = 1000, seed: int = 0) -> DataFrame:
     """Per model: interval of the drift curve's slope, messages resampled, on (model, level, message) counts."""
     t = df.groupBy("model", F.round("cer_target", 1).alias("x"), "message_id").agg(F.count(F.lit(1)).alias("n"), F.sum(_drift()).alias("k"))
 

@@ -134,7 +134,7 @@ def _(a): return inference.paired_rate_bootstrap(a, "corpus", "CRIT", "CTRL")  #
 
 
 @query("bootstrap_curve_slopes", A)
-def _(a): return inference.curve_bootstrap(a, 100)  # noqa: E704
+def _(a): return inference.curve_bootstrap(a)  # noqa: E704
 
 
 @query("greedy_match", "part")
@@ -146,16 +146,16 @@ def _(p):
 
 
 @query("power_simulation", "region")
-def _(r): return inference.power(30, 3, 4.0, -2.0, 0.5, 40, 1, r.sparkSession)  # noqa: E704
+def _(r): return inference.power(30, 3, 4.0, -2.0, 0.5, 200, 1, r.sparkSession)  # noqa: E704
 
 
 @query("stability_verdict", A)
 def _(a):
     dose = {r["term"]: r for r in inference.dose_model(a, "realized_cer").collect()}["realized_cer"]
-    gee, pool, boot = inference.gee_slope(a).first(), inference.pooled_slope(a).first(), inference.slope_bootstrap(a, draws=50).first()
+    gee, pool, boot = inference.gee_slope(a).first(), inference.pooled_slope(a).first(), inference.slope_bootstrap(a).first()
     verdict = inference.stability(dose["beta"], [("gee", gee["slope"], gee["lo"], gee["hi"]), ("pooled", pool["pooled"], pool["lo"], pool["hi"]), ("bootstrap", boot["point"], boot["lo"], boot["hi"])])
     return inference._frame(a, [verdict])
 
 
 @query("generic_bootstrap", A)
-def _(a): return inference.resample(a, lambda t: t.agg(F.avg("realized_cer")).first()[0], draws=8)  # noqa: E704
+def _(a): return inference.resample(a, {"n": F.lit(1.0), "x": F.col("realized_cer")}, lambda s: s["x"] / s["n"])  # noqa: E704

@@ -1,4 +1,5 @@
 """Fits by recovery of known truth and by identities; generators by their statistics; sources by round trips."""
+import inspect
 import json
 import math
 
@@ -91,6 +92,31 @@ def test_bootstraps_are_seeded_and_sensible(simulated):
     assert inference.slope_bootstrap(simulated, "model", draws=20).first()["unstable"]
 
 
+def test_replicates_are_the_references(spark, simulated, monkeypatch):
+    from emberlane.plans import registry
+
+    registry.load()
+    monkeypatch.setattr(registry, "view", lambda s, d, t: s.range(1) if t == "region" else simulated.withColumn("corpus", F.lit("AUTH")))
+    draws = {n: registry.QUERIES[n](spark, "").first()["n_draws"] for n in ("generic_bootstrap", "bootstrap_slope_by_message", "bootstrap_slope_by_model", "bootstrap_rate")}
+    assert draws == {"generic_bootstrap": 2000, "bootstrap_slope_by_message": 500, "bootstrap_slope_by_model": 500, "bootstrap_rate": 2000}
+    assert registry.QUERIES["power_simulation"](spark, "").first()["n_sim"] == 200
+    made = []
+    monkeypatch.setattr(inference, "_weights", lambda rng, n, w=inference._weights: made.append(n) or w(rng, n))
+    registry.QUERIES["stability_verdict"](spark, "").collect()
+    assert len(made) == 500
+    for f, n in ((inference.ece_auroc_bootstrap, 1000), (inference.curve_bootstrap, 1000), (inference.prevalence_bootstrap, 1000)):
+        assert inspect.signature(f).parameters["draws"].default == n
+
+
+def test_generic_bootstrap_of_a_mean(spark, simulated):
+    terms = {"n": F.lit(1.0), "x": F.col("realized_cer")}
+    a, b = (inference.resample(df, terms, lambda s: s["x"] / s["n"]).first() for df in (simulated, simulated.repartition(7)))
+    assert all(a[k] == pytest.approx(b[k], rel=1e-9) for k in ("point", "lo", "hi", "se")) and a["n_draws"] == 2000
+    x = np.array([r[0] for r in simulated.select("realized_cer").collect()])
+    assert a["point"] == pytest.approx(x.mean()) and a["se"] == pytest.approx(x.std() / math.sqrt(len(x)), rel=0.1)
+    assert a["hi"] - a["lo"] == pytest.approx(3.92 * a["se"], rel=0.1)
+
+
 def test_power_grows_with_the_slope(spark):
     lo, hi = (inference.power(25, 2, s, -1.5, 0.3, 24, 5, spark).first()["power"] for s in (0.0, 6.0))
     assert lo < 0.5 < hi
