@@ -114,11 +114,15 @@ def unwrapped(df: DataFrame, docs: DataFrame) -> DataFrame:
     return df.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
-def without(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` less the rows whose keys (k1, k2) are listed; only rows that a bit filter suspects are shuffled."""
+def without(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, once: DataFrame) -> DataFrame:
+    """``docs`` less the rows whose keys (k1, k2) are listed, and one row for each of the keys ``once``.
+
+    Only rows that a bit filter suspects are shuffled; of rows listed several times the copies go in the partial aggregation.
+    """
     k1, k2 = row_keys(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
-    flagged = bit_flag(wrapped(docs, k1=k1, k2=k2), F.col("k1"), keys, "k1", "_may")
+    flagged = bit_flag(wrapped(docs, k1=k1, k2=k2), F.col("k1"), keys.select("k1").unionByName(once.select("k1")), "k1", "_may")
     rest = flagged.where("_may").join(keys, ["k1", "k2"], "left_anti")
+    rest = rest.groupBy("k1", "k2").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row"))
     return unwrapped(flagged.where("not _may").select("_row").unionByName(rest.select("_row")), docs)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlane.llm.common import bit_flag, row_keys, without
+from emberlane.llm.common import bit_flag, row_keys, stored, without
 
 _UPPER, _LOWER = string.ascii_uppercase, string.ascii_lowercase
 #: Code points of the normalised text that the second level hashes.
@@ -29,6 +29,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Spark splits where one group holds many rows. A row listed more than once under one id is one document: each listing
     gets the same answer. A null id stays only if its group has no other id; an empty table gives an empty result.
     """
+    return _groups(docs, id_col, text_col, carry).drop("_full")
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str]) -> DataFrame:
+    """:func:`exact_groups` and ``_full``, the hash that tells groups of several rows apart."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("_id"), *carry, ascii_lower(text).alias("_t"), F.octet_length(text).cast("long").alias("_len"))
     lengths = docs.select(F.octet_length(text).cast("long").alias("_len")).groupBy("_len").count().where("count > 1")
@@ -45,12 +50,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keep = F.when(F.col("_n").isNull(), F.col("_id")).otherwise(F.col("_keep"))
     return joined.select(
         F.col("_id").alias(id_col), *carry, keep.alias("keep_id"), F.coalesce("_n", F.lit(1)).cast("long").alias("group_size"),
-        F.col("_id").eqNullSafe(keep).alias("kept"),
+        F.col("_id").eqNullSafe(keep).alias("kept"), "_full",
     )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, all columns as they were; no text is shuffled but those that a bit filter suspects."""
+    """The documents that stay, one row of each group, all columns as they were; of rows under one id or none, one stays.
+
+    No text is shuffled but those that a bit filter suspects.
+    """
     keyed = docs.select(F.col(id_col), F.col(text_col), *row_keys(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
-    losers = exact_groups(keyed, id_col, text_col, carry=["k1", "k2"]).where("not kept").select("k1", "k2")
-    return without(docs, losers, id_col, text_col)
+    found = stored(_groups(keyed, id_col, text_col, ["k1", "k2"]).where("group_size > 1").select("k1", "k2", "kept", "_full"))
+    first = found.where("kept").groupBy("_full").agg(F.min(F.struct("k1", "k2")).alias("w"), F.count(F.lit(1)).alias("c"))
+    again = first.where("c > 1").select("_full", "w.*")
+    ties = found.where("kept").join(again.select("_full"), "_full", "left_semi").select("k1", "k2").distinct()
+    losers = found.where("not kept").select("k1", "k2").unionByName(ties.join(again, ["k1", "k2"], "left_anti"))
+    return without(docs, losers, id_col, text_col, once=again.select("k1", "k2"))

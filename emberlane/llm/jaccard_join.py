@@ -278,9 +278,26 @@ def _labels(nodes: DataFrame, links: DataFrame, parts: int) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The documents, one of each component: the one with the component's smallest id. All columns as they were."""
+    """The documents, one of each component: the one with the component's smallest id. All columns as they were.
+
+    Where ids are null or repeated, rows are numbered and linked by number: of linked rows under one id, or all without an
+    id, one stays.
+    """
+    if docs.groupBy(F.col(id_col)).count().where(F.col(id_col).isNull() | (F.col("count") > 1)).limit(1).count():
+        return _one_row_of_each(docs, id_col, text_col, shingle, percent)
     named = linked_components(docs, id_col, text_col, shingle, percent).where(F.col("component_id") != F.col(id_col))
     losers = stored(named.select(F.col(id_col).alias("id")).distinct())
     flagged = bit_flag(wrapped(docs, own=F.col(id_col).cast("long")), F.col("own"), losers, "id", "_may")
     rest = flagged.where("_may").join(losers, F.col("own") == F.col("id"), "left_anti")
     return unwrapped(flagged.where("not _may").select("_row").unionByName(rest.select("_row")), docs)
+
+
+def _one_row_of_each(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
+    rows = stored(wrapped(docs, own=F.col(id_col).cast("long"), text=F.col(text_col), no=F.monotonically_increasing_id()))
+    linked = linked_components(rows.select("no", "text"), "no", "text", shingle, percent).select("no", "component_id")
+    rank = F.struct(F.col("own").isNull().alias("none"), "own", "no")
+    firsts = linked.join(rows.select("no", "own"), "no").groupBy("component_id").agg(F.min(rank).alias("first")).select(F.col("first.no").alias("no"))
+    losers = stored(linked.select("no").join(firsts, "no", "left_anti"))
+    flagged = bit_flag(rows, F.col("no"), losers, "no", "_may")
+    rest = flagged.where("_may").join(losers, "no", "left_anti")
+    return unwrapped(flagged.where("not _may").select("_row").unionByName(rest.select("_row")), docs)

@@ -170,6 +170,19 @@ def test_exact_dedup_null_ids_and_repeats(spark):
     assert out == sorted([(None, 3, 3, False), (3, 3, 3, True), (3, 3, 3, True), (None, None, 1, True), (5, 5, 1, True), (6, 6, 1, True)], key=str)
 
 
+def test_one_row_stays_of_copies_under_one_id_or_none(spark):
+    df = spark.createDataFrame([(7, "a"), (7, "a"), (7, "A"), (7, "b"), (None, "z"), (None, "Z"), (None, "z"), (3, "c"), (3, "c"), (8, "d"), (None, "D")], "doc_id long, text string")
+    out = sorted(((r["doc_id"], r["text"].lower()) for r in got(exact_dedup.keep_one(df))), key=str)
+    assert out == sorted([(7, "a"), (7, "b"), (None, "z"), (3, "c"), (8, "d")], key=str)
+
+
+def test_one_row_stays_of_near_copies_under_one_id_or_none(spark):
+    t, u, v = (" ".join(f"{x}{i}" for i in range(60)) for x in "tuv")
+    df = spark.createDataFrame([(None, t), (None, f"{t} more"), (4, u), (4, f"{u} more"), (4, v), (9, f"{u} yet"), (5, f"{v} more"), (6, "alone")], "doc_id long, text string")
+    out = sorted(((r["doc_id"], r["text"][:1]) for r in got(jaccard_join.one_of_each(df))), key=str)
+    assert out == sorted([(None, "t"), (4, "u"), (4, "v"), (6, "a")], key=str)
+
+
 def test_share_targets():
     assert mixing.share_targets([100, 100, 100], [3, 1, 2], 1.5, 2) == [200.0, pytest.approx(250 / 3), pytest.approx(500 / 3)]
     assert mixing.share_targets([0, 10], [3, 1], 1.5, 2) == [0.0, 15.0]
