@@ -40,4 +40,4 @@ def probe_set(seeds: DataFrame, text: str = "text", order: str = "seed_id") -> D
     items += [F.when(v.isNotNull() & (v != "") & (v != t), F.struct(F.lit(i + 1).alias("k"), F.lit(name).alias("drift_type"), v.alias("dangerous_variant"))) for i, (v, name) in enumerate(kinds)]
     rows = seeds.select(order, t.alias("intended_text"), F.explode(F.array_compact(F.array(*items))).alias("_i")).select(order, "intended_text", "_i.*")
     at = F.row_number().over(W.orderBy(order, "k")) - 1
-    return rows.select(F.concat(F.lit("probe_"), F.lpad(at.cast("string"), 4, "0")).alias("message_id"), F.lit("message_critical").alias("category"), "intended_text", "drift_type", "dangerous_variant")
+    return rows.select(F.format_string("probe_%04d", at).alias("message_id"), F.lit("message_critical").alias("category"), "intended_text", "drift_type", "dangerous_variant")

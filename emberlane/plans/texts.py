@@ -160,7 +160,7 @@ def _(c):
 
 
 @query("probe_set", "conversations")
-def _(c): return corpus.probe_set(_said(c).where("turn = 0").select((F.col("conv_id")).alias("seed_id"), F.col("s").alias("text")))  # noqa: E704
+def _(c): return corpus.probe_set(_said(c).select(F.struct("conv_id", "turn").alias("seed_id"), F.col("s").alias("text")))  # noqa: E704
 
 
 @query("critical_flags_lexical", P)

@@ -49,6 +49,19 @@ def test_query_without_sql_runs(spark, name):
     assert registry.QUERIES[name](spark, DATA).count() > 0
 
 
+def test_probe_set_runs_over_all_turns(spark):
+    rows = registry.QUERIES["probe_set"](spark, DATA).collect()
+    turns = view(spark, DATA, "conversations").count()
+    assert sum(r["drift_type"] is None for r in rows) == turns and len({r["message_id"] for r in rows}) == len(rows)
+
+
+def test_probe_ids_stay_apart_beyond_four_digits(spark):
+    from emberlane.operators import corpus
+
+    ids = [r["message_id"] for r in corpus.probe_set(spark.range(10_002).select(F.col("id").alias("seed_id"), F.lit("all is well").alias("text"))).select("message_id").collect()]
+    assert len(set(ids)) == 10_002 and {"probe_0000", "probe_10001"} <= set(ids)
+
+
 def _distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
