@@ -205,8 +205,9 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Documents link when ``100 * intersection >= percent * union`` of their sets of ``shingle``-word shingles (words
     lower-cased A-Z). Rare shingles come first, by a frequency table over all texts, so common passages stay out of the
-    prefixes. Documents with one prefix and size are one group; groups are filtered by shared prefix shingles, sizes and
-    places; their members (distinct sets) are expanded, filtered by parity bitmaps (:data:`PARITY`), and verified on whole sets. Groups of very many near copies
+    prefixes. Documents with one prefix and size are one group; groups only prune the postings and no pairs of groups are
+    formed: their members (distinct sets) are expanded first, then pairs of members are filtered by shared prefix shingles,
+    sizes, places and parity bitmaps (:data:`PARITY`), and verified on whole sets. Groups of very many near copies
     are never paired in full: in the rounds of :data:`PIVOTS` each set meets only the pivot it shares most shingles with
     and linked ones merge; then, for every shingle, members of different components are paired with all others that are
     not yet in theirs, so no link between components is lost. Pairs within a component can add nothing and are left out.
