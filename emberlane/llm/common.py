@@ -1,31 +1,32 @@
 """Shared helpers: the shared folder, lineage cuts, bounded bit filters, connected components."""
 from __future__ import annotations
 
-import gc
-import tempfile
+import re
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlane.llm.words import trim
-
 #: Code points that separate words: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the checkpoint folder set by the caller.
 
-    Only where the session names none (tests in local mode) a temporary folder is set.
+    Raises where neither is set, but in local mode, where all share the warehouse's machine: there it lies in the warehouse.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if set_dir.isDefined():
         return conf or set_dir.get()
     if not conf:
-        conf = tempfile.mkdtemp(prefix="emberlane-")
+        if not re.fullmatch(r"local(\[[\d*,]+\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        conf = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/emberlane-shared"
     spark.sparkContext.setCheckpointDir(conf)
     return conf
 
@@ -62,42 +63,44 @@ def drop_stored(*tables: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of what finished jobs left: the driver's free memory, and shuffle files that no frame needs any more."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim()
-    spark._jvm.System.gc()
-
-
 def _bit(key: Column, bits: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(bits))
 
 
+def _unused(name: str, *frames: DataFrame) -> str:
+    """``name``, with underscores before it until no column of ``frames`` is called so (names count in any case)."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def bit_flag(df: DataFrame, key: Column, ids: DataFrame, id_col: str, flag: str, bits: int = 1 << 26) -> DataFrame:
     """``df`` with a boolean ``flag``: false only where the key surely doesn't occur in ``ids``.
 
     ``ids`` is folded into at most ``bits / 32768`` bitmaps of 4 KiB; that is the bound of the broadcast
-    (8 MiB at the default), whatever the size of ``ids``. An exact step has to follow.
+    (8 MiB at the default), whatever the size of ``ids``. An exact step has to follow. ``df`` may have columns of any name
+    but ``flag``.
     """
     cols = [F.col(f"`{c}`") for c in df.columns]
-    pos = _bit(F.col(id_col), bits)
+    p, b, m = (_unused(c, df) for c in ("_p", "_b", "_map"))
     maps = (
-        ids.select(pos.alias("_p"))
-        .groupBy(F.expr("_p div 32768").alias("_b"))
-        .agg(F.bitmap_construct_agg(F.expr("_p % 32768")).alias("_map"))
+        ids.select(_bit(F.col(id_col), bits).alias(p))
+        .groupBy(F.expr(f"{p} div 32768").alias(b))
+        .agg(F.bitmap_construct_agg(F.expr(f"{p} % 32768")).alias(m))
     )
-    marked = df.withColumn("_p", _bit(key, bits)).withColumn("_b", F.expr("_p div 32768"))
+    marked = df.select(*cols, _bit(key, bits).alias(p)).withColumn(b, F.expr(f"{p} div 32768"))
     hit = F.expr(
-        "coalesce((cast(conv(hex(substring(_map, cast((_p % 32768) div 8 + 1 as int), 1)), 16, 10) as int)"
-        " & shiftleft(1, cast(_p % 8 as int))) != 0, false)"
+        f"coalesce((cast(conv(hex(substring({m}, cast(({p} % 32768) div 8 + 1 as int), 1)), 16, 10) as int)"
+        f" & shiftleft(1, cast({p} % 8 as int))) != 0, false)"
     )
-    return marked.join(F.broadcast(maps), "_b", "left").select(*cols, hit.alias(flag))
+    return marked.join(F.broadcast(maps), b, "left").select(*cols, hit.alias(flag))
 
 
 def bit_filter(df: DataFrame, key: Column, ids: DataFrame, id_col: str, bits: int = 1 << 26) -> DataFrame:
     """Rows of ``df`` whose key may occur in ``ids``: no row that does is lost, a few others stay."""
-    return bit_flag(df, key, ids, id_col, "_may", bits).where("_may").drop("_may")
+    flag = _unused("_may", df)
+    return bit_flag(df, key, ids, id_col, flag, bits).where(flag).drop(flag)
 
 
 def row_keys(id_col: Column, text: Column) -> list[Column]:
@@ -131,25 +134,50 @@ def few(rows: int) -> int:
     return rows // 200_000 + 1
 
 
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of one partition as stars: each node with the smallest it reaches within the partition."""
+    parts = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], axis=1) for b in batches if b.num_rows]
+    if not parts:
+        return
+    nodes, ends = np.unique(np.concatenate(parts), return_inverse=True)
+    u, v = ends.reshape(-1, 2).T
+    label = np.arange(len(nodes))
+    while True:  # nodes are sorted, so the smallest place is the smallest node
+        low = np.minimum(label[u], label[v])
+        new = label.copy()
+        np.minimum.at(new, label[u], low)
+        np.minimum.at(new, label[v], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    away = np.flatnonzero(label != np.arange(len(nodes)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[away]), pa.array(nodes[label[away]])], names=["u", "v"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (u long, v long): rows (node, component), component the smallest node.
 
-    Large-star / small-star rounds: each takes every node's smallest neighbour by a partial aggregation and joins it
-    back, so a node with very many links is never gathered; about log(n) rounds, each cut by a checkpoint.
-    Nodes without links to others do not appear.
+    Links go by :func:`few` to a partition and become stars there; while there are several partitions, large-star /
+    small-star rounds follow: each takes every node's smallest neighbour by a partial aggregation and joins it back, so a
+    node with very many links is never gathered; about log(n) rounds, each written out. Nodes without links to others do not
+    appear.
     """
-    e = cut(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    parts = few(e.count())
-    e = e.coalesce(parts)
+    star = "u long, v long"
+    links = stored(edges.where("u != v").select("u", "v"))
+    parts = few(links.count())
+    e = stored(links.coalesce(parts).mapInArrow(_contracted, star))
+    drop_stored(links)
     before = None
-    while True:
+    while parts > 1:
         both = e.union(e.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(parts)
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct().coalesce(parts)
-        low = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts)
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        e = cut(small.coalesce(parts))
+        old, e = e, stored(small.coalesce(parts).mapInArrow(_contracted, star).distinct())
+        drop_stored(old)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or now[0] == 0:
             break

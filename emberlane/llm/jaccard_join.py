@@ -1,33 +1,30 @@
 """N-gram Jaccard join: grouped prefix join, verified, with the components of its links."""
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from emberlane.llm.common import bit_filter, bit_flag, components, cut, drop_stored, few, release, stored, unwrapped, wrapped
-from emberlane.llm.words import mix, slices, windows, word_hashes
+from emberlane.llm.common import bit_filter, bit_flag, components, drop_stored, few, stored, unwrapped, wrapped
+from emberlane.llm.grams import answered, answers, chunked, opened
+from emberlane.llm.words import mix, windows, word_hashes
 
-#: Counters of the shingle-frequency table, and the rows it travels in; it only orders shingles, so its noise costs time, not results.
-COUNTERS, CHUNKS = 1 << 22, 64
-#: Pivots a shingle offers in each of the rounds in which every set meets at most one partner, before what is still apart meets in full.
-PIVOTS = (4, 16, 16)
-#: Partners a set is compared with in a round at most: what is left over meets in full afterwards.
-PARTNERS = 3
 #: Rows of two longs that are broadcast at most (16 bytes each); more are joined by shuffles.
 BROADCAST_ROWS = 1 << 20
+#: Bits of a shingle's hash in the count table beyond those that number all shingles: one unique shingle in 2 ** SPARE counts as repeated, which costs time, not results.
+SPARE = 7
 #: 64-bit words of a set's parity bitmap: bit k is the parity of its members hashed to k, so two bitmaps differ in at most as many bits as the sets in members.
 PARITY = 16
 _BITS = [f"b{i}" for i in range(PARITY)]
+_ENTRY = ["g", "n", "lone", "pos"]
 
 
-def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int) -> list[np.ndarray]:
+def sets_of(words: np.ndarray, firsts: np.ndarray, n: int) -> list[np.ndarray]:
     """Sorted distinct hashes of the ``n``-word shingles of each text; of the whole sequence where there are fewer words."""
-    words, firsts = word_hashes(data, offs, lower=True)
     full = windows(words, n)
     out = []
     for a, b in zip(firsts[:-1], firsts[1:], strict=True):
@@ -38,116 +35,86 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int) -> list[np.ndarray]
     return out
 
 
+def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int) -> list[np.ndarray]:
+    """:func:`sets_of` UTF-8 texts, lower-cased A-Z."""
+    return sets_of(*word_hashes(data, offs, lower=True), n)
+
+
 def prefix_length(n: int, percent: int) -> int:
     """Two sets that reach the threshold share a shingle among their first so many, in any order common to all."""
     return n - (percent * n + 99) // 100 + 1
 
 
-def _squeezed(counts: np.ndarray) -> bytes:
-    """32-bit counts as compressed byte planes."""
-    planes = np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
-
-
-def _restored(data: bytes) -> np.ndarray:
-    n = COUNTERS // CHUNKS
-    planes = np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec="zstd", asbytes=True), dtype=np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel()
-
-
-def _sketch(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
-    """How frequent the shingles of each hash bucket are over all texts, as :data:`COUNTERS` one-byte classes (eight to a doubling)."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, dtype=np.uint32)
-        for batch in batches:
-            for _, _, data, offs in slices(batch.column(0)):
-                at, c = np.unique(np.concatenate(shingle_sets(data, offs, n)) & np.uint64(COUNTERS - 1), return_counts=True)
-                total[at] += c.astype(np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([_squeezed(p) for p in np.split(total, CHUNKS)], pa.binary())], names=["chunk", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, c in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                sums[k] = sums.get(k, 0) + _restored(c.as_buffer()).astype(np.uint64)
-        classes = [np.minimum(255, np.round(8 * np.log2(s.astype(float) + 1))).astype(np.uint8).tobytes() for s in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(classes, pa.binary())], names=["chunk", "classes"])
-
-    parts = docs.select(F.col(text_col)).mapInArrow(count, "chunk int, counts binary")
-    rows = parts.repartition(8, "chunk").mapInArrow(add, "chunk int, classes binary").collect()
-    total = np.zeros((CHUNKS, COUNTERS // CHUNKS), dtype=np.uint8)
-    for r in rows:
-        total[r["chunk"]] = np.frombuffer(r["classes"], dtype=np.uint8)
-    return total.ravel()
-
-
-def _signatures(order, n: int, percent: int):  # noqa: ANN001
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = order.value
-        for batch in batches:
-            for i, j, data, offs in slices(batch.column(1)):
-                size, one, two, group, prefix, parity = [], [], [], [], [], []
-                for s in shingle_sets(data, offs, n):
-                    size.append(len(s))
-                    parity.append(np.bincount((mix(s) >> np.uint64(40)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1)
-                    with np.errstate(over="ignore"):
-                        one.append(int(mix(s).sum()) if len(s) else 0)
-                        two.append(int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum()) if len(s) else 0)
-                    if not len(s):
-                        group.append(0)
-                        prefix.append(s)
-                        continue
-                    key = (counts[s & np.uint64(COUNTERS - 1)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
-                    first = s[np.argsort(key, kind="stable")[: prefix_length(len(s), percent)]]
-                    prefix.append(first)
-                    with np.errstate(over="ignore"):
-                        group.append(int(mix(mix(first) + np.arange(len(first), dtype=np.uint64)).sum()))
-                flat = np.concatenate(prefix).view(np.int64)
-                bits = np.packbits(np.stack(parity).astype(np.uint8), axis=1).view(np.int64)
-                ends = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
-                longs = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(size, pa.int32()), longs(one), longs(two), longs(group), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), *(pa.array(np.ascontiguousarray(b)) for b in bits.T)],
-                    names=["id", "n", "s1", "s2", "g", "prefix", *_BITS],
-                )
+def _entries(n: int, bits: int):
+    def run(words: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sets = sets_of(words, firsts, n)
+        return np.unique(np.concatenate(sets) >> np.uint64(64 - bits), return_counts=True)
 
     return run
 
 
-def _parity(s: np.ndarray, bits: int) -> np.ndarray:
-    return np.packbits((np.bincount(((mix(s) >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8))
-
-
-def _sets(n: int):
-    """Each text's size, a parity bitmap that grows with it (at least four bits a member), and its members."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, data, offs in slices(batch.column(1)):
-                sets = shingle_sets(data, offs, n)
-                maps = [_parity(s, 256 << max(0, (len(s) >> 6).bit_length())).tobytes() for s in sets]
-                cols = [batch.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int32()), pa.array(maps, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "n", "bits", "members"])
+def _sums(x: np.ndarray) -> int:
+    return int(mix(x).sum()) if len(x) else 0
+
+
+def _signed(n: int, percent: int, bits: int):
+    """What the join has to know of each text; members, prefix and bitmap hold repeated shingles only: no other can be shared."""
+    shift, salt = np.uint64(64 - bits), np.uint64(0x5851F42D4C957F2D)
+
+    def run(group: pa.Table) -> pa.Table:
+        row, totals = answers(group)
+        sets = sets_of(*opened(row), n)
+        flat = np.concatenate(sets)
+        cut_ = flat >> shift
+        often = totals[np.searchsorted(np.unique(cut_), cut_)]
+        ends = np.cumsum([0, *map(len, sets)])
+        lone, one, two, key, prefix, members, parity = [], [], [], [], [], [], []
+        with np.errstate(over="ignore"):
+            for s, a, b in zip(sets, ends[:-1], ends[1:], strict=True):
+                f = often[a:b]
+                kept = s[f > 1]
+                lone.append(len(s) - len(kept))
+                one.append(_sums(s))
+                two.append(_sums(s ^ salt))
+                room = prefix_length(len(s), percent) - lone[-1] if len(kept) else 0
+                if room <= 0:  # the prefix holds unique shingles alone: nothing can link
+                    key.append(None)
+                    prefix.append(s[:0])
+                    members.append(None)
+                    continue
+                first = kept[np.lexsort((kept, f[f > 1]))[:room]]
+                key.append(int(mix(mix(first) + np.arange(len(first), dtype=np.uint64)).sum().view(np.int64)))
+                prefix.append(first)
+                members.append(kept.tobytes())
+                parity.append(np.packbits((np.bincount((mix(kept) >> np.uint64(40)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1).astype(np.uint8)))
+        longs = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
+        wide = np.zeros((len(sets), PARITY), dtype=np.int64)
+        if parity:
+            wide[[k is not None for k in key]] = np.stack(parity).view(np.int64)
+        first = row.column("first")[0].as_py()
+        cols = {
+            "no": pa.array(np.arange(first, first + len(sets))), "id": row.column("ids").combine_chunks().flatten(), "n": pa.array(np.diff(ends), pa.int32()), "s1": longs(one), "s2": longs(two), "lone": pa.array(lone, pa.int32()), "g": pa.array(key, pa.int64()),
+            "prefix": pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefix)]), pa.int32()), pa.array(np.concatenate(prefix).view(np.int64))), "members": pa.array(members, pa.binary()),
+        }
+        return pa.table(cols | {b: pa.array(np.ascontiguousarray(wide[:, k])) for k, b in enumerate(_BITS)})
 
     return run
 
 
-def _may_reach(percent: int):
-    """Keep pairs whose bitmaps, the larger folded to the size of the smaller, don't differ in too many bits."""
-    ones = np.array([bin(i).count("1") for i in range(256)], dtype=np.int64)
+_SIGNED = "no long, id long, n int, s1 long, s2 long, lone int, g long, prefix array<long>, members binary, " + ", ".join(f"{b} long" for b in _BITS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for n, m, a, b in zip(*(batch.column(k).to_pylist() for k in (2, 3)), batch.column(4), batch.column(5), strict=True):
-                x, y = (np.frombuffer(c.as_buffer(), dtype=np.uint8) for c in (a, b))
-                size = min(len(x), len(y))
-                x, y = (np.bitwise_xor.reduce(z.reshape(-1, size), axis=0) for z in (x, y))
-                ok.append((100 + percent) * int(ones[x ^ y].sum()) <= (100 - percent) * (n + m))
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    return run
+def _signatures(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+    """Every row's size, set hashes and, where its prefix holds a shingle that another row has too, group, prefix and members.
+
+    Shingles are ordered by the exact number of texts that hold them, so unique ones come first and need no posting.
+    """
+    chunks = chunked(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id", "text")
+    words, n_chunks = chunks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    bits = min(64, max(32, int(words).bit_length() + SPARE))
+    signed = stored(answered(chunks, _entries(n, bits), words, n_chunks, bits).groupBy("chunk").applyInArrow(_signed(n, percent, bits), _SIGNED))
+    drop_stored(chunks)
+    return signed
 
 
 def _if_small(rows: DataFrame) -> DataFrame:
@@ -155,127 +122,114 @@ def _if_small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
-def _verify(pairs: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sets reach the threshold, by the whole sets of just the texts that occur in pairs.
-
-    Bitmaps, a fraction of the sets' size, go first; whole sets are moved for the pairs that pass.
-    """
-    parts = few(pairs.count())
-    first = _if_small(pairs)
+def _verify(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) of rows whose sets reach the threshold; only members of rows in pairs are moved."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+            for n, m, a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
                 x, y = (np.frombuffer(c.as_buffer(), dtype=np.uint64) for c in (a, b))
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 both = int((y[at] == x).sum())
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
+                ok.append(100 * both >= percent * (n + m - both))
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("w")).distinct()
-    texts = bit_filter(rows, F.col("id"), wanted, "w").select("id", "text")
-    sets = stored(texts.mapInArrow(_sets(shingle), "id long, n int, bits binary, members binary").where("n > 0"))
-    side = lambda key, n, col, to: sets.select(F.col("id").alias(key), F.col("n").alias(n), F.col(col).alias(to))
-    maps = side("u", "n", "bits", "a").join(first, "u").hint("merge").join(side("v", "m", "bits", "b"), "v")
-    likely = stored(maps.select("u", "v", "n", "m", "a", "b").mapInArrow(_may_reach(percent), "u long, v long").distinct().coalesce(parts))
-    both = side("u", "n", "members", "a").join(_if_small(likely), "u").hint("merge").join(side("v", "m", "members", "b"), "v")
-    links = cut(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long").distinct().coalesce(parts))
-    drop_stored(sets, likely)
-    release(rows.sparkSession)
-    return links
-
-
-def _new_pairs(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
-    return pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti")
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("w"))
+    sets = bit_filter(signed.where("members is not null").select("no", "n", "members"), F.col("no"), wanted, "w")
+    one = sets.select(F.col("no").alias("u"), "n", F.col("members").alias("a")).join(_if_small(pairs), "u")
+    both = one.join(sets.select(F.col("no").alias("v"), F.col("n").alias("m"), F.col("members").alias("b")), "v")
+    return stored(both.select("u", "v", "n", "m", "a", "b").mapInArrow(run, "u long, v long").coalesce(few(pairs.count())))
 
 
-def _near(a: str, b: str, percent: int):
-    """Sizes, places in the prefixes and parity bitmaps still allow what the threshold needs. Each bound is exact: no link fails it."""
-    best = f"least({a}.pos, {b}.pos) + least({a}.n - {a}.pos, {b}.n - {b}.pos)"
-    apart = " + ".join(f"bit_count({a}.{c} ^ {b}.{c})" for c in _BITS)
+def _groups_reach(a: str, b: str, percent: int):
+    """Sizes, unique shingles and, for a shared shingle at ``pos``, what comes before and after it allow a link. Exact: no link fails."""
+    best = f"least({a}.pos - {a}.lone, {b}.pos - {b}.lone) + least({a}.n - {a}.pos, {b}.n - {b}.pos)"
     return F.expr(
         f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) AND (100 + {percent}) * ({best}) >= {percent} * ({a}.n + {b}.n)"
-        f" AND (100 + {percent}) * ({apart}) <= {100 - percent} * ({a}.n + {b}.n)"
+        f" AND (100 + {percent}) * ({a}.lone + {b}.lone) <= {100 - percent} * ({a}.n + {b}.n)"
     )
 
 
+def _members_reach(a: str, b: str, percent: int):
+    """Unique shingles and differing bits of the parity bitmaps don't exceed the difference that a link allows. Exact, too."""
+    apart = " + ".join(f"bit_count({a}.{c} ^ {b}.{c})" for c in _BITS)
+    return F.expr(f"(100 + {percent}) * ({apart} + {a}.lone + {b}.lone) <= {100 - percent} * ({a}.n + {b}.n)")
+
+
+def _expanded(pairs: DataFrame, units: DataFrame, others: DataFrame, percent: int, also: str) -> DataFrame:
+    """Pairs of members (u, v) of pairs of groups (g, n), (h, m) that the members' bitmaps allow."""
+    y = others.select(F.col("g").alias("h"), F.col("n").alias("m"), F.struct(*others.columns).alias("y"))
+    x = pairs.join(units.select("g", "n", F.struct(*units.columns).alias("x")), ["g", "n"]).join(y, ["h", "m"])
+    x = x.where("x.uid != y.uid").where(also).where(_members_reach("x", "y", percent))
+    return x.select(F.least("x.uid", "y.uid").alias("u"), F.greatest("x.uid", "y.uid").alias("v")).distinct()
+
+
 def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, percent: int = 85) -> DataFrame:
     """One row per document: ``id_col`` (long), n_shingles, component_id (smallest id reachable by links, itself included).
 
     Documents link when ``100 * intersection >= percent * union`` of their sets of ``shingle``-word shingles (words
-    lower-cased A-Z). Rare shingles come first, by a frequency table over all texts, so common passages stay out of the
-    prefixes. Documents with one prefix and size are one group; groups only prune the postings and no pairs of groups are
-    formed: their members (distinct sets) are expanded first, then pairs of members are filtered by shared prefix shingles,
-    sizes, places and parity bitmaps (:data:`PARITY`), and verified on whole sets. Groups of very many near copies
-    are never paired in full: in the rounds of :data:`PIVOTS` each set meets only the pivot it shares most shingles with
-    and linked ones merge; then, for every shingle, members of different components are paired with all others that are
-    not yet in theirs, so no link between components is lost. Pairs within a component can add nothing and are left out.
-
-    Sets without members (no text, no words) link with nothing. A null id takes no part: its component is null. Ids are
-    taken to be unique; rows that repeat one are answered by their own texts. Extra columns are ignored; an empty table gives an empty result.
+    lower-cased A-Z). Shingles are ordered by how many texts hold them, counted exactly over all texts. Those that one text
+    alone holds come first and can match nothing, so a prefix is its repeated shingles, and most texts have none. Documents
+    with equal prefixes and sizes form a group, a single entry in the postings. Pairs of groups that share a prefix shingle
+    are filtered by sizes, places in the prefixes and numbers of unique shingles; surviving pairs are expanded to their
+    members (distinct sets), filtered by parity bitmaps (:data:`PARITY`), and verified on whole sets.
+
+    That runs twice. First every group meets just its own first member and the group it shares most shingles with among
+    those that head its shingles' lists; what links becomes components, so groups of very many near copies collapse in
+    linear work. Then all pairs of groups that aren't yet wholly within one component are formed (a shingle's groups
+    outside its head's component against all others, sizes within reach of each other as join key) and their members in
+    different components verified. So no link between components is lost, and pairs within one, which can add nothing,
+    are not made.
+
+    Sets without members (null text, no words) link with nothing. A null id takes no part: its component is null. Rows that
+    repeat an id, with equal or other texts, count as rows of their own, and the smallest id of all that they reach is the
+    answer of each. Extra columns are ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    order = spark.sparkContext.broadcast(_sketch(rows, "text", shingle))
-    shape = "id long, n int, s1 long, s2 long, g long, prefix array<long>, " + ", ".join(f"{b} long" for b in _BITS)
-    signed = stored(rows.mapInArrow(_signatures(order, shingle, percent), shape))
-    real = signed.where("n > 0 and id is not null")
-    units = stored(real.groupBy("s1", "s2", "g", "n").agg(F.min("id").alias("uid"), *[F.min(b).alias(b) for b in _BITS]))
-    groups = real.groupBy("g", "n").agg(F.min_by("prefix", "id").alias("prefix"))
-    members = units.groupBy("g", "n").agg(F.count(F.lit(1)).alias("units"))
-    posted = stored(groups.join(members, ["g", "n"]).select("g", "n", "units", F.posexplode("prefix").alias("pos", "tok")))
-    sizes = stored(signed.select("id", "n", "s1", "s2"))
-    drop_stored(signed)
-    release(spark)
-    again = stored(posted.groupBy("tok").agg(F.sum("units").alias("c")).where("c > 1").select("tok"))
-    lists = stored(bit_filter(posted, F.col("tok"), again, "tok").join(again, "tok", "left_semi").select("g", "n", "tok", "pos"))
-    # shingles with the same groups on their lists say the same: one of them stays
-    alike = lists.groupBy("tok").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("g", "n")).alias("x"), F.bit_xor(F.xxhash64("n", "g")).alias("y"))
-    distinct = alike.groupBy("c", "x", "y").agg(F.min("tok").alias("tok")).select("tok")
-    postings = stored(lists.join(distinct, "tok", "left_semi").join(units.select("g", "n", "uid", *_BITS), ["g", "n"]).select("tok", "uid", "n", "pos", *_BITS))
-    drop_stored(posted, again, lists)
-    release(spark)
-
-    wanted = cut(postings.select("uid").distinct())
-    parts = few(wanted.count())
-    wanted = wanted.coalesce(parts)
-    rows = rows.where("id is not null")
-    comp = tried = links = None
-    here = postings.withColumn("comp", F.col("uid"))
-    for r, offered in enumerate(PIVOTS):
-        slot = F.pmod(F.xxhash64(F.lit(r), F.lit(1), "uid"), F.lit(offered))
-        pivots = here.groupBy("tok", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64(F.lit(r), "uid").alias("h"), "uid", "n", "pos", "comp", *_BITS)).alias("p"))
-        met = here.alias("x").join(pivots.select("tok", "p.*").alias("p"), "tok").where("x.uid != p.uid and x.comp != p.comp").where(_near("x", "p", percent))
-        tally = met.groupBy(F.col("x.uid").alias("uid"), F.col("p.uid").alias("pivot")).agg(F.count(F.lit(1)).alias("c"))
-        place = F.row_number().over(W.partitionBy("uid").orderBy(F.desc("c"), "pivot"))
-        best = tally.withColumn("place", place).where(F.col("place") <= (PARTNERS if r else 1))
-        best = _new_pairs(best.select(F.least("uid", "pivot").alias("u"), F.greatest("uid", "pivot").alias("v")).distinct(), tried)
-        best = stored(best.coalesce(parts))
-        new = _verify(best, rows, shingle, percent)
-        tried, links = (best, new) if links is None else (tried.union(best), links.union(new))
-        comp = _labels(wanted, links, parts)
-        # what goes on: shingles whose sets aren't all in one component yet
-        named = postings.join(_if_small(comp), "uid")
-        split = stored(named.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("uid").alias("h"), "comp")).alias("p")).where("lo != hi").select("tok", F.col("p.comp").alias("main")).coalesce(parts))
-        here = bit_filter(named, F.col("tok"), split, "tok")
-    open_lists = stored(here.join(split, "tok"))
-    left = open_lists.where("comp != main").alias("x")
-    pairs = left.join(open_lists.alias("y"), "tok").where("x.comp != y.comp and (y.comp = y.main or x.uid < y.uid)").where(_near("x", "y", percent))
-    pairs = pairs.select(F.least("x.uid", "y.uid").alias("u"), F.greatest("x.uid", "y.uid").alias("v")).distinct()
-    pairs = stored(_new_pairs(pairs, tried).coalesce(parts))
-    links = links.union(_verify(pairs, rows, shingle, percent))
-    comp = _labels(wanted, links, parts)
-    drop_stored(postings, open_lists)
-
-    by_set = units.join(comp, "uid", "left").select("s1", "s2", F.coalesce("comp", "uid").alias("comp"))
-    out = sizes.join(by_set, ["s1", "s2"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("comp", "id")).otherwise(F.col("id"))).alias("component_id"))
-
-
-def _labels(nodes: DataFrame, links: DataFrame, parts: int) -> DataFrame:
-    named = components(links)
-    return cut(nodes.join(named.withColumnRenamed("node", "uid"), "uid", "left").select("uid", F.coalesce("component", "uid").alias("comp")).coalesce(parts))
+    signed = _signatures(docs, id_col, text_col, shingle, percent)
+    real = signed.where("g is not null and id is not null")
+    units = stored(real.groupBy("s1", "s2", "n", "g").agg(F.min("no").alias("uid"), F.min("id").alias("least"), F.min("lone").alias("lone"), *[F.min(b).alias(b) for b in _BITS]))
+    groups = real.groupBy("g", "n").agg(F.min_by(F.struct("prefix", "lone"), "no").alias("p"))
+    lists = groups.select("g", "n", "p.lone", F.posexplode("p.prefix").alias("pos", "tok")).withColumn("pos", F.col("pos") + F.col("lone"))
+    entry = F.struct(*_ENTRY)
+    heads = lists.groupBy("tok").agg(F.count(F.lit(1)).alias("c"), F.min_by(entry, F.xxhash64("g", "n")).alias("head")).where("c > 1")
+    posted = stored(lists.join(heads.select("tok", "head"), "tok").select("tok", "head", *_ENTRY))
+    members = units.select("g", "n", "uid", "lone", *_BITS)
+    firsts = members.groupBy("g", "n").agg(F.min_by(F.struct("uid", "lone", *_BITS), F.xxhash64("uid")).alias("f")).select("g", "n", "f.*")
+
+    met = posted.where("g != head.g or n != head.n").select(entry.alias("x"), F.col("head").alias("y")).where(_groups_reach("x", "y", percent))
+    tally = met.groupBy(F.col("x.g").alias("g"), F.col("x.n").alias("n"), F.col("y.g").alias("h"), F.col("y.n").alias("m")).agg(F.count(F.lit(1)).alias("c"))
+    best = tally.groupBy("g", "n").agg(F.max(F.struct("c", "h", "m")).alias("b")).select("g", "n", "b.h", "b.m")
+    own = members.groupBy("g", "n").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g", "n", F.col("g").alias("h"), F.col("n").alias("m"))
+    tried = stored(_expanded(best.union(own), members, firsts, percent, "true"))
+    links = _verify(tried, signed, percent)
+
+    named = members.join(components(links).withColumnRenamed("node", "uid"), "uid", "left").withColumn("comp", F.coalesce("component", "uid")).drop("component")
+    named = stored(named)
+    whole = named.groupBy("g", "n").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    posted_in = posted.drop("head").join(whole, ["g", "n"])
+    mains = posted_in.groupBy("tok").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min_by("lo", F.xxhash64("g", "n")).alias("main")).where("lo != hi").select("tok", "main")
+    open_lists = posted_in.join(mains, "tok").withColumn("band", F.floor(F.log("n") / F.lit(math.log(100 / percent) + 1e-6)).cast("int"))
+    open_lists = stored(open_lists.select("tok", "main", "band", "lo", "hi", entry.alias("e")))
+    left = open_lists.where("lo != main or hi != main").select("tok", "lo", "hi", F.col("e").alias("x"), F.explode(F.expr("array(band - 1, band, band + 1)")).alias("band"))
+    right = open_lists.select("tok", "band", F.col("main"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("e").alias("y"))
+    apart = "(lo != hi or lo2 != hi2 or lo != lo2) and (x.g, x.n) != (y.g, y.n) and ((lo2 = main and hi2 = main) or (x.g, x.n) < (y.g, y.n))"
+    pairs = left.join(right, ["tok", "band"]).where(apart).where(_groups_reach("x", "y", percent))
+    pairs = pairs.select(F.col("x.g").alias("g"), F.col("x.n").alias("n"), F.col("y.g").alias("h"), F.col("y.n").alias("m")).distinct()
+    within = whole.where("lo != hi").select("g", "n", F.col("g").alias("h"), F.col("n").alias("m"))
+    rest = _expanded(pairs.union(within), named, named, percent, "x.comp != y.comp").join(tried, ["u", "v"], "left_anti")
+    rest = stored(rest)
+    links = links.union(_verify(rest, signed, percent))
+
+    comp = components(links).withColumnRenamed("node", "uid")
+    labelled = units.select("s1", "s2", "n", "uid", "least").join(comp, "uid", "left").withColumn("comp", F.coalesce("component", "uid"))
+    least = labelled.groupBy("comp").agg(F.min("least").alias("component_id"))
+    by_set = stored(labelled.join(least, "comp").select("s1", "s2", "n", "component_id"))
+    drop_stored(posted, open_lists, tried, rest, named, units)
+    shown = lambda df, c: df.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), c.alias("component_id"))
+    alone = signed.where("g is null or id is null")
+    grouped = signed.where("g is not null and id is not null").select("id", "n", "s1", "s2").join(by_set, ["s1", "s2", "n"])
+    return shown(alone, F.col("id")).union(shown(grouped, F.col("component_id")))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:

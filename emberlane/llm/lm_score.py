@@ -1,31 +1,28 @@
 """Stupid-backoff scores: n-gram count tables partitioned by hash, joined to the n-grams of the texts, summed per document."""
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberlane.llm.common import stored
-from emberlane.llm.words import slices, windows, word_hashes
+from emberlane.llm.grams import answered, answers, chunked, opened
+from emberlane.llm.words import windows
 
-#: Bytes of text whose n-grams travel together; n-grams of a count partition, about.
-CHUNK, PARTITION = 6 << 20, 1_500_000
 ALPHA = 0.4
+#: Bits of an n-gram's hash beyond those that number all n-grams: one in 2 ** SPARE meets another.
+SPARE = 24
 
 
-def _grams(words: np.ndarray, firsts: np.ndarray, order: int) -> list[np.ndarray]:
+def _grams(words: np.ndarray, firsts: np.ndarray, order: int, bits: int) -> list[np.ndarray]:
     """For each length 1 to ``order`` the n-gram hashes by their last word; 0 where the text has too few words before."""
     place = np.arange(len(words)) - np.repeat(firsts[:-1], np.diff(firsts))
     out = []
     for n in range(1, order + 1):
         g = np.zeros(len(words), dtype=np.uint64)
         if len(words) >= n:
-            g[n - 1 :] = windows(words, n)
+            g[n - 1 :] = np.maximum(windows(words, n) >> np.uint64(64 - bits), 1)
         g[place < n - 1] = 0
         out.append(g)
     return out
@@ -36,84 +33,16 @@ def _distinct(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(every[every != 0], return_counts=True)
 
 
-def _part_of(h: np.ndarray, parts: int) -> np.ndarray:
-    """Count partition of a hash: equal ranges of its high half, so a sorted run of hashes is also sorted by partition."""
-    return ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-
-
-def _packed(values: np.ndarray) -> bytes:
-    """Integers as compressed byte planes: planes that are all zeros cost nothing."""
-    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
-    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
-
-
-def _unpacked(data: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(data, decompressed_size=8 * n, codec="zstd", asbytes=True), dtype=np.uint8)
-    return np.ascontiguousarray(planes.reshape(8, n).T).view("<u8").ravel()
-
-
-def _gaps(hashes: np.ndarray) -> np.ndarray:
-    """Differences of sorted hashes, which are small; a running sum undoes it."""
-    return np.diff(hashes, prepend=np.uint64(0))
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    context, seq = TaskContext.get(), 0
-    for batch in batches:
-        for i, j, data, offs in slices(batch.column(1), CHUNK):
-            words, firsts = word_hashes(data, offs, lower=True)
-            vocab, codes, counts = np.unique(words, return_inverse=True, return_counts=True)
-            rank = np.argsort(-counts, kind="stable")
-            number = np.empty(len(rank), dtype=np.int64)
-            number[rank] = np.arange(len(rank))
-            ids = pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), batch.column(0).slice(i, j - i))
-            cols = [pa.array([(context.partitionId() << 32) + seq]), ids, pa.array([len(words)], pa.int64()), *(pa.array([b], pa.binary()) for b in (_packed(np.diff(firsts)), vocab[rank].tobytes(), _packed(number[codes])))]
-            yield pa.RecordBatch.from_arrays(cols, names=["chunk", "ids", "n", "sizes", "vocab", "codes"])
-            seq += 1
+def _entries(order: int, bits: int):
+    return lambda words, firsts: _distinct(_grams(words, firsts, order, bits))
 
 
-def _open(batch: pa.RecordBatch, r: int) -> tuple[np.ndarray, np.ndarray]:
-    get = lambda c: batch.column(c)[r].as_py()
-    vocab = np.frombuffer(get("vocab"), dtype=np.uint64)
-    sizes = _unpacked(get("sizes"), len(batch.column("ids")[r])).astype(np.int64)
-    return vocab[_unpacked(get("codes"), get("n")).astype(np.int64)], np.concatenate(([0], np.cumsum(sizes)))
-
-
-def _dealt(order: int, parts: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                hashes, counts = _distinct(_grams(*_open(batch, r), order))
-                at = np.searchsorted(_part_of(hashes, parts), np.arange(parts + 1, dtype=np.uint64))
-                full = np.flatnonzero(np.diff(at))
-                for some in np.array_split(full, max(1, len(full) // 64)):
-                    cols = [pa.array(np.full(len(some), batch.column(0)[r].as_py())), pa.array(some.astype(np.int32))]
-                    cols.append(pa.array(np.diff(at)[some]))
-                    cols += [pa.array([f(x[at[p] : at[p + 1]]) for p in some], pa.binary()) for x, f in ((hashes, lambda v: _packed(_gaps(v))), (counts, _packed))]
-                    yield pa.RecordBatch.from_arrays(cols, names=["chunk", "p", "n", "hashes", "counts"])
-
-    return run
-
-
-def _totals(group: pa.Table) -> pa.Table:
-    """One partition of the count table: every chunk's n-grams in it get their counts over all chunks."""
-    sizes = group.column("n").to_pylist()
-    open_up = lambda name: [_unpacked(b.as_buffer(), n) for b, n in zip(group.column(name), sizes, strict=True)]
-    hashes = np.concatenate([np.cumsum(d, dtype=np.uint64) for d in open_up("hashes")])
-    _, where = np.unique(hashes, return_inverse=True)
-    total = np.bincount(where, weights=np.concatenate(open_up("counts"))).astype(np.int64)[where]
-    ends = np.cumsum(sizes)[:-1]
-    return pa.table({"chunk": group.column("chunk"), "p": group.column("p"), "n": group.column("n"), "totals": pa.array([_packed(t) for t in np.split(total, ends)], pa.binary())})
-
-
-def _scored(order: int, alpha: float, n_all: int, schema: T.StructType):
+def _scored(order: int, alpha: float, n_all: int, bits: int, schema: T.StructType):
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("p")
-        batch = group.slice(0, 1).combine_chunks().to_batches()[0]
-        words, firsts = _open(batch, 0)
-        grams = _grams(words, firsts, order)
+        own_row, totals = answers(group)
+        words, firsts = opened(own_row)
+        grams = _grams(words, firsts, order, bits)
         hashes, _ = _distinct(grams)
-        totals = np.concatenate([_unpacked(b.as_buffer(), n.as_py()).astype(np.int64) for b, n in zip(group.column("totals").slice(1), group.column("n").slice(1), strict=True)] or [np.zeros(0, np.int64)])
         doc = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
         n_own = np.diff(firsts)
         rest = (n_all - n_own)[doc]
@@ -141,13 +70,13 @@ def _scored(order: int, alpha: float, n_all: int, schema: T.StructType):
         sums = np.bincount(doc, weights=score, minlength=len(n_own)).astype(float)
         backed = np.bincount(doc, weights=used < longest, minlength=len(n_own)).astype(np.int64)
         mean = np.where(n_own > 0, sums / np.maximum(n_own, 1), np.nan)
-        ids = group.column("ids").combine_chunks().slice(0, 1).flatten()
+        ids = own_row.column("ids").combine_chunks().flatten()
         return pa.table([ids, pa.array(n_own), pa.array(backed), pa.array(sums), pa.array(mean, from_pandas=True)], names=schema.names)
 
     return run
 
 
-def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, alpha: float = ALPHA) -> DataFrame:
+def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, alpha: float = ALPHA) -> DataFrame:
     """One row per document: ``id_col``, n_words, n_backed_off, log_score (sum over words), mean_log_score.
 
     Counts come from all other documents: a document's own occurrences are taken out, so nothing vouches for itself. A
@@ -155,20 +84,19 @@ def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     occurs elsewhere, times ``alpha`` for each step of backing off; at one word, count / all words elsewhere; a word seen
     nowhere else scores ``alpha ** longest / (words elsewhere + 1)``.
 
-    Texts become chunks of word numbers, written once. Each chunk's distinct n-grams with their counts (so a frequent
-    n-gram is one entry per chunk) are dealt by hash to count partitions, as many as the corpus needs; a partition adds
-    up and answers each chunk, and chunks score their documents. Work and shuffle grow with the input, no key is hot, and
-    neither driver nor any task holds a whole count table. Words are lower-cased A-Z. Null or empty texts have no words,
-    log_score 0 and a null mean; repeated rows count as separate documents; an empty table gives an empty result.
+    The count table is partitioned by hash and joined to the n-grams of the texts a chunk at a time: a chunk's distinct
+    n-grams with their counts go to the partitions of their hashes (one row per chunk and partition, holding the sorted
+    hashes as gaps), which add up and answer; the chunk then scores its words and sums them by document. Entries grow with
+    the n-grams, so does the number of partitions, and no task's share grows with the corpus. The number of rows grows
+    faster, with chunks times partitions, until each holds a single n-gram: it never exceeds the number of n-grams.
+
+    Hashes have :data:`SPARE` bits more than it takes to number the corpus's n-grams, so one n-gram in 2 ** 24 shares
+    another's count. Words are lower-cased A-Z. Null or empty texts have no words, log_score 0 and a null mean; repeated
+    rows and rows with null or repeated ids count as separate documents; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType
-    chunk_type = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("n", T.LongType()), *(T.StructField(c, T.BinaryType()) for c in ("sizes", "vocab", "codes"))])
-    chunks = stored(docs.select(F.col(id_col), F.col(text_col)).mapInArrow(_chunks, chunk_type))
-    n_all = chunks.agg(F.sum("n")).first()[0] or 0
-    parts = max(8, -(-n_all * order // (2 * PARTITION)))
-    dealt = chunks.mapInArrow(_dealt(order, parts), "chunk long, p int, n long, hashes binary, counts binary")
-    totals = dealt.groupBy("p").applyInArrow(_totals, "chunk long, p int, n long, totals binary")
-    out = T.StructType([T.StructField(id_col, kind), T.StructField("n_words", T.LongType()), T.StructField("n_backed_off", T.LongType()), T.StructField("log_score", T.DoubleType()), T.StructField("mean_log_score", T.DoubleType())])
-    both = chunks.withColumn("p", F.lit(-1)).unionByName(totals, allowMissingColumns=True)
-    return both.groupBy("chunk").applyInArrow(_scored(order, alpha, n_all, out), out)
+    chunks = chunked(docs, id_col, text_col)
+    n_all, n_chunks = chunks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    expected = n_all * order
+    bits = min(64, max(32, expected.bit_length() + SPARE))
+    out = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_backed_off", T.LongType()), T.StructField("log_score", T.DoubleType()), T.StructField("mean_log_score", T.DoubleType())])
+    return answered(chunks, _entries(order, bits), expected, n_chunks, bits).groupBy("chunk").applyInArrow(_scored(order, alpha, n_all, bits, out), out)

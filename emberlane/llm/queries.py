@@ -57,12 +57,6 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_words", "n_backed_off", F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
-def op7_trigram_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op7_lm_scoring, whose SQL is of bigrams, with two words of context; no SQL."""
-    scored = lm_score.stupid_backoff(_table(spark, sf_dir, "documents"), order=3)
-    return scored.select("doc_id", "n_words", "n_backed_off", F.round("mean_log_score", 6).alias("mean_log_score"))
-
-
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.repeated_spans(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -79,7 +73,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op3_token_counts, op4_quality, op5_mixing, op6_exact_top_k, op7_lm_scoring, op7_trigram_scoring, op8_substring_dedup, op9_exact_dedup, op10_best_fit_packing)
+    f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op3_token_counts, op4_quality, op5_mixing, op6_exact_top_k, op7_lm_scoring, op8_substring_dedup, op9_exact_dedup, op10_best_fit_packing)
 }
 
 ORACLE = {
@@ -103,16 +97,19 @@ ORACLE = {
         FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) m USING (doc_id)""",
     "op7_lm_scoring": """
         WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
-             k AS (SELECT doc_id, i, w[i] AS b, CASE WHEN i > 1 THEN w[i - 1] END AS a FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t)),
+             k AS (SELECT doc_id, least(i, 3) AS longest, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS a FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t)),
              n AS (SELECT count(*) AS n FROM k),
-             u AS (SELECT b, count(*) AS c FROM k GROUP BY b), ud AS (SELECT doc_id, b, count(*) AS c FROM k GROUP BY doc_id, b),
-             g AS (SELECT a, b, count(*) AS c FROM k WHERE a IS NOT NULL GROUP BY a, b), gd AS (SELECT doc_id, a, b, count(*) AS c FROM k WHERE a IS NOT NULL GROUP BY doc_id, a, b),
-             s AS (SELECT k.doc_id, k.a IS NOT NULL AS two, g.c - gd.c AS cg, ua.c - uda.c AS ca, u.c - ud.c AS cb, (SELECT n FROM n) - len(t.w) AS rest
-                   FROM k JOIN t USING (doc_id) JOIN u ON u.b = k.b JOIN ud ON ud.doc_id = k.doc_id AND ud.b = k.b
-                   LEFT JOIN g ON g.a = k.a AND g.b = k.b LEFT JOIN gd ON gd.doc_id = k.doc_id AND gd.a = k.a AND gd.b = k.b
-                   LEFT JOIN u ua ON ua.b = k.a LEFT JOIN ud uda ON uda.doc_id = k.doc_id AND uda.b = k.a),
-             x AS (SELECT doc_id, CASE WHEN two AND cg > 0 THEN ln(cg / ca) WHEN cb > 0 THEN CASE WHEN two THEN ln(0.4) ELSE 0 END + ln(cb / rest)
-                          ELSE CASE WHEN two THEN 2 ELSE 1 END * ln(0.4) - ln(rest + 1) END AS score, (two AND cg = 0) OR cb = 0 AS backed FROM s)
+             u AS (SELECT c, count(*) AS k FROM k GROUP BY c), ud AS (SELECT doc_id, c, count(*) AS k FROM k GROUP BY doc_id, c),
+             g AS (SELECT b, c, count(*) AS k FROM k WHERE longest > 1 GROUP BY b, c), gd AS (SELECT doc_id, b, c, count(*) AS k FROM k WHERE longest > 1 GROUP BY doc_id, b, c),
+             h AS (SELECT a, b, c, count(*) AS k FROM k WHERE longest > 2 GROUP BY a, b, c), hd AS (SELECT doc_id, a, b, c, count(*) AS k FROM k WHERE longest > 2 GROUP BY doc_id, a, b, c),
+             s AS (SELECT k.doc_id, k.longest, h.k - hd.k AS c3, gx.k - gxd.k AS x3, g.k - gd.k AS c2, ux.k - uxd.k AS x2, u.k - ud.k AS c1, (SELECT n FROM n) - len(t.w) AS rest
+                   FROM k JOIN t USING (doc_id) JOIN u ON u.c = k.c JOIN ud ON ud.doc_id = k.doc_id AND ud.c = k.c
+                   LEFT JOIN g ON g.b = k.b AND g.c = k.c LEFT JOIN gd ON gd.doc_id = k.doc_id AND gd.b = k.b AND gd.c = k.c
+                   LEFT JOIN h ON h.a = k.a AND h.b = k.b AND h.c = k.c LEFT JOIN hd ON hd.doc_id = k.doc_id AND hd.a = k.a AND hd.b = k.b AND hd.c = k.c
+                   LEFT JOIN g gx ON gx.b = k.a AND gx.c = k.b LEFT JOIN gd gxd ON gxd.doc_id = k.doc_id AND gxd.b = k.a AND gxd.c = k.b
+                   LEFT JOIN u ux ON ux.c = k.b LEFT JOIN ud uxd ON uxd.doc_id = k.doc_id AND uxd.c = k.b),
+             v AS (SELECT *, CASE WHEN longest > 2 AND c3 > 0 THEN 3 WHEN longest > 1 AND c2 > 0 THEN 2 WHEN c1 > 0 THEN 1 ELSE 0 END AS used FROM s),
+             x AS (SELECT doc_id, (longest - used) * ln(0.4) + CASE used WHEN 3 THEN ln(c3 / x3) WHEN 2 THEN ln(c2 / x2) WHEN 1 THEN ln(c1 / rest) ELSE -ln(rest + 1) END AS score, used < longest AS backed FROM v)
         SELECT t.doc_id, len(t.w)::BIGINT AS n_words, coalesce(n_backed, 0)::BIGINT AS n_backed_off, round(m, 6) AS mean_log_score
         FROM t LEFT JOIN (SELECT doc_id, avg(score) AS m, sum(backed::INT)::BIGINT AS n_backed FROM x GROUP BY doc_id) USING (doc_id)""",
     "op8_substring_dedup": """

@@ -5,8 +5,6 @@ for UTF-8. Texts are walked in blocks that end between words: memory is bounded
 """
 from __future__ import annotations
 
-import ctypes
-
 import numpy as np
 import pyarrow as pa
 
@@ -116,24 +114,13 @@ def windows(words: np.ndarray, n: int) -> np.ndarray:
         return mix((run[n:] - run[:m]) * q[:m] + np.uint64(n))
 
 
-def trim() -> None:
-    """Hand memory that is free within the process back to the machine (where the C library can)."""
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):
-        pass
-
-
 def slices(texts: pa.Array, limit: int = 1 << 20):
     """Cut an array of texts into runs of about ``limit`` bytes: (first row, array)."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    if pa.default_memory_pool().backend_name != "system":  # gives freed batches back to the machine at once
-        pa.set_memory_pool(pa.system_memory_pool())
     data, offs = buffers(texts)
     i = 0
     while i < len(texts):
         j = max(i + 1, int(np.searchsorted(offs, offs[i] + limit, side="right")) - 1)
         yield i, j, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         i = j
-    trim()

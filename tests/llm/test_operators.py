@@ -325,9 +325,9 @@ def test_backoff_scores(docs, rows, order):
         assert out[i][:2] == (n, b) and out[i][2] == pytest.approx(s, rel=1e-9, abs=1e-9)
 
 
-def test_the_trigram_query_scores_two_words_of_context(spark, docs, rows, tmp_path):
+def test_the_query_scores_two_words_of_context(spark, docs, rows, tmp_path):
     docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
-    out = {r["doc_id"]: (r["n_words"], r["n_backed_off"]) for r in got(queries.QUERIES["op7_trigram_scoring"](spark, str(tmp_path)))}
+    out = {r["doc_id"]: (r["n_words"], r["n_backed_off"]) for r in got(queries.QUERIES["op7_lm_scoring"](spark, str(tmp_path)))}
     assert out == {i: w[:2] for i, w in brute_backoff(rows, 3).items()} != {i: w[:2] for i, w in brute_backoff(rows, 2).items()}
 
 
@@ -437,9 +437,9 @@ def test_null_ids_do_not_crash(spark):
     df = spark.createDataFrame([(None, "a b c d e", "en", None, None), (None, None, None, None, None), (1, "a b c d e", None, "s", 3)], DOCS)
     lab = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     path = queries.tokenizer_path("word_bpe_49k.json")
-    for out in (mixing.mix(df), lm_score.stupid_backoff(df), tokens.count_tokens(df, path), packing.pack_documents(df, path), language.identify(df, queries.id_remainder(3, 1)), quality.score_quality(df, lab, queries.id_remainder(5, 0)), jaccard_join.one_of_each(df)):
+    for out in (mixing.mix(df), lm_score.stupid_backoff(df), tokens.count_tokens(df, path), packing.pack_documents(df, path), language.identify(df, queries.id_remainder(3, 1)), quality.score_quality(df, lab, queries.id_remainder(5, 0)), jaccard_join.linked_components(df)):
         assert out.count() == 3
-    assert exact_dedup.keep_one(df).count() == 2
+    assert exact_dedup.keep_one(df).count() == jaccard_join.one_of_each(df).count() == 2  # the texts with and without an id are copies
 
 
 def test_components(spark):
