@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Code points that separate words: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
+#: Rows of a few longs (about 16 to 32 bytes each) that are broadcast at most; more are joined by shuffles.
+BROADCAST_ROWS = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -129,6 +131,11 @@ def without(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, once:
     return unwrapped(flagged.where("not _may").select("_row").unionByName(rest.select("_row")), docs)
 
 
+def if_small(rows: DataFrame) -> DataFrame:
+    """Broadcast behind a check of the size: at most :data:`BROADCAST_ROWS` rows of a few longs; a larger table is joined as it is."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def few(rows: int) -> int:
     """Partitions for a table of so many narrow rows: small tables in few files, large ones spread as they grow."""
     return rows // 200_000 + 1

@@ -9,12 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlane.llm.common import bit_filter, bit_flag, components, drop_stored, few, stored, unwrapped, wrapped
+from emberlane.llm.common import bit_filter, bit_flag, components, drop_stored, few, if_small, stored, unwrapped, wrapped
 from emberlane.llm.grams import answered, answers, chunked, opened
 from emberlane.llm.words import mix, windows, word_hashes
 
-#: Rows of two longs that are broadcast at most (16 bytes each); more are joined by shuffles.
-BROADCAST_ROWS = 1 << 20
 #: Bits of a shingle's hash in the count table beyond those that number all shingles: one unique shingle in 2 ** SPARE counts as repeated, which costs time, not results.
 SPARE = 7
 #: 64-bit words of a set's parity bitmap: bit k is the parity of its members hashed to k, so two bitmaps differ in at most as many bits as the sets in members.
@@ -117,11 +115,6 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, n: int, percent: in
     return signed
 
 
-def _if_small(rows: DataFrame) -> DataFrame:
-    """Broadcast behind a check of the size: at most 16 MiB; a larger table is joined as it is."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-
-
 def _verify(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) of rows whose sets reach the threshold; only members of rows in pairs are moved."""
 
@@ -137,7 +130,7 @@ def _verify(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
 
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("w"))
     sets = bit_filter(signed.where("members is not null").select("no", "n", "members"), F.col("no"), wanted, "w")
-    one = sets.select(F.col("no").alias("u"), "n", F.col("members").alias("a")).join(_if_small(pairs), "u")
+    one = sets.select(F.col("no").alias("u"), "n", F.col("members").alias("a")).join(if_small(pairs), "u")
     both = one.join(sets.select(F.col("no").alias("v"), F.col("n").alias("m"), F.col("members").alias("b")), "v")
     return stored(both.select("u", "v", "n", "m", "a", "b").mapInArrow(run, "u long, v long").coalesce(few(pairs.count())))
 

@@ -355,6 +355,32 @@ def test_top_k(spark, monkeypatch, bucket, steep):
     assert dict(out) == {q: v for q, v in brute_top(vectors, 6).items() if v}
 
 
+@pytest.mark.parametrize("most", [30, 30_000, 1_000_000, 100_000_000])
+def test_buckets_lose_no_neighbour_of_nearly_parallel_vectors(most):
+    rng = np.random.default_rng(most % 97)
+    line = rng.normal(0, 1, 6)
+    x = np.rint(most * (line * rng.uniform(0.98, 1, (300, 1)) + rng.normal(0, 1e-8, (300, 6)))).astype(np.int64)
+    ids = np.arange(300)
+    x = x[at := np.lexsort((ids, -np.sqrt((x.astype(float) ** 2).sum(1))))]
+    ids = ids[at]
+    for steep in (0.8, 2.0):
+        topk.STEEP, old = steep, topk.STEEP
+        exact = x.astype(object) @ x[:40].astype(object).T
+        exact = exact.astype(np.int64)
+        floor = np.sort(np.where(np.eye(300, 40, dtype=bool), np.iinfo(np.int64).min, exact), axis=0)[-5].astype(float)
+        row, cand, score = topk.search_bucket(ids[:40], x[:40], topk._lowered(floor), ids, x, 5)
+        topk.STEEP = old
+        for r in range(40):
+            want = sorted((-int(exact[j, r]), int(ids[j])) for j in range(300) if j != r)[:5]
+            assert sorted((-int(s), int(c)) for c, s in zip(cand[row == r], score[row == r], strict=True)) == want
+
+
+def test_top_k_of_repeated_ids(spark):
+    v = [(20, [3, 1]), (20, [3, 1]), (1, [2, 2]), (1, [2, 2]), (2, [-1, 0])]
+    out = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got(topk.top_k(spark.createDataFrame(v, "vec_id long, x array<long>"), F.col("vec_id") % 20 == 0, k=3))]
+    assert sorted(out) == [(20, 1, 1, 8), (20, 2, 1, 8), (20, 3, 1, 8)]
+
+
 def test_scaled_vectors(spark):
     df = spark.createDataFrame([(1, [0.5, -0.01]), (2, [float("nan"), 1.0]), (3, [float("inf"), 1.0]), (4, [None, 1.0]), (5, None), (6, [])], "i int, v array<float>")
     assert {r["i"]: r["x"] for r in got(df.select("i", topk.scaled(F.col("v")).alias("x")))} == {1: [32, -1], 2: None, 3: None, 4: None, 5: None, 6: []}
