@@ -105,6 +105,20 @@ def bit_filter(df: DataFrame, key: Column, ids: DataFrame, id_col: str, bits: in
     return bit_flag(df, key, ids, id_col, flag, bits).where(flag).drop(flag)
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, how: str, ways: int = 64) -> DataFrame:
+    """``left.join(right, key, how)`` with the rows of hot keys dealt to ``ways`` tasks, whatever follows the join.
+
+    ``hot`` lists keys (in a column named ``key``) with many rows in ``left``; each has few in ``right``. Both sides look
+    them up in one bitmap, so they agree on what counts as hot, also where a key shares a bit with a hot one.
+    """
+    own = [F.col(f"`{c}`") for c in left.columns]
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*own), F.lit(ways))).otherwise(0).cast("int")
+    x = bit_flag(left, F.col(key), hot, key, "_hot").select(*own, salt.alias("_salt"))
+    ways_of = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(ways - 1))).otherwise(F.array(F.lit(0)))
+    y = bit_flag(right, F.col(key), hot, key, "_hot").select(*[F.col(f"`{c}`") for c in right.columns], F.explode(ways_of).alias("_salt"))
+    return x.join(y, [key, "_salt"], how).drop("_salt")
+
+
 def row_keys(id_col: Column, text: Column) -> list[Column]:
     """Two hashes (k1 long, k2 int) of a row's id and text; rows that agree in both are treated as one row listed twice."""
     return [F.xxhash64(text, id_col).alias("k1"), F.hash(id_col, text).alias("k2")]

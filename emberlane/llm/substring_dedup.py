@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberlane.llm.common import bit_filter, row_keys, stored
+from emberlane.llm.common import bit_filter, bit_flag, drop_stored, row_keys, spread_join, stored
 from emberlane.llm.words import _power_tables, buffers, mix, slices, windows, word_hashes
 
 #: Words of a seed. A window of L words holds L - SEED + 1 seeds and is anchored at the one with the least hash.
 SEED = 12
+#: Occurrences from which on the rows of a key are dealt to many tasks.
+HOT = 2_000
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -131,11 +133,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A window of ``length`` words repeats if its words start anywhere else too, in the same text or another. Seeds:
     every window is anchored at its least seed of :data:`SEED` words, and runs of windows with one anchor are one row.
-    Only anchors that occur again go on. Extension: runs with equal anchor and equal extent match over all of it, however
-    many they are, by one count per extent; runs that match nowhere in full are opened into their windows, against one
-    representative (with its count) of every other extent of the anchor. Matching windows merge into maximal repeats. So
-    nothing is ever paired within a group: work is linear in the occurrences, and a passage shared by very many texts
-    costs one counted row per run. Counts are pre-aggregated; joins on hot anchors are plain ones, which Spark splits.
+    Occurrences of an anchor are joined to what is known of it over the corpus; only anchors that occur again go on.
+    Extension to the left and right of the anchor, as far as its windows reach: runs with equal anchor and equal extent
+    match over all of it, however many they are, by one count per extent; runs that match no other in full are opened into
+    their windows, against one representative (with its count) of every other extent of the anchor. Matching windows that
+    follow each other, of one anchor or several, merge into maximal repeats. An occurrence may match one partner to the
+    left and another to the right, so no single representative of an anchor would do, and pairing all occurrences would be
+    quadratic: extents are matched by hash instead, in work linear in the occurrences. A passage shared by very many
+    texts costs one counted row per run; rows of such a hot key are dealt to many tasks.
 
     Null texts have no words. A repeated row repeats all of its windows. Ids may be null or repeated: rows are matched
     by two hashes of id and text. Extra columns are ignored; an empty table gives an empty result.
@@ -145,29 +150,34 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError(f"length must exceed {SEED}")
     rows = _keys(docs, id_col, text_col)
     found = stored(rows.select("text", "k1", "k2").mapInArrow(_scan(length), "k1 long, k2 int, anchor long, extent long, first int, n short"))
-    again = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
-    again = stored(again)
-    runs = stored(bit_filter(found, F.col("anchor"), again, "anchor").join(again, "anchor", "left_semi"))
-    shape = ["anchor", "extent", "n"]
-    extents = stored(runs.groupBy(*shape).agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k1", "k2", "first")).alias("one")))
-    whole = runs.join(extents.where("c > 1").select(*shape), shape, "left_semi").select("k1", "k2", "first", F.col("n").cast("int").alias("n"))
-
-    lone = extents.groupBy("anchor").agg(F.min("c").alias("least"), F.count(F.lit(1)).alias("shapes")).where("least = 1 and shapes > 1").select("anchor")
-    opened = extents.join(lone, "anchor").select("one.*", F.col("n").cast("int").alias("n"), "c")
-    lists = opened.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "n", "c")).alias("runs"))
-    lists = stored(lists)
+    again = stored(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+    hot = lambda counts, key: counts.where(F.col("c") > HOT).select(key)
+    runs = spread_join(bit_filter(found, F.col("anchor"), again, "anchor"), again.select("anchor"), "anchor", hot(again, "anchor"), "left_semi")
+    runs = stored(runs.withColumn("shape", F.xxhash64("anchor", "extent", "n")))
+    extents = stored(runs.groupBy("shape", "anchor", "n").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k1", "k2", "first")).alias("one")))
+    full = extents.where("c > 1").select("shape", "c")
+    whole = spread_join(runs, full.select("shape"), "shape", hot(full, "shape"), "left_semi").select("k1", "k2", "first", F.col("n").cast("int").alias("n"))
+
+    lone = extents.groupBy("anchor").agg(F.min("c").alias("least"), F.count(F.lit(1)).alias("c")).where("least = 1 and c > 1").select("anchor", "c")
+    opened = spread_join(extents.withColumnRenamed("c", "times"), lone.select("anchor"), "anchor", hot(lone, "anchor"), "inner")
+    opened = opened.select("one.*", F.col("n").cast("int").alias("n"), F.col("times").alias("c"))
+    lists = stored(opened.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "n", "c")).alias("runs")))
     texts = bit_filter(rows, F.col("k1"), lists, "k1").join(lists, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
     own = stored(texts.select("text", "k1", "k2", "runs").mapInArrow(_windows_of(length), "k1 long, k2 int, window long, first int, c long"))
-    twice = own.groupBy("window").agg(F.sum("c").alias("total"), F.min("c").alias("least")).where("total > 1 and least = 1").select("window")
-    part = own.where("c = 1").join(twice, "window", "left_semi").select("k1", "k2", "first", F.lit(1).alias("n"))
+    twice = own.groupBy("window").agg(F.sum("c").alias("total"), F.min("c").alias("least"), F.count(F.lit(1)).alias("c")).where("total > 1 and least = 1")
+    twice = stored(twice.select("window", "c"))
+    part = spread_join(own.where("c = 1"), twice.select("window"), "window", hot(twice, "window"), "left_semi").select("k1", "k2", "first", F.lit(1).alias("n"))
 
-    spans = whole.union(part).groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "n")).alias("runs"))
+    spans = stored(whole.union(part).groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "n")).alias("runs")))
+    drop_stored(found, again, runs, extents, lists, own, twice)
     out = T.StructType([
         T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()),
         T.StructField("repeats", T.ArrayType(T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
     ])
-    joined = rows.join(spans, ["k1", "k2"], "left")
-    return joined.select("id", "text", "runs").mapInArrow(_removal(length, out), out)
+    flagged = bit_flag(rows, F.col("k1"), spans, "k1", "may")  # texts without repeats stay where they are
+    rest = flagged.where("not may").select("id", "text", F.lit(None).cast(spans.schema["runs"].dataType).alias("runs"))
+    joined = flagged.where("may").join(spans, ["k1", "k2"], "left").select("id", "text", "runs")
+    return rest.union(joined).mapInArrow(_removal(length, out), out)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 35) -> DataFrame:

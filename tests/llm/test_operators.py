@@ -140,6 +140,19 @@ def test_substring_dedup(docs, rows, length):
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in got(out)} == brute_substrings(rows, length)
 
 
+def test_substring_dedup_deals_hot_keys_out(docs, rows, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT", 1)
+    test_substring_dedup(docs, rows, 14)
+
+
+def test_spread_join(spark):
+    left = spark.createDataFrame([(i % 7, i) for i in range(200)], "k long, v long")
+    right, hot = spark.createDataFrame([(0, "a"), (3, "b"), (9, "c")], "k long, w string"), spark.createDataFrame([(3,), (9,)], "k long")
+    same = lambda x, y: sorted(map(str, got(x))) == sorted(map(str, got(y)))
+    assert same(common.spread_join(left, right, "k", hot, "inner"), left.join(right, "k"))
+    assert same(common.spread_join(left, right.select("k"), "k", hot, "left_semi"), left.join(right, "k", "left_semi"))
+
+
 def test_substring_repeats_within_a_text(spark):
     w = [f"w{i}" for i in range(50)]
     rows = [(1, " ".join([*w, "x", *w])), (2, " ".join(["a"] * 100)), (3, " ".join(w[:34])), (None, "q"), (None, None)]
