@@ -12,14 +12,16 @@ from pyspark.sql import types as T
 
 from emberlane.llm.words import _LOWER, slices
 
-#: Buckets of byte pairs and of byte triples; labelled texts of one language that are learned from, about, at most.
-BUCKETS, MAX_PER_LANGUAGE = 4096, 600
+#: Buckets of byte pairs and of byte triples; texts whose profiles are held at a time (32 KiB each).
+BUCKETS, ROWS = 4096, 512
+#: Labelled texts that are learned from, about, at most: of one language, of all; and languages.
+MAX_PER_LANGUAGE, MAX_SAMPLE, MAX_LANGUAGES = 600, 6_000, 500
 UNKNOWN = "und"
 
 
 def profiles(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, profiles, which rows hold ASCII letters) for runs of texts; a profile is the root of the shares of hashed byte pairs and triples."""
-    for i, j, data, offs in slices(texts, 1 << 20):
+    for i, j, data, offs in slices(texts, 1 << 20, ROWS):
         b = _LOWER[data].astype(np.uint32)
         two = ((b[:-1] * np.uint32(0x9E3779B1) + b[1:] * np.uint32(0x85EBCA77)) >> np.uint32(20)) if len(b) > 1 else b[:0]
         three = ((b[:-2] * np.uint32(0xC2B2AE3D) + b[1:-1] * np.uint32(0x27D4EB2F) + b[2:] * np.uint32(0x165667B1)) >> np.uint32(20)) if len(b) > 2 else b[:0]
@@ -71,15 +73,23 @@ class Model:
 
     @staticmethod
     def _families(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
-        """Each language joins the family of the one whose mean profile is nearest to its own."""
-        family = np.arange(n)
-        if n > 2:
+        """Languages merged by the average likeness of their mean profiles until about the root of their number is left, two at least.
+
+        One or two languages are one family.
+        """
+        groups = [[k] for k in range(n)]
+        if n:
             mean = np.stack([x[y == k].mean(0) for k in range(n)])
+            mean -= mean.mean(0)  # what all languages share says nothing
             mean /= np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-9)
-            near = mean @ mean.T - 3 * np.eye(n)
-            for k in range(n):
-                family[family == family[k]] = family[near[k].argmax()]
-        return np.unique(family, return_inverse=True)[1]
+            like = mean @ mean.T
+        while len(groups) > (max(2, round(n**0.5)) if n > 2 else 1):
+            a, b = max(combinations(range(len(groups)), 2), key=lambda p: like[np.ix_(groups[p[0]], groups[p[1]])].mean())
+            groups[a] += groups.pop(b)
+        family = np.zeros(n, dtype=int)
+        for f, group in enumerate(groups):
+            family[group] = f
+        return family
 
     def _decide(self, kind: str, members: list[int], margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Winner by votes, then by summed margins; and the probability of its closest duel."""
@@ -115,29 +125,37 @@ def identify(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str =
     """One row per document: ``id_col``, held_out, lang_pred (``und`` where the text is null or has no letter), score 0 to 1.
 
     Learns from texts with a language whose id is not ``held_out`` (a function from the id column to a boolean column):
-    all, or about ``max_per_language`` per language, chosen by a hash of the id. Profiles of whole texts; every prediction
-    uses its text alone. One counting pass, one pass over the sample, one over all texts; no text is shuffled. Without
-    any labelled text all predictions are ``und`` with score 0. Repeated rows get equal answers.
+    all, or about ``max_per_language`` per language and :data:`MAX_SAMPLE` in all, chosen by a hash of id and text, so the driver
+    holds some 100 MB of profiles however many languages there are. More than :data:`MAX_LANGUAGES` languages raise a
+    ValueError. Profiles of whole texts; every prediction uses its text alone. One counting pass, one pass over the sample,
+    one over all texts; no text is shuffled.
+
+    Without any labelled text all predictions are ``und`` with score 0. A null id is not held out. Rows that repeat an id
+    or a text get equal answers; other columns, whatever their names, have no effect; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    flag = F.coalesce(held_out(F.col(id_col)), F.lit(False))
-    learn = docs.where(~flag & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in learn.groupBy(lang_col).count().collect()}
-    u = F.pmod(F.xxhash64(F.lit(23), F.col(id_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    flag = F.coalesce(held_out(F.col("id")), F.lit(False))
+    learn = docs.where(~flag & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = {r[0]: r[1] for r in learn.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    most = min(max_per_language, max(1, MAX_SAMPLE // max(1, len(counts))))
+    u = F.pmod(F.xxhash64(F.lit(23), F.col("id"), F.col("text")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = F.lit(1.0)
     for lang, n in sorted(counts.items()):
-        if n > max_per_language:
-            share = F.when(F.col(lang_col) == lang, F.lit(max_per_language / n)).otherwise(share)
+        if n > most:
+            share = F.when(F.col("lang") == lang, F.lit(most / n)).otherwise(share)
 
     def run_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, x, _ in profiles(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(x)), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], names=["lang", "x"])
 
-    sample = learn.where(u < share).select(F.col(lang_col).alias("lang"), F.col(text_col)).mapInArrow(run_sample, "lang string, x binary").toArrow()
+    sample = learn.where(u < share).select("lang", "text").mapInArrow(run_sample, "lang string, x binary").toArrow()
     x = np.stack([np.frombuffer(b, dtype=np.float16) for b in sample.column("x").to_pylist()]).astype(np.float32) if sample.num_rows else np.zeros((0, 2 * BUCKETS), np.float32)
     model = spark.sparkContext.broadcast(Model(x, sample.column("lang").to_pylist()))
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([T.StructField(id_col, docs.schema["id"].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,4 +170,4 @@ def identify(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str =
             score = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(score.astype(float))], names=schema.names)
 
-    return docs.select(F.col(id_col), flag.alias("held_out"), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select("id", flag.alias("held_out"), "text").mapInArrow(run, schema)

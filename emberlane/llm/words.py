@@ -114,13 +114,14 @@ def windows(words: np.ndarray, n: int) -> np.ndarray:
         return mix((run[n:] - run[:m]) * q[:m] + np.uint64(n))
 
 
-def slices(texts: pa.Array, limit: int = 1 << 20):
-    """Cut an array of texts into runs of about ``limit`` bytes: (first row, array)."""
+def slices(texts: pa.Array, limit: int = 1 << 20, rows: int = 1 << 16):
+    """Cut an array of texts into runs of about ``limit`` bytes and at most ``rows`` texts: (first row, end, bytes, offsets)."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     data, offs = buffers(texts)
     i = 0
     while i < len(texts):
         j = max(i + 1, int(np.searchsorted(offs, offs[i] + limit, side="right")) - 1)
+        j = min(j, i + rows)
         yield i, j, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         i = j

@@ -409,6 +409,68 @@ def _language_rows(n=240):
     return out
 
 
+def _fitted(langs, seed=2):
+    """A model of invented languages that share syllables with the one before or after them."""
+    rng = random.Random(seed)
+    sylls = {name: [f"{c}{v}" for c in cs for v in vs] + own for name, (cs, vs, own) in langs.items()}
+    texts = [(" ".join("".join(rng.choices(sylls[n], k=3)) for _ in range(40)), n) for n in sylls for _ in range(40)]
+    x = np.concatenate([x for _, x, _ in language.profiles(pa.array([t for t, _ in texts]))])
+    return language.Model(x, [n for _, n in texts]), x, [n for _, n in texts]
+
+
+LANGS = {"aa": ("bdg", "ae", ["zu"]), "ab": ("bdg", "ae", ["xo"]), "ba": ("klm", "iu", ["zu"]), "bb": ("klm", "iu", ["xo"])}
+
+
+def test_language_families():
+    model, x, names = _fitted(LANGS)
+    family = dict(zip(model.languages, model.family, strict=True))
+    assert family["aa"] == family["ab"] != family["ba"] == family["bb"]
+    assert sorted(kind for kind, _, _ in model.pairs) == ["family", "language", "language"]
+    assert np.mean([p == n for p, n in zip(model.predict(x)[0], names, strict=True)]) > 0.97
+    at = model.pairs.index(next(p for p in model.pairs if p[0] == "family"))
+    model.weights[:, at] *= -1  # the family decides which languages are asked about at all
+    assert all(family[p] != family[n] for p, n in zip(model.predict(x)[0], names, strict=True))
+
+
+def test_language_decisions_against_plain_duels():
+    model, x, _ = _fitted(LANGS | {"ca": ("prt", "ao", ["zu"]), "cb": ("prt", "ao", ["xo"]), "cc": ("prt", "ao", ["ly"])})
+    assert max(model.family) >= 1
+
+    def duel(kind, members, row):
+        if len(members) == 1:
+            return members[0]
+        votes = dict.fromkeys(members, 0.0)
+        for (what, a, b), w in zip(model.pairs, model.weights.T, strict=True):
+            if what == kind and a in votes and b in votes:
+                m = float(row @ w[:-1] + w[-1])
+                votes[a] += (m > 0) + 1e-3 * math.tanh(m)
+                votes[b] += (m < 0) + 1e-3 * math.tanh(-m)
+        return max(votes, key=votes.get)
+
+    for row, got_name, score in zip(x, *model.predict(x), strict=True):
+        f = duel("family", sorted(set(model.family)), row)
+        assert got_name == model.languages[duel("language", [k for k, g in enumerate(model.family) if g == f], row)]
+        assert 0 <= score <= 1
+
+
+def test_language_id_of_odd_rows(spark):
+    rows = _language_rows()
+    long = " ".join(t for _, t, lang, *_ in rows if lang == "de") * 40
+    docs = rows + [(1000, long, None, None, None), (1000, long, None, None, None), (1001, "", None, None, None), (1002, "123 !", "en", None, None), (None, rows[0][1], None, None, None)]
+    df = spark.createDataFrame(docs, DOCS).withColumn("held_out", F.lit("x")).withColumn("score", F.lit(1)).withColumn("lang_pred", F.lit(2)).withColumn("id", F.lit(0))
+    out = got(language.identify(df, queries.id_remainder(3, 1)))
+    assert len(out) == len(docs) and set(out[0]) == {"doc_id", "held_out", "lang_pred", "score"}
+    assert [r["lang_pred"] for r in out if r["doc_id"] == 1000] == ["de"] * 2
+    assert [(r["lang_pred"], r["score"]) for r in out if r["doc_id"] in (1001, 1002)] == [("und", 0.0)] * 2
+    assert [(r["held_out"], r["lang_pred"]) for r in out if r["doc_id"] is None] == [(False, rows[0][2])]
+
+
+def test_too_many_languages_raise(spark, monkeypatch):
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 3)
+    with pytest.raises(ValueError, match="languages"):
+        language.identify(spark.createDataFrame(_language_rows(), DOCS), queries.id_remainder(3, 1))
+
+
 def test_language_id(spark):
     rows = [*_language_rows(), (900, None, "en", "s", 1), (901, "12 34 ...", "fr", "s", 1), (902, "Привет", None, "s", 1), (903, "", "de", None, 1)]
     df = spark.createDataFrame(rows, DOCS)
