@@ -93,6 +93,8 @@ def with_views(sql: str) -> str:
     body = sql.strip()
     if not heads:
         return body
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {heads}, {body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {heads}, {body[5:]}"
     return f"WITH {heads} {body}"

@@ -7,7 +7,9 @@ from emberlane.functions import text as tx
 from emberlane.operators import balance, inference
 from emberlane.operators import label as lb
 from emberlane.operators import sampling as sm
+from emberlane.plans import fitted
 from emberlane.plans.registry import query
+from emberlane.schema import CLASSES, CONDITIONS
 
 A, PAIRS, R = "fx_attempts", "fx_pairs", "fx_ratings"
 
@@ -30,39 +32,73 @@ _S = f"(SELECT message_id, model, realized_cer AS x, (label = 'drift')::INT - 1
 def _(a): return inference.meats_at(a, (-2.0, 5.0))  # noqa: E704
 
 
-@query("clustered_logit_target", A)
+_TERM = 'term, beta, se, "or", lo, hi, p'
+_DOUBLES = 'beta se "or" lo hi p'
+_ADJUSTED, _XS = ["intercept", "realized_cer", "replicate_idx", "crit"], ["1.0", "realized_cer", "replicate_idx / 10.0", "(corpus = 'CRIT')::INT"]
+#: Digits that two independent Newton solves agree in, odds ratios in the thousands included.
+FIT = 6
+
+
+def _dose(x: str) -> str:
+    return f"""{fitted.logit(A, ["1.0", x], "label = 'drift'")} SELECT {_TERM}, total.n::BIGINT AS n, meat.g AS n_clusters, true AS converged FROM {fitted.table(["intercept", x], "0.1")} t JOIN total USING (grp) JOIN meat USING (grp)"""
+
+
+@query("clustered_logit_target", A, doubles=_DOUBLES, digits=FIT, sql=_dose("cer_target"))
 def _(a): return inference.dose_model(a)  # noqa: E704
 
 
-@query("clustered_logit_realised", A)
+@query("clustered_logit_realised", A, doubles=_DOUBLES, digits=FIT, sql=_dose("realized_cer"))
 def _(a): return inference.dose_model(a, "realized_cer")  # noqa: E704
 
 
-@query("predicted_drift_grid", A)
+@query("predicted_drift_grid", A, doubles="realized_cer predicted", digits=FIT, sql=fitted.logit(A, ["1.0", "realized_cer"], "label = 'drift'") + " SELECT x AS realized_cer, 1 / (1 + exp(-(b0 + b1 * x))) AS predicted FROM fit, (SELECT unnest([0, 0.1, 0.2, 0.3, 0.4])::DOUBLE AS x)")
 def _(a): return inference.predicted_grid(a)  # noqa: E704
 
 
-@query("two_way_cluster_slope", A)
+_V = [fitted.sandwich(1, 2, m) for m in ("meat", "by_model", "by_both")]
+
+
+@query("two_way_cluster_slope", A, doubles="beta se_message_id se_model se_twoway lo hi", digits=FIT, sql=fitted.logit(A, ["1.0", "realized_cer"], "label = 'drift'", more_clusters=["by_model:model", "by_both:concat(message_id, '|', model)"]) + f"""
+    SELECT *, beta - {fitted.Z} * se_twoway AS lo, beta + {fitted.Z} * se_twoway AS hi FROM (SELECT b1 AS beta, sqrt({_V[0]}) AS se_message_id, sqrt({_V[1]}) AS se_model,
+        CASE WHEN {_V[0]} + {_V[1]} - {_V[2]} > 0 THEN sqrt({_V[0]} + {_V[1]} - {_V[2]}) ELSE greatest(sqrt({_V[0]}), sqrt({_V[1]})) END AS se_twoway, NOT {_V[0]} + {_V[1]} - {_V[2]} > 0 AS fallback,
+        total.n::BIGINT AS n_obs, meat.g AS n_message_clusters, by_model.g AS n_model_clusters FROM fit JOIN total USING (grp) JOIN meat USING (grp) JOIN by_model USING (grp) JOIN by_both USING (grp))""")
 def _(a): return inference.two_way_slope(a)  # noqa: E704
 
 
-@query("multinomial_logit", A)
+@query("multinomial_logit", A, doubles=_DOUBLES, digits=FIT, sql=f"""{fitted.multinomial(A, "label", CLASSES, _XS)} SELECT {_TERM}, true AS converged FROM {fitted.table([f"{c}:{t}" for c in CLASSES[1:] for t in _ADJUSTED])} t""")
 def _(a): return inference.multinomial_model(a, _covariates())  # noqa: E704
 
 
-@query("binary_contrast_logit", A)
+@query("binary_contrast_logit", A, doubles=_DOUBLES, digits=FIT, sql=f"""{fitted.logit(f"(SELECT * FROM {A} WHERE label IN ('drift', 'degraded'))", _XS, "label = 'drift'")} SELECT {_TERM} FROM {fitted.table(_ADJUSTED)} t""")
 def _(a): return inference.binary_contrast(a, "drift", "degraded", _covariates())  # noqa: E704
 
 
-@query("adjusted_one_vs_rest", A)
+@query("adjusted_one_vs_rest", A, doubles=_DOUBLES, digits=FIT, sql=f"""{fitted.logit(f"(SELECT *, unnest({list(CLASSES)!r}) AS class FROM {A})", _XS, "label = class", by="class")} SELECT grp AS class, {_TERM}, 'clustered_logit' AS engine, true AS converged FROM {fitted.table(_ADJUSTED)} t""")
 def _(a): return inference.one_versus_rest(a, _covariates())  # noqa: E704
 
 
-@query("interface_condition_model", "fx_interface")
+_SHOWN = [c for c, *_ in CONDITIONS if c != "forced"]
+_DECLARED = "(SELECT * FROM fx_interface WHERE NOT coalesce(abstained, false))"
+_IS = [f"(condition = '{c}')::INT" for c in _SHOWN]
+
+
+def _interface(kind: str, names: list[str], xs: list[str]) -> str:
+    return f"""{fitted.logit(_DECLARED, xs, "label = 'drift'")} SELECT '{kind}' AS model, {_TERM}, true AS converged FROM {fitted.table(names)} t"""
+
+
+_MAIN = (["intercept", *_SHOWN, "rate"], ["1.0", *_IS, "cer_target"])
+_BOTH = ([*_MAIN[0], *[f"{c}:rate" for c in _SHOWN]], [*_MAIN[1], *[f"{c} * cer_target" for c in _IS]])
+
+
+@query("interface_condition_model", "fx_interface", doubles=_DOUBLES, digits=FIT, sql=f"SELECT * FROM ({_interface('main', *_MAIN)}) UNION ALL SELECT * FROM ({_interface('interaction', *_BOTH)})")
 def _(i): return inference.interface_model(i)  # noqa: E704
 
 
-@query("conditional_logit_pairs", A, PAIRS)
+_ARMS = "(SELECT a.*, pair_id, critical FROM {a} a JOIN (SELECT crit_message_id AS pair_id, unnest([crit_message_id, message_id]) AS message_id, unnest([1, 0]) AS critical FROM fx_pairs) USING (message_id))"
+_KEY = "concat_ws('|', pair_id, cer_target::VARCHAR, replicate_idx, model)"
+
+
+@query("conditional_logit_pairs", A, PAIRS, doubles=_DOUBLES, digits=FIT, sql=f"""{fitted.conditional(_ARMS.format(a=A), _KEY, "critical", "(label = 'drift')")} {fitted.conditional_table()}""".replace(" FROM fit", ", used AS n_discordant, n AS n_rows, true AS converged FROM fit"))
 def _(a, p): return inference.matched_effect(balance.matched_rows(a, p), ["pair_id", "cer_target", "replicate_idx", "model"])  # noqa: E704
 
 
@@ -80,15 +116,22 @@ def _(s, p):
 def _(a): return inference.gee_slope(a)  # noqa: E704
 
 
-@query("per_model_slopes", A)
+_SLOPES = fitted.logit(A, ["1.0", "realized_cer"], "label = 'drift'", by="model") + f", slopes AS (SELECT grp AS model, beta AS slope, se, total.n::BIGINT AS n FROM {fitted.table(['intercept', 'slope'])} t JOIN total USING (grp) WHERE term = 'slope')"
+
+
+@query("per_model_slopes", A, doubles="slope se", digits=FIT, sql=f"{_SLOPES} SELECT model, slope, se, true AS converged, n FROM slopes")
 def _(a): return inference.model_slopes(a)  # noqa: E704
 
 
-@query("pooled_model_slope", A)
+@query("pooled_model_slope", A, doubles="pooled se lo hi tau2 q i2", digits=FIT, sql=f"""{_SLOPES},
+    t AS (SELECT slope AS y, greatest(pow((2 * 1.96 * se) / (2 * 1.96), 2), 1e-12) AS v FROM slopes), a AS (SELECT count(*) AS k, sum(1 / v) AS sw, sum(1 / v / v) AS sw2, sum(y / v) AS swy FROM t),
+    q AS (SELECT k, sw, sw2, sum(pow(y - swy / sw, 2) / v) AS q FROM t, a GROUP BY ALL), u AS (SELECT k, q, greatest(0, (q - (k - 1)) / (sw - sw2 / sw)) AS tau2 FROM q),
+    r AS (SELECT k, q, tau2, sum(y / (v + tau2)) / sum(1 / (v + tau2)) AS pooled, 1 / sqrt(sum(1 / (v + tau2))) AS se FROM t, u GROUP BY ALL)
+    SELECT k, pooled, se, pooled - 1.96 * se AS lo, pooled + 1.96 * se AS hi, tau2, q, CASE WHEN q > 0 THEN greatest(0, (q - (k - 1)) / q) * 100 ELSE 0 END AS i2 FROM r""")
 def _(a): return inference.pooled_slope(a)  # noqa: E704
 
 
-@query("message_aggregated_glm", A)
+@query("message_aggregated_glm", A, doubles=_DOUBLES, digits=FIT, sql=f"""{fitted.logit(f"(SELECT message_id, count(*) AS trials, count(*) FILTER (label = 'drift') AS k, avg(realized_cer) AS mean_rate FROM {A} GROUP BY message_id)", ["1.0", "mean_rate"], "k", trials="trials")} SELECT {_TERM} FROM {fitted.table(["intercept", "mean_rate"])} t""")
 def _(a): return inference.aggregated_model(a)  # noqa: E704
 
 
