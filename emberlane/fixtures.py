@@ -33,6 +33,13 @@ VIEWS: dict[str, str] = {
     "fx_pairs": """
         SELECT DISTINCT concat('msg', cast(l_partkey % 200 AS string)) AS crit_message_id, concat('msg', cast(l_partkey % 200 + 20 AS string)) AS message_id
         FROM lineitem WHERE l_partkey % 200 >= 160 AND l_partkey % 200 < 180""",
+    "fx_matched": """
+        SELECT a.*, p.pair_id, p.critical, CASE WHEN a.label = 'drift' THEN 1 ELSE 0 END AS drift,
+               CASE cast(substr(p.pair_id, 4) AS int) % 5 WHEN 0 THEN 'negation' WHEN 1 THEN 'recipient' WHEN 2 THEN 'refusal_consent' WHEN 3 THEN 'dose' ELSE 'grounded' END AS category,
+               cast(40 + a.l_partkey % 97 AS double) AS char_len, cast(round(a.realized_cer * (40 + a.l_partkey % 97)) AS double) AS n_errors,
+               CASE WHEN a.l_orderkey % 11 = 0 THEN 1 ELSE 0 END AS corrupted_negation, CASE WHEN a.l_orderkey % 7 < 2 THEN 1 ELSE 0 END AS corrupted_numeral
+        FROM fx_attempts a JOIN (SELECT crit_message_id AS pair_id, crit_message_id AS message_id, 1 AS critical FROM fx_pairs
+                                 UNION ALL SELECT crit_message_id, message_id, 0 FROM fx_pairs) p ON a.message_id = p.message_id""",
     "fx_ratings": """
         SELECT concat('S', lpad(cast(o_orderkey AS string), 7, '0')) AS item_id,
                CASE WHEN o_orderkey % 10 < 5 THEN ' Faithful' WHEN o_orderkey % 10 < 7 THEN 'degraded' WHEN o_orderkey % 10 < 9 THEN 'Drift' ELSE 'message-critical drift' END AS rating_a,
@@ -61,6 +68,7 @@ VIEWS: dict[str, str] = {
 }
 #: Tables and views each view reads.
 _READS = {"fx_attempts": ["lineitem"], "fx_pairs": ["lineitem"], "fx_ratings": ["orders"], "fx_text_pairs": ["conversations"], "fx_reply_pairs": ["conversations"], "fx_words": ["part"]}
+_READS["fx_matched"] = ["fx_attempts", "fx_pairs"]
 _READS |= dict.fromkeys(("fx_raw", "fx_signals", "fx_interface"), ["fx_attempts"])
 
 
@@ -71,7 +79,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = VIEWS[name].replace("'', 'g')", "'')").replace("[\\x00-\\x7F]", "[\\\\x00-\\\\x7F]")
     inputs = {t: view(spark, sf_dir, t) for t in _READS[name]}
     for t in inputs:
-        sql = re.sub(rf"\b{t}\b(?= a\b| b\b|\s|$)", "{" + t + "}", sql)
+        sql = re.sub(rf"\b{t}\b(?= a\b| b\b|\s|\)|$)", "{" + t + "}", sql)
     return spark.sql(sql, **inputs)
 
 

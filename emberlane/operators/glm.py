@@ -198,49 +198,96 @@ def conditional_pairs(df: DataFrame, pair: str, critical: str, y: Column, xs: di
     return logit(t, F.lit(1.0), {n: sign * (F.col(f"{n}__1") - F.col(f"{n}__0")) for n in xs})
 
 
-def conditional_strata(df: DataFrame, stratum: str, y: Column, xs: dict[str, Column]) -> Fit:
-    """Conditional logit of m:n strata: the denominator by recursion within each stratum, sums over strata.
+def conditional_sums(x: np.ndarray, y: np.ndarray, b: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log likelihood, score and information at ``b`` of strata that agree in rows and successes: x (strata, rows, terms), y (strata, rows).
 
-    A stratum's rows meet in one task (a design's replicates: tens of rows); concordant strata drop out first.
+    The denominator is an elementary symmetric sum; it and its derivatives come by a recursion over rows, for all strata at once.
+    """
+    strata, n, p = x.shape
+    m = int(y[0].sum())
+    eta = x @ b
+    shift = eta.max(axis=1)
+    u = np.exp(eta - shift[:, None])
+    f, g, h = np.zeros((strata, m + 1)), np.zeros((strata, m + 1, p)), np.zeros((strata, m + 1, p, p))
+    f[:, 0] = 1.0
+    for r in range(n):
+        v, w = x[:, r], u[:, r]
+        f0, g0 = f[:, :-1], g[:, :-1]
+        across = g0[:, :, :, None] * v[:, None, None, :]
+        more_h = h[:, :-1] + across + across.swapaxes(2, 3) + f0[:, :, None, None] * (v[:, :, None] * v[:, None, :])[:, None]
+        more_g = g0 + f0[:, :, None] * v[:, None, :]
+        more_f = f0 * w[:, None]
+        h[:, 1:] += more_h * w[:, None, None, None]
+        g[:, 1:] += more_g * w[:, None, None]
+        f[:, 1:] += more_f
+    mean = g[:, m] / f[:, m, None]
+    var = h[:, m] / f[:, m, None, None] - mean[:, :, None] * mean[:, None, :]
+    won = np.einsum("sr,srp->sp", y, x)
+    return float((won @ b - np.log(f[:, m]) - m * shift).sum()), (won - mean).sum(0), var.sum(0)
+
+
+def conditional_by(df: DataFrame, key: Column, stratum: Sequence[str], y: Column, xs: dict[str, Column]) -> dict[object, Fit]:
+    """A conditional logit of m:n strata for each value of ``key``, all in step with each other.
+
+    Concordant strata drop out first. A stratum's rows (a design's replicates: tens of rows) are gathered once into arrays;
+    every Newton step is one pass over them in batches, and only sums per key reach the driver. Keys are a design's models or
+    categories. ``clusters`` counts the strata used.
     """
     names, p = list(xs), len(xs)
-    base = df.select(F.col(stratum).alias("g"), y.cast("double").alias("y"), *[x.cast("double").alias(f"x{i}") for i, x in enumerate(xs.values())])
-    mixed = base.groupBy("g").agg(F.min("y").alias("lo"), F.max("y").alias("hi")).where("lo < hi").select("g")
-    base = base.join(mixed, "g").persist()
-    shape = ", ".join(["ll double", *[f"g{i} double" for i in range(p)], *[f"h{i}_{j} double" for i, j in _pairs(p)]])
-
-    def stats(beta: np.ndarray):  # noqa: ANN202
-        b = beta.copy()
-
-        def one(pdf):  # noqa: ANN001, ANN202
+    row = F.struct(y.cast("double").alias("y"), *[x.cast("double").alias(f"x{i}") for i, x in enumerate(xs.values())])
+    flat = lambda c: F.transform("_r", lambda r: r[c])
+    t = df.select(key.alias("_k"), *stratum, row.alias("_v")).groupBy("_k", *stratum).agg(F.collect_list("_v").alias("_r"))
+    t = t.withColumn("y", flat("y")).withColumn("x", F.flatten(F.transform("_r", lambda r: F.array(*[r[f"x{i}"] for i in range(p)]))))
+    t = t.where(F.array_min("y") < F.array_max("y")).select("_k", "y", "x").persist()
+    shape = ", ".join(["_k " + dict(t.dtypes)["_k"], "ll double", *[f"g{i} double" for i in range(p)], *[f"h{i}_{j} double" for i, j in _pairs(p)]])
+
+    def stats(betas: dict[object, np.ndarray]) -> dict[object, tuple]:
+        def run(batches):  # noqa: ANN001, ANN202
             import pandas as pd
 
-            x, yy = pdf[[f"x{i}" for i in range(p)]].to_numpy(), pdf["y"].to_numpy()
-            m = int(yy.sum())
-            f, g, h = np.zeros(m + 1), np.zeros((m + 1, p)), np.zeros((m + 1, p, p))
-            f[0] = 1.0
-            shift = (x @ b).max()
-            for row in x:  # elementary symmetric sums with first and second derivatives
-                u = math.exp(row @ b - shift)
-                gg = g[:-1] + f[:-1, None] * row
-                hh = h[:-1] + g[:-1, :, None] * row + row[:, None] * g[:-1, None, :] + f[:-1, None, None] * np.outer(row, row)
-                h[1:] += u * hh
-                g[1:] += u * gg
-                f[1:] += u * f[:-1].copy()
-            mean = g[m] / f[m]
-            var = h[m] / f[m] - np.outer(mean, mean)
-            ll = float((yy @ x) @ b - math.log(f[m]) - m * shift)
-            return pd.DataFrame([[ll, *(yy @ x - mean), *[var[i, j] for i, j in _pairs(p)]]])
-
-        r = base.groupBy("g").applyInPandas(one, shape)
-        row = r.agg(*[F.sum(c) for c in r.columns]).first()
-        return float(row[0] or 0), np.array([float(v or 0) for v in row[1 : p + 1]]), _square(row[p + 1 :], p)
+            for pdf in batches:
+                rows = []
+                pdf = pdf.assign(n=pdf["y"].map(len), m=pdf["y"].map(sum))
+                for (k, n, _), part in pdf.groupby(["_k", "n", "m"], dropna=False):
+                    if k in betas:
+                        x, yy = np.stack(part["x"].to_numpy()).reshape(len(part), n, p), np.stack(part["y"].to_numpy())
+                        ll, g, h = conditional_sums(x, yy, betas[k])
+                        rows.append((k, ll, *g, *[h[i, j] for i, j in _pairs(p)]))
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in shape.split(", ")])
+
+        sums = t.mapInPandas(run, shape)
+        got = sums.groupBy("_k").agg(*[F.sum(c).alias(c) for c in sums.columns[1:]]).collect()
+        return {r["_k"]: (float(r[1]), np.array(r[2 : p + 2], dtype=float), _square(r[p + 2 :], p)) for r in got}
 
     try:
-        beta, info, ok, _ = _newton(stats, p)
-        return Fit(names, beta, _inverse(info), float(base.count()), ok)
+        sizes = {r["_k"]: (r["s"], r["n"]) for r in t.groupBy("_k").agg(F.count(F.lit(1)).alias("s"), F.sum(F.size("y")).alias("n")).collect()}
+        beta = {k: np.zeros(p) for k in sizes}
+        at = stats(beta) if beta else {}
+        step = {k: np.linalg.lstsq(at[k][2], at[k][1], rcond=None)[0] for k in beta}
+        done, halved = {}, dict.fromkeys(beta, 0)
+        for _ in range(4 * MAX_STEPS):
+            for k in list(step):
+                if np.abs(step[k]).max(initial=0) < TOLERANCE or np.abs(beta[k]).max(initial=0) > 1e3:
+                    done[k] = bool(np.abs(beta[k]).max(initial=0) <= 1e3)
+                    del step[k]
+            if not step:
+                break
+            new = stats({k: beta[k] + s for k, s in step.items()})
+            for k in list(step):
+                if new[k][0] >= at[k][0] - 1e-9 * abs(at[k][0]) or halved[k] >= 12:
+                    beta[k], at[k], halved[k] = beta[k] + step[k], new[k], 0
+                    step[k] = np.linalg.lstsq(at[k][2], at[k][1], rcond=None)[0]
+                else:
+                    step[k], halved[k] = step[k] / 2, halved[k] + 1
+        return {k: Fit(names, beta[k], _inverse(at[k][2]), float(n), done.get(k, False), clusters={"strata": int(s)}) for k, (s, n) in sizes.items()}
     finally:
-        base.unpersist()
+        t.unpersist()
+
+
+def conditional_strata(df: DataFrame, stratum: str, y: Column, xs: dict[str, Column]) -> Fit:
+    """Conditional logit of m:n strata on all rows; see :func:`conditional_by`. Without a discordant stratum nothing is fitted."""
+    fits = conditional_by(df, F.lit(1), [stratum], y, xs)
+    return fits.get(1, Fit(list(xs), np.zeros(len(xs)), np.zeros((len(xs), len(xs))), 0.0, False, notes="no discordant stratum"))
 
 
 def conditional_counts(df: DataFrame, stratum: str, critical: str, y: Column) -> Fit:

@@ -4,11 +4,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from emberlane.functions import text as tx
-from emberlane.operators import balance, inference
+from emberlane.operators import balance, inference, matched
 from emberlane.operators import label as lb
 from emberlane.operators import sampling as sm
 from emberlane.plans import fitted
 from emberlane.plans.registry import query
+from emberlane.plans.relational import CRIT, _ensemble_sql
 from emberlane.schema import CLASSES, CONDITIONS
 
 A, PAIRS, R = "fx_attempts", "fx_pairs", "fx_ratings"
@@ -106,12 +107,72 @@ def _(a, p): return inference.matched_effect(balance.matched_rows(a, p), ["pair_
 def _(a, p): return inference.matched_effect_strata(balance.matched_rows(a, p), ["pair_id", "cer_target", "replicate_idx"], {"realized_cer": F.col("realized_cer")})  # noqa: E704
 
 
-@query("critical_excess_rule_free", "fx_signals", PAIRS)
+_FREE = f"(SELECT * EXCLUDE (v0, v1, v2, v3, nf, nd, nx, most, tied, final, agreement, tie, tied_labels), final AS free, '' AS label FROM ({_ensemble_sql(repr('primary'), 'false')}))"
+_LABELLED = f"(SELECT *, (free = 'drift')::INT AS drift_rule_free, (final = 'drift')::INT AS drift_rule_inclusive FROM ({_ensemble_sql(repr('primary'), src=_FREE)}))"
+_MATCHED = f"(SELECT a.*, pair_id, critical, ['negation', 'recipient', 'refusal_consent', 'dose', 'grounded'][substr(pair_id, 4)::INT % 5 + 1] AS category FROM {_LABELLED} a JOIN (SELECT crit_message_id AS pair_id, unnest([crit_message_id, message_id]) AS message_id, unnest([1, 0]) AS critical FROM fx_pairs) USING (message_id))"
+_CELL = ["pair_id", "cer_target", "replicate_idx", "model"]
+_OUTCOMES = ["drift_rule_free", "drift_rule_inclusive"]
+
+
+def _excess_rows(s, p):
+    """Matched attempts with both outcomes and the category of their pair's probe."""
+    t = lb.ensemble(lb.ensemble(s.drop("label"), "primary", rule_free=True).withColumnRenamed("label", "_free").drop("agreement", "tie", "tied_labels"), "primary")
+    t = t.withColumns({"drift_rule_free": (F.col("_free") == "drift").cast("int"), "drift_rule_inclusive": (F.col("label") == "drift").cast("int")})
+    names = F.array(*[F.lit(c) for c in ("negation", "recipient", "refusal_consent", "dose", "grounded")])
+    return balance.matched_rows(t, p).withColumn("category", F.element_at(names, F.substring("pair_id", 4, 9).cast("int") % 5 + 1))
+
+
+def _excess_sql(by: str, name: str) -> str:
+    each = [f"SELECT * FROM ({fitted.conditional(_MATCHED, _KEY, 'critical', f'({o} = 1)', by=by)} SELECT grp AS {name}, '{o}' AS outcome, exp(b) AS odds_ratio, exp(b - {fitted.Z} * se) AS lo, exp(b + {fitted.Z} * se) AS hi, used AS n_pairs, n AS n_obs, true AS converged FROM fit)" for o in _OUTCOMES]
+    return " UNION ALL ".join(each)
+
+
+@query("critical_excess_rule_free", "fx_signals", PAIRS, doubles=_DOUBLES, digits=FIT, sql=f"""{fitted.conditional(_MATCHED, _KEY, "critical", "(drift_rule_free = 1)")} {fitted.conditional_table()}""".replace(" FROM fit", ", used AS n_discordant, n AS n_rows, true AS converged FROM fit"))
 def _(s, p):
     t = lb.ensemble(s.drop("label"), "primary", rule_free=True)
     return inference.matched_effect(balance.matched_rows(t, p), ["pair_id", "cer_target", "replicate_idx", "model"])
 
 
+@query("critical_excess_pooled", "fx_signals", PAIRS, doubles="odds_ratio lo hi", digits=FIT, sql=f"SELECT * EXCLUDE (scope) FROM ({_excess_sql('1', 'scope')})")
+def _(s, p): return matched.excess(_excess_rows(s, p), _CELL, _OUTCOMES)  # noqa: E704
+
+
+@query("critical_excess_by_model", "fx_signals", PAIRS, doubles="odds_ratio lo hi", digits=FIT, sql=_excess_sql("model", "model"))
+def _(s, p): return matched.excess(_excess_rows(s, p), _CELL[:3], _OUTCOMES, "model")  # noqa: E704
+
+
+@query("critical_excess_by_category", "fx_signals", PAIRS, doubles="odds_ratio lo hi", digits=FIT, sql=_excess_sql("category", "category"))
+def _(s, p): return matched.excess(_excess_rows(s, p), _CELL, _OUTCOMES, "category")  # noqa: E704
+
+
+_POINTS = "count(*) FILTER (critical = 1) AS n_crit, count(*) FILTER (critical = 0) AS n_ctrl, count(DISTINCT message_id) FILTER (critical = 1) AS n_crit_items, avg(drift_rule_free) FILTER (critical = 1) AS p_crit, avg(drift_rule_free) FILTER (critical = 0) AS p_ctrl"
+
+
+@query("critical_excess_points_by_category", "fx_signals", PAIRS, doubles="p_crit p_ctrl rd_pp", sql=f"SELECT *, 100 * (p_crit - p_ctrl) AS rd_pp FROM (SELECT category, {_POINTS} FROM {_MATCHED} GROUP BY category)")
+def _(s, p): return matched.excess_points(_excess_rows(s, p), "drift_rule_free", "category")  # noqa: E704
+
+
+_ANCHOR, _PRIOR = [f"m{i}" for i in range(7)], 1.1
+
+
+@query("critical_excess_anchor", "fx_signals", PAIRS, doubles="odds_ratio lo hi prior", digits=FIT, sql=f"""
+    {fitted.conditional(f"(SELECT * FROM {_MATCHED} WHERE model IN ({', '.join(map(repr, _ANCHOR))}))", _KEY, "critical", "(drift_rule_free = 1)")}
+    SELECT exp(b) AS odds_ratio, exp(b - {fitted.Z} * se) AS lo, exp(b + {fitted.Z} * se) AS hi, used AS n_pairs, n AS n_obs, {_PRIOR}::DOUBLE AS prior, abs(exp(b) - {_PRIOR}) < 0.05 AS reproduces FROM fit""")
+def _(s, p): return matched.anchor(_excess_rows(s, p), _CELL, "drift_rule_free", _ANCHOR, _PRIOR)  # noqa: E704
+
+
+@query("matched_adjusted_logit", "fx_matched", digits=FIT)
+def _(m): return matched.adjusted_effect(m, _CELL)  # noqa: E704
+
+
+@query("matched_adjusted_logit_by_model", "fx_matched", digits=FIT)
+def _(m): return matched.adjusted_effect(m, _CELL[:3], by="model")  # noqa: E704
+
+
+@query("bootstrap_risk_difference_by_rate", "fx_matched")
+def _(m): return matched.risk_difference_by_rate(m)  # noqa: E704
+
+
 @query("gee_slope", A)
 def _(a): return inference.gee_slope(a)  # noqa: E704
 
