@@ -48,11 +48,6 @@ VIEWS: dict[str, str] = {
                CASE WHEN o_custkey % 7 = 0 THEN 'drift' WHEN o_orderkey % 10 < 5 THEN 'faithful' WHEN o_orderkey % 10 < 7 THEN 'degraded' ELSE 'drift' END AS auto_label,
                cast(1 + o_custkey % 4 AS double) AS sampling_weight, CASE WHEN o_orderstatus = 'F' THEN 'AUTH' WHEN o_orderstatus = 'O' THEN 'CRIT' ELSE 'CTRL' END AS corpus
         FROM (SELECT o_orderkey, min(o_custkey) AS o_custkey, min(o_orderstatus) AS o_orderstatus FROM orders GROUP BY o_orderkey) t""",
-    "fx_text_pairs": """
-        SELECT a.conv_id, a.turn, a.text AS intended_text, b.text AS output_message
-        FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
-        WHERE a.role = 'user' AND b.role = 'assistant' 
-          AND regexp_replace(a.text, '[\\x00-\\x7F]', '', 'g') = '' AND regexp_replace(b.text, '[\\x00-\\x7F]', '', 'g') = ''""",
     "fx_reply_pairs": """
         SELECT a.conv_id, a.turn, a.text AS intended_text, b.text AS output_message
         FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
@@ -67,7 +62,7 @@ VIEWS: dict[str, str] = {
         SELECT p_partkey, p_name, upper(substr(p_name, 1, 1)) AS intended, upper(substr(p_name, 2, 1)) AS selected FROM part""",
 }
 #: Tables and views each view reads.
-_READS = {"fx_attempts": ["lineitem"], "fx_pairs": ["lineitem"], "fx_ratings": ["orders"], "fx_text_pairs": ["conversations"], "fx_reply_pairs": ["conversations"], "fx_words": ["part"]}
+_READS = {"fx_attempts": ["lineitem"], "fx_pairs": ["lineitem"], "fx_ratings": ["orders"], "fx_reply_pairs": ["conversations"], "fx_words": ["part"]}
 _READS["fx_matched"] = ["fx_attempts", "fx_pairs"]
 _READS |= dict.fromkeys(("fx_raw", "fx_signals", "fx_interface"), ["fx_attempts"])
 
@@ -76,7 +71,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table or fixture view as a DataFrame."""
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    sql = VIEWS[name].replace("'', 'g')", "'')").replace("[\\x00-\\x7F]", "[\\\\x00-\\\\x7F]")
+    sql = VIEWS[name]
     inputs = {t: view(spark, sf_dir, t) for t in _READS[name]}
     for t in inputs:
         sql = re.sub(rf"\b{t}\b(?= a\b| b\b|\s|\)|$)", "{" + t + "}", sql)

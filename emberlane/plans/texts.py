@@ -11,7 +11,7 @@ from emberlane.operators import ranking as rk
 from emberlane.plans.registry import query
 
 #: All pairs of a request and its reply; those of ASCII text alone, on which DuckDB's edit distance (in bytes) is one of characters.
-P, P_ASCII, DOC = "fx_reply_pairs", "fx_text_pairs", "documents"
+P, DOC = "fx_reply_pairs", "documents"
 _NORM = "trim(regexp_replace(regexp_replace(lower({}), '[[:punct:]]', '', 'g'), '\\s+', ' ', 'g'))"
 _TOK = "regexp_extract_all({}, '[A-Za-z0-9]+(?:''[A-Za-z]+)?')"
 
@@ -24,13 +24,21 @@ def _cer(p):
     return p.select("conv_id", "turn", tx.cer(F.col("intended_text"), F.col("output_message")).alias("cer"), tx.normalised_edit_distance(F.col("intended_text"), F.col("output_message")).alias("ned"))
 
 
-@query("cer_text", P_ASCII, doubles="cer ned", sql=f"""
-    SELECT conv_id, turn, CASE WHEN length(intended_text) = 0 THEN 0 ELSE levenshtein(output_message, intended_text)::DOUBLE / length(intended_text) END AS cer,
-           levenshtein(upper(trim(intended_text)), upper(trim(output_message)))::DOUBLE / greatest(length(trim(intended_text)), length(trim(output_message)), 1) AS ned FROM {P_ASCII}""")
-def _(p): return _cer(p)  # noqa: E704
+def _edits(a: str, b: str) -> str:
+    """Edit distance in characters: the built-in one counts bytes, so texts beyond ASCII take rows of the table as lists."""
+    row = f"list_reduce(list_transform(range(1, len({b}) + 1), lambda j: [j::INT]), lambda acc, j: list_append(acc, least(acc[-1] + 1, prev[j[1] + 1] + 1, prev[j[1]] + ({a}[i[1]] <> {b}[j[1]])::INT)), [i[1]])"
+    return f"list_reduce(list_transform(range(1, len({a}) + 1), lambda i: [i::INT]), lambda prev, i: {row}, list_transform(range(0, len({b}) + 1), lambda k: k::INT))[-1]"
+
+
+_UP = "upper(replace(trim({}), 'ß', 'SS'))"
 
 
-@query("cer_text_all_pairs", P)
+@query("cer_text", P, doubles="cer ned", sql=f"""
+    WITH t AS (SELECT conv_id, turn, intended_text AS a, output_message AS b, {_UP.format('intended_text')} AS c, {_UP.format('output_message')} AS d FROM {P}),
+         s AS (SELECT *, string_split(a, '') AS la, string_split(b, '') AS lb, string_split(c, '') AS lc, string_split(d, '') AS ld FROM t),
+         e AS (SELECT conv_id, turn, a, c, d, levenshtein(a, b) AS ab, levenshtein(c, d) AS cd FROM s WHERE strlen(a) = length(a) AND strlen(b) = length(b)
+               UNION ALL SELECT conv_id, turn, a, c, d, {_edits('la', 'lb')}, {_edits('lc', 'ld')} FROM s WHERE NOT (strlen(a) = length(a) AND strlen(b) = length(b)))
+    SELECT conv_id, turn, CASE WHEN length(a) = 0 THEN 0 ELSE ab::DOUBLE / length(a) END AS cer, cd::DOUBLE / greatest(length(c), length(d), 1) AS ned FROM e""")
 def _(p): return _cer(p)  # noqa: E704
 
 

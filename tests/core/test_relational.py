@@ -71,7 +71,7 @@ def _distance(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("name", ["cer_text_all_pairs", "normalise_text", "sentence_form", "clean_examples", "critical_flags_lexical", "changed_words"])
+@pytest.mark.parametrize("name", ["cer_text", "normalise_text", "sentence_form", "clean_examples", "critical_flags_lexical", "changed_words"])
 def test_text_pairs_of_any_script_are_read(spark, duck, name):
     n = duck.sql("SELECT count(*) FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant'").fetchall()[0][0]
     assert registry.QUERIES[name](spark, DATA).count() == n
@@ -80,7 +80,7 @@ def test_text_pairs_of_any_script_are_read(spark, duck, name):
 def test_edit_rates_of_any_script_against_brute_force(spark):
     texts = {(r["conv_id"], r["turn"]): (r["intended_text"], r["output_message"]) for r in view(spark, DATA, "fx_reply_pairs").collect()}
     wide = {k: (a, b) for k, (a, b) in texts.items() if not (a + b).isascii()}
-    out = {(r["conv_id"], r["turn"]): (r["cer"], r["ned"]) for r in registry.QUERIES["cer_text_all_pairs"](spark, DATA).collect()}
+    out = {(r["conv_id"], r["turn"]): (r["cer"], r["ned"]) for r in registry.QUERIES["cer_text"](spark, DATA).collect()}
     assert wide and out.keys() == texts.keys()
     for k, (a, b) in wide.items():
         ta, tb = (x.strip(" ").upper() for x in (a, b))
