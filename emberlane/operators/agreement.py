@@ -42,6 +42,12 @@ def disagreement_list(df: DataFrame, a: str = "rating_a", b: str = "rating_b") -
     return df.where(~la.eqNullSafe(lb)).select("item_id")
 
 
+def source_mismatches(sheet: DataFrame, key: DataFrame, column: str) -> DataFrame:
+    """Items of a sheet whose source differs from the key's, or that the key doesn't know."""
+    k = key.select("item_id", F.col(column).alias("_key"))
+    return sheet.join(k, "item_id", "left").where(~F.col(column).eqNullSafe(F.col("_key"))).select("item_id")
+
+
 def validation_frame(human: DataFrame, automatic: DataFrame, on_missing: str = "mark") -> DataFrame:
     """Every human row with its automatic label; rows without one are marked, or raise. The row count never changes."""
     assert_unique(automatic, ["item_id"], "automatic labels")

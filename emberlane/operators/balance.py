@@ -1,6 +1,8 @@
 """Covariate balance and matched-pair tables."""
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +29,8 @@ def pair_mapping(pairs: DataFrame) -> DataFrame:
 
 
 def matched_rows(attempts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Attempts of paired messages with their pair and arm; pairs are a small design table."""
-    return attempts.join(F.broadcast(pair_mapping(pairs)), "message_id")
+    """Attempts of paired messages with their pair and arm; Spark broadcasts the pairs if they turn out small."""
+    return attempts.join(pair_mapping(pairs), "message_id")
 
 
 def arm_sums(matched: DataFrame, *by: str) -> DataFrame:
@@ -48,10 +50,11 @@ def distance_summary(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.min(column).alias("min"), F.percentile(column, 0.5).alias("median"), F.avg(column).alias("mean"), F.max(column).alias("max"))
 
 
-def pair_candidates(attempts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pair x rate cells with a row of each arm: the critical half joined to the control half, one row of each, by pivoted aggregation."""
+def pair_candidates(attempts: DataFrame, pairs: DataFrame, order: Sequence[str] = ("replicate_idx", "model", "label")) -> DataFrame:
+    """Pair x rate cells with a row of each arm: the critical half joined to the control half, the first row of each by ``order``, by pivoted aggregation."""
     rows = matched_rows(attempts, pairs).withColumn("cer_target", F.round("cer_target", 1))
-    first = lambda a: F.min(F.when(F.col("critical") == a, F.struct("replicate_idx", "model", "label", "l_orderkey", "l_suppkey")))
+    key = F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(order)], "label")
+    first = lambda a: F.min(F.when(F.col("critical") == a, key))
     t = rows.groupBy("pair_id", "cer_target").agg(first(1).alias("c"), first(0).alias("o")).where("c is not null and o is not null")
     return t.select("pair_id", "cer_target", F.col("c.label").alias("crit_label"), F.col("o.label").alias("ctrl_label"))
 
@@ -60,7 +63,7 @@ def reference_arm(attempts: DataFrame, auth: DataFrame, probes: DataFrame, max_r
     """Forced-condition arm: rows whose (message_id, corpus) pair is wanted, never the id alone, with few replicates."""
     key = ["message_id", "corpus"]
     rows = attempts.where(F.col("replicate_idx") < max_replicate)
-    out = rows.join(F.broadcast(auth.select(*key)), key, "left_semi").unionByName(rows.join(F.broadcast(probes.select(*key)), key, "left_semi"), allowMissingColumns=True)
+    out = rows.join(auth.select(*key), key, "left_semi").unionByName(rows.join(probes.select(*key), key, "left_semi"), allowMissingColumns=True)
     return out.withColumn("condition", F.lit("forced"))
 
 

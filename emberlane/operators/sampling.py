@@ -6,6 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+#: Rows of both sides that greedy matching takes at most.
+GREEDY_ROWS = 500_000
+
+
 def hash_order(seed: str, *parts: str) -> Column:
     """A shared deterministic order: SHA-256 of the seed and the parts, joined by bars."""
     return F.sha2(F.concat_ws("|", F.lit(seed), *[F.col(p).cast("string") for p in parts]), 256)
@@ -38,7 +42,7 @@ def draw(df: DataFrame, strata: list[str], k: Column, seed: str, *ids: str) -> D
 
 def proportional_sample(df: DataFrame, stratum: str, n: int, seed: str, id_col: str) -> DataFrame:
     sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("size"))
-    return draw(df.join(F.broadcast(hamilton(sizes, stratum, n).select(stratum, "alloc")), stratum), [stratum], F.col("alloc"), seed, id_col).drop("alloc")
+    return draw(df.join(hamilton(sizes, stratum, n).select(stratum, "alloc"), stratum), [stratum], F.col("alloc"), seed, id_col).drop("alloc")
 
 
 def equal_quota_sample(df: DataFrame, stratum: str, n: int, seed: str, id_col: str) -> DataFrame:
@@ -51,7 +55,7 @@ def equal_quota_sample(df: DataFrame, stratum: str, n: int, seed: str, id_col: s
 def weighted_panel(df: DataFrame, strata: list[str], k: int, seed: str, *ids: str) -> DataFrame:
     """k rows per stratum with weight population / drawn."""
     sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("population"))
-    drawn = draw(df, strata, F.lit(k), seed, *ids).join(F.broadcast(sizes), strata)
+    drawn = draw(df, strata, F.lit(k), seed, *ids).join(sizes, strata)
     return drawn.withColumn("sampling_weight", F.col("population") / F.least(F.col("population"), F.lit(k)))
 
 
@@ -65,15 +69,34 @@ def length_terciles(df: DataFrame, text: Column) -> DataFrame:
     return rows.withColumn("length_bin", names).drop("_e")
 
 
+def numbered(df: DataFrame, order: list[str], name: str, buckets: int = 256) -> DataFrame:
+    """``df`` with its place (from 1) in the order of some columns, without one task for all rows.
+
+    Bounds come from the keys that a hash selects, some 64 a bucket, so they are the same whenever the plan runs again;
+    buckets are counted and numbered apart, and each starts where the ones before it end. Rows with equal keys are placed
+    in any order.
+    """
+    n = df.count()
+    picked = df.select(*order).where(F.pmod(F.xxhash64(*order), F.lit(max(1, n // (64 * buckets)))) == 0).distinct().orderBy(*order).collect()
+    kinds = {c: t for c, t in df.select(*order).dtypes}
+    step = max(1, len(picked) // buckets)
+    bounds = [F.struct(*[F.lit(r[c]).cast(kinds[c]).alias(c) for c in order]) for r in picked[step::step]]
+    at = F.size(F.filter(F.array(*bounds), lambda b: b <= F.struct(*order))) if bounds else F.lit(0)
+    rows = df.withColumn("_bucket", at)
+    sizes = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    before = sizes.select("_bucket", F.coalesce(F.sum("_size").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.row_number().over(W.partitionBy("_bucket").orderBy(*order))
+    return rows.join(F.broadcast(before), "_bucket").withColumn(name, place.cast("long")).drop("_bucket", "_before")  # a row a bucket is broadcast
+
+
 def number_items(df: DataFrame, prefix: str, order: list[str], width: int = 4) -> DataFrame:
-    """Ids R0001, R0002, ... in a canonical order. Panels are small by design: one ordered pass."""
-    at = F.row_number().over(W.orderBy(*order))
-    return df.withColumn("item_id", F.concat(F.lit(prefix), F.lpad(at.cast("string"), width, "0")))
+    """Ids R0001, R0002, ... in a canonical order."""
+    return numbered(df, order, "_place").withColumn("item_id", F.concat(F.lit(prefix), F.lpad(F.col("_place").cast("string"), width, "0"))).drop("_place")
 
 
 def shuffle_items(df: DataFrame, seed: str, id_col: str = "item_id") -> DataFrame:
     """``df`` with its place in the stable hash shuffle."""
-    return df.withColumn("place", F.row_number().over(W.orderBy(hash_order(seed, id_col), id_col)).cast("long"))
+    return numbered(df.withColumn("_hash", hash_order(seed, id_col)), ["_hash", id_col], "place").drop("_hash")
 
 
 def blinded(df: DataFrame, texts: list[str]) -> DataFrame:
@@ -102,10 +125,13 @@ def greedy_controls(critical: DataFrame, pool: DataFrame, features: list[str], s
     """Nearest unused control for each critical row in input order; z-scores over both sides, ties by a seeded permutation.
 
     Greedy matching is sequential, so it runs on the driver over ids and features alone; both sides are designed samples
-    of some thousand rows, and a larger pool should be cut down first (for instance by :func:`draw`).
+    of some thousand rows. More than :data:`GREEDY_ROWS` rows in all raise: a larger pool is to be cut down first (for
+    instance by :func:`draw`).
     """
     import numpy as np
 
+    if critical.count() + pool.count() > GREEDY_ROWS:
+        raise ValueError(f"greedy matching takes at most {GREEDY_ROWS} rows")
     a, b = (t.select("message_id", *[F.col(f).cast("double").alias(f) for f in features]).toPandas() for t in (critical, pool))
     if len(b) < len(a):
         raise ValueError(f"{len(b)} candidates for {len(a)} critical rows")
@@ -122,3 +148,40 @@ def greedy_controls(critical: DataFrame, pool: DataFrame, features: list[str], s
         free[j] = False
         rows.append((a.message_id[i], b.message_id[j], float(np.sqrt(d[j]))))
     return critical.sparkSession.createDataFrame(rows, "crit_message_id string, message_id string, match_distance double")
+
+
+def two_stage_sample(df: DataFrame, category: str, text: str, n: int, seed: str, id_col: str) -> DataFrame:
+    """``n`` rows, each text once: shared among categories by size, then among the length terciles of each, drawn in hash order.
+
+    The first row of a repeated text (by id) stands for it. Terciles are those of the whole deduplicated corpus.
+    """
+    once = first_by_key(df, [text], [id_col])
+    rows = length_terciles(once, F.col(text))
+    sizes = rows.groupBy(category).agg(F.count(F.lit(1)).alias("size"))
+    if n > sizes.agg(F.sum("size")).first()[0]:
+        raise ValueError(f"{n} rows wanted, fewer texts are there")
+    per_category = hamilton(sizes, category, n).select(category, F.col("alloc").alias("_n"))
+    cells = rows.groupBy(category, "length_bin").agg(F.count(F.lit(1)).alias("size")).join(per_category, category)
+    w = W.partitionBy(category)
+    share = F.col("_n") * F.col("size") / F.sum("size").over(w)
+    cells = cells.withColumn("_f", F.floor(share).cast("long")).withColumn("_rest", share - F.floor(share))
+    place = F.row_number().over(w.orderBy(F.desc("_rest"), "length_bin"))
+    alloc = F.col("_f") + F.when(place <= F.col("_n") - F.sum("_f").over(w), 1).otherwise(0)
+    cells = cells.select(category, "length_bin", alloc.cast("long").alias("_alloc"))
+    return draw(rows.join(cells, [category, "length_bin"]), [category, "length_bin"], F.col("_alloc"), seed, id_col).drop("_alloc")
+
+
+def draw_pairs(candidates: DataFrame, stratum: str, k: int, seed: str, *ids: str) -> DataFrame:
+    """``k`` pairs of each stratum in hash order, expanded to an item for each role: crit and ctrl share all but their role."""
+    drawn = draw(candidates, [stratum], F.lit(k), seed, *ids)
+    return drawn.withColumn("role", F.explode(F.array(F.lit("crit"), F.lit("ctrl"))))
+
+
+def substudy_rows(auth: DataFrame, probes: DataFrame, reserved: DataFrame, n: int, seed: str, stratum: str, max_replicate: int = 10) -> DataFrame:
+    """Exposures of a substudy: ``n`` unreserved AUTH messages by stratum (one at least each) and all probe rows, early replicates only."""
+    free = auth.join(reserved.select("message_id").distinct(), "message_id", "left_anti")
+    messages = free.groupBy("message_id").agg(F.min(stratum).alias(stratum))
+    sizes = messages.groupBy(stratum).agg(F.count(F.lit(1)).alias("size"))
+    chosen = draw(messages.join(hamilton_with_floor(sizes, stratum, n).select(stratum, "alloc"), stratum), [stratum], F.col("alloc"), seed, "message_id").select("message_id")
+    rows = free.join(chosen, "message_id", "left_semi").unionByName(probes, allowMissingColumns=True)
+    return rows.where(F.col("replicate_idx") < max_replicate)

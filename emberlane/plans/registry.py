@@ -34,6 +34,6 @@ def query(name: str, *tables: str, sql: str | None = None, doubles: str = "", di
 
 
 def load() -> None:
-    from emberlane.plans import modelling, relational, texts  # noqa: F401
+    from emberlane.plans import modelling, relational, storage, texts  # noqa: F401
 
 

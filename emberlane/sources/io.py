@@ -5,15 +5,14 @@ import datetime
 import hashlib
 import json
 from collections.abc import Sequence
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from emberlane.contracts import assert_unique, require_columns
+from emberlane.operators.sampling import numbered
 
 
 def frame(spark: SparkSession, source: DataFrame | str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -61,19 +60,46 @@ def read_outputs(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
 
 
 def write_shards(df: DataFrame, path: str, shards: int, order: Sequence[str]) -> None:
-    """Contiguous shards of a total order as JSON lines under shard=k: range partitions, each numbered as it lies."""
+    """Contiguous shards of a total order as JSON lines under shard=k, numbered without one task for all rows."""
     n = df.count()
-    ranked = df.withColumn("_id", F.row_number().over(W.orderBy(*order)) - 1)
-    ranked.withColumn("shard", F.expr(f"cast(_id * {shards} div {max(1, n)} as int)")).drop("_id").write.mode("overwrite").partitionBy("shard").json(path)
+    ranked = numbered(df, list(order), "_id")
+    ranked.withColumn("shard", F.expr(f"cast((_id - 1) * {shards} div {max(1, n)} as int)")).drop("_id").write.mode("overwrite").partitionBy("shard").json(path)
+
+
+def _file(spark: SparkSession, path: str):  # noqa: ANN202
+    """A path and its file system, whichever store Spark reads it from."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small text file, or None where there is none."""
+    fs, p = _file(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    fs, p = _file(spark, path)
+    stream = fs.create(p, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
 
 
 def canonical_sha256(value: object) -> str:
     return hashlib.sha256(json.dumps(value, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
 
 
-def freeze_probes(items: list[dict], path: str) -> str:
+def freeze_probes(spark: SparkSession, items: list[dict], path: str) -> str:
     """Write a probe set as JSON and return the hash of its canonical form."""
-    Path(path).write_text(json.dumps(items, indent=1, ensure_ascii=False))
+    write_text(spark, json.dumps(items, indent=1, ensure_ascii=False), path)
     return canonical_sha256(items)
 
 
@@ -94,28 +120,47 @@ def _plain(x: object) -> object:
     raise TypeError(f"{type(x)} has no JSON form")
 
 
-def write_digest(blocks: dict[str, object], path: str) -> str:
+def write_digest(spark: SparkSession, blocks: dict[str, object], path: str) -> str:
     """Named result blocks (frames or plain values) as one JSON file; frames are results of a few rows."""
     out = {k: [r.asDict(recursive=True) for r in v.collect()] if isinstance(v, DataFrame) else v for k, v in blocks.items()}
     text = json.dumps(out, default=_plain, indent=1, sort_keys=True)
-    Path(path).write_text(text)
+    write_text(spark, text, path)
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def file_sha256(path: str) -> str:
-    h = hashlib.sha256()
-    with open(path, "rb") as f:
-        while block := f.read(1 << 20):
-            h.update(block)
-    return h.hexdigest()
+def claims_missing(spark: SparkSession, digest: str, wanted: dict[str, str], paths: Sequence[str], forbidden: Sequence[str] = ()) -> list[tuple[str, str]]:
+    """What texts fail to say: (claim, expected text) for digest values that occur in none of them as formatted, and forbidden words that do.
+
+    ``wanted``: dotted paths into the digest, each with its format.
+    """
+    said = "\n".join(read_text(spark, p) or "" for p in paths)
+    tree = json.loads(read_text(spark, digest) or "{}")
+    out = []
+    for key, form in wanted.items():
+        value: object = tree
+        for part in key.split("."):
+            value = value[int(part)] if isinstance(value, list) else value[part]
+        text = form.format(value)
+        if text not in said:
+            out.append((key, text))
+    return out + [("forbidden", w) for w in forbidden if w in said]
 
 
-def log_provenance(path: str, name: str, entry: dict) -> dict:
+def file_sha256(spark: SparkSession, path: str) -> str:
+    """Hash of a file's bytes, streamed."""
+    fs, p = _file(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
+
+
+def log_provenance(spark: SparkSession, path: str, name: str, entry: dict) -> dict:
     """Merge an entry into a JSON log."""
-    p = Path(path)
-    log = json.loads(p.read_text()) if p.exists() else {}
+    log = json.loads(read_text(spark, path) or "{}")
     log[name] = {**log.get(name, {}), **entry}
-    p.write_text(json.dumps(log, indent=1, sort_keys=True, default=_plain))
+    write_text(spark, json.dumps(log, indent=1, sort_keys=True, default=_plain), path)
     return log
 
 
@@ -123,3 +168,18 @@ def write_matrix(spark: SparkSession, matrix: np.ndarray, alphabet: str, path: s
     """A confusion matrix as a long Parquet table."""
     rows = [(a, b, float(matrix[i, j])) for i, a in enumerate(alphabet) for j, b in enumerate(alphabet) if matrix[i, j]]
     spark.createDataFrame(rows, "intended string, selected string, p double").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def read_matrix(spark: SparkSession, path: str, alphabet: str) -> np.ndarray:
+    """The matrix that :func:`write_matrix` wrote."""
+    m = np.zeros((len(alphabet), len(alphabet)))
+    for r in spark.read.parquet(path).collect():
+        m[alphabet.index(r["intended"]), alphabet.index(r["selected"])] = r["p"]
+    return m
+
+
+def for_rating(outputs: DataFrame) -> DataFrame:
+    """Second-layout outputs under the names of the first: renamed and derived columns, confidence as a share."""
+    need = ["message_id", "model", "corpus", "cer_target", "intended_text", "output_message", "confidence"]
+    t = require_columns(outputs, need, "outputs")
+    return t.select(F.concat_ws("|", "model", "message_id", F.col("cer_target").cast("string")).alias("item_key"), F.col("model").alias("source_model"), "corpus", F.col("cer_target").alias("cer"), F.col("intended_text").alias("reference"), F.col("output_message").alias("candidate"), (F.col("confidence") / 100).alias("confidence_share"))

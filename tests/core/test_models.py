@@ -175,12 +175,12 @@ def test_sources_round_trip(spark, tmp_path):
     io.write_shards(spark.range(10).withColumnRenamed("id", "k"), f"{tmp_path}/sh", 4, ["k"])
     assert sorted(r["shard"] for r in spark.read.json(f"{tmp_path}/sh").select("shard").distinct().collect()) == [0, 1, 2, 3]
     items = [{"message_id": "p", "category": "message_critical", "source_category": "authored", "intended_text": "é", "drift_type": None, "dangerous_variant": None}]
-    h = io.freeze_probes(items, f"{tmp_path}/p.json")
+    h = io.freeze_probes(spark, items, f"{tmp_path}/p.json")
     assert h == io.canonical_sha256(json.loads((tmp_path / "p.json").read_text())) and io.read_probes(spark, f"{tmp_path}/p.json").count() == 1
-    io.write_digest({"a": df, "b": np.float64(2.5), "c": {1, 2}}, f"{tmp_path}/d.json")
+    io.write_digest(spark, {"a": df, "b": np.float64(2.5), "c": {1, 2}}, f"{tmp_path}/d.json")
     assert json.loads((tmp_path / "d.json").read_text())["b"] == 2.5
-    io.log_provenance(f"{tmp_path}/l.json", "x", {"n": np.int64(1)})
-    assert io.log_provenance(f"{tmp_path}/l.json", "x", {"m": 2})["x"] == {"n": 1, "m": 2}
+    io.log_provenance(spark, f"{tmp_path}/l.json", "x", {"n": np.int64(1)})
+    assert io.log_provenance(spark, f"{tmp_path}/l.json", "x", {"m": 2})["x"] == {"n": 1, "m": 2}
     m = np.eye(36)
     io.write_matrix(spark, m, noise.ALPHABET, f"{tmp_path}/m")
     assert np.array_equal(noise.matrix_array(spark.read.parquet(f"{tmp_path}/m")), m)
