@@ -14,37 +14,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlane.llm.common import stored
-from emberlane.llm.words import slices, word_hashes
+from emberlane.llm.words import mix, slices, word_hashes
 
 #: Bytes of text whose n-grams travel together; entries of a count partition, about.
-CHUNK, PARTITION = 6 << 20, 1_500_000
+CHUNK, PARTITION = 8 << 20, 1_500_000
+#: Bits of a word's hash: of V different words about V in 2 ** 49 / V meet another.
+WORD_BITS = 48
+_ZSTD = pa.Codec("zstd", compression_level=5)
 CHUNK_TYPE = "chunk long, first long, ids array<{id}>, n long, sizes binary, vocab binary, codes binary"
 
 
 def packed(values: np.ndarray) -> bytes:
     """Integers as compressed byte planes: planes that are all zeros cost nothing."""
     planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
-    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+    return _ZSTD.compress(planes.tobytes(), asbytes=True)
 
 
 def unpacked(data, n: int) -> np.ndarray:  # noqa: ANN001
-    planes = np.frombuffer(pa.decompress(data, decompressed_size=8 * n, codec="zstd", asbytes=True), dtype=np.uint8)
+    planes = np.frombuffer(_ZSTD.decompress(data, decompressed_size=8 * n, asbytes=True), dtype=np.uint8)
     return np.ascontiguousarray(planes.reshape(8, n).T).view("<u8").ravel()
 
 
+def _raw(words: np.ndarray) -> bytes:
+    return np.ascontiguousarray(words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : WORD_BITS // 8]).tobytes()
+
+
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     task = TaskContext.get().partitionId()
     seq = row = 0
     for batch in batches:
         for i, j, data, offs in slices(batch.column(1), CHUNK):
             words, firsts = word_hashes(data, offs, lower=True)
-            vocab, codes, counts = np.unique(words, return_inverse=True, return_counts=True)
+            vocab, codes, counts = np.unique(words >> np.uint64(64 - WORD_BITS), return_inverse=True, return_counts=True)
             rank = np.argsort(-counts, kind="stable")
             number = np.empty(len(rank), dtype=np.int64)
             number[rank] = np.arange(len(rank))
             ids = pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), batch.column(0).slice(i, j - i))
             longs = [pa.array([v], pa.int64()) for v in ((task << 32) + seq, (task << 40) + row, len(words))]
-            blobs = [pa.array([b], pa.binary()) for b in (packed(np.diff(firsts)), vocab[rank].tobytes(), packed(number[codes]))]
+            blobs = [pa.array([b], pa.binary()) for b in (packed(np.diff(firsts)), _raw(vocab[rank]), packed(number[codes]))]
             yield pa.RecordBatch.from_arrays([*longs[:2], ids, longs[2], *blobs], names=["chunk", "first", "ids", "n", "sizes", "vocab", "codes"])
             seq, row = seq + 1, row + j - i
 
@@ -61,7 +68,10 @@ def chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def opened(row: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of the one chunk in ``row``, and where each of its texts begins."""
     get = lambda c: row.column(c)[0].as_py()
-    vocab = np.frombuffer(get("vocab"), dtype=np.uint64)
+    raw = np.frombuffer(get("vocab"), dtype=np.uint8).reshape(-1, WORD_BITS // 8)
+    vocab = np.zeros((len(raw), 8), dtype=np.uint8)
+    vocab[:, : WORD_BITS // 8] = raw
+    vocab = mix(vocab.view("<u8").ravel())
     sizes = unpacked(get("sizes"), len(row.column("ids")[0])).astype(np.int64)
     return vocab[unpacked(get("codes"), get("n")).astype(np.int64)], np.concatenate(([0], np.cumsum(sizes)))
 
@@ -87,17 +97,18 @@ def _dealt(entries: Callable, parts: int, bits: int):
     return run
 
 
-def _totals(group: pa.Table) -> pa.Table:
-    """One partition of the count table: every chunk's n-grams in it get their counts over all chunks."""
+def _elsewhere(group: pa.Table) -> pa.Table:
+    """One partition of the count table: for every chunk's n-grams in it, their counts in all other chunks."""
     sizes = group.column("m").to_pylist()
     open_up = lambda name: [unpacked(b.as_buffer(), n) for b, n in zip(group.column(name), sizes, strict=True)]
-    hashes = np.concatenate([np.cumsum(d, dtype=np.uint64) for d in open_up("hashes")])
+    hashes, counts = np.concatenate([np.cumsum(d, dtype=np.uint64) for d in open_up("hashes")]), np.concatenate(open_up("counts"))
     order = np.argsort(hashes, kind="stable")
     head = np.concatenate(([True], np.diff(hashes[order]) != 0))
     begin = np.flatnonzero(head)
-    total = np.empty(len(hashes), dtype=np.uint64)
-    total[order] = np.repeat(np.add.reduceat(np.concatenate(open_up("counts"))[order], begin), np.diff([*begin, len(hashes)]))
-    return pa.table({"chunk": group.column("chunk"), "p": group.column("p"), "m": group.column("m"), "totals": pa.array([packed(t) for t in np.split(total, np.cumsum(sizes)[:-1])], pa.binary())})
+    rest = np.empty(len(hashes), dtype=np.uint64)
+    rest[order] = np.repeat(np.add.reduceat(counts[order], begin), np.diff([*begin, len(hashes)]))
+    rest -= counts
+    return pa.table({"chunk": group.column("chunk"), "p": group.column("p"), "m": group.column("m"), "rest": pa.array([packed(t) for t in np.split(rest, np.cumsum(sizes)[:-1])], pa.binary())})
 
 
 def answered(chunks: DataFrame, entries: Callable, expected: int, n_chunks: int, bits: int) -> DataFrame:
@@ -108,13 +119,13 @@ def answered(chunks: DataFrame, entries: Callable, expected: int, n_chunks: int,
     """
     parts = max(8, expected // PARTITION + 1)
     dealt = chunks.mapInArrow(_dealt(entries, parts, bits), "chunk long, p int, m long, hashes binary, counts binary").repartition(parts, "p")
-    totals = dealt.groupBy("p").applyInArrow(_totals, "chunk long, p int, m long, totals binary")
+    totals = dealt.groupBy("p").applyInArrow(_elsewhere, "chunk long, p int, m long, rest binary")
     both = chunks.withColumn("p", F.lit(-1)).unionByName(totals, allowMissingColumns=True)
     return both.repartition(max(1, n_chunks), "chunk")
 
 
 def answers(group: pa.Table) -> tuple[pa.Table, np.ndarray]:
-    """A chunk's own row, and the totals of its distinct hashes in order."""
+    """A chunk's own row, and for its distinct hashes in order the counts in all other chunks."""
     group = group.sort_by("p")
-    some = [unpacked(b.as_buffer(), m.as_py()) for b, m in zip(group.column("totals").slice(1), group.column("m").slice(1), strict=True)]
+    some = [unpacked(b.as_buffer(), m.as_py()) for b, m in zip(group.column("rest").slice(1), group.column("m").slice(1), strict=True)]
     return group.slice(0, 1), np.concatenate(some or [np.zeros(0, np.uint64)]).astype(np.int64)

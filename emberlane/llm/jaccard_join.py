@@ -51,47 +51,44 @@ def _entries(n: int, bits: int):
     return run
 
 
-def _sums(x: np.ndarray) -> int:
-    return int(mix(x).sum()) if len(x) else 0
-
-
 def _signed(n: int, percent: int, bits: int):
     """What the join has to know of each text; members, prefix and bitmap hold repeated shingles only: no other can be shared."""
     shift, salt = np.uint64(64 - bits), np.uint64(0x5851F42D4C957F2D)
 
     def run(group: pa.Table) -> pa.Table:
-        row, totals = answers(group)
+        row, elsewhere = answers(group)
         sets = sets_of(*opened(row), n)
-        flat = np.concatenate(sets)
+        flat, ends = np.concatenate(sets), np.cumsum([0, *map(len, sets)])
         cut_ = flat >> shift
-        often = totals[np.searchsorted(np.unique(cut_), cut_)]
-        ends = np.cumsum([0, *map(len, sets)])
-        lone, one, two, key, prefix, members, parity = [], [], [], [], [], [], []
+        seen, where, here = np.unique(cut_, return_inverse=True, return_counts=True)
+        often = (here + elsewhere)[where]
+        of_each = lambda x: np.diff(np.concatenate((np.zeros(1, x.dtype), np.cumsum(x, dtype=x.dtype)))[ends])
         with np.errstate(over="ignore"):
-            for s, a, b in zip(sets, ends[:-1], ends[1:], strict=True):
-                f = often[a:b]
-                kept = s[f > 1]
-                lone.append(len(s) - len(kept))
-                one.append(_sums(s))
-                two.append(_sums(s ^ salt))
-                room = prefix_length(len(s), percent) - lone[-1] if len(kept) else 0
-                if room <= 0:  # the prefix holds unique shingles alone: nothing can link
-                    key.append(None)
-                    prefix.append(s[:0])
-                    members.append(None)
-                    continue
-                first = kept[np.lexsort((kept, f[f > 1]))[:room]]
+            one, two = of_each(mix(flat)), of_each(mix(flat ^ salt))
+        lone = of_each((often == 1).astype(np.int64))
+        key, prefix, members, parity = [], [], [], []
+        for k, (s, a, b) in enumerate(zip(sets, ends[:-1], ends[1:], strict=True)):
+            room = prefix_length(len(s), percent) - int(lone[k]) if lone[k] < len(s) else 0
+            if room <= 0:  # the prefix holds unique shingles alone: nothing can link
+                key.append(None)
+                prefix.append(flat[:0])
+                members.append(None)
+                continue
+            f = often[a:b]
+            kept = s[f > 1]
+            first = kept[np.lexsort((kept, f[f > 1]))[:room]]
+            with np.errstate(over="ignore"):
                 key.append(int(mix(mix(first) + np.arange(len(first), dtype=np.uint64)).sum().view(np.int64)))
-                prefix.append(first)
-                members.append(kept.tobytes())
-                parity.append(np.packbits((np.bincount((mix(kept) >> np.uint64(40)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1).astype(np.uint8)))
-        longs = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
+            prefix.append(first)
+            members.append(kept.tobytes())
+            parity.append(np.packbits((np.bincount((mix(kept) >> np.uint64(40)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1).astype(np.uint8)))
+        longs = lambda x: pa.array(x.view(np.int64))
         wide = np.zeros((len(sets), PARITY), dtype=np.int64)
         if parity:
             wide[[k is not None for k in key]] = np.stack(parity).view(np.int64)
         first = row.column("first")[0].as_py()
         cols = {
-            "no": pa.array(np.arange(first, first + len(sets))), "id": row.column("ids").combine_chunks().flatten(), "n": pa.array(np.diff(ends), pa.int32()), "s1": longs(one), "s2": longs(two), "lone": pa.array(lone, pa.int32()), "g": pa.array(key, pa.int64()),
+            "no": pa.array(np.arange(first, first + len(sets))), "id": row.column("ids").combine_chunks().flatten(), "n": pa.array(np.diff(ends), pa.int32()), "s1": longs(one), "s2": longs(two), "lone": pa.array(lone.astype(np.int32)), "g": pa.array(key, pa.int64()),
             "prefix": pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefix)]), pa.int32()), pa.array(np.concatenate(prefix).view(np.int64))), "members": pa.array(members, pa.binary()),
         }
         return pa.table(cols | {b: pa.array(np.ascontiguousarray(wide[:, k])) for k, b in enumerate(_BITS)})
@@ -128,11 +125,11 @@ def _verify(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
                 ok.append(100 * both >= percent * (n + m - both))
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("w"))
+    wanted = pairs.select(F.col("u").alias("w")).union(pairs.select("v"))
     sets = bit_filter(signed.where("members is not null").select("no", "n", "members"), F.col("no"), wanted, "w")
     one = sets.select(F.col("no").alias("u"), "n", F.col("members").alias("a")).join(if_small(pairs), "u")
     both = one.join(sets.select(F.col("no").alias("v"), F.col("n").alias("m"), F.col("members").alias("b")), "v")
-    return stored(both.select("u", "v", "n", "m", "a", "b").mapInArrow(run, "u long, v long").coalesce(few(pairs.count())))
+    return stored(both.select("u", "v", "n", "m", "a", "b").mapInArrow(run, "u long, v long").repartition(few(pairs.count())))
 
 
 def _groups_reach(a: str, b: str, percent: int):
@@ -144,6 +141,11 @@ def _groups_reach(a: str, b: str, percent: int):
     )
 
 
+def _first_shared(a: str, b: str, percent: int):
+    """What follows the shared shingle at ``pos`` is enough for a link. Exact for the first that two sets share: no link fails it there."""
+    return F.expr(f"(100 + {percent}) * least({a}.n - {a}.pos, {b}.n - {b}.pos) >= {percent} * ({a}.n + {b}.n)")
+
+
 def _members_reach(a: str, b: str, percent: int):
     """Unique shingles and differing bits of the parity bitmaps don't exceed the difference that a link allows. Exact, too."""
     apart = " + ".join(f"bit_count({a}.{c} ^ {b}.{c})" for c in _BITS)
@@ -171,8 +173,8 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     That runs twice. First every group meets just its own first member and the group it shares most shingles with among
     those that head its shingles' lists; what links becomes components, so groups of very many near copies collapse in
     linear work. Then all pairs of groups that aren't yet wholly within one component are formed (a shingle's groups
-    outside its head's component against all others, sizes within reach of each other as join key) and their members in
-    different components verified. So no link between components is lost, and pairs within one, which can add nothing,
+    outside its head's component against all others, sizes within reach of each other as join key, a pair only where it may
+    share its first shingle) and their members in different components verified. So no link between components is lost, and pairs within one, which can add nothing,
     are not made.
 
     Sets without members (null text, no words) link with nothing. A null id takes no part: its component is null. Rows that
@@ -207,7 +209,7 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     left = open_lists.where("lo != main or hi != main").select("tok", "lo", "hi", F.col("e").alias("x"), F.explode(F.expr("array(band - 1, band, band + 1)")).alias("band"))
     right = open_lists.select("tok", "band", F.col("main"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("e").alias("y"))
     apart = "(lo != hi or lo2 != hi2 or lo != lo2) and (x.g, x.n) != (y.g, y.n) and ((lo2 = main and hi2 = main) or (x.g, x.n) < (y.g, y.n))"
-    pairs = left.join(right, ["tok", "band"]).where(apart).where(_groups_reach("x", "y", percent))
+    pairs = left.join(right, ["tok", "band"]).where(apart).where(_groups_reach("x", "y", percent) & _first_shared("x", "y", percent))
     pairs = pairs.select(F.col("x.g").alias("g"), F.col("x.n").alias("n"), F.col("y.g").alias("h"), F.col("y.n").alias("m")).distinct()
     within = whole.where("lo != hi").select("g", "n", F.col("g").alias("h"), F.col("n").alias("m"))
     rest = _expanded(pairs.union(within), named, named, percent, "x.comp != y.comp").join(tried, ["u", "v"], "left_anti")

@@ -11,8 +11,10 @@ from emberlane.llm.grams import answered, answers, chunked, opened
 from emberlane.llm.words import windows
 
 ALPHA = 0.4
-#: Bits of an n-gram's hash beyond those that number all n-grams: one in 2 ** SPARE meets another.
-SPARE = 24
+#: Bits of an n-gram's hash beyond those that number all n-grams (one in 2 ** SPARE meets another), and bits at least.
+SPARE, LEAST = 18, 44
+#: Words that are scored at a time.
+BLOCK = 1 << 17
 
 
 def _grams(words: np.ndarray, firsts: np.ndarray, order: int, bits: int) -> list[np.ndarray]:
@@ -28,47 +30,66 @@ def _grams(words: np.ndarray, firsts: np.ndarray, order: int, bits: int) -> list
     return out
 
 
-def _distinct(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    every = np.concatenate(grams)
-    return np.unique(every[every != 0], return_counts=True)
+def _entries(order: int, bits: int):
+    """A chunk's distinct n-grams of all lengths in order of their hashes, with their counts; one length at a time."""
 
+    def run(words: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.unique(g[g != 0], return_counts=True) for g in _grams(words, firsts, order, bits)]
+        every, counts = (np.concatenate(c) for c in zip(*found, strict=True))
+        at = np.argsort(every, kind="stable")
+        every, counts = every[at], counts[at]
+        head = np.flatnonzero(np.concatenate(([True], np.diff(every) != 0))) if len(every) else np.zeros(0, np.int64)
+        return every[head], np.add.reduceat(counts, head) if len(every) else counts
 
-def _entries(order: int, bits: int):
-    return lambda words, firsts: _distinct(_grams(words, firsts, order, bits))
+    return run
+
+
+def _blocks(firsts: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of texts of about :data:`BLOCK` words."""
+    out, a = [], 0
+    while a < len(firsts) - 1:
+        b = max(a + 1, int(np.searchsorted(firsts, firsts[a] + BLOCK, side="right")) - 1)
+        out.append((a, b))
+        a = b
+    return out
+
+
+def score_words(words: np.ndarray, firsts: np.ndarray, counts, order: int, alpha: float, n_all: int, bits: int) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
+    """Each text's sum of word scores and number of words that back off; ``counts`` gives the corpus's counts of hashes."""
+    grams = _grams(words, firsts, order, bits)
+    n_own = np.diff(firsts)
+    doc = np.repeat(np.arange(len(n_own)), n_own)
+    rest = (n_all - n_own)[doc]
+    others = []
+    for g in grams:
+        some = np.flatnonzero(g)
+        seen, at = np.unique(g[some], return_inverse=True)
+        _, where, own = np.unique(doc[some] * np.int64(max(1, len(seen))) + at, return_inverse=True, return_counts=True)
+        rest_of = np.zeros(len(g), dtype=np.int64)
+        rest_of[some] = counts(seen)[at] - own[where]
+        others.append(rest_of)
+    longest = np.minimum(order, np.arange(len(words)) - firsts[:-1][doc] + 1)
+    score, used = np.zeros(len(words)), np.zeros(len(words), dtype=np.int64)
+    for n in range(order, 0, -1):
+        below = np.concatenate(([1], others[n - 2][:-1])) if n > 1 else rest  # the context ends at the word before
+        take = (used == 0) & (longest >= n) & (others[n - 1] > 0)
+        score[take] = np.log(alpha) * (longest[take] - n) + np.log(others[n - 1][take] / below[take])
+        used[take] = n
+    new = used == 0
+    score[new] = np.log(alpha) * longest[new] - np.log(rest[new] + 1.0)
+    return np.bincount(doc, weights=score, minlength=len(n_own)).astype(float), np.bincount(doc, weights=used < longest, minlength=len(n_own)).astype(np.int64)
 
 
 def _scored(order: int, alpha: float, n_all: int, bits: int, schema: T.StructType):
     def run(group: pa.Table) -> pa.Table:
-        own_row, totals = answers(group)
+        own_row, elsewhere = answers(group)
         words, firsts = opened(own_row)
-        grams = _grams(words, firsts, order, bits)
-        hashes, _ = _distinct(grams)
-        doc = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
+        hashes, here = _entries(order, bits)(words, firsts)
+        total = here + elsewhere
+        counts = lambda g: total[np.searchsorted(hashes, g)]
+        parts = [score_words(words[firsts[a] : firsts[b]], firsts[a : b + 1] - firsts[a], counts, order, alpha, n_all, bits) for a, b in _blocks(firsts)]
+        sums, backed = (np.concatenate(c) for c in zip(*parts, strict=True))
         n_own = np.diff(firsts)
-        rest = (n_all - n_own)[doc]
-        others = []
-        for g in grams:
-            some = np.flatnonzero(g)
-            at = np.searchsorted(hashes, g[some])
-            _, where, own = np.unique(doc[some] * np.int64(max(1, len(hashes))) + at, return_inverse=True, return_counts=True)
-            rest_of = np.zeros(len(g), dtype=np.int64)
-            rest_of[some] = totals[at] - own[where]
-            others.append(rest_of)
-        place = np.arange(len(words)) - firsts[:-1][doc]
-        longest = np.minimum(order, place + 1)
-        score, used = np.zeros(len(words)), np.zeros(len(words), dtype=np.int64)
-        for n in range(order, 0, -1):
-            if n > 1:
-                below = np.concatenate(([1], others[n - 2][:-1]))  # the context ends at the word before
-            else:
-                below = rest
-            take = (used == 0) & (longest >= n) & (others[n - 1] > 0)
-            score[take] = np.log(alpha) * (longest[take] - n) + np.log(others[n - 1][take] / below[take])
-            used[take] = n
-        new = used == 0
-        score[new] = np.log(alpha) * longest[new] - np.log(rest[new] + 1.0)
-        sums = np.bincount(doc, weights=score, minlength=len(n_own)).astype(float)
-        backed = np.bincount(doc, weights=used < longest, minlength=len(n_own)).astype(np.int64)
         mean = np.where(n_own > 0, sums / np.maximum(n_own, 1), np.nan)
         ids = own_row.column("ids").combine_chunks().flatten()
         return pa.table([ids, pa.array(n_own), pa.array(backed), pa.array(sums), pa.array(mean, from_pandas=True)], names=schema.names)
@@ -90,13 +111,13 @@ def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the n-grams, so does the number of partitions, and no task's share grows with the corpus. The number of rows grows
     faster, with chunks times partitions, until each holds a single n-gram: it never exceeds the number of n-grams.
 
-    Hashes have :data:`SPARE` bits more than it takes to number the corpus's n-grams, so one n-gram in 2 ** 24 shares
-    another's count. Words are lower-cased A-Z. Null or empty texts have no words, log_score 0 and a null mean; repeated
+    Hashes have :data:`SPARE` bits more than it takes to number the corpus's n-grams, so about one n-gram in 2 ** 18
+    shares another's count. Words are lower-cased A-Z. Null or empty texts have no words, log_score 0 and a null mean; repeated
     rows and rows with null or repeated ids count as separate documents; an empty table gives an empty result.
     """
     chunks = chunked(docs, id_col, text_col)
     n_all, n_chunks = chunks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     expected = n_all * order
-    bits = min(64, max(32, expected.bit_length() + SPARE))
+    bits = min(64, max(LEAST, expected.bit_length() + SPARE))
     out = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_backed_off", T.LongType()), T.StructField("log_score", T.DoubleType()), T.StructField("mean_log_score", T.DoubleType())])
     return answered(chunks, _entries(order, bits), expected, n_chunks, bits).groupBy("chunk").applyInArrow(_scored(order, alpha, n_all, bits, out), out)
