@@ -6,14 +6,16 @@ from collections.abc import Sequence
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from emberlane.llm.common import cut, unwrapped, wrapped
+from emberlane.llm.common import stored, unwrapped, wrapped
 
 _WS = r"[\x20\x09-\x0D]"
 #: Steps of the two threshold tables: the last choice falls on a slice of 2 / BINS^2 of the unit interval.
 BINS = 4096
-MAX_STEPS = 80
+#: Newton steps before the dual counts as unsolved; sources at most (the driver holds a few numbers of each).
+MAX_STEPS, MAX_SOURCES = 200, 5_000
 
 
 def word_count(text: Column) -> Column:
@@ -92,6 +94,8 @@ def _solve(cells: DataFrame, sources: list[dict], cap: float) -> None:
             if step == s["dual"] or (s["hi"] - s["lo"]) <= 1e-13 * max(1.0, abs(step)):
                 s["open"] = False
             s["dual"] = step
+    if any(s["open"] for s in sources):
+        raise RuntimeError(f"the dual of {sum(s['open'] for s in sources)} sources did not settle in {MAX_STEPS} steps")
 
 
 class Mix:
@@ -99,9 +103,11 @@ class Mix:
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[float], share: float, cap: int, seed: int) -> None:
         self.spark, self.id, self.text, self.source, self.cap, self.seed = docs.sparkSession, id_col, text_col, source_col, cap, seed
-        sized = cut(docs.select(F.col(id_col), F.col(source_col).cast("string").alias(source_col), word_count(F.col(text_col)).alias("size")))
+        sized = stored(docs.select(F.col(id_col), F.col(source_col).cast("string").alias(source_col), word_count(F.col(text_col)).alias("size")))
         self.sized = sized
-        stats = sized.groupBy(source_col).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
+        stats = sized.groupBy(source_col).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
+        if len(stats) > MAX_SOURCES:
+            raise ValueError(f"more than {MAX_SOURCES} sources")
         stats.sort(key=lambda r: (r[0] is None, r[0] or ""))
         goal = share_targets([r["size"] for r in stats], [weights[i % len(weights)] for i in range(len(stats))], share, cap)
         self.sources = [
@@ -111,7 +117,7 @@ class Mix:
         if self.sources:
             numbers = F.broadcast(_table(self.spark, self.sources, {"k": "int", "source": "string"}).withColumnRenamed("source", "_s"))
             cells = sized.join(numbers, F.col(source_col).eqNullSafe(F.col("_s"))).groupBy("k", "size").agg(F.count(F.lit(1)).alias("n"))
-            _solve(cut(cells), self.sources, float(cap))
+            _solve(stored(cells), self.sources, float(cap))
             self._thresholds()
 
     def _rated(self, rows: DataFrame) -> DataFrame:
@@ -126,28 +132,30 @@ class Mix:
         return rated.withColumn("_free", (F.col("_base") < self.cap) & (F.col("size") > 0))
 
     def _thresholds(self) -> None:
-        """A document takes one more copy below its source's limit; the limit that brings the source next to its target."""
+        """A document takes one more copy below its source's limit; the limit that brings the source next to its target.
+
+        Two tables of :data:`BINS` slices per source are summed up in order; the driver gets one row per source of each.
+        """
         rated = self._rated(self.sized).withColumn("bin", F.expr(f"_slot div {BINS}"))
         extra = F.sum(F.when(F.col("_free"), F.col("size")).otherwise(0))
-        coarse = rated.groupBy("_k", "bin").agg(extra.alias("w"), F.sum(F.col("_base") * F.col("size")).alias("b")).collect()
-        left = {s["k"]: s["target"] for s in self.sources}
-        for r in coarse:
-            left[r["_k"]] -= r["b"]
-        at = dict.fromkeys(left, BINS)
-        for r in sorted(coarse, key=lambda r: (r["_k"], r["bin"])):
-            if at[r["_k"]] == BINS:
-                if r["w"] > left[r["_k"]]:
-                    at[r["_k"]] = r["bin"]
-                else:
-                    left[r["_k"]] -= r["w"]
-        marks = _table(self.spark, [{"m": k, "at": a} for k, a in at.items()], {"m": "int", "at": "long"})
-        inner = rated.where("_free").join(F.broadcast(marks), F.expr("m = _k and at = bin")).groupBy("_k", "_slot").agg(F.sum("size").alias("w")).collect()
+        up = W.partitionBy("_k").orderBy("bin")
+        coarse = rated.groupBy("_k", "bin").agg(extra.alias("w"), F.sum(F.col("_base") * F.col("size")).alias("b"), F.first("target").alias("goal"))
+        coarse = coarse.withColumn("left", F.col("goal") - F.sum("b").over(W.partitionBy("_k"))).withColumn("below", F.sum("w").over(up) - F.col("w"))
+        over = F.when(F.col("below") + F.col("w") > F.col("left"), F.struct("bin", "below"))
+        found = coarse.groupBy("_k").agg(F.first("left").alias("left"), F.sum("w").alias("all"), F.min(over).alias("m")).collect()
+        marks = [{"m": r["_k"], "at": r["m"]["bin"], "need": r["left"] - r["m"]["below"]} for r in found if r["m"] is not None]
+        limits = {s["k"]: BINS * BINS for s in self.sources}
+        if marks:
+            each = _table(self.spark, marks, {"m": "int", "at": "long", "need": "double"})
+            inner = rated.where("_free").join(F.broadcast(each), F.expr("m = _k and at = bin")).groupBy("_k", "at", "need", "_slot").agg(F.sum("size").alias("w"))
+            before = F.sum("w").over(W.partitionBy("_k").orderBy("_slot")) - F.col("w")
+            take = (F.col("need") > before) & (F.col("w") - (F.col("need") - before) <= F.col("need") - before)  # the nearer side
+            steps = inner.withColumn("take", take).withColumn("past", F.min(F.when(~F.col("take"), F.col("_slot"))).over(W.partitionBy("_k")))
+            last = F.max(F.when(F.col("past").isNull() | (F.col("_slot") < F.col("past")), F.col("_slot") + 1))
+            limits |= {m["m"]: m["at"] * BINS for m in marks}
+            limits |= {r["_k"]: r["last"] for r in steps.groupBy("_k").agg(last.alias("last")).collect() if r["last"] is not None}
         for s in self.sources:
-            need, s["limit"] = left[s["k"]], at[s["k"]] * BINS
-            for r in sorted((r for r in inner if r["_k"] == s["k"]), key=lambda r: r["_slot"]):
-                if need <= 0 or r["w"] - need > need:  # the nearer side
-                    break
-                need, s["limit"] = need - r["w"], r["_slot"] + 1
+            s["limit"] = limits[s["k"]]
 
     def on(self, rows: DataFrame) -> DataFrame:
         """``rows`` (with a size) with source_size, target, rate, copies and taken."""
@@ -162,19 +170,21 @@ def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: int = 2, seed: int = 17,
 ) -> DataFrame:
-    """One row per document: ``id_col``, size, source, source_size, target, rate, copies, taken.
+    """One row per document: ``id_col``, size, source_size, target, taken, source, rate, copies.
 
     Sources in code-point order, null last, take ``weights`` in turn and share ``share`` of all words; targets stop at
     ``cap`` times their source's size. Rates minimise the relative entropy to one copy of each document under each
     source's word target and the cap: ``min(cap, exp(dual * size / mean size))``. Copies round the rates by a hash of the
     id; per source one threshold, found in two tables of :data:`BINS` slices, brings the words taken next to the target
-    (within the size of the documents in one slice). The driver gets one row per source - sources are a configured list -
-    and everything else stays distributed; only (source, size) counts and slice tables are aggregated.
+    (within the size of the documents in one slice). The driver gets one row per source and step; sources are a configured
+    list, more than :data:`MAX_SOURCES` raise a ValueError. Everything else stays distributed; only (source, size) counts
+    and slice tables are aggregated. A dual that doesn't settle raises a RuntimeError.
 
-    Null or empty texts have size 0 and take 0; repeated ids round alike; an empty table gives an empty result.
+    Null or empty texts have size 0 and take 0; null ids are rounded by one hash, so are rows that repeat an id; extra
+    columns have no effect; an empty table gives an empty result.
     """
     plan = Mix(docs, id_col, text_col, source_col, weights, share, cap, seed)
-    return plan.on(plan.sized)
+    return plan.on(plan.sized).select(id_col, "size", "source_size", "target", "taken", source_col, "rate", "copies")
 
 
 def mixed(
