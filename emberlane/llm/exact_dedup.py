@@ -19,31 +19,33 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
-    """One row per document: ``id_col``, the ``carry`` columns, keep_id, group_size, kept.
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), digest: str | None = None) -> DataFrame:
+    """One row per document: ``id_col``, keep_id, group_size, kept, the ``carry`` columns.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty; of equal texts the largest id stays.
     Level 1 counts lengths; level 2 hashes the first :data:`PREFIX` characters where the length repeats; level 3 hashes
     whole texts (SHA-256) where length and prefix hash repeat. What repeats at a level reaches the next scan as bitmaps of
     bounded size, so no text is shuffled: only ids and hashes are, pre-aggregated, and the last join is a plain one that
     Spark splits where one group holds many rows. A row listed more than once under one id is one document: each listing
-    gets the same answer. A null id stays only if its group has no other id; an empty table gives an empty result.
+    gets the same answer. A null id stays only if its group has no other id; an empty table gives an empty result. Where the
+    caller already carries the SHA-256 of normalised texts, ``digest`` names that column and level 3 takes it from there.
     """
-    return _groups(docs, id_col, text_col, carry).drop("_full")
+    return _groups(docs, id_col, text_col, carry, digest).select(id_col, "keep_id", "group_size", "kept", *carry)
 
 
-def _groups(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str]) -> DataFrame:
+def _groups(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str], digest: str | None = None) -> DataFrame:
     """:func:`exact_groups` and ``_full``, the hash that tells groups of several rows apart."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("_id"), *carry, ascii_lower(text).alias("_t"), F.octet_length(text).cast("long").alias("_len"))
+    rows = docs.select(F.col(id_col).alias("_id"), *carry, text.alias("_t"), F.octet_length(text).cast("long").alias("_len"))
     lengths = docs.select(F.octet_length(text).cast("long").alias("_len")).groupBy("_len").count().where("count > 1")
     rows = bit_flag(rows, F.col("_len"), lengths, "_len", "_same_len", bits=1 << 22)
-    key = F.when(F.col("_same_len"), F.xxhash64("_len", F.substring("_t", 1, PREFIX)))
+    key = F.when(F.col("_same_len"), F.xxhash64("_len", ascii_lower(F.substring("_t", 1, PREFIX))))
     rows = rows.withColumn("_key", key)
     prefixes = rows.where("_same_len").groupBy("_key").count().where("count > 1")
     rows = bit_flag(rows, F.col("_key"), prefixes, "_key", "_same_prefix")
+    full = F.col(digest) if digest else F.sha2(ascii_lower(F.col("_t")), 256)
     own = F.concat(F.lit("#"), F.coalesce(F.col("_id").cast("string"), F.lit("null")))
-    rows = rows.select("_id", *carry, F.when(F.col("_same_len") & F.col("_same_prefix"), F.sha2("_t", 256)).alias("_full"))
+    rows = rows.select("_id", *carry, F.when(F.col("_same_len") & F.col("_same_prefix"), full).alias("_full"))
     groups = rows.where("_full is not null").groupBy("_full").agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_keep")).where("_n > 1")
     # a text that met no other joins under a key of its own, so such rows spread evenly
     joined = rows.withColumn("_k", F.coalesce("_full", own)).join(groups.withColumnRenamed("_full", "_k"), "_k", "left")

@@ -65,7 +65,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     norm = exact_dedup.ascii_lower(F.coalesce(F.col("text"), F.lit("")))
-    return exact_dedup.exact_groups(docs.withColumn("text_sha256", F.sha2(norm, 256)), carry=["text_sha256"])
+    return exact_dedup.exact_groups(docs.withColumn("text_sha256", F.sha2(norm, 256)), carry=["text_sha256"], digest="text_sha256")
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
