@@ -154,7 +154,9 @@ def score_quality(
     ``held_out`` is a function from the id column to a boolean column; no label of such an id is used. Statistics of
     whole texts are computed once and written; the trees are fitted on the driver on at most ``max_train`` labelled rows
     and reach the workers as three small arrays. Rows without a label 0 or 1 teach nothing; without any labels every
-    score is 0.5. A null id is not held out and can't be labelled; null and empty texts are scored as texts of zeros.
+    score is 0.5. Several labels of one id all teach, each as a row of its own. A null id is not held out and can't be
+    labelled; null and empty texts are scored as texts of zeros. Rows that repeat an id are scored each by their own text;
+    other columns, whatever their names, have no effect; an empty table gives an empty result.
     """
     table = stored(_features(docs, id_col, text_col))
     trees = docs.sparkSession.sparkContext.broadcast(_fit(table, labels, held_out, id_col, label_col, max_train))
@@ -175,7 +177,8 @@ def keep_good(
 ) -> DataFrame:
     """The documents that score at least ``cutoff``, all columns as they were; trees as in :func:`score_quality`, no shuffle of texts.
 
-    Only labelled texts are measured for the fit; then one narrow pass scores and filters.
+    Only labelled texts are measured for the fit; then one narrow pass scores and filters. Null ids and texts, repeats and
+    columns of any name are kept or dropped by the row's own score; an empty table stays empty.
     """
     labelled = bit_filter(docs, F.col(id_col), labels.select(F.col(id_col).alias("id")).where("id is not null").distinct(), "id")
     trees = docs.sparkSession.sparkContext.broadcast(_fit(_features(labelled, id_col, text_col), labels, held_out, id_col, label_col, max_train))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Texts of more characters are split; a call to the library gets about so many characters.
+#: Texts of more characters are split; a call to the library gets about so many bytes.
 SPLIT_AT, BATCH = 32_768, 1 << 19
 _loaded: dict[str, object] = {}
 
@@ -60,8 +60,9 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """One row per document: ``id_col``, n_bytes, n_tokens as the library for ``path`` counts them, nothing added.
 
     Null counts as empty (0 tokens). Long texts are split only where the vocabulary shows that no merge can cross, so
-    counts are those of whole texts; with a .json file texts stay whole. One narrow pass: no shuffle, and batches of bytes
-    rather than rows bound the memory of a worker. Repeated ids and extra columns have no effect.
+    counts are those of whole texts; a text without such a place and, with a .json file, every text stays whole. One narrow
+    pass: no shuffle, and batches balanced by bytes rather than rows bound the memory of a worker. Null and repeated ids are
+    answered row by row; extra columns, whatever their names, have no effect; an empty table gives an empty result.
     """
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, kind), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
@@ -85,7 +86,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 for part in split_text(text) if can_split and len(text) > SPLIT_AT else [text]:
                     owner.append(i)
                     parts.append(part)
-                    held += len(part)
+                    held += n_bytes[i] * len(part) // max(1, len(text))
                     if held >= BATCH:
                         flush()
                         held = 0
