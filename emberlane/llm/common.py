@@ -1,9 +1,11 @@
 """Shared helpers: the shared folder, lineage cuts, bounded bit filters, connected components."""
 from __future__ import annotations
 
+import atexit
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -40,18 +42,27 @@ def bounded_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
         spark.conf.set(key, str(limit))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Eager reliable checkpoint; for tables of few, narrow rows."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+_scopes: list[str] = []
+_live: dict[str, SparkSession] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    _live.pop(path, None)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage, columnar and prunable."""
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage, columnar and prunable.
+
+    The table goes with :func:`drop_stored`, at the end of the :func:`scratch` that it was made in, or else when the driver
+    ends: until then a result that is still to be read may need it.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = "/".join([shared_dir(spark).rstrip("/"), *_scopes[-1:], f"table-{uuid.uuid4().hex}"])
     schema = df.schema
     df.write.parquet(path)
+    _live[path] = spark
     out = spark.read.schema(schema).parquet(path)
     out._stored_at = path
     return out
@@ -60,9 +71,37 @@ def stored(df: DataFrame) -> DataFrame:
 def drop_stored(*tables: DataFrame) -> None:
     """Delete tables made by :func:`stored` once nothing that is still to run reads them."""
     for t in tables:
-        spark, path = t.sparkSession, t._stored_at
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(t.sparkSession, t._stored_at)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables stored within are deleted at the end, but those stored by the function that it gives."""
+    name = f"scratch-{uuid.uuid4().hex}"
+    _scopes.append(name)
+
+    def keep(df: DataFrame) -> DataFrame:
+        inner = _scopes.pop()
+        try:
+            return stored(df)
+        finally:
+            _scopes.append(inner)
+
+    try:
+        yield keep
+    finally:
+        _scopes.remove(name)
+        at = f"{shared_dir(spark).rstrip('/')}/{name}"
+        for path in [p for p in _live if p.startswith(f"{at}/")]:
+            _live.pop(path)
+        _delete(spark, at)
+
+
+@atexit.register
+def _clean_up() -> None:
+    for path, spark in list(_live.items()):
+        if spark.sparkContext._jsc is not None:  # else the session is gone, and its folder is the cluster's to clean
+            _delete(spark, path)
 
 
 def _bit(key: Column, bits: int) -> Column:
