@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from emberlane.llm import exact_dedup, jaccard_join, mixing, packing, quality
-from emberlane.llm.common import bounded_batches, stored
+from emberlane.llm.common import bounded_batches, drop_stored, scratch
 from emberlane.llm.queries import id_remainder, tokenizer_path
 
 
@@ -53,8 +53,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's result is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; each stage's result is written to the shared folder and read again.
+
+    What a stage stored on its way, and its input once its result is written, is deleted. Rows without an id, rows that
+    repeat an id or a text, null and empty texts and columns of any name pass as the stages' docstrings say; an empty table
+    gives an empty result.
+    """
+    docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+        with scratch(spark) as keep:
+            docs = keep(stage(spark, docs, sf_dir))
+        if written is not None:
+            drop_stored(written)
+        written = docs
     return docs
