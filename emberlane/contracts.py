@@ -64,8 +64,13 @@ def merge_checked(left: DataFrame, right: DataFrame, key: Sequence[str], how: st
 
 
 def dedupe_apply(df: DataFrame, key: Sequence[str], fn: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Run ``fn`` on the distinct keys only and join its columns back: expensive work once per distinct value."""
-    return df.join(fn(df.select(*key).distinct()), list(key), "left")
+    """Run ``fn`` on the distinct keys only and join its columns back: expensive work once per distinct value, null keys too."""
+    made = fn(df.select(*key).distinct())
+    made = made.select(*[F.col(k).alias(f"_key_{k}") for k in key], *[c for c in made.columns if c not in key])
+    same = F.lit(True)
+    for k in key:
+        same = same & df[k].eqNullSafe(made[f"_key_{k}"])
+    return df.join(made, same, "left").drop(*[f"_key_{k}" for k in key])
 
 
 def drop_nulls_counted(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, int]:

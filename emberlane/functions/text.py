@@ -1,7 +1,7 @@
 """Text functions as column expressions; pandas functions only where spans are needed."""
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -237,3 +237,13 @@ def changed_characters(before, after):  # noqa: ANN001, ANN201
             flags[at : at + n] = [False] * n
         out.append(flags)
     return pd.Series(out)
+
+
+def prompts(rows: DataFrame, bank: DataFrame, name: str, text: Column, suffix: str) -> DataFrame:
+    """``rows`` with the system text of their prompt and the user's turn; the bank (name, system) is data, an unknown name raises."""
+    known = bank.select(F.col("name").alias(name), "system")
+    out = rows.join(known, name, "left")
+    lost = out.where("system is null").select(name).limit(1).collect()
+    if lost:
+        raise ValueError(f"no prompt is called {lost[0][0]!r}")
+    return out.withColumn("user", F.concat(F.lit("Input: "), text, F.lit("\nOutput:"), F.lit(suffix)))

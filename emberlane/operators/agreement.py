@@ -143,11 +143,11 @@ def matrix_of(cells: DataFrame) -> np.ndarray:
     return m
 
 
-def corrected_prevalence(cohort: DataFrame, validated: DataFrame, by: str | None = None, weight: str | None = None) -> DataFrame:
+def corrected_prevalence(cohort: DataFrame, validated: DataFrame, by: str | None = None, weight: str | None = None, pooled_only: bool = False) -> DataFrame:
     """Naive and corrected class shares of the cohort, overall or by a key.
 
-    By key, a stratum's own matrix serves where it has :data:`SMALL_STRATUM` items and every human class, else the pooled
-    one. Only class counts (nine per stratum) reach the driver.
+    ``pooled_only`` uses the pooled matrix for every key, as the first panel analysis did. Else, by key, a stratum's own matrix
+    serves where it has :data:`SMALL_STRATUM` items and every human class, else the pooled one. Only class counts (nine per stratum) reach the driver.
     """
     spark = cohort.sparkSession
     pooled = matrix_of(confusion(validated, "human", "auto", weight=weight))
@@ -158,7 +158,7 @@ def corrected_prevalence(cohort: DataFrame, validated: DataFrame, by: str | None
         sizes = {r[by]: r["n"] for r in validated.groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()}
         for r in confusion(validated, "human", "auto", by, weight=weight).collect():
             own.setdefault(r[by], np.zeros((3, 3)))[CLASSES.index(r["human"]), CLASSES.index(r["auto"])] = r["weight"]
-        own = {k: m for k, m in own.items() if sizes.get(k, 0) >= SMALL_STRATUM and (m.sum(1) > 0).all()}
+        own = {} if pooled_only else {k: m for k, m in own.items() if sizes.get(k, 0) >= SMALL_STRATUM and (m.sum(1) > 0).all()}
     rows = []
     for r in counts:
         key = r[by] if by else "all"
@@ -173,3 +173,15 @@ def unique_sheet(sheets: list[DataFrame]) -> DataFrame:
     for s in sheets[1:]:
         out = out.unionByName(s, allowMissingColumns=True)
     return assert_unique(out, ["item_id"], "rating sheets")
+
+
+def rater_pool(rater_a: DataFrame, rater_b: DataFrame, key: DataFrame) -> DataFrame:
+    """Items that both raters have, with their mapped classes, the texts of the first sheet and the key's provenance where there is any."""
+    a = rater_a.select("item_id", human_label(F.col("rating"))[0].alias("class_a"), *[c for c in rater_a.columns if c not in ("item_id", "rating")])
+    b = rater_b.select("item_id", human_label(F.col("rating"))[0].alias("class_b"))
+    return assert_unique(a, ["item_id"], "first rater").join(assert_unique(b, ["item_id"], "second rater"), "item_id").join(key, "item_id", "left")
+
+
+def agreed_only(pool: DataFrame) -> DataFrame:
+    """Items with one class from both raters, as ``label``."""
+    return pool.where("class_a is not null and class_a = class_b").withColumn("label", F.col("class_a"))

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from emberlane.contracts import ContractError
 from emberlane.functions.stats import share
 from emberlane.schema import CONFIDENCE_CUTOFF, Z_ROUNDED
 
@@ -45,6 +46,21 @@ def binned_error(df: DataFrame, score: str, hit: str, *by: str) -> DataFrame:
     return bins.groupBy(*by).agg(share(F.sum(F.col("n") * gap), F.sum("n")).alias("ece"), F.sum("n").alias("n"))
 
 
+def checked_scores(df: DataFrame, score: str) -> DataFrame:
+    """``df`` as it is; null, NaN or a score outside 0 to 1 raises."""
+    s = F.col(score)
+    if df.where(s.isNull() | F.isnan(s) | (s < 0) | (s > 1)).limit(1).count():
+        raise ContractError(f"{score} has nulls, NaN or values outside 0 to 1")
+    return df
+
+
+def expected_error(df: DataFrame, score: str, hit: str, equal_frequency: bool = False) -> DataFrame:
+    """Second-layout calibration error: scores are checked, no rows give 0."""
+    checked_scores(df, score)
+    t = equal_frequency_error(df, score, hit) if equal_frequency else binned_error(df, score, hit)
+    return t.agg(F.coalesce(F.max("ece"), F.lit(0.0)).alias("ece"), F.coalesce(F.max("n"), F.lit(0)).alias("n"))
+
+
 def equal_frequency_error(df: DataFrame, score: str, hit: str, bins: int = BINS) -> DataFrame:
     """The same over bins cut at exact quantiles, ends at 0 and 1, repeated edges dropped."""
     cuts = df.agg(F.array_distinct(F.concat(F.array(F.lit(0.0)), F.percentile(score, F.array(*[F.lit(k / bins) for k in range(1, bins)])), F.array(F.lit(1.0)))).alias("edges"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from emberlane.functions import text as tx
+from emberlane.operators.sampling import numbered
 
 
 def headed_lines(docs: DataFrame, header: Column, skip: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -39,5 +40,5 @@ def probe_set(seeds: DataFrame, text: str = "text", order: str = "seed_id") -> D
     items = [F.struct(F.lit(0).alias("k"), none.alias("drift_type"), none.alias("dangerous_variant"))]
     items += [F.when(v.isNotNull() & (v != "") & (v != t), F.struct(F.lit(i + 1).alias("k"), F.lit(name).alias("drift_type"), v.alias("dangerous_variant"))) for i, (v, name) in enumerate(kinds)]
     rows = seeds.select(order, t.alias("intended_text"), F.explode(F.array_compact(F.array(*items))).alias("_i")).select(order, "intended_text", "_i.*")
-    at = F.row_number().over(W.orderBy(order, "k")) - 1
-    return rows.select(F.format_string("probe_%04d", at).alias("message_id"), F.lit("message_critical").alias("category"), "intended_text", "drift_type", "dangerous_variant")
+    rows = numbered(rows, [order, "k"], "_at")
+    return rows.select(F.format_string("probe_%04d", F.col("_at") - 1).alias("message_id"), F.lit("message_critical").alias("category"), "intended_text", "drift_type", "dangerous_variant")

@@ -171,8 +171,13 @@ def multinomial(df: DataFrame, label: str, classes: Sequence[str], xs: dict[str,
 
     try:
         beta, info, ok, _ = _newton(stats, len(names))
+        engine = "newton"
+        if not ok:
+            beta = _quasi_newton(base, p, len(rest))
+            value, grad, info = stats(beta)
+            ok, engine = bool(np.abs(grad).max(initial=0) <= 1e-4 * max(1.0, abs(value))), "lbfgs"
         n = float(base.agg(F.sum("_n")).first()[0] or 0)
-        fit = Fit(names, beta, _inverse(info), n, ok)
+        fit = Fit(names, beta, _inverse(info), n, ok, engine)
         _, _, mus = parts(beta)
         scores = [F.sum((F.col(f"_k{j}") - F.col("_n") * mus[j]) * x).alias(f"s{j * p + i}") for j in range(len(rest)) for i, x in enumerate(cols)]
         row = base.groupBy("_g").agg(*scores).agg(F.count(F.lit(1)), *[F.sum(F.col(f"s{a}") * F.col(f"s{b}")) for a, b in _pairs(len(names))]).first()
@@ -182,6 +187,68 @@ def multinomial(df: DataFrame, label: str, classes: Sequence[str], xs: dict[str,
         base.unpersist()
 
 
+def _quasi_newton(base: DataFrame, p: int, others: int) -> np.ndarray:
+    """Point estimate by limited-memory BFGS where Newton steps don't settle, brought to the first class as base by subtraction.
+
+    The first term is the intercept (a column of ones), which the library adds by itself.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    rest = F.col("_n") - sum((F.col(f"_k{j}") for j in range(others)), F.lit(0.0))
+    each = F.explode(F.array(*[F.struct(F.lit(float(c)).alias("label"), w.alias("w")) for c, w in enumerate([rest, *[F.col(f"_k{j}") for j in range(others)]])]))
+    rows = base.select(*[F.col(f"_x{i}") for i in range(1, p)], each.alias("e")).select("*", "e.*").where("w > 0")
+    if p == 1:
+        rows = rows.withColumn("_x1", F.lit(0.0))
+    rows = VectorAssembler(inputCols=[f"_x{i}" for i in range(1, max(2, p))], outputCol="features").transform(rows)
+    fit = LogisticRegression(family="multinomial", regParam=0.0, maxIter=500, tol=1e-10, weightCol="w").fit(rows)
+    b = np.column_stack([fit.interceptVector.toArray(), fit.coefficientMatrix.toArray()[:, : p - 1]])
+    return (b[1:] - b[0]).ravel()
+
+
+def random_intercept(df: DataFrame, y: Column, xs: dict[str, Column], cluster: str, rounds: int = 9, points: int = 10) -> tuple[Fit, float, float]:
+    """Linear mixed model with a random intercept per cluster by restricted likelihood: fit, residual and cluster variance.
+
+    One row of sums per cluster is kept in Spark; every round profiles a grid of variance ratios in one aggregation and
+    narrows it, so nothing but sums reaches the driver.
+    """
+    names, p = list(xs), len(xs)
+    cols = [*xs.values(), y]
+    t = df.select(F.col(cluster).alias("g"), *[c.cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    sums = [F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(f"c{i}").alias(f"s{i}") for i in range(p + 1)], *[F.sum(F.col(f"c{i}") * F.col(f"c{j}")).alias(f"q{i}_{j}") for i, j in _pairs(p + 1)]]
+    each = t.groupBy("g").agg(*sums).persist()
+    try:
+        def profile(ratios: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray, float, float]]:
+            aggs = []
+            for k, r in enumerate(ratios):  # inverse covariance of a cluster: I - shrink * J
+                shrink = r / (1 + F.col("n") * float(r))
+                aggs += [F.sum(F.log1p(F.col("n") * float(r))).alias(f"d{k}"), *[F.sum(F.col(f"q{i}_{j}") - shrink * F.col(f"s{i}") * F.col(f"s{j}")).alias(f"a{k}_{i}_{j}") for i, j in _pairs(p + 1)]]
+            row = each.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("g"), *aggs).first()
+            out = []
+            for k in range(len(ratios)):
+                m = np.zeros((p + 1, p + 1))
+                for i, j in _pairs(p + 1):
+                    m[i, j] = m[j, i] = float(row[f"a{k}_{i}_{j}"] or 0)
+                inv = _inverse(m[:p, :p])
+                b = inv @ m[:p, p]
+                free = float(row["n"] or 0) - p
+                var = max(1e-300, (m[p, p] - b @ m[:p, p]) / max(1.0, free))
+                reml = -0.5 * (free * math.log(var) + float(row[f"d{k}"] or 0) + np.linalg.slogdet(m[:p, :p])[1])
+                out.append((reml, b, inv * var, var, float(row["n"] or 0)))
+            return out
+
+        lo, hi = -12.0, 6.0
+        for _ in range(rounds):
+            grid = np.linspace(lo, hi, points)
+            fits = profile(np.exp(grid))
+            at = int(np.argmax([f[0] for f in fits]))
+            lo, hi = grid[max(0, at - 1)], grid[min(points - 1, at + 1)]
+        _, beta, cov, var, n = fits[at]
+        return Fit(names, beta, cov, n, True, "reml", clusters={cluster: each.count()}), var, var * float(np.exp(grid[at]))
+    finally:
+        each.unpersist()
+
+
 def conditional_pairs(df: DataFrame, pair: str, critical: str, y: Column, xs: dict[str, Column] | None = None) -> Fit:
     """Conditional logit of 1:1 strata: differences within pairs that disagree, an intercept-free logit on them.
 

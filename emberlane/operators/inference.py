@@ -71,10 +71,17 @@ def meats_at(df: DataFrame, beta: tuple[float, float], x: str = "realized_cer")
 
 
 def multinomial_model(df: DataFrame, xs: dict[str, Column]) -> DataFrame:
+    """Multinomial logit against faithful, clustered by message: Newton steps, or the quasi-Newton fit where they don't settle."""
     fit, _ = glm.multinomial(df, "label", CLASSES, {**_intercept(), **xs}, "message_id")
     return _frame(df, [r | {"converged": fit.converged} for r in fit.table("message_id")])
 
 
+def mixed_curve(df: DataFrame, x: str = "cer_target") -> DataFrame:
+    """First-layout drift curve as a linear mixed model: drift ~ 1 + x with a random intercept per message, by restricted likelihood."""
+    fit, residual, between = glm.random_intercept(df, _drift(), {**_intercept(), x: F.col(x)}, "message_id")
+    return _frame(df, [r | {"residual_variance": float(residual), "message_variance": float(between), "n": int(fit.n), "n_messages": fit.clusters["message_id"]} for r in fit.table()])
+
+
 def binary_contrast(df: DataFrame, positive: str, negative: str, xs: dict[str, Column]) -> DataFrame:
     rows = df.where(F.col("label").isin(positive, negative))
     fit = glm.logit(rows, F.col("label") == positive, {**_intercept(), **xs}, ["message_id"])

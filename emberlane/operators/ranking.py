@@ -49,3 +49,27 @@ def first_per_spec(df: DataFrame, specs: list[dict], order: list[str]) -> DataFr
             used.append(got[0]["message_id"])
             rows.append((i, got[0]["message_id"]))
     return spark.createDataFrame(rows, "spec long, message_id string")
+
+
+def validated_examples(agreed: DataFrame, text: str, rate: str, per_class: int, levels: tuple[float, ...], span: tuple[str, ...] = ("drift",), classes: tuple[str, ...] = ("faithful", "degraded", "drift")) -> DataFrame:
+    """``per_class`` clean agreed examples of each class, or a ValueError: nearest to a level each, or the extremes of the rate for ``span`` classes.
+
+    Ties go to the smallest item. One pass ranks all candidates; only the few chosen reach the driver.
+    """
+    rows = agreed.where(clean_example(text))
+    nearest = lambda level: F.row_number().over(W.partitionBy("label").orderBy(F.abs(F.col(rate) - level), "item_id"))
+    low, high = (F.row_number().over(W.partitionBy("label").orderBy(o, "item_id")) for o in (F.col(rate), F.desc(rate)))
+    marks = {f"_n{i}": nearest(v) for i, v in enumerate(levels)} | {"_lo": low, "_hi": high}
+    ranked = rows.withColumns(marks)
+    top = ranked.where(" or ".join(f"{m} <= {2 * per_class}" for m in marks)).select("item_id", "label", F.col(rate).alias("rate"), *marks).collect()
+    out = []
+    for c in classes:
+        mine, used = [r for r in top if r["label"] == c], []
+        order = ["_lo", "_hi"] * per_class if c in span else [f"_n{i}" for i in range(len(levels))]
+        for mark in order[:per_class]:
+            left = [r for r in sorted(mine, key=lambda r: r[mark]) if r["item_id"] not in used]
+            used += [left[0]["item_id"]] if left else []
+        if len(used) < per_class:
+            raise ValueError(f"{len(used)} clean agreed examples of {c}, {per_class} wanted")
+        out += [(c, k, i) for k, i in enumerate(used)]
+    return agreed.sparkSession.createDataFrame(out, "label string, place long, item_id string")

@@ -80,7 +80,8 @@ def numbered(df: DataFrame, order: list[str], name: str, buckets: int = 256) ->
     picked = df.select(*order).where(F.pmod(F.xxhash64(*order), F.lit(max(1, n // (64 * buckets)))) == 0).distinct().orderBy(*order).collect()
     kinds = {c: t for c, t in df.select(*order).dtypes}
     step = max(1, len(picked) // buckets)
-    bounds = [F.struct(*[F.lit(r[c]).cast(kinds[c]).alias(c) for c in order]) for r in picked[step::step]]
+    literal = lambda v: F.struct(*map(literal, v)) if isinstance(v, tuple) else F.lit(v)
+    bounds = [F.struct(*[literal(r[c]).cast(kinds[c]).alias(c) for c in order]) for r in picked[step::step]]
     at = F.size(F.filter(F.array(*bounds), lambda b: b <= F.struct(*order))) if bounds else F.lit(0)
     rows = df.withColumn("_bucket", at)
     sizes = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
@@ -171,10 +172,10 @@ def two_stage_sample(df: DataFrame, category: str, text: str, n: int, seed: str,
     return draw(rows.join(cells, [category, "length_bin"]), [category, "length_bin"], F.col("_alloc"), seed, id_col).drop("_alloc")
 
 
-def draw_pairs(candidates: DataFrame, stratum: str, k: int, seed: str, *ids: str) -> DataFrame:
-    """``k`` pairs of each stratum in hash order, expanded to an item for each role: crit and ctrl share all but their role."""
-    drawn = draw(candidates, [stratum], F.lit(k), seed, *ids)
-    return drawn.withColumn("role", F.explode(F.array(F.lit("crit"), F.lit("ctrl"))))
+def pair_items(pairs: DataFrame) -> DataFrame:
+    """Drawn pairs as two items each: CRIT with the critical half's label, CTRL with the control half's."""
+    role = F.explode(F.array(*[F.struct(F.lit(c).alias("corpus"), F.col(f"{c.lower()}_label").alias("automated_label")) for c in ("CRIT", "CTRL")]))
+    return pairs.select("pair_id", "cer_target", role.alias("_r")).select("pair_id", "cer_target", "_r.*")
 
 
 def substudy_rows(auth: DataFrame, probes: DataFrame, reserved: DataFrame, n: int, seed: str, stratum: str, max_replicate: int = 10) -> DataFrame:

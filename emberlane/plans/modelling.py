@@ -173,10 +173,6 @@ def _(m): return matched.adjusted_effect(m, _CELL[:3], by="model")  # noqa: E704
 def _(m): return matched.risk_difference_by_rate(m)  # noqa: E704
 
 
-@query("gee_slope", A)
-def _(a): return inference.gee_slope(a)  # noqa: E704
-
-
 _SLOPES = fitted.logit(A, ["1.0", "realized_cer"], "label = 'drift'", by="model") + f", slopes AS (SELECT grp AS model, beta AS slope, se, total.n::BIGINT AS n FROM {fitted.table(['intercept', 'slope'])} t JOIN total USING (grp) WHERE term = 'slope')"
 
 
@@ -249,8 +245,11 @@ def _(p):
     return sm.greedy_controls(t.where("p_partkey % 20 = 0"), t.where("p_partkey % 20 > 0"), list(feats), 7)
 
 
-@query("power_simulation", "region")
-def _(r): return inference.power(30, 3, 4.0, -2.0, 0.5, 200, 1, r.sparkSession)  # noqa: E704
+@query("power_simulation", A)
+def _(a):
+    """Power of a design of 30 messages and 3 replicates for the slope and intercept that the attempts show."""
+    fit = {r["term"]: r["beta"] for r in inference.dose_model(a).collect()}
+    return inference.power(30, 3, fit["cer_target"], fit["intercept"], 0.5, 200, 1, a.sparkSession)
 
 
 @query("stability_verdict", A)

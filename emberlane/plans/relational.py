@@ -372,10 +372,6 @@ _CL = ("faithful", "degraded", "drift")
 def _(r): return ag.corrected_prevalence(r, _rated(r)).select("class", "naive", "corrected")  # noqa: E704
 
 
-@query("corrected_prevalence_by_corpus", R)
-def _(r): return ag.corrected_prevalence(r, _rated(r), by="corpus", weight="sampling_weight")  # noqa: E704
-
-
 _CF = f"(SELECT model, message_id, confidence / 100 AS c, label = 'faithful' AS y FROM {A} WHERE confidence IS NOT NULL)"
 _LEFT = "(CASE WHEN c >= 0.9 THEN 9 WHEN c >= 0.8 THEN 8 WHEN c >= 0.7 THEN 7 WHEN c >= 0.6 THEN 6 WHEN c >= 0.5 THEN 5 WHEN c >= 0.4 THEN 4 WHEN c >= 0.3 THEN 3 WHEN c >= 0.2 THEN 2 WHEN c >= 0.1 THEN 1 ELSE 0 END)"
 _RIGHT = "(CASE WHEN c <= 0.1 THEN 0 WHEN c <= 0.2 THEN 1 WHEN c <= 0.3 THEN 2 WHEN c <= 0.4 THEN 3 WHEN c <= 0.5 THEN 4 WHEN c <= 0.6 THEN 5 WHEN c <= 0.7 THEN 6 WHEN c <= 0.8 THEN 7 WHEN c <= 0.9 THEN 8 ELSE 9 END)"
@@ -571,10 +567,6 @@ def _(a): return rk.nearest_to_level(a.groupBy("message_id").agg(F.avg("realized
 def _(a): return rk.span_extremes(a.groupBy("message_id").agg(F.avg("realized_cer").alias("x")), "x", "message_id", 6)  # noqa: E704
 
 
-@query("example_picker", A)
-def _(a): return rk.first_per_spec(a, [{"label": "drift", "corpus": "CRIT"}, {"label": "degraded", "corpus": "AUTH"}, {"label": "drift", "corpus": "AUTH"}], ["message_id", "model", "l_orderkey", "l_partkey"])  # noqa: E704
-
-
 @query("outcome_guard", _I, sql=f"SELECT condition, CASE WHEN {_DEC} THEN 'declined' ELSE label END AS outcome, count(*) AS n FROM {_I} GROUP BY ALL")
 def _(i): return i.groupBy("condition", lb.outcome(F.col("label"), F.col("abstained")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))  # noqa: E704
 

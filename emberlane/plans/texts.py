@@ -167,11 +167,32 @@ def _(c):
     return _said(c).select("conv_id", "turn", "s", tx.flip_negation(s).alias("flipped"), tx.swap_recipient(s).alias("swapped"), tx.refusal_to_consent(s).alias("consented"))
 
 
-@query("probe_set", "conversations")
+_CONSENT = f"CASE WHEN contains(s, 'stop') THEN regexp_replace(s, 'stop', 'continue') WHEN contains(s, 'don''t') OR contains(s, 'do not') THEN {_flip_sql()} END"
+
+
+@query("probe_set", "conversations", sql=f"""
+    WITH t AS (SELECT conv_id, turn, {_SAY} AS s FROM conversations),
+         v AS (SELECT conv_id, turn, s, 0 AS k, NULL AS drift_type, NULL AS dangerous_variant FROM t UNION ALL SELECT conv_id, turn, s, 1, 'negation', {_flip_sql()} FROM t
+               UNION ALL SELECT conv_id, turn, s, 2, 'recipient', {_swap_sql()} FROM t UNION ALL SELECT conv_id, turn, s, 3, 'refusal_consent', {_CONSENT} FROM t)
+    SELECT printf('probe_%04d', row_number() OVER (ORDER BY conv_id, turn, k) - 1) AS message_id, 'message_critical' AS category, s AS intended_text, drift_type, dangerous_variant
+    FROM v WHERE k = 0 OR (dangerous_variant IS NOT NULL AND dangerous_variant <> '' AND dangerous_variant <> s)""")
 def _(c): return corpus.probe_set(_said(c).select(F.struct("conv_id", "turn").alias("seed_id"), F.col("s").alias("text")))  # noqa: E704
 
 
-@query("critical_flags_lexical", P)
+_A, _B = _TOK.format("intended_text"), _TOK.format("output_message")
+_LOW = "list_transform({}, lambda t: lower(t))"
+_ROLE = f"list_sort(list_distinct(list_filter({_LOW}, lambda t: t IN {_in(tx.ROLES)})))"
+_NEG = f"len(list_filter({{}}, lambda t: lower(t) IN {_in(tx.NEGATIONS)} OR contains(lower(t), 'n''t'))) > 0"
+_URG = "regexp_matches({}, '(?i)\\b(?:now|immediately|right away|urgent(?:ly)?|asap|hurry|quickly)\\b')"
+_NUM = "list_sort(list_transform(regexp_extract_all({}, '\\d+(?:\\.\\d+)?'), lambda x: x::DOUBLE))"
+
+
+@query("critical_flags_lexical", P, sql=f"""
+    WITH w AS (SELECT *, {_LOW.format(_A)} AS ours, {_LOW.format(_B)} AS theirs FROM {P}),
+         c AS (SELECT *, list_filter(ours, lambda w: NOT (w IN {_in([*tx.STOPWORDS, *tx.ROLES, *tx.ACTIONS, 'me', 'us', 'please'])})) AS content, list_filter(ours, lambda w: w IN {_in(tx.ACTIONS)}) AS action FROM w)
+    SELECT conv_id, turn, ({_NEG.format(_A)}) <> ({_NEG.format(_B)}) AS negation_flip, {_NUM.format('intended_text')} <> {_NUM.format('output_message')} AS numeral_change, {_ROLE.format(_A)} <> {_ROLE.format(_B)} AS recipient_change,
+           {_URG.format('intended_text')} <> {_URG.format('output_message')} AS urgency_change,
+           len(action) > 0 AND CASE WHEN len(content) > 0 THEN len(list_intersect(content, theirs)) = 0 ELSE len(list_filter(action, lambda x: NOT list_contains(theirs, x))) > 0 END AS actionable_omission FROM c""")
 def _(p):
     return p.select("conv_id", "turn", *[c.alias(k) for k, c in lb.critical_flags(F.col("intended_text"), F.col("output_message")).items()])
 

@@ -194,3 +194,91 @@ def test_streaming_rates(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r["n"], r["drift_rate"]) for r in spark.sql("select * from running").collect()] == [(20, 0.25)]
+
+
+def test_conditional_fit_against_all_subsets(spark):
+    """Likelihood, score and information of strata by enumeration of every way to place the successes."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(0, 1, (4, 5, 3)), np.zeros((4, 5))
+    for s in range(4):
+        y[s, rng.choice(5, 2, replace=False)] = 1
+    b = np.array([0.4, -0.7, 0.2])
+    ll, g, h = 0.0, np.zeros(3), np.zeros((3, 3))
+    for s in range(4):
+        ways = [x[s, list(c)].sum(0) for c in combinations(range(5), 2)]
+        w = np.exp([v @ b for v in ways])
+        mean = sum(wi * v for wi, v in zip(w, ways, strict=True)) / w.sum()
+        won = y[s] @ x[s]
+        ll, g = ll + won @ b - math.log(w.sum()), g + won - mean
+        h += sum(wi * np.outer(v, v) for wi, v in zip(w, ways, strict=True)) / w.sum() - np.outer(mean, mean)
+    a = glm.conditional_sums(x, y, b)
+    assert a[0] == pytest.approx(ll) and np.allclose(a[1], g) and np.allclose(a[2], h)
+
+
+def test_adjusted_effect_by_group_equals_each_fit_alone(spark):
+    from emberlane.contracts import ContractError
+    from emberlane.operators import matched
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for s in range(120):
+        u = rng.normal(0, 1)
+        for c in (1, 0):
+            for _ in range(2):
+                z = [float(v) for v in rng.normal(0, 1, 5)]
+                rows.append((f"s{s}", f"m{s % 2}", c, int(rng.random() < 1 / (1 + math.exp(-(u + 0.8 * c + 0.5 * z[4])))), *z))
+    df = spark.createDataFrame(rows, "pair_id string, model string, critical int, drift int, " + ", ".join(f"{a} double" for a in matched.ADJUSTERS))
+    both = {(r["model"], r["term"]): r for r in matched.adjusted_effect(df, ["pair_id"], by="model").collect()}
+    assert [k for k, _ in both] == ["m0"] * 6 + ["m1"] * 6
+    for m in ("m0", "m1"):
+        for r in matched.adjusted_effect(df.where(F.col("model") == m), ["pair_id"]).collect():
+            assert both[m, r["term"]]["beta"] == pytest.approx(r["beta"], abs=1e-7) and both[m, r["term"]]["n_pairs"] == r["n_pairs"] and r["converged"]
+    whole = {r["term"]: r for r in matched.adjusted_effect(df, ["pair_id"]).collect()}
+    assert abs(whole["critical"]["beta"] - 0.8) < 3 * whole["critical"]["se"] and abs(whole["realized_cer"]["beta"] - 0.5) < 3 * whole["realized_cer"]["se"]
+    with pytest.raises(ContractError):
+        matched.adjusted_effect(df.withColumn("char_len", F.lit(None).cast("double")), ["pair_id"])
+
+
+def test_risk_difference_by_rate_seeds_each_rate(spark):
+    from emberlane.operators import matched
+
+    rng = np.random.default_rng(2)
+    rows = [(f"m{2 * p + 1 - c}", f"m{2 * p}", c, x, "drift" if rng.random() < 0.3 + 0.2 * c * x else "faithful") for p in range(30) for c in (1, 0) for x in (0.1, 0.3) for _ in range(4)]
+    df = spark.createDataFrame(rows, "message_id string, pair_id string, critical int, cer_target double, label string")
+    out = matched.risk_difference_by_rate(df, draws=50, seed=7).collect()
+    assert [(r["cer_target"], r["seed"]) for r in out] == [(0.1, 7), (0.3, 8)]
+    for r in out:
+        alone = matched.risk_difference_by_rate(df.where(F.round("cer_target", 1) == r["cer_target"]), draws=50, seed=r["seed"]).first()
+        assert (alone["point"], alone["lo"], alone["hi"]) == (r["point"], r["lo"], r["hi"]) and r["lo"] <= r["point"] <= r["hi"]
+
+
+def test_random_intercept_of_balanced_data_is_the_analysis_of_variance(spark):
+    rng = np.random.default_rng(4)
+    g, n = 60, 6
+    x = np.tile(np.linspace(0, 1, n), (g, 1))
+    y = 1 + 2 * x + rng.normal(0, 0.7, (g, 1)) + rng.normal(0, 0.5, (g, n))
+    df = spark.createDataFrame([(f"g{i}", float(x[i, j]), float(y[i, j])) for i in range(g) for j in range(n)], "g string, x double, y double")
+    fit, residual, between = glm.random_intercept(df, F.col("y"), {"one": F.lit(1.0), "x": F.col("x")}, "g")
+    slope = ((x - x.mean()) * (y - y.mean(1, keepdims=True))).sum() / ((x - x.mean()) ** 2).sum()
+    within = (y - y.mean(1, keepdims=True) - slope * (x - x.mean())).ravel()
+    ms_w = (within**2).sum() / (g * (n - 1) - 1)
+    ms_b = n * y.mean(1).var(ddof=1)
+    assert fit.beta[1] == pytest.approx(slope, abs=1e-9) and residual == pytest.approx(ms_w, rel=1e-4) and between == pytest.approx((ms_b - ms_w) / n, rel=1e-3)
+
+
+def test_numbering_in_buckets_is_the_order(spark):
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(int(v), f"k{v % 7}", i) for i, v in enumerate(rng.integers(0, 400, 3000))], "a long, b string, i long")
+    out = sorted(sampling.numbered(df, ["b", "a", "i"], "place", buckets=9).collect(), key=lambda r: r["place"])
+    assert [r["place"] for r in out] == list(range(1, 3001)) and [(r["b"], r["a"], r["i"]) for r in out] == sorted((r["b"], r["a"], r["i"]) for r in out)
+    assert sampling.numbered(df.limit(0), ["a"], "place").count() == 0 and sampling.numbered(df.limit(1), ["a"], "place").first()["place"] == 1
+
+
+def test_fallback_fit_is_the_newton_fit(simulated, monkeypatch):
+    xs = {"intercept": F.lit(1.0), "x": F.col("realized_cer")}
+    fit, _ = glm.multinomial(simulated, "label", ("faithful", "degraded", "drift"), xs, "message_id")
+    monkeypatch.setattr(glm, "_newton", lambda stats, p: (np.zeros(p), np.eye(p), False, 0.0))
+    other, _ = glm.multinomial(simulated, "label", ("faithful", "degraded", "drift"), xs, "message_id")
+    assert (fit.engine, other.engine) == ("newton", "lbfgs") and np.allclose(fit.beta, other.beta, atol=1e-3) and other.converged
