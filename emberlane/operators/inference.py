@@ -175,18 +175,66 @@ def _interval(df: DataFrame, point: float, draws: list[float], **more: object) -
     return _frame(df, [{"point": float(point), "lo": float(lo), "hi": float(hi), "se": float(d.std(ddof=1)) if len(d) > 1 else math.nan, "n_draws": len(d), **more}])
 
 
+#: Cells of the table of weights (clusters times draws) that a cluster bootstrap broadcasts at most, two bytes each.
+WEIGHT_CELLS = 100_000_000
+
+
 def slope_bootstrap(df: DataFrame, cluster: str = "message_id", x: str = "realized_cer", draws: int = 500, seed: int = 0) -> DataFrame:
-    """Cluster bootstrap of a logit slope on (cluster, x) counts; few clusters are flagged unstable, degenerate draws skipped."""
-    t = df.groupBy(F.col(cluster).alias("g"), F.col(x).alias("x")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(_drift()).alias("k")).toPandas()
-    ids, at = np.unique(t["g"].to_numpy(), return_inverse=True)
-    xs, k, n = (t[c].to_numpy(float) for c in ("x", "k", "n"))
-    rng = np.random.default_rng(seed)
-    out = []
-    for _ in range(draws):
-        w = _weights(rng, len(ids))[at]
-        keep = w > 0
-        out.append(glm.fit_counts(xs[keep], (k * w)[keep], (n * w)[keep])[0])
-    return _interval(df, glm.fit_counts(xs, k, n)[0], out, n_clusters=len(ids), unstable=len(ids) < 15)
+    """Cluster bootstrap of a logit slope; few clusters are flagged unstable, draws whose fit fails are skipped.
+
+    Only the clusters' names are collected (a number that the design fixes; more than :data:`WEIGHT_CELLS` weights raise).
+    Their weights are drawn in sorted order and broadcast; (cluster, x) counts stay in Spark, and each Newton step sums the
+    scores of all draws in one pass over them.
+    """
+    t = df.groupBy(F.col(cluster).alias("g"), F.col(x).cast("double").alias("x")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(_drift()).alias("k")).persist()
+    try:
+        ids = np.array(sorted(r[0] for r in t.select("g").distinct().limit(WEIGHT_CELLS // max(1, draws) + 1).collect()))
+        if len(ids) * draws > WEIGHT_CELLS:
+            raise ValueError(f"{len(ids)} clusters are too many for {draws} draws")
+        rng = np.random.default_rng(seed)
+        weights = np.vstack([np.ones(len(ids)), *[_weights(rng, len(ids)) for _ in range(draws)]]).astype(np.int16)
+        shared = df.sparkSession.sparkContext.broadcast((ids, weights))
+
+        def sums(beta: np.ndarray) -> np.ndarray:
+            def run(batches):  # noqa: ANN001, ANN202
+                import pandas as pd
+
+                names, w = shared.value
+                total = np.zeros((len(w), 5))
+                for pdf in batches:
+                    for i in range(0, len(pdf), 2000):
+                        part = pdf.iloc[i : i + 2000]
+                        xs, n, k = (part[c].to_numpy(float) for c in ("x", "n", "k"))
+                        v = w[:, np.searchsorted(names, part["g"].to_numpy())]
+                        mu = 1 / (1 + np.exp(-np.clip(beta[:, :1] + beta[:, 1:] * xs, -35, 35)))
+                        gap, info = v * (k - n * mu), v * n * mu * (1 - mu)
+                        total += np.stack([gap.sum(1), gap @ xs, info.sum(1), info @ xs, info @ xs**2], axis=1)
+                yield pd.DataFrame({"draw": np.arange(len(w)), **{f"s{j}": total[:, j] for j in range(5)}})
+
+            rows = t.mapInPandas(run, "draw long, " + ", ".join(f"s{j} double" for j in range(5))).groupBy("draw").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(5)]).collect()
+            out = np.zeros((len(weights), 5))
+            for r in rows:
+                out[r["draw"]] = r[1:]
+            return out
+
+        beta, live, good = np.zeros((draws + 1, 2)), np.ones(draws + 1, bool), np.zeros(draws + 1, bool)
+        for _ in range(50):
+            g0, g1, h0, h1, h2 = sums(beta).T
+            det = h0 * h2 - h1 * h1
+            with np.errstate(divide="ignore", invalid="ignore"):
+                step = np.stack([h2 * g0 - h1 * g1, h0 * g1 - h1 * g0], axis=1) / det[:, None]
+            live &= np.isfinite(step).all(1) & (det > 1e-12 * np.maximum(1.0, h0 * h2))
+            beta[live] += step[live]
+            live &= np.abs(beta).max(1) <= 1e3
+            done = live & (np.abs(step).max(1) < 1e-10)
+            good |= done
+            live &= ~done
+            if not live.any():
+                break
+        point = float(beta[0, 1]) if good[0] else math.nan
+        return _interval(df, point, [float(b) for b in beta[1:, 1][good[1:]]], n_clusters=len(ids), unstable=len(ids) < 15)
+    finally:
+        t.unpersist()
 
 
 def risk_difference_bootstrap(sums: DataFrame, draws: int = 1000, seed: int = 0) -> DataFrame:

@@ -21,7 +21,10 @@ _META = T.StructType([
 
 
 class Channel:
-    """Draws per character: indel, substitution from the character's confusion row, or copy; one seeded stream per text."""
+    """Draws per character: indel, substitution from the character's confusion row, or copy; one seeded stream per text.
+
+    Which draw follows which is a fixed value: with it a seed gives the same corrupted text as in earlier exposure tables.
+    """
 
     def __init__(self, matrix: np.ndarray, alphabet: str = ALPHABET) -> None:
         self.alphabet, self.place = alphabet, {c: i for i, c in enumerate(alphabet)}
