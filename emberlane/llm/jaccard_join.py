@@ -15,6 +15,8 @@ from emberlane.llm.words import mix, windows, word_hashes
 
 #: Bits of a shingle's hash in the count table beyond those that number all shingles: one unique shingle in 2 ** SPARE counts as repeated, which costs time, not results.
 SPARE = 7
+#: Shingles before it in the prefix that a posting carries along.
+BEFORE = 4
 #: 64-bit words of a set's parity bitmap: bit k is the parity of its members hashed to k, so two bitmaps differ in at most as many bits as the sets in members.
 PARITY = 16
 _BITS = [f"b{i}" for i in range(PARITY)]
@@ -142,8 +144,11 @@ def _groups_reach(a: str, b: str, percent: int):
 
 
 def _first_shared(a: str, b: str, percent: int):
-    """What follows the shared shingle at ``pos`` is enough for a link. Exact for the first that two sets share: no link fails it there."""
-    return F.expr(f"(100 + {percent}) * least({a}.n - {a}.pos, {b}.n - {b}.pos) >= {percent} * ({a}.n + {b}.n)")
+    """What follows the shared shingle at ``pos`` is enough for a link, and none of the few before it in the prefixes is shared.
+
+    Exact for the first shingle that two sets share: no link fails it there. So a pair is met about once, not at each shingle.
+    """
+    return F.expr(f"(100 + {percent}) * least({a}.n - {a}.pos, {b}.n - {b}.pos) >= {percent} * ({a}.n + {b}.n) AND NOT arrays_overlap({a}.before, {b}.before)")
 
 
 def _members_reach(a: str, b: str, percent: int):
@@ -185,10 +190,12 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     real = signed.where("g is not null and id is not null")
     units = stored(real.groupBy("s1", "s2", "n", "g").agg(F.min("no").alias("uid"), F.min("id").alias("least"), F.min("lone").alias("lone"), *[F.min(b).alias(b) for b in _BITS]))
     groups = real.groupBy("g", "n").agg(F.min_by(F.struct("prefix", "lone"), "no").alias("p"))
-    lists = groups.select("g", "n", "p.lone", F.posexplode("p.prefix").alias("pos", "tok")).withColumn("pos", F.col("pos") + F.col("lone"))
+    lists = groups.select("g", "n", "p.lone", "p.prefix", F.posexplode("p.prefix").alias("at", "tok"))
+    before = F.slice("prefix", F.greatest(F.col("at") - (BEFORE - 1), F.lit(1)), F.least(F.col("at"), F.lit(BEFORE)))
+    lists = lists.select("g", "n", "lone", "tok", (F.col("at") + F.col("lone")).alias("pos"), before.alias("before"))
     entry = F.struct(*_ENTRY)
     heads = lists.groupBy("tok").agg(F.count(F.lit(1)).alias("c"), F.min_by(entry, F.xxhash64("g", "n")).alias("head")).where("c > 1")
-    posted = stored(lists.join(heads.select("tok", "head"), "tok").select("tok", "head", *_ENTRY))
+    posted = stored(lists.join(heads.select("tok", "head"), "tok").select("tok", "head", *_ENTRY, "before"))
     members = units.select("g", "n", "uid", "lone", *_BITS)
     firsts = members.groupBy("g", "n").agg(F.min_by(F.struct("uid", "lone", *_BITS), F.xxhash64("uid")).alias("f")).select("g", "n", "f.*")
 
@@ -205,7 +212,7 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     posted_in = posted.drop("head").join(whole, ["g", "n"])
     mains = posted_in.groupBy("tok").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min_by("lo", F.xxhash64("g", "n")).alias("main")).where("lo != hi").select("tok", "main")
     open_lists = posted_in.join(mains, "tok").withColumn("band", F.floor(F.log("n") / F.lit(math.log(100 / percent) + 1e-6)).cast("int"))
-    open_lists = stored(open_lists.select("tok", "main", "band", "lo", "hi", entry.alias("e")))
+    open_lists = stored(open_lists.select("tok", "main", "band", "lo", "hi", F.struct(*_ENTRY, "before").alias("e")))
     left = open_lists.where("lo != main or hi != main").select("tok", "lo", "hi", F.col("e").alias("x"), F.explode(F.expr("array(band - 1, band, band + 1)")).alias("band"))
     right = open_lists.select("tok", "band", F.col("main"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("e").alias("y"))
     apart = "(lo != hi or lo2 != hi2 or lo != lo2) and (x.g, x.n) != (y.g, y.n) and ((lo2 = main and hi2 = main) or (x.g, x.n) < (y.g, y.n))"
