@@ -7,11 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlane.llm.common import bit_flag, row_keys, stored, without
+from emberlane.llm.common import bit_flag, row_keys, spread_join, stored, without
 
 _UPPER, _LOWER = string.ascii_uppercase, string.ascii_lowercase
 #: Code points of the normalised text that the second level hashes.
 PREFIX = 256
+#: Rows of a group from which on they are dealt to many tasks.
+HOT = 2_000
 
 
 def ascii_lower(text: Column) -> Column:
@@ -25,8 +27,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts are equal when identical after lower-casing A-Z; null counts as empty; of equal texts the largest id stays.
     Level 1 counts lengths; level 2 hashes the first :data:`PREFIX` characters where the length repeats; level 3 hashes
     whole texts (SHA-256) where length and prefix hash repeat. What repeats at a level reaches the next scan as bitmaps of
-    bounded size, so no text is shuffled: only ids and hashes are, pre-aggregated, and the last join is a plain one that
-    Spark splits where one group holds many rows. A row listed more than once under one id is one document: each listing
+    bounded size, so no text is shuffled: only ids and hashes are, pre-aggregated, and rows of large groups are dealt to many
+    tasks. A row listed more than once under one id is one document: each listing
     gets the same answer. A null id stays only if its group has no other id; an empty table gives an empty result. Where the
     caller already carries the SHA-256 of normalised texts, ``digest`` names that column and level 3 takes it from there.
     """
@@ -48,7 +50,8 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str], d
     rows = rows.select("_id", *carry, F.when(F.col("_same_len") & F.col("_same_prefix"), full).alias("_full"))
     groups = rows.where("_full is not null").groupBy("_full").agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_keep")).where("_n > 1")
     # a text that met no other joins under a key of its own, so such rows spread evenly
-    joined = rows.withColumn("_k", F.coalesce("_full", own)).join(groups.withColumnRenamed("_full", "_k"), "_k", "left")
+    groups = groups.withColumnRenamed("_full", "_k")
+    joined = spread_join(rows.withColumn("_k", F.coalesce("_full", own)), groups, "_k", groups.where(F.col("_n") > HOT).select("_k"), "left")
     keep = F.when(F.col("_n").isNull(), F.col("_id")).otherwise(F.col("_keep"))
     return joined.select(
         F.col("_id").alias(id_col), *carry, keep.alias("keep_id"), F.coalesce("_n", F.lit(1)).cast("long").alias("group_size"),

@@ -17,7 +17,7 @@ from emberlane.llm.common import stored
 from emberlane.llm.words import mix, slices, word_hashes
 
 #: Bytes of text whose n-grams travel together; entries of a count partition, about.
-CHUNK, PARTITION = 8 << 20, 1_500_000
+CHUNK, PARTITION = 8 << 20, 750_000
 #: Bits of a word's hash: of V different words about V in 2 ** 49 / V meet another.
 WORD_BITS = 48
 _ZSTD = pa.Codec("zstd", compression_level=5)
@@ -39,30 +39,33 @@ def _raw(words: np.ndarray) -> bytes:
     return np.ascontiguousarray(words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : WORD_BITS // 8]).tobytes()
 
 
-def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    task = TaskContext.get().partitionId()
-    seq = row = 0
-    for batch in batches:
-        for i, j, data, offs in slices(batch.column(1), CHUNK):
-            words, firsts = word_hashes(data, offs, lower=True)
-            vocab, codes, counts = np.unique(words >> np.uint64(64 - WORD_BITS), return_inverse=True, return_counts=True)
-            rank = np.argsort(-counts, kind="stable")
-            number = np.empty(len(rank), dtype=np.int64)
-            number[rank] = np.arange(len(rank))
-            ids = pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), batch.column(0).slice(i, j - i))
-            longs = [pa.array([v], pa.int64()) for v in ((task << 32) + seq, (task << 40) + row, len(words))]
-            blobs = [pa.array([b], pa.binary()) for b in (packed(np.diff(firsts)), _raw(vocab[rank]), packed(number[codes]))]
-            yield pa.RecordBatch.from_arrays([*longs[:2], ids, longs[2], *blobs], names=["chunk", "first", "ids", "n", "sizes", "vocab", "codes"])
-            seq, row = seq + 1, row + j - i
+def _written(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        seq = row = 0
+        for batch in batches:
+            for i, j, data, offs in slices(batch.column(1), size):
+                words, firsts = word_hashes(data, offs, lower=True)
+                vocab, codes, counts = np.unique(words >> np.uint64(64 - WORD_BITS), return_inverse=True, return_counts=True)
+                rank = np.argsort(-counts, kind="stable")
+                number = np.empty(len(rank), dtype=np.int64)
+                number[rank] = np.arange(len(rank))
+                ids = pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), batch.column(0).slice(i, j - i))
+                longs = [pa.array([v], pa.int64()) for v in ((task << 32) + seq, (task << 40) + row, len(words))]
+                blobs = [pa.array([b], pa.binary()) for b in (packed(np.diff(firsts)), _raw(vocab[rank]), packed(number[codes]))]
+                yield pa.RecordBatch.from_arrays([*longs[:2], ids, longs[2], *blobs], names=["chunk", "first", "ids", "n", "sizes", "vocab", "codes"])
+                seq, row = seq + 1, row + j - i
+
+    return run
 
 
-def chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Whole texts as word numbers (A-Z lower-cased), about :data:`CHUNK` bytes of text a row, written once.
+def chunked(docs: DataFrame, id_col: str, text_col: str, size: int = CHUNK) -> DataFrame:
+    """Whole texts as word numbers (A-Z lower-cased), about ``size`` bytes of text a row, written once.
 
     ``first`` numbers a chunk's first row; its further rows follow, so every row has a number of its own.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    return stored(docs.select(F.col(id_col), F.col(text_col)).mapInArrow(_write, CHUNK_TYPE.format(id=kind)))
+    return stored(docs.select(F.col(id_col), F.col(text_col)).mapInArrow(_written(size), CHUNK_TYPE.format(id=kind)))
 
 
 def opened(row: pa.Table) -> tuple[np.ndarray, np.ndarray]:

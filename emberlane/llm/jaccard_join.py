@@ -13,6 +13,10 @@ from emberlane.llm.common import bit_filter, bit_flag, components, drop_stored,
 from emberlane.llm.grams import answered, answers, chunked, opened
 from emberlane.llm.words import mix, windows, word_hashes
 
+#: Bytes of text whose shingles are counted and signed together, about.
+CHUNK = 3 << 20
+#: Bytes of a member's hash that verification compares: of n and m members n * m in 2 ** 48 pairs look alike.
+WIDTH = 6
 #: Bits of a shingle's hash in the count table beyond those that number all shingles: one unique shingle in 2 ** SPARE counts as repeated, which costs time, not results.
 SPARE = 7
 #: Shingles before it in the prefix that a posting carries along.
@@ -53,6 +57,17 @@ def _entries(n: int, bits: int):
     return run
 
 
+def _narrow(hashes: np.ndarray) -> bytes:
+    """The upper :data:`WIDTH` bytes of sorted hashes."""
+    return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - WIDTH :]).tobytes()
+
+
+def _wide(data) -> np.ndarray:  # noqa: ANN001
+    out = np.zeros((len(data) // WIDTH, 8), dtype=np.uint8)
+    out[:, 8 - WIDTH :] = np.frombuffer(data, dtype=np.uint8).reshape(-1, WIDTH)
+    return out.view("<u8").ravel()
+
+
 def _signed(n: int, percent: int, bits: int):
     """What the join has to know of each text; members, prefix and bitmap hold repeated shingles only: no other can be shared."""
     shift, salt = np.uint64(64 - bits), np.uint64(0x5851F42D4C957F2D)
@@ -82,7 +97,7 @@ def _signed(n: int, percent: int, bits: int):
             with np.errstate(over="ignore"):
                 key.append(int(mix(mix(first) + np.arange(len(first), dtype=np.uint64)).sum().view(np.int64)))
             prefix.append(first)
-            members.append(kept.tobytes())
+            members.append(_narrow(kept))
             parity.append(np.packbits((np.bincount((mix(kept) >> np.uint64(40)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1).astype(np.uint8)))
         longs = lambda x: pa.array(x.view(np.int64))
         wide = np.zeros((len(sets), PARITY), dtype=np.int64)
@@ -106,7 +121,7 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, n: int, percent: in
 
     Shingles are ordered by the exact number of texts that hold them, so unique ones come first and need no posting.
     """
-    chunks = chunked(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id", "text")
+    chunks = chunked(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id", "text", CHUNK)
     words, n_chunks = chunks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     bits = min(64, max(32, int(words).bit_length() + SPARE))
     signed = stored(answered(chunks, _entries(n, bits), words, n_chunks, bits).groupBy("chunk").applyInArrow(_signed(n, percent, bits), _SIGNED))
@@ -121,7 +136,7 @@ def _verify(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             ok = []
             for n, m, a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
-                x, y = (np.frombuffer(c.as_buffer(), dtype=np.uint64) for c in (a, b))
+                x, y = _wide(a.as_buffer()), _wide(b.as_buffer())
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 both = int((y[at] == x).sum())
                 ok.append(100 * both >= percent * (n + m - both))

@@ -177,6 +177,11 @@ def test_exact_dedup(docs, rows):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in got(kept)) == sorted(i for i, w in want.items() if w[2])
 
 
+def test_exact_dedup_deals_large_groups_out(docs, rows, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT", 1)
+    test_exact_dedup(docs, rows)
+
+
 def test_exact_dedup_null_ids_and_repeats(spark):
     df = spark.createDataFrame([(None, "a"), (3, "A"), (3, "A"), (None, "z"), (5, "É"), (6, "é")], "doc_id long, text string")
     out = sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got(exact_dedup.exact_groups(df))), key=str)
