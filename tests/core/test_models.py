@@ -282,3 +282,11 @@ def test_fallback_fit_is_the_newton_fit(simulated, monkeypatch):
     monkeypatch.setattr(glm, "_newton", lambda stats, p: (np.zeros(p), np.eye(p), False, 0.0))
     other, _ = glm.multinomial(simulated, "label", ("faithful", "degraded", "drift"), xs, "message_id")
     assert (fit.engine, other.engine) == ("newton", "lbfgs") and np.allclose(fit.beta, other.beta, atol=1e-3) and other.converged
+
+
+def test_dedupe_apply_answers_null_keys(spark):
+    from emberlane import contracts as ct
+
+    df = spark.createDataFrame([("a", 1), (None, 2), ("a", 3), (None, 4)], "k string, v int")
+    out = ct.dedupe_apply(df, ["k"], lambda t: t.withColumn("n", F.coalesce(F.length("k"), F.lit(-1))))
+    assert sorted((r["v"], r["n"]) for r in out.collect()) == [(1, 1), (2, -1), (3, 1), (4, -1)] and out.columns == ["k", "v", "n"]
