@@ -247,3 +247,11 @@ def prompts(rows: DataFrame, bank: DataFrame, name: str, text: Column, suffix: s
     if lost:
         raise ValueError(f"no prompt is called {lost[0][0]!r}")
     return out.withColumn("user", F.concat(F.lit("Input: "), text, F.lit("\nOutput:"), F.lit(suffix)))
+
+
+def html_escape(text: Column) -> Column:
+    """Text safe within an element or a quoted attribute; null is empty."""
+    out = F.coalesce(text, F.lit(""))
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out

@@ -1,10 +1,13 @@
 """Decision tables over text signals, ensemble votes, and label sources, as column expressions."""
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlane.functions import text as tx
+from emberlane.contracts import dedupe_apply
 from emberlane.schema import BORDERLINE, COSINE_GATE, CRIT_COLUMNS, FLUENCY_GATE, NEAR_EMPTY, NLI_COLUMNS, OVERGENERATION_RATIO
 
 EVALUATORS = (("deberta", "mpnet"), ("deberta", "minilm"), ("roberta", "mpnet"), ("roberta", "minilm"))
@@ -183,3 +186,25 @@ def normalised_record(df: DataFrame, conditions: DataFrame) -> DataFrame:
     rows = df.join(F.broadcast(conditions.select("prompt_id", "permits_candidates")), "prompt_id", "left")
     found = F.when(F.coalesce("permits_candidates", F.lit(False)), tx.parse_candidates(F.col("raw_output")))
     return rows.withColumns({"abstained": F.coalesce("abstained", F.lit(False)), "candidates": found}).drop("permits_candidates")
+
+
+def injected_signals(df: DataFrame, fns: dict[str, Callable[[Column, Column], Column]], intended: str = "intended_text", output: str = "output_message") -> DataFrame:
+    """``df`` with one column per injected scoring function of (intended, output), each distinct pair scored once.
+
+    A function takes two columns and gives one: an expression, or a pandas UDF where a model has to be called in batches.
+    """
+    return dedupe_apply(df, [intended, output], lambda t: t.withColumns({k: f(F.col(intended), F.col(output)) for k, f in fns.items()}))
+
+
+def substudy_labels(rows: DataFrame, key: Sequence[str], label_fn: Callable[[Column, Column], Column]) -> DataFrame:
+    """Labels of a substudy: replies that were not declined and their candidates are labelled apart, each distinct pair once, and put together.
+
+    A declined row has no label; ``any_candidate_faithful`` is null where a row has no candidates.
+    """
+    open_rows = rows.where(~F.coalesce("abstained", F.lit(False)))
+    said = open_rows.select("intended_text", "output_message")
+    offered = open_rows.where("candidates is not null").select("intended_text", F.explode("candidates").alias("output_message"))
+    labels = said.unionByName(offered).distinct().withColumn("label", label_fn(F.col("intended_text"), F.col("output_message")))
+    done = open_rows.join(labels, ["intended_text", "output_message"], "left")
+    found = any_candidate_faithful(done, labels, tuple(key)).select(*key, "label", "any_candidate_faithful")
+    return rows.join(found, list(key), "left")

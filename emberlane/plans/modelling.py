@@ -180,11 +180,16 @@ _SLOPES = fitted.logit(A, ["1.0", "realized_cer"], "label = 'drift'", by="model"
 def _(a): return inference.model_slopes(a)  # noqa: E704
 
 
-@query("pooled_model_slope", A, doubles="pooled se lo hi tau2 q i2", digits=FIT, sql=f"""{_SLOPES},
+_POOL = f"""{_SLOPES},
     t AS (SELECT slope AS y, greatest(pow((2 * 1.96 * se) / (2 * 1.96), 2), 1e-12) AS v FROM slopes), a AS (SELECT count(*) AS k, sum(1 / v) AS sw, sum(1 / v / v) AS sw2, sum(y / v) AS swy FROM t),
     q AS (SELECT k, sw, sw2, sum(pow(y - swy / sw, 2) / v) AS q FROM t, a GROUP BY ALL), u AS (SELECT k, q, greatest(0, (q - (k - 1)) / (sw - sw2 / sw)) AS tau2 FROM q),
     r AS (SELECT k, q, tau2, sum(y / (v + tau2)) / sum(1 / (v + tau2)) AS pooled, 1 / sqrt(sum(1 / (v + tau2))) AS se FROM t, u GROUP BY ALL)
-    SELECT k, pooled, se, pooled - 1.96 * se AS lo, pooled + 1.96 * se AS hi, tau2, q, CASE WHEN q > 0 THEN greatest(0, (q - (k - 1)) / q) * 100 ELSE 0 END AS i2 FROM r""")
+    SELECT k, pooled, se, pooled - 1.96 * se AS lo, pooled + 1.96 * se AS hi, tau2, q, CASE WHEN q > 0 THEN greatest(0, (q - (k - 1)) / q) * 100 ELSE 0 END AS i2 FROM r"""
+#: k, pooled and se of the pooled slope.
+POOLED = _POOL.replace("SELECT k, pooled, se, pooled - 1.96 * se AS lo, pooled + 1.96 * se AS hi, tau2, q, CASE WHEN q > 0 THEN greatest(0, (q - (k - 1)) / q) * 100 ELSE 0 END AS i2 FROM r", "SELECT k, pooled, se FROM r")
+
+
+@query("pooled_model_slope", A, doubles="pooled se lo hi tau2 q i2", digits=FIT, sql=_POOL)
 def _(a): return inference.pooled_slope(a)  # noqa: E704
 
 

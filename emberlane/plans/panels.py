@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from emberlane import contracts as ct
 from emberlane.functions import text as tx
 from emberlane.operators import agreement as ag
-from emberlane.operators import balance, glm, inference, rates
+from emberlane.operators import balance, corpus, glm, inference, rates
 from emberlane.operators import calibration as cal
 from emberlane.operators import label as lb
 from emberlane.operators import ranking as rk
@@ -15,6 +15,7 @@ from emberlane.plans import fitted
 from emberlane.plans.modelling import _DOUBLES, _TERM, FIT
 from emberlane.plans.registry import query
 from emberlane.plans.relational import _CL, _CONF, _P, _RATED, _rated
+from emberlane.plans.texts import _LINES
 from emberlane.schema import CLASSES
 
 A, R, P, M = "fx_attempts", "fx_ratings", "fx_reply_pairs", "fx_matched"
@@ -212,3 +213,48 @@ def _(a):
     base = a.groupBy(F.lit(1.0).alias("_x0"), F.col("realized_cer").alias("_x1")).agg(F.count(F.lit(1)).cast("double").alias("_n"), *[F.count_if(F.col("label") == c).cast("double").alias(f"_k{j}") for j, c in enumerate(CLASSES[1:])])
     names = [f"{c}:{t}" for c in CLASSES[1:] for t in ("intercept", "realized_cer")]
     return a.sparkSession.createDataFrame([(n, float(b)) for n, b in zip(names, glm._quasi_newton(base, 2, 2), strict=True)], "term string, beta double")
+
+
+@query("anti_membership", P, sql=f"""
+    SELECT conv_id, turn FROM {P} WHERE conv_id NOT IN (SELECT conv_id FROM {P} WHERE conv_id % 5 = 0) AND intended_text NOT IN (SELECT intended_text FROM {P} WHERE turn = 0 AND conv_id % 3 = 0)""")
+def _(p):
+    t = balance.resume(p, p.where("conv_id % 5 = 0"), ["conv_id"])
+    return balance.resume(t, p.where("turn = 0 and conv_id % 3 = 0"), ["intended_text"]).select("conv_id", "turn")
+
+
+@query("injected_signals", P, doubles="length_ratio", sql=f"SELECT conv_id, turn, length(output_message)::DOUBLE / greatest(1, length(intended_text)) AS length_ratio, left(intended_text, 1) = left(output_message, 1) AS same_start FROM {P}")
+def _(p):
+    @F.pandas_udf("boolean")
+    def same_start(a, b):  # noqa: ANN001, ANN202
+        return a.str[:1] == b.str[:1]
+
+    fns = {"length_ratio": lambda a, b: F.length(b).cast("double") / F.greatest(F.lit(1), F.length(a)), "same_start": same_start}
+    return lb.injected_signals(p, fns).select("conv_id", "turn", "length_ratio", "same_start")
+
+
+_OFFERS = f"(SELECT conv_id, turn, intended_text, output_message, conv_id % 4 = 0 AS abstained, CASE WHEN turn % 4 < 2 THEN [upper(intended_text), output_message] END AS candidates FROM {P})"
+
+
+@query("substudy_labels", P, sql=f"""
+    SELECT conv_id, turn, CASE WHEN NOT abstained THEN CASE WHEN intended_text = output_message THEN 'faithful' ELSE 'drift' END END AS label,
+           CASE WHEN NOT abstained AND candidates IS NOT NULL THEN intended_text = output_message OR list_contains(candidates, intended_text) END AS any_candidate_faithful FROM {_OFFERS}""")
+def _(p):
+    offers = F.when(F.col("turn") % 4 < 2, F.array(F.upper("intended_text"), F.col("output_message")))
+    rows = p.withColumns({"abstained": F.col("conv_id") % 4 == 0, "candidates": offers})
+    return lb.substudy_labels(rows, ["conv_id", "turn"], lambda a, b: F.when(a == b, "faithful").otherwise("drift")).select("conv_id", "turn", "label", "any_candidate_faithful")
+
+
+_ESC = """replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')"""
+_FORM = f"""'<tr><td>' || {_ESC.format('url')} || '</td><td>' || {_ESC.format('html')} || '</td><td><input name="r' || page_id || '"></td></tr>'"""
+
+
+@query("rating_form_rows", "pages", sql=f"SELECT page_id, {_FORM} AS form_row FROM pages")
+def _(p):
+    cell = lambda c: F.concat(F.lit("<td>"), tx.html_escape(F.col(c)), F.lit("</td>"))
+    return p.select("page_id", F.concat(F.lit("<tr>"), cell("url"), cell("html"), F.lit('<td><input name="r'), F.col("page_id").cast("string"), F.lit('"></td></tr>')).alias("form_row"))
+
+
+@query("section_word_counts", "documents", sql=f"SELECT category, count(*) AS lines, sum(len(regexp_extract_all(line, '[^ ]+')))::BIGINT AS words FROM (SELECT *, coalesce(last_value(CASE WHEN length(line) < 20 THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING), 'Uncategorized') AS category FROM {_LINES}) WHERE length(line) >= 20 GROUP BY category")
+def _(d):
+    t = corpus.headed_lines(d, F.length("line") < 20, F.col("line").contains("©"))
+    return t.groupBy("category").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.size(F.regexp_extract_all("text", F.lit("[^ ]+"), F.lit(0)))).alias("words"))

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from emberlane import contracts as ct
 from emberlane.operators import agreement as ag
-from emberlane.operators import noise
+from emberlane.operators import calibration as cal
+from emberlane.operators import inference, noise
+from emberlane.plans.modelling import FIT, POOLED
 from emberlane.plans.registry import query
 from emberlane.sources import io
 
@@ -189,3 +191,13 @@ def _(a):
 def _(r):
     key = r.select("item_id", "corpus").withColumn("corpus", F.when((F.col("corpus") == "AUTH") & F.col("item_id").endswith("7"), "CTRL").otherwise(F.col("corpus")))
     return ag.source_mismatches(r.select("item_id", "corpus"), key, "corpus")
+
+
+@query("digest_rebuild", A, doubles="pooled se", digits=FIT, sql=POOLED)
+def _(a):
+    """A pooled slope rebuilt from the slopes that a digest stores."""
+    spark, at = a.sparkSession, _place(a.sparkSession, "rebuild") + ".json"
+    io.write_digest(spark, {"slopes": inference.model_slopes(a), "pooled": None}, at)
+    pool = lambda t: cal.random_effects(t.select("slope", (F.col("slope") - 1.96 * F.col("se")).alias("lo"), (F.col("slope") + 1.96 * F.col("se")).alias("hi")), "slope", "lo", "hi")
+    made = io.rebuild_block(spark, at, "pooled", "slopes", pool)[0]
+    return spark.createDataFrame([(made["k"], made["pooled"], made["se"])], "k long, pooled double, se double")

@@ -4,7 +4,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -128,6 +128,15 @@ def write_digest(spark: SparkSession, blocks: dict[str, object], path: str) -> s
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+def rebuild_block(spark: SparkSession, path: str, name: str, made_from: str, fn: Callable[[DataFrame], DataFrame]) -> list[dict]:
+    """Rebuild one block of a digest from the rows that another block stores; the other blocks stay as they are."""
+    digest = json.loads(read_text(spark, path) or "{}")
+    stored = spark.createDataFrame([tuple(r.values()) for r in digest[made_from]], list(digest[made_from][0]))
+    digest[name] = [r.asDict(recursive=True) for r in fn(stored).collect()]
+    write_text(spark, json.dumps(digest, default=_plain, indent=1, sort_keys=True), path)
+    return digest[name]
+
+
 def claims_missing(spark: SparkSession, digest: str, wanted: dict[str, str], paths: Sequence[str], forbidden: Sequence[str] = ()) -> list[tuple[str, str]]:
     """What texts fail to say: (claim, expected text) for digest values that occur in none of them as formatted, and forbidden words that do.
 
