@@ -332,10 +332,11 @@ def conditional_by(df: DataFrame, key: Column, stratum: Sequence[str], y: Column
         at = stats(beta) if beta else {}
         step = {k: np.linalg.lstsq(at[k][2], at[k][1], rcond=None)[0] for k in beta}
         done, halved = {}, dict.fromkeys(beta, 0)
-        for _ in range(4 * MAX_STEPS):
+        for _ in range(MAX_STEPS):
             for k in list(step):
-                if np.abs(step[k]).max(initial=0) < TOLERANCE or np.abs(beta[k]).max(initial=0) > 1e3:
-                    done[k] = bool(np.abs(beta[k]).max(initial=0) <= 1e3)
+                settled, lost = np.abs(step[k]).max(initial=0) < TOLERANCE, np.abs(beta[k]).max(initial=0) > 1e3 or at[k][0] > -1e-5
+                if settled or lost:  # a likelihood next to one has no finite maximum
+                    done[k] = bool(settled and not lost)
                     del step[k]
             if not step:
                 break

@@ -45,7 +45,8 @@ def excess(matched: DataFrame, stratum: Sequence[str], outcomes: Sequence[str],
     """Odds ratio of drift for critical against control messages, per outcome (and value of ``by``), on (stratum, arm) counts of all rows.
 
     One pass makes the counts of all outcomes; strata with the same counts are one cell (their number is the design's, not
-    the corpus's), and each (by, outcome) is fitted in a task of its own. A group without a discordant stratum has no row.
+    the corpus's), and each (by, outcome) is fitted in a task of its own. A group without a discordant stratum has no row; where
+    every stratum leans one way as far as it can no estimate is finite: null, not converged.
     """
     arm, kind = F.col("critical").cast("int"), F.col(by).cast("string") if by else F.lit("all")
     each = F.explode(F.array(*[F.struct(F.lit(o).alias("outcome"), F.col(o).cast("int").alias("y")) for o in outcomes])).alias("o")
@@ -69,8 +70,10 @@ def excess(matched: DataFrame, stratum: Sequence[str], outcomes: Sequence[str],
                 g, h = g + k1 - c * mean, h + c * float((k - mean) ** 2 @ e / e.sum())
             return g, h
 
+        edges = [sum(c * k[i] for k, *_, c in ways) for i in (0, -1)]
+        apart = sum(k1 for *_, k1, _ in ways) in edges  # every stratum leans one way as far as it can: no finite estimate
         b, ok = 0.0, False
-        for _ in range(60):
+        for _ in range(0 if apart else 60):
             g, h = sums(b)
             if h <= 0 or abs(b) > 50:
                 break

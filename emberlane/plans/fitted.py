@@ -112,7 +112,8 @@ def conditional(rows: str, stratum: str, critical: str, y: str, by: str = "1") -
                FROM (SELECT step, grp, b, n1, n0, m, k1, c, sum(e * k) / sum(e) AS mean, sum(e * k * k) / sum(e) AS square
                      FROM (SELECT it.step, it.grp, it.b, n1, n0, m, k1, c, k, exp(w - max(w) OVER (PARTITION BY it.grp, n1, n0, m) + k * it.b) AS e FROM it JOIN logs USING (grp) WHERE step < {STEPS})
                      GROUP BY step, grp, b, n1, n0, m, k1, c) GROUP BY step, grp, b),
-        fit AS (SELECT grp, b, 1 / sqrt(info) AS se, used, n FROM it JOIN (SELECT grp, sum(c)::BIGINT AS used, sum(c * (n1 + n0))::BIGINT AS n FROM cells GROUP BY grp) USING (grp) WHERE step = {STEPS})"""
+        fit AS (SELECT grp, CASE WHEN NOT apart THEN b END AS b, CASE WHEN NOT apart THEN 1 / sqrt(info) END AS se, used, n, NOT apart AS converged
+                FROM it JOIN (SELECT grp, sum(c)::BIGINT AS used, sum(c * (n1 + n0))::BIGINT AS n, sum(k1) IN (sum(c * greatest(0, m - n0)), sum(c * least(n1, m))) AS apart FROM cells GROUP BY grp) USING (grp) WHERE step = {STEPS})"""
 
 
 def conditional_table(more: str = "") -> str:

@@ -123,7 +123,7 @@ def _excess_rows(s, p):
 
 
 def _excess_sql(by: str, name: str) -> str:
-    each = [f"SELECT * FROM ({fitted.conditional(_MATCHED, _KEY, 'critical', f'({o} = 1)', by=by)} SELECT grp AS {name}, '{o}' AS outcome, exp(b) AS odds_ratio, exp(b - {fitted.Z} * se) AS lo, exp(b + {fitted.Z} * se) AS hi, used AS n_pairs, n AS n_obs, true AS converged FROM fit)" for o in _OUTCOMES]
+    each = [f"SELECT * FROM ({fitted.conditional(_MATCHED, _KEY, 'critical', f'({o} = 1)', by=by)} SELECT grp AS {name}, '{o}' AS outcome, exp(b) AS odds_ratio, exp(b - {fitted.Z} * se) AS lo, exp(b + {fitted.Z} * se) AS hi, used AS n_pairs, n AS n_obs, converged FROM fit)" for o in _OUTCOMES]
     return " UNION ALL ".join(each)
 
 
