@@ -2,21 +2,23 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlane.llm.common import bit_filter, bit_flag, components, drop_stored, few, if_small, stored, unwrapped, wrapped
+from emberlane.llm.common import bit_filter, bit_flag, components, drop_stored, few, stored, unwrapped, wrapped
 from emberlane.llm.grams import answered, answers, chunked, opened
 from emberlane.llm.words import mix, windows, word_hashes
 
 #: Bytes of text whose shingles are counted and signed together, about.
-CHUNK = 3 << 20
+CHUNK = 4 << 20
 #: Bytes of a member's hash that verification compares: of n and m members n * m in 2 ** 48 pairs look alike.
 WIDTH = 6
+#: Bytes of members that are verified together, about.
+GROUP = 8 << 20
 #: Bits of a shingle's hash in the count table beyond those that number all shingles: one unique shingle in 2 ** SPARE counts as repeated, which costs time, not results.
 SPARE = 7
 #: Shingles before it in the prefix that a posting carries along.
@@ -129,24 +131,51 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, n: int, percent: in
     return signed
 
 
+def _checked(percent: int):
+    """The pairs of one group of sets that reach the threshold."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        sets = group.filter(pc.is_valid(group.column("members")))
+        place = {no: k for k, no in enumerate(sets.column("u").to_pylist())}
+        sizes, members = sets.column("n").to_pylist(), [_wide(m.as_buffer()) for m in sets.column("members")]
+        pairs = group.filter(pc.is_valid(group.column("v"))).select(["u", "v"])
+        ok = []
+        for u, v in zip(pairs.column("u").to_pylist(), pairs.column("v").to_pylist(), strict=True):
+            i, j = place[u], place[v]
+            x, y = members[i], members[j]
+            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+            both = int((y[at] == x).sum())
+            ok.append(100 * both >= percent * (sizes[i] + sizes[j] - both))
+        return pairs.filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
 def _verify(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) of rows whose sets reach the threshold; only members of rows in pairs are moved."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for n, m, a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
-                x, y = _wide(a.as_buffer()), _wide(b.as_buffer())
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[at] == x).sum())
-                ok.append(100 * both >= percent * (n + m - both))
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
-
-    wanted = pairs.select(F.col("u").alias("w")).union(pairs.select("v"))
-    sets = bit_filter(signed.where("members is not null").select("no", "n", "members"), F.col("no"), wanted, "w")
-    one = sets.select(F.col("no").alias("u"), "n", F.col("members").alias("a")).join(if_small(pairs), "u")
-    both = one.join(sets.select(F.col("no").alias("v"), F.col("n").alias("m"), F.col("members").alias("b")), "v")
-    return stored(both.select("u", "v", "n", "m", "a", "b").mapInArrow(run, "u long, v long").repartition(few(pairs.count())))
+    """The pairs (u, v) of rows whose sets reach the threshold.
+
+    Rows that pairs connect are a family. Small families share a group of about :data:`GROUP` bytes of members; a large one is
+    cut into blocks of that size, and a pair of blocks is a group. So a set moves once, or once for each block that its block
+    meets, however many pairs it is in, and no task holds more than two blocks.
+    """
+    family = components(pairs)
+    sized = family.join(signed.select(F.col("no").alias("node"), "n"), "node")
+    blocks = sized.groupBy("component").agg(F.ceil(F.sum(F.col("n") * WIDTH) / F.lit(float(GROUP))).cast("int").alias("blocks"), F.sum(F.col("n") * WIDTH).alias("bytes"))
+    blocks = stored(blocks)
+    bundles = (blocks.where("blocks <= 1").agg(F.sum("bytes")).first()[0] or 0) // GROUP + 1
+    key = F.when(F.col("blocks") <= 1, F.pmod(F.xxhash64("component"), F.lit(bundles))).otherwise(F.col("component") + F.lit(bundles))
+    nodes = family.join(blocks, "component").select("node", key.alias("k"), F.pmod(F.xxhash64("node", F.lit(1)), F.greatest("blocks", F.lit(1))).alias("b"))
+    ends = pairs.join(nodes.select(F.col("node").alias("u"), "k", F.col("b").alias("p")), "u").join(nodes.select(F.col("node").alias("v"), F.col("b").alias("q")), "v")
+    ends = stored(ends.select("k", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), "u", "v"))
+    wanted = ends.select("k", "p", "q", "u").union(ends.select("k", "p", "q", "v")).distinct()
+    sets = bit_filter(signed.where("members is not null").select("no", "n", "members"), F.col("no"), wanted, "u")
+    sides = wanted.join(sets.withColumnRenamed("no", "u"), "u")
+    both = sides.select("k", "p", "q", "u", F.lit(None).cast("long").alias("v"), "n", "members").union(ends.select("k", "p", "q", "u", "v", F.lit(None).cast("int"), F.lit(None).cast("binary")))
+    groups = both.groupBy("k", "p", "q").applyInArrow(_checked(percent), "u long, v long")
+    links = stored(groups.repartition(few(pairs.count())))
+    drop_stored(blocks, ends)
+    return links
 
 
 def _groups_reach(a: str, b: str, percent: int):

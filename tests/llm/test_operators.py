@@ -115,6 +115,11 @@ def test_one_of_each(docs, rows):
     assert sorted(r["doc_id"] for r in got(out)) == sorted(i for i, (_, c) in want.items() if i == c)
 
 
+def test_jaccard_join_of_many_blocks(docs, rows, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "GROUP", 2_000)
+    test_jaccard_join(docs, rows, 2, 50)
+
+
 def test_prefix_length_is_exact():
     for n in range(1, 200):
         assert jaccard_join.prefix_length(n, 85) == n - math.ceil(85 * n / 100) + 1
