@@ -5,6 +5,8 @@ for UTF-8. Texts are walked in blocks that end between words: memory is bounded
 """
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -16,6 +18,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Arrays from so many bytes on are mapped one by one, so the machine has them back as soon as they are freed.
+_MAPPED, _M_MMAP_THRESHOLD = 1 << 20, -3
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -31,6 +35,16 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
+def _map_large_arrays() -> None:
+    """Fix the C library's limit (where it has one), which otherwise rises with use and lets a reused worker keep its peak."""
+    set_option = getattr(ctypes.CDLL(None), "mallopt", None)
+    if set_option is not None:
+        set_option(_M_MMAP_THRESHOLD, _MAPPED)
+
+
+_map_large_arrays()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit words."""
     with np.errstate(over="ignore"):
@@ -125,3 +139,4 @@ def slices(texts: pa.Array, limit: int = 1 << 20, rows: int = 1 << 16):
         j = min(j, i + rows)
         yield i, j, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         i = j
+    pa.default_memory_pool().release_unused()
