@@ -11,10 +11,13 @@ from emberlane.llm import exact_dedup, jaccard_join, mixing, packing, quality
 from emberlane.llm.common import bounded_batches, drop_stored, scratch
 from emberlane.llm.queries import id_remainder, tokenizer_path
 
+#: Bytes of an Arrow batch in this session at most: stages follow each other in the same executors, so each is kept small.
+BATCH = 4 << 20
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.3 go; learnt from the labels that op4 learns from."""
-    bounded_batches(spark)
+    bounded_batches(spark, BATCH)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), id_remainder(5, 0))
 
 
@@ -25,7 +28,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked at Jaccard 0.8 of five-word shingles stays: the one with the smallest doc_id."""
-    bounded_batches(spark)
+    bounded_batches(spark, BATCH)
     return jaccard_join.one_of_each(docs, shingle=5, percent=80)
 
 
@@ -36,7 +39,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 4096 tokens."""
-    bounded_batches(spark)
+    bounded_batches(spark, BATCH)
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
 
