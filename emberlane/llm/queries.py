@@ -6,7 +6,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlane.llm import exact_dedup, jaccard_join, language, lm_score, mixing, packing, quality, substring_dedup, tokens, topk
+from emberlane.llm import (
+    conversation, exact_dedup, jaccard_join, language, lm_score, mixing, oracle_sql, packing, quality, quality_rules, substring_dedup, tokens, topk, vector_codes,
+)
 from emberlane.llm.common import bounded_batches
 
 
@@ -72,9 +74,26 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation.damaged(_table(spark, sf_dir, "conversations"))
+    return conversation.repair(rows, gone_col="gone").withColumn("repaired_sha256", F.sha2("repaired", 256)).drop("repaired")
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(_table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op3_token_counts, op4_quality, op5_mixing, op6_exact_top_k, op7_lm_scoring, op8_substring_dedup, op9_exact_dedup, op10_best_fit_packing)
-}
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join, op2_language_id, op3_token_counts, op4_quality, op5_mixing, op6_exact_top_k, op7_lm_scoring, op8_substring_dedup,
+        op9_exact_dedup, op10_best_fit_packing, op11_conversation_repair, op12_quality_rules, op13_vector_codes,
+    )
+}
 
 ORACLE = {
     "op6_exact_top_k": """
@@ -125,4 +144,7 @@ ORACLE = {
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents),
              g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM t JOIN g USING (norm)""",
+    "op11_conversation_repair": oracle_sql.CONVERSATIONS,
+    "op12_quality_rules": oracle_sql.QUALITY_RULES,
+    "op13_vector_codes": oracle_sql.VECTOR_CODES,
 }
