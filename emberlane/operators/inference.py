@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from emberlane.operators import agreement as ag
 from emberlane.operators import calibration as cal
-from emberlane.operators import glm
+from emberlane.operators import glm, mixed
 from emberlane.schema import CLASSES, CONDITIONS, Z_EXACT
 
 
@@ -97,6 +98,32 @@ def one_versus_rest(df: DataFrame, xs: dict[str, Column]) -> DataFrame:
     return _frame(df, rows)
 
 
+def mixed_one_versus_rest(df: DataFrame, xs: dict[str, Column], large: str, small: tuple[str, ...], steps: int = mixed.STEPS) -> DataFrame:
+    """Adjusted model of each class against the rest with crossed random intercepts; where that doesn't settle, the clustered logit.
+
+    One row a coefficient (mean, sd, 95 % interval) and one a factor (median deviation, its number of levels); ``engine`` says
+    which fit it was. The classes' fits are independent, so their jobs run side by side.
+    """
+
+    def one(c: str) -> list[dict]:
+        y = (F.col("label") == c).cast("double")
+        fit = mixed.crossed_logit(df, y, {**_intercept(), **xs}, large, small, steps)
+        about = {"class": c, "engine": "glmm_vb", "converged": True, "n_obs": fit.n}
+        rows = [
+            {**about, "kind": "coefficient", "term": t, "est": float(m), "sd": float(s), "lo": float(m - 1.96 * s), "hi": float(m + 1.96 * s), "n_levels": None}
+            for t, m, s in zip(fit.names, fit.mean, fit.sd, strict=True)
+        ]
+        if not fit.converged:
+            plain = glm.logit(df, y, {**_intercept(), **xs}, [large])
+            about |= {"engine": "clustered_logit_fallback", "converged": plain.converged}
+            keep = {"est": "beta", "sd": "se", "lo": "lo", "hi": "hi"}
+            return [{**about, "kind": "coefficient", "term": r["term"], **{a: r[b] for a, b in keep.items()}, "n_levels": None} for r in plain.table(large)]
+        return rows + [{**about, "kind": "deviation", "term": f, "est": v, "sd": None, "lo": None, "hi": None, "n_levels": fit.levels[f]} for f, v in fit.deviations.items()]
+
+    with ThreadPoolExecutor(len(CLASSES)) as pool:
+        return _frame(df, [r for rows in pool.map(one, CLASSES) for r in rows])
+
+
 def interface_model(df: DataFrame, interaction: bool = True) -> DataFrame:
     """drift ~ condition (reference forced) with the rate, and with their interaction if it can be fitted; declined rows out.
 

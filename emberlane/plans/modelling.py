@@ -91,6 +91,18 @@ _MAIN = (["intercept", *_SHOWN, "rate"], ["1.0", *_IS, "cer_target"])
 _BOTH = ([*_MAIN[0], *[f"{c}:rate" for c in _SHOWN]], [*_MAIN[1], *[f"{c} * cer_target" for c in _IS]])
 
 
+@query("mixed_one_vs_rest", A)
+def _(a):
+    """The prespecified covariates; message, model and corpus as crossed random intercepts, family as a fixed effect."""
+    family = F.substring("model", 2, 9).cast("int") % 3
+    rows = a.withColumn("char_len", (40 + F.col("l_partkey") % 97).cast("double"))
+    xs = {
+        "realized_cer": F.col("realized_cer"), "n_errors": F.round(F.col("realized_cer") * F.col("char_len")), "char_len": F.col("char_len"),
+        "corrupted_negation": F.col("l_orderkey") % 11 == 0, "corrupted_numeral": F.col("l_orderkey") % 7 < 2, "family_1": family == 1, "family_2": family == 2,
+    }
+    return inference.mixed_one_versus_rest(rows, xs, "message_id", ("model", "corpus"))
+
+
 @query("interface_condition_model", "fx_interface", doubles=_DOUBLES, digits=FIT, sql=f"SELECT * FROM ({_interface('main', *_MAIN)}) UNION ALL SELECT * FROM ({_interface('interaction', *_BOTH)})")
 def _(i): return inference.interface_model(i)  # noqa: E704
 
