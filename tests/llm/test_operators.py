@@ -712,13 +712,15 @@ def test_registered_queries_on_whole_tables(spark, tmp_path, rows):
     spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, int(bool(t and len(t) > 20)), 0) for i, t, *_ in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     rng = np.random.default_rng(3)
-    vectors = [(i, [float(np.float32(v)) for v in rng.normal(0, 1, 8)]) for i in range(130)] + [(140, None), (160, [None] * 8)]
-    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    vectors = [(i, [float(np.float32(v)) for v in rng.normal(0, 1, 8)], i % 3 or None) for i in range(130)] + [(140, None, 1), (160, [None] * 8, 2)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "labels"):
+    talk = [(c, t, ("system", "user", "assistant", None)[(c * t) % 4], f"Turn {c % 5}{'.' * (t % 2)}") for c in range(60) for t in range(c % 7)]
+    spark.createDataFrame(talk, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    for t in ("documents", "embeddings", "labels", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     out = {name: f(spark, str(tmp_path)) for name, f in queries.QUERIES.items()}
-    assert [n.split("_")[0] for n in out] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in out] == [f"op{i}" for i in range(1, 14)]
     show = lambda v: round(v, 6) + 0.0 if isinstance(v, float) else v
     for name, sql in queries.ORACLE.items():
         want = con.sql(sql)
