@@ -35,78 +35,96 @@ def unpacked(data, n: int) -> np.ndarray:  # noqa: ANN001
     return np.ascontiguousarray(planes.reshape(8, n).T).view("<u8").ravel()
 
 
-def _raw(words: np.ndarray) -> bytes:
-    return np.ascontiguousarray(words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : WORD_BITS // 8]).tobytes()
+def _raw(words: np.ndarray, bits: int) -> bytes:
+    return np.ascontiguousarray(words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : bits // 8]).tobytes()
 
 
-def _written(size: int):
+def _written(size: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         seq = row = 0
         for batch in batches:
             for i, j, data, offs in slices(batch.column(1), size):
                 words, firsts = word_hashes(data, offs, lower=True)
-                vocab, codes, counts = np.unique(words >> np.uint64(64 - WORD_BITS), return_inverse=True, return_counts=True)
+                vocab, codes, counts = np.unique(words >> np.uint64(64 - bits), return_inverse=True, return_counts=True)
                 rank = np.argsort(-counts, kind="stable")
                 number = np.empty(len(rank), dtype=np.int64)
                 number[rank] = np.arange(len(rank))
                 ids = pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), batch.column(0).slice(i, j - i))
                 longs = [pa.array([v], pa.int64()) for v in ((task << 32) + seq, (task << 40) + row, len(words))]
-                blobs = [pa.array([b], pa.binary()) for b in (packed(np.diff(firsts)), _raw(vocab[rank]), packed(number[codes]))]
+                blobs = [pa.array([b], pa.binary()) for b in (packed(np.diff(firsts)), _raw(vocab[rank], bits), packed(number[codes]))]
                 yield pa.RecordBatch.from_arrays([*longs[:2], ids, longs[2], *blobs], names=["chunk", "first", "ids", "n", "sizes", "vocab", "codes"])
                 seq, row = seq + 1, row + j - i
 
     return run
 
 
-def chunked(docs: DataFrame, id_col: str, text_col: str, size: int = CHUNK) -> DataFrame:
-    """Whole texts as word numbers (A-Z lower-cased), about ``size`` bytes of text a row, written once.
+def chunked(docs: DataFrame, id_col: str, text_col: str, size: int = CHUNK, word_bits: int = WORD_BITS) -> DataFrame:
+    """Whole texts as word numbers (A-Z lower-cased) and hashes of so many bits, about ``size`` bytes of text a row, written once.
 
     ``first`` numbers a chunk's first row; its further rows follow, so every row has a number of its own.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    return stored(docs.select(F.col(id_col), F.col(text_col)).mapInArrow(_written(size), CHUNK_TYPE.format(id=kind)))
+    return stored(docs.select(F.col(id_col), F.col(text_col)).mapInArrow(_written(size, word_bits), CHUNK_TYPE.format(id=kind)))
 
 
 def opened(row: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of the one chunk in ``row``, and where each of its texts begins."""
     get = lambda c: row.column(c)[0].as_py()
-    raw = np.frombuffer(get("vocab"), dtype=np.uint8).reshape(-1, WORD_BITS // 8)
-    vocab = np.zeros((len(raw), 8), dtype=np.uint8)
-    vocab[:, : WORD_BITS // 8] = raw
+    codes = unpacked(get("codes"), get("n")).astype(np.int64)
+    known, raw = int(codes.max(initial=-1)) + 1, np.frombuffer(get("vocab"), dtype=np.uint8)
+    width = len(raw) // max(1, known)
+    vocab = np.zeros((known, 8), dtype=np.uint8)
+    vocab[:, :width] = raw.reshape(known, width)
     vocab = mix(vocab.view("<u8").ravel())
     sizes = unpacked(get("sizes"), len(row.column("ids")[0])).astype(np.int64)
-    return vocab[unpacked(get("codes"), get("n")).astype(np.int64)], np.concatenate(([0], np.cumsum(sizes)))
+    return vocab[codes], np.concatenate(([0], np.cumsum(sizes)))
 
 
 def _part_of(h: np.ndarray, parts: int, bits: int) -> np.ndarray:
     """Count partition of a hash: equal ranges, so a sorted run of hashes is also sorted by partition."""
-    return ((h >> np.uint64(bits - 32)) * np.uint64(parts)) >> np.uint64(32)
+    first = h >> np.uint64(bits - 32) if bits >= 32 else h << np.uint64(32 - bits)
+    return (first * np.uint64(parts)) >> np.uint64(32)
 
 
 def _dealt(entries: Callable, parts: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                hashes, counts = entries(*opened(pa.Table.from_batches([batch.slice(r, 1)])))
+                hashes, counts, *more = entries(*opened(pa.Table.from_batches([batch.slice(r, 1)])))
                 at = np.searchsorted(_part_of(hashes, parts, bits), np.arange(parts + 1, dtype=np.uint64))
                 full = np.flatnonzero(np.diff(at))
                 for some in np.array_split(full, max(1, len(full) // 64)):
                     gaps = [packed(np.diff(hashes[at[p] : at[p + 1]], prepend=np.uint64(0))) for p in some]
                     cols = [pa.array(np.full(len(some), batch.column("chunk")[r].as_py())), pa.array(some.astype(np.int32)), pa.array(np.diff(at)[some])]
                     cols += [pa.array(gaps, pa.binary()), pa.array([packed(counts[at[p] : at[p + 1]]) for p in some], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(cols, names=["chunk", "p", "m", "hashes", "counts"])
+                    cols += [pa.array([more[0][at[p] : at[p + 1]].astype("<u4").tobytes() if more else None for p in some], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(cols, names=["chunk", "p", "m", "hashes", "counts", "more"])
 
     return run
 
 
+def same_runs(hashes: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts equal keys side by side, and where in it a new key begins; ``more`` are further bits of the keys."""
+    order = np.argsort(hashes, kind="stable")
+    head = np.ones(len(hashes), dtype=bool)
+    head[1:] = hashes[order][1:] != hashes[order][:-1]
+    if more is not None:
+        other = more[order][1:] != more[order][:-1]
+        if (other & ~head[1:]).any():  # keys that agree in their first bits alone: sort by all
+            order = np.lexsort((more, hashes))
+            head[1:] = (hashes[order][1:] != hashes[order][:-1]) | (more[order][1:] != more[order][:-1])
+    return order, head
+
+
 def _elsewhere(group: pa.Table) -> pa.Table:
     """One partition of the count table: for every chunk's n-grams in it, their counts in all other chunks."""
     sizes = group.column("m").to_pylist()
     open_up = lambda name: [unpacked(b.as_buffer(), n) for b, n in zip(group.column(name), sizes, strict=True)]
     hashes, counts = np.concatenate([np.cumsum(d, dtype=np.uint64) for d in open_up("hashes")]), np.concatenate(open_up("counts"))
-    order = np.argsort(hashes, kind="stable")
-    head = np.concatenate(([True], np.diff(hashes[order]) != 0))
+    more = [b for b in group.column("more") if b.is_valid]
+    more = np.concatenate([np.frombuffer(b.as_buffer(), dtype="<u4") for b in more]) if more else None
+    order, head = same_runs(hashes, more)
     begin = np.flatnonzero(head)
     rest = np.empty(len(hashes), dtype=np.uint64)
     rest[order] = np.repeat(np.add.reduceat(counts[order], begin), np.diff([*begin, len(hashes)]))
@@ -117,11 +135,12 @@ def _elsewhere(group: pa.Table) -> pa.Table:
 def answered(chunks: DataFrame, entries: Callable, expected: int, n_chunks: int, bits: int) -> DataFrame:
     """Each chunk (p = -1) together with the answers of all count partitions: to be grouped by ``chunk``.
 
-    ``entries`` makes a chunk's sorted distinct hashes of ``bits`` bits (32 at least), and their counts. Both shuffles have
+    ``entries`` makes a chunk's sorted distinct hashes of ``bits`` bits, their counts, and where hashes alone are
+    too few bits to tell keys apart, 32 more for each (the keys being sorted by both). Both shuffles have
     as many partitions as the ``expected`` entries and the chunks need, so tasks don't grow with the corpus.
     """
     parts = max(8, expected // PARTITION + 1)
-    dealt = chunks.mapInArrow(_dealt(entries, parts, bits), "chunk long, p int, m long, hashes binary, counts binary").repartition(parts, "p")
+    dealt = chunks.mapInArrow(_dealt(entries, parts, bits), "chunk long, p int, m long, hashes binary, counts binary, more binary").repartition(parts, "p")
     totals = dealt.groupBy("p").applyInArrow(_elsewhere, "chunk long, p int, m long, rest binary")
     both = chunks.withColumn("p", F.lit(-1)).unionByName(totals, allowMissingColumns=True)
     return both.repartition(max(1, n_chunks), "chunk")

@@ -7,43 +7,57 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberlane.llm.grams import answered, answers, chunked, opened
-from emberlane.llm.words import windows
+from emberlane.llm.grams import answered, answers, chunked, opened, same_runs
+from emberlane.llm.words import mix, windows
 
 ALPHA = 0.4
-#: Bits of an n-gram's hash beyond those that number all n-grams (one in 2 ** SPARE meets another), and bits at least.
-SPARE, LEAST = 18, 44
+#: Bits of an n-gram's key: so many sort it and choose its count partition, 32 more of a second hash tell it apart.
+BITS = 64
 #: Words that are scored at a time.
 BLOCK = 1 << 17
 
 
-def _grams(words: np.ndarray, firsts: np.ndarray, order: int, bits: int) -> list[np.ndarray]:
-    """For each length 1 to ``order`` the n-gram hashes by their last word; 0 where the text has too few words before."""
+def _grams(words: np.ndarray, firsts: np.ndarray, order: int, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length 1 to ``order`` the n-grams' two hashes by their last word; 0 where the text has too few words before."""
     place = np.arange(len(words)) - np.repeat(firsts[:-1], np.diff(firsts))
+    other = mix(words ^ np.uint64(0x6A09E667F3BCC908))
     out = []
     for n in range(1, order + 1):
-        g = np.zeros(len(words), dtype=np.uint64)
+        key, more = np.zeros(len(words), dtype=np.uint64), np.zeros(len(words), dtype=np.uint32)
         if len(words) >= n:
-            g[n - 1 :] = np.maximum(windows(words, n) >> np.uint64(64 - bits), 1)
-        g[place < n - 1] = 0
-        out.append(g)
+            key[n - 1 :] = np.maximum(windows(words, n) >> np.uint64(64 - bits), 1)
+            more[n - 1 :] = windows(other, n).astype(np.uint32)
+        key[place < n - 1] = 0
+        out.append((key, more))
     return out
 
 
 def _entries(order: int, bits: int):
     """A chunk's distinct n-grams of all lengths in order of their hashes, with their counts; one length at a time."""
 
-    def run(words: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        found = [np.unique(g[g != 0], return_counts=True) for g in _grams(words, firsts, order, bits)]
-        every, counts = (np.concatenate(c) for c in zip(*found, strict=True))
-        at = np.argsort(every, kind="stable")
-        every, counts = every[at], counts[at]
-        head = np.flatnonzero(np.concatenate(([True], np.diff(every) != 0))) if len(every) else np.zeros(0, np.int64)
-        return every[head], np.add.reduceat(counts, head) if len(every) else counts
+    def run(words: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = []
+        for key, more in _grams(words, firsts, order, bits):
+            key, more = key[key != 0], more[key != 0]
+            at, head = same_runs(key, more)
+            begin = np.flatnonzero(head)
+            found.append((key[at][begin], more[at][begin], np.diff([*begin, len(key)])))
+        key, more, counts = (np.concatenate(c) for c in zip(*found, strict=True))
+        at, head = same_runs(key, more)  # n-grams of different lengths have keys of their own
+        at = at[np.flatnonzero(head)]
+        return key[at], counts[at], more[at]
 
     return run
 
 
+def _places(keys: np.ndarray, more: np.ndarray, key: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Where the n-grams (``key``, ``rest``) stand among sorted distinct (``keys``, ``more``), which hold them all."""
+    at = np.searchsorted(keys, key)
+    while (off := np.flatnonzero(more[at] != rest)).size:
+        at[off] += 1
+    return at
+
+
 def _blocks(firsts: np.ndarray) -> list[tuple[int, int]]:
     """Runs of texts of about :data:`BLOCK` words."""
     out, a = [], 0
@@ -54,25 +68,26 @@ def _blocks(firsts: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def score_words(words: np.ndarray, firsts: np.ndarray, counts, order: int, alpha: float, n_all: int, bits: int) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
-    """Each text's sum of word scores and number of words that back off; ``counts`` gives the corpus's counts of hashes."""
-    grams = _grams(words, firsts, order, bits)
+def score_words(words: np.ndarray, firsts: np.ndarray, place, total: np.ndarray, order: int, alpha: float, n_all: int, bits: int) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
+    """Each text's sum of word scores and number of words that back off; ``total`` are the corpus's counts by the n-grams' ``place``."""
     n_own = np.diff(firsts)
     doc = np.repeat(np.arange(len(n_own)), n_own)
     rest = (n_all - n_own)[doc]
     others = []
-    for g in grams:
-        some = np.flatnonzero(g)
-        seen, at = np.unique(g[some], return_inverse=True)
-        _, where, own = np.unique(doc[some] * np.int64(max(1, len(seen))) + at, return_inverse=True, return_counts=True)
-        rest_of = np.zeros(len(g), dtype=np.int64)
-        rest_of[some] = counts(seen)[at] - own[where]
+    for key, more in _grams(words, firsts, order, bits):
+        some = np.flatnonzero(key)
+        at = place(key[some], more[some])
+        _, where, own = np.unique(doc[some] * np.int64(len(total) + 1) + at, return_inverse=True, return_counts=True)
+        rest_of = np.zeros(len(key), dtype=np.int64)
+        rest_of[some] = total[at] - own[where]
         others.append(rest_of)
     longest = np.minimum(order, np.arange(len(words)) - firsts[:-1][doc] + 1)
     score, used = np.zeros(len(words)), np.zeros(len(words), dtype=np.int64)
     for n in range(order, 0, -1):
         below = np.concatenate(([1], others[n - 2][:-1])) if n > 1 else rest  # the context ends at the word before
         take = (used == 0) & (longest >= n) & (others[n - 1] > 0)
+        if (below[take] < others[n - 1][take]).any():
+            raise ArithmeticError("an n-gram is counted more often than its context")
         score[take] = np.log(alpha) * (longest[take] - n) + np.log(others[n - 1][take] / below[take])
         used[take] = n
     new = used == 0
@@ -84,10 +99,10 @@ def _scored(order: int, alpha: float, n_all: int, bits: int, schema: T.StructTyp
     def run(group: pa.Table) -> pa.Table:
         own_row, elsewhere = answers(group)
         words, firsts = opened(own_row)
-        hashes, here = _entries(order, bits)(words, firsts)
+        keys, here, more = _entries(order, bits)(words, firsts)
         total = here + elsewhere
-        counts = lambda g: total[np.searchsorted(hashes, g)]
-        parts = [score_words(words[firsts[a] : firsts[b]], firsts[a : b + 1] - firsts[a], counts, order, alpha, n_all, bits) for a, b in _blocks(firsts)]
+        place = lambda key, rest: _places(keys, more, key, rest)
+        parts = [score_words(words[firsts[a] : firsts[b]], firsts[a : b + 1] - firsts[a], place, total, order, alpha, n_all, bits) for a, b in _blocks(firsts)]
         sums, backed = (np.concatenate(c) for c in zip(*parts, strict=True))
         n_own = np.diff(firsts)
         mean = np.where(n_own > 0, sums / np.maximum(n_own, 1), np.nan)
@@ -97,7 +112,7 @@ def _scored(order: int, alpha: float, n_all: int, bits: int, schema: T.StructTyp
     return run
 
 
-def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, alpha: float = ALPHA) -> DataFrame:
+def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, alpha: float = ALPHA, bits: int = BITS) -> DataFrame:
     """One row per document: ``id_col``, n_words, n_backed_off, log_score (sum over words), mean_log_score.
 
     Counts come from all other documents: a document's own occurrences are taken out, so nothing vouches for itself. A
@@ -111,13 +126,13 @@ def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the n-grams, so does the number of partitions, and no task's share grows with the corpus. The number of rows grows
     faster, with chunks times partitions, until each holds a single n-gram: it never exceeds the number of n-grams.
 
-    Hashes have :data:`SPARE` bits more than it takes to number the corpus's n-grams, so about one n-gram in 2 ** 18
-    shares another's count. Words are lower-cased A-Z. Null or empty texts have no words, log_score 0 and a null mean; repeated
+    N-grams are told apart by ``bits`` bits of one and 32 of another hash of their words' 64-bit hashes: partitions and chunks compare both, so n-grams
+    whose sorting hashes collide keep counts of their own. A count above its context's, which a mix-up would show, raises. Words
+    are lower-cased A-Z. Null or empty texts have no words, log_score 0 and a null mean; repeated
     rows and rows with null or repeated ids count as separate documents; an empty table gives an empty result.
     """
-    chunks = chunked(docs, id_col, text_col)
+    chunks = chunked(docs, id_col, text_col, word_bits=64)
     n_all, n_chunks = chunks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     expected = n_all * order
-    bits = min(64, max(LEAST, expected.bit_length() + SPARE))
     out = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_backed_off", T.LongType()), T.StructField("log_score", T.DoubleType()), T.StructField("mean_log_score", T.DoubleType())])
     return answered(chunks, _entries(order, bits), expected, n_chunks, bits).groupBy("chunk").applyInArrow(_scored(order, alpha, n_all, bits, out), out)

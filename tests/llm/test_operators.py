@@ -393,6 +393,23 @@ def test_the_query_scores_two_words_of_context(spark, docs, rows, tmp_path):
     assert out == {i: w[:2] for i, w in brute_backoff(rows, 3).items()} != {i: w[:2] for i, w in brute_backoff(rows, 2).items()}
 
 
+def test_backoff_where_sorting_hashes_collide(spark, docs, rows):
+    """Six bits sort the n-grams, so almost all collide; the rest of their keys still tells them apart."""
+    want = brute_backoff(rows, 3)
+    out = {r["doc_id"]: (r["n_words"], r["n_backed_off"], r["log_score"]) for r in got(lm_score.stupid_backoff(docs, bits=6))}
+    for i, (n, b, s) in want.items():
+        assert out[i][:2] == (n, b) and out[i][2] == pytest.approx(s, rel=1e-9, abs=1e-9)
+    few = lm_score.np.array([7, 7, 7, 9], dtype="u8"), lm_score.np.array([1, 4, 6, 2], dtype="u4")
+    assert lm_score._places(*few, few[0][[2, 3, 0, 1]], few[1][[2, 3, 0, 1]]).tolist() == [2, 3, 0, 1]
+
+
+def test_an_uncounted_context_raises():
+    words, firsts = np.array([3, 5], dtype=np.uint64), np.array([0, 2])
+    place = lambda key, more: np.arange(len(key)) + (0 if len(key) == 2 else 2)
+    with pytest.raises(ArithmeticError):
+        lm_score.score_words(words, firsts, place, np.array([1, 1, 9]), 2, 0.4, 2, 64)
+
+
 def brute_top(vectors, k):
     out = {}
     for q, v, *_ in vectors:
