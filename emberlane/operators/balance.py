@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlane.functions.stats import share, smd
+from emberlane.operators import ordered as od
 
 
 def balance_table(df: DataFrame, arm: str, covariates: list[str]) -> DataFrame:
@@ -47,7 +48,8 @@ def risk_difference(sums: DataFrame, *by: str) -> DataFrame:
 
 
 def distance_summary(df: DataFrame, column: str) -> DataFrame:
-    return df.agg(F.min(column).alias("min"), F.percentile(column, 0.5).alias("median"), F.avg(column).alias("mean"), F.max(column).alias("max"))
+    (median,) = od.quantiles(df, F.col(column), [0.5])
+    return df.agg(F.min(column).alias("min"), F.lit(median).cast("double").alias("median"), F.avg(column).alias("mean"), F.max(column).alias("max"))
 
 
 def pair_candidates(attempts: DataFrame, pairs: DataFrame, order: Sequence[str] = ("replicate_idx", "model", "label")) -> DataFrame:

@@ -3,10 +3,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from emberlane.contracts import ContractError
 from emberlane.functions.stats import share
+from emberlane.operators import ordered as od
 from emberlane.schema import CONFIDENCE_CUTOFF, Z_ROUNDED
 
 BINS = 10
@@ -63,20 +63,19 @@ def expected_error(df: DataFrame, score: str, hit: str, equal_frequency: bool =
 
 def equal_frequency_error(df: DataFrame, score: str, hit: str, bins: int = BINS) -> DataFrame:
     """The same over bins cut at exact quantiles, ends at 0 and 1, repeated edges dropped."""
-    cuts = df.agg(F.array_distinct(F.concat(F.array(F.lit(0.0)), F.percentile(score, F.array(*[F.lit(k / bins) for k in range(1, bins)])), F.array(F.lit(1.0)))).alias("edges"))
-    rows = df.crossJoin(F.broadcast(cuts))
-    inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
-    at = F.size(F.filter(inner, lambda e: e <= F.col(score)))
-    g = rows.groupBy(at.alias("bin")).agg(F.avg(score).alias("c"), F.avg(F.col(hit).cast("double")).alias("y"), F.count(F.lit(1)).alias("n"))
+    inner = [c for c in od.quantiles(df, F.col(score), [k / bins for k in range(1, bins)]) if c is not None]
+    edges = sorted({0.0, *inner, 1.0})[1:-1]
+    at = sum(((F.col(score) >= e).cast("int") for e in edges), F.lit(0))
+    g = df.groupBy(at.alias("bin")).agg(F.avg(score).alias("c"), F.avg(F.col(hit).cast("double")).alias("y"), F.count(F.lit(1)).alias("n"))
     return g.agg(share(F.sum(F.col("n") * F.abs(F.col("y") - F.col("c"))), F.sum("n")).alias("ece"), F.sum("n").alias("n"))
 
 
-def auroc(df: DataFrame, score: str, positive: str, *by: str) -> DataFrame:
-    """Rank AUROC with ties at one half, null with one class. Rows collapse to one per distinct score before the window."""
+def auroc(df: DataFrame, score: str, positive: str, *by: str, ranges: int | None = None) -> DataFrame:
+    """Rank AUROC with ties at one half, null with one class. Rows collapse to one per distinct score, which a scan by ranges ranks."""
     p = F.col(positive).cast("boolean")
     t = df.groupBy(*by, F.col(score).alias("_s")).agg(F.count_if(p).alias("pos"), F.count_if(~p).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(W.partitionBy(*by).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    u = F.col("pos") * (below + F.col("neg") / 2)
+    t = od.scan(t, ["_s"], {"_below": od.Running("sum", "neg", before=True)}, by, ranges)
+    u = F.col("pos") * (F.col("_below") + F.col("neg") / 2)
     return t.withColumn("u", u).groupBy(*by).agg(share(F.sum("u"), F.sum("pos").cast("double") * F.sum("neg")).alias("auroc"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from emberlane.functions import text as tx
+from emberlane.operators import ordered as od
 
 ALPHABET = tx.GRID
 #: Share of the error budget for insertions and deletions together (fixed value).
@@ -97,7 +98,9 @@ def row_column_mass(long: DataFrame, alphabet: str = ALPHABET, side: int = 6) ->
 
 
 def off_grid_summary(df: DataFrame, text: str = "text") -> DataFrame:
-    return df.select(tx.off_grid_fraction(F.col(text)).alias("f")).agg(F.avg("f").alias("mean"), F.percentile("f", 0.5).alias("median"), F.count(F.lit(1)).alias("n"))
+    share = tx.off_grid_fraction(F.col(text))
+    (median,) = od.quantiles(df, share, [0.5])
+    return df.select(share.alias("f")).agg(F.avg("f").alias("mean"), F.lit(median).cast("double").alias("median"), F.count(F.lit(1)).alias("n"))
 
 
 def corrupted(df: DataFrame, matrix: np.ndarray, rate: str = "cer_target", seed: str = "seed", text: str = "text") -> DataFrame:

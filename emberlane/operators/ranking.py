@@ -5,14 +5,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from emberlane.operators import ordered as od
 
-def benjamini_hochberg(df: DataFrame, p: str, order: str) -> DataFrame:
-    """``df`` with q: the smallest p * m / rank at or above each p, at most 1. A family of tests is a small table."""
-    m = F.count(F.lit(1)).over(W.partitionBy())
-    t = df.withColumn("_r", F.row_number().over(W.orderBy(p, order))).withColumn("_m", m)
-    step = F.col(p) * F.col("_m") / F.col("_r")
-    q = F.least(F.lit(1.0), F.min(step).over(W.orderBy(F.desc("_r")).rowsBetween(W.unboundedPreceding, 0)))
-    return t.withColumn("q", q).drop("_r", "_m")
+
+def benjamini_hochberg(df: DataFrame, p: str, order: str, ranges: int | None = None) -> DataFrame:
+    """``df`` with q: the smallest p * m / rank at or above each p, at most 1, for a family of any size (two scans by ranges)."""
+    rows = od.in_ranges(df, [p, order], ranges)
+    m = df.count()
+    ranked = od.running(rows, [p, order], {"_rank": od.Running("count")}).withColumn("_step", F.col(p) * m / F.col("_rank"))
+    least = od.running(ranked, ["_rank"], {"_least": od.Running("min", "_step")}, descending=True)
+    return least.withColumn("q", F.least(F.lit(1.0), "_least")).drop("_rank", "_step", "_least", od.BUCKET)
 
 
 def nearest_to_level(df: DataFrame, levels: tuple[float, ...], value: str, key: str) -> DataFrame:
@@ -24,11 +26,14 @@ def nearest_to_level(df: DataFrame, levels: tuple[float, ...], value: str, key:
 
 
 def span_extremes(df: DataFrame, value: str, key: str, k: int) -> DataFrame:
-    """k rows that span a column: smallest, largest, second smallest, ... in turn."""
-    up = F.row_number().over(W.orderBy(value, key))
-    down = F.row_number().over(W.orderBy(F.desc(value), F.desc(key)))
-    turn = F.least(2 * up - 1, 2 * down)
-    return df.withColumn("turn", turn.cast("long")).orderBy("turn").limit(k)
+    """k rows that span a column: smallest, largest, second smallest, ... in turn. Only k rows from each end are sorted; keys are unique."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    ends = []
+    for order, first in (((F.asc(value), F.asc(key)), -1), ((F.desc(value), F.desc(key)), 0)):
+        end = df.orderBy(*order).limit(k)
+        ends.append(end.select(row, F.col(key).alias("key"), (2 * F.row_number().over(W.orderBy(*order)) + first).alias("turn")))
+    once = ends[0].unionByName(ends[1]).groupBy("key").agg(F.min("turn").alias("turn"), F.min_by("row", "turn").alias("row"))
+    return once.select("row.*", F.col("turn").cast("long").alias("turn")).orderBy("turn").limit(k)
 
 
 def clean_example(text: str, lo: int = 10, hi: int = 80):  # noqa: ANN201

@@ -5,6 +5,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from emberlane.operators import ordered as od
+
 
 #: Rows of both sides that greedy matching takes at most.
 GREEDY_ROWS = 500_000
@@ -62,37 +64,26 @@ def weighted_panel(df: DataFrame, strata: list[str], k: int, seed: str, *ids: st
 def length_terciles(df: DataFrame, text: Column) -> DataFrame:
     """``df`` with length_bin: exact terciles of the character length, right-closed, repeated edges dropped."""
     n = F.length(text)
-    edges = df.agg(F.array_distinct(F.percentile(n.cast("double"), F.array(F.lit(0.0), F.lit(1 / 3), F.lit(2 / 3), F.lit(1.0)))).alias("_e"))
-    rows = df.crossJoin(F.broadcast(edges))
-    above = F.size(F.filter(F.slice("_e", 2, F.greatest(F.size("_e") - 2, F.lit(0))), lambda e: e < n))
-    names = F.when(F.size("_e") <= 2, F.lit("short")).when(F.size("_e") == 3, F.when(above == 0, "short").otherwise("long")).otherwise(F.when(above == 0, "short").when(above == 1, "medium").otherwise("long"))
-    return rows.withColumn("length_bin", names).drop("_e")
-
+    cuts = od.quantiles(df, n, [0, 1 / 3, 2 / 3, 1])
+    edges = sorted({c for c in cuts if c is not None})
+    above = sum(((n > e).cast("int") for e in edges[1:-1]), F.lit(0))
+    names = ("short",) if len(edges) <= 2 else ("short", "long") if len(edges) == 3 else ("short", "medium", "long")
+    at = F.lit(names[0])
+    for k, name in enumerate(names[1:], 1):
+        at = F.when(above == k, name).otherwise(at)
+    return df.withColumn("length_bin", at)
 
-def numbered(df: DataFrame, order: list[str], name: str, buckets: int = 256) -> DataFrame:
-    """``df`` with its place (from 1) in the order of some columns, without one task for all rows.
 
-    Bounds come from the keys that a hash selects, some 64 a bucket, so they are the same whenever the plan runs again;
-    buckets are counted and numbered apart, and each starts where the ones before it end. Rows with equal keys are placed
-    in any order.
-    """
-    n = df.count()
-    picked = df.select(*order).where(F.pmod(F.xxhash64(*order), F.lit(max(1, n // (64 * buckets)))) == 0).distinct().orderBy(*order).collect()
-    kinds = {c: t for c, t in df.select(*order).dtypes}
-    step = max(1, len(picked) // buckets)
-    literal = lambda v: F.struct(*map(literal, v)) if isinstance(v, tuple) else F.lit(v)
-    bounds = [F.struct(*[literal(r[c]).cast(kinds[c]).alias(c) for c in order]) for r in picked[step::step]]
-    at = F.size(F.filter(F.array(*bounds), lambda b: b <= F.struct(*order))) if bounds else F.lit(0)
-    rows = df.withColumn("_bucket", at)
-    sizes = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    before = sizes.select("_bucket", F.coalesce(F.sum("_size").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    place = F.col("_before") + F.row_number().over(W.partitionBy("_bucket").orderBy(*order))
-    return rows.join(F.broadcast(before), "_bucket").withColumn(name, place.cast("long")).drop("_bucket", "_before")  # a row a bucket is broadcast
+def numbered(df: DataFrame, order: list[str], name: str, ranges: int | None = None) -> DataFrame:
+    """``df`` with its place (from 1) in the order of some columns, by a scan over ranges; rows with equal keys in any order."""
+    return od.scan(df, order, {name: od.Running("count")}, ranges=ranges)
 
 
 def number_items(df: DataFrame, prefix: str, order: list[str], width: int = 4) -> DataFrame:
-    """Ids R0001, R0002, ... in a canonical order."""
-    return numbered(df, order, "_place").withColumn("item_id", F.concat(F.lit(prefix), F.lpad(F.col("_place").cast("string"), width, "0"))).drop("_place")
+    """Ids R0001, R0002, ... in a canonical order; beyond ``width`` digits they grow."""
+    digits = F.col("_place").cast("string")
+    padded = F.lpad(digits, F.greatest(F.lit(width), F.length(digits)), F.lit("0"))
+    return numbered(df, order, "_place").withColumn("item_id", F.concat(F.lit(prefix), padded)).drop("_place")
 
 
 def shuffle_items(df: DataFrame, seed: str, id_col: str = "item_id") -> DataFrame:
