@@ -11,8 +11,9 @@ from emberlane.llm.grams import answered, answers, chunked, opened, same_runs
 from emberlane.llm.words import mix, windows
 
 ALPHA = 0.4
-#: Bits of an n-gram's key: so many sort it and choose its count partition, 32 more of a second hash tell it apart.
-BITS = 64
+#: Bits that sort an n-gram's key and choose its count partition: so many beyond those that number all n-grams, and at least.
+#: 32 bits of a second hash are compared besides, so of all n-grams about one in 2 ** (SPARE + 32) meets another.
+SPARE, LEAST = 18, 44
 #: Words that are scored at a time.
 BLOCK = 1 << 17
 
@@ -112,7 +113,7 @@ def _scored(order: int, alpha: float, n_all: int, bits: int, schema: T.StructTyp
     return run
 
 
-def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, alpha: float = ALPHA, bits: int = BITS) -> DataFrame:
+def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, alpha: float = ALPHA, bits: int | None = None) -> DataFrame:
     """One row per document: ``id_col``, n_words, n_backed_off, log_score (sum over words), mean_log_score.
 
     Counts come from all other documents: a document's own occurrences are taken out, so nothing vouches for itself. A
@@ -126,7 +127,7 @@ def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the n-grams, so does the number of partitions, and no task's share grows with the corpus. The number of rows grows
     faster, with chunks times partitions, until each holds a single n-gram: it never exceeds the number of n-grams.
 
-    N-grams are told apart by ``bits`` bits of one and 32 of another hash of their words' 64-bit hashes: partitions and chunks compare both, so n-grams
+    N-grams are told apart by ``bits`` bits of one hash (set by their number, 44 at least) and 32 of another: partitions and chunks compare both, so n-grams
     whose sorting hashes collide keep counts of their own. A count above its context's, which a mix-up would show, raises. Words
     are lower-cased A-Z. Null or empty texts have no words, log_score 0 and a null mean; repeated
     rows and rows with null or repeated ids count as separate documents; an empty table gives an empty result.
@@ -134,5 +135,6 @@ def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     chunks = chunked(docs, id_col, text_col, word_bits=64)
     n_all, n_chunks = chunks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     expected = n_all * order
+    bits = bits or min(64, max(LEAST, expected.bit_length() + SPARE))
     out = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_backed_off", T.LongType()), T.StructField("log_score", T.DoubleType()), T.StructField("mean_log_score", T.DoubleType())])
     return answered(chunks, _entries(order, bits), expected, n_chunks, bits).groupBy("chunk").applyInArrow(_scored(order, alpha, n_all, bits, out), out)
