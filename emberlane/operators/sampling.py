@@ -8,9 +8,6 @@ from pyspark.sql import Window as W
 from emberlane.operators import ordered as od
 
 
-#: Rows of both sides that greedy matching takes at most.
-GREEDY_ROWS = 500_000
-
 
 def hash_order(seed: str, *parts: str) -> Column:
     """A shared deterministic order: SHA-256 of the seed and the parts, joined by bars."""
@@ -113,35 +110,6 @@ def union_with_provenance(stratified: DataFrame, critical: DataFrame, key: list[
     return t.select(*key, F.when((F.col("s") == 1) & (F.col("c") == 1), "both").when(F.col("s") == 1, "stratified").otherwise("message_critical").alias("provenance"))
 
 
-def greedy_controls(critical: DataFrame, pool: DataFrame, features: list[str], seed: int) -> DataFrame:
-    """Nearest unused control for each critical row in input order; z-scores over both sides, ties by a seeded permutation.
-
-    Greedy matching is sequential, so it runs on the driver over ids and features alone; both sides are designed samples
-    of some thousand rows. More than :data:`GREEDY_ROWS` rows in all raise: a larger pool is to be cut down first (for
-    instance by :func:`draw`).
-    """
-    import numpy as np
-
-    if critical.count() + pool.count() > GREEDY_ROWS:
-        raise ValueError(f"greedy matching takes at most {GREEDY_ROWS} rows")
-    a, b = (t.select("message_id", *[F.col(f).cast("double").alias(f) for f in features]).toPandas() for t in (critical, pool))
-    if len(b) < len(a):
-        raise ValueError(f"{len(b)} candidates for {len(a)} critical rows")
-    both = np.vstack([a[features].to_numpy(), b[features].to_numpy()])
-    sd = both.std(axis=0)
-    z = (both - both.mean(axis=0)) / np.where(sd == 0, 1.0, sd)
-    za, zb = z[: len(a)], z[len(a) :]
-    tie = np.random.default_rng(seed).permutation(len(b))
-    free = np.ones(len(b), dtype=bool)
-    rows = []
-    for i, v in enumerate(za):
-        d = np.where(free, ((zb - v) ** 2).sum(1), np.inf)
-        j = int(np.flatnonzero(d == d.min())[tie[d == d.min()].argmin()])
-        free[j] = False
-        rows.append((a.message_id[i], b.message_id[j], float(np.sqrt(d[j]))))
-    return critical.sparkSession.createDataFrame(rows, "crit_message_id string, message_id string, match_distance double")
-
-
 def two_stage_sample(df: DataFrame, category: str, text: str, n: int, seed: str, id_col: str) -> DataFrame:
     """``n`` rows, each text once: shared among categories by size, then among the length terciles of each, drawn in hash order.
 

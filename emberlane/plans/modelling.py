@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from emberlane.functions import text as tx
-from emberlane.operators import balance, inference, matched
+from emberlane.operators import balance, inference, matched, matching
 from emberlane.operators import label as lb
 from emberlane.operators import sampling as sm
 from emberlane.plans import fitted
@@ -254,12 +254,29 @@ def _(a): return inference.paired_rate_bootstrap(a, "corpus", "CRIT", "CTRL")  #
 def _(a): return inference.curve_bootstrap(a)  # noqa: E704
 
 
-@query("greedy_match", "part")
+_MATCH = ["char_len", "word_count", "has_numeral", "has_negation"]
+_TOK = "regexp_extract_all(p_name, '[A-Za-z0-9]+(?:''[A-Za-z]+)?')"
+_NEGATED = f"lower(t) IN ({', '.join(chr(39) + w.replace(chr(39), chr(39) * 2) + chr(39) for w in tx.NEGATIONS)}) OR contains(lower(t), 'n''t')"
+
+
+@query("greedy_match", "part", doubles=f"{' '.join(_MATCH)} {' '.join('crit_' + f for f in _MATCH)} match_distance", sql=f"""
+    WITH RECURSIVE f AS (SELECT p_partkey, 'p' || p_partkey::VARCHAR AS id, length(p_name)::DOUBLE AS char_len, len({_TOK})::DOUBLE AS word_count,
+                                (len(list_filter({_TOK}, lambda t: regexp_matches(t, '[0-9]'))) > 0)::INT::DOUBLE AS has_numeral,
+                                (len(list_filter({_TOK}, lambda t: {_NEGATED})) > 0)::INT::DOUBLE AS has_negation FROM part),
+    m AS (SELECT {", ".join(f"avg({f}) AS m_{f}, CASE WHEN stddev_pop({f}) > 0 THEN stddev_pop({f}) ELSE 1 END AS s_{f}" for f in _MATCH)} FROM f),
+    z AS (SELECT f.*, [{", ".join(f"({f} - m_{f}) / s_{f}" for f in _MATCH)}] AS z, sha256('7|' || id) AS tie FROM f, m),
+    c AS (SELECT *, row_number() OVER (ORDER BY p_partkey) AS r FROM z WHERE p_partkey % 20 = 0),
+    d AS MATERIALIZED (SELECT r, o.id, round(list_sum(list_transform(list_zip(c.z, o.z), lambda q: (q[1] - q[2]) ** 2)), 9) AS d, o.tie FROM c, z o WHERE o.p_partkey % 20 > 0),
+    g AS (SELECT 0::BIGINT AS r, []::VARCHAR[] AS used, ''::VARCHAR AS id
+          UNION ALL SELECT x.r, list_append(x.used, x.id), x.id FROM (
+              SELECT d.r, any_value(g.used) AS used, arg_min(d.id, {{'d': d.d, 'tie': d.tie}}) AS id FROM g JOIN d ON d.r = g.r + 1 WHERE NOT list_contains(g.used, d.id) GROUP BY d.r) x)
+    SELECT c.id AS crit_message_id, {", ".join(f"c.{f} AS crit_{f}" for f in _MATCH)}, o.id AS message_id, {", ".join(f"o.{f}" for f in _MATCH)}, sqrt(d.d) AS match_distance
+    FROM g JOIN c USING (r) JOIN z o ON o.id = g.id JOIN d ON d.r = g.r AND d.id = g.id""")
 def _(p):
     t = p.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("message_id"), F.col("p_name").alias("text"), "p_partkey")
     feats = tx.message_features(F.col("text"))
-    t = t.select("message_id", "p_partkey", *[c.cast("double").alias(k) for k, c in feats.items()]).orderBy("p_partkey")
-    return sm.greedy_controls(t.where("p_partkey % 20 = 0"), t.where("p_partkey % 20 > 0"), list(feats), 7)
+    t = t.select("message_id", "p_partkey", *[c.cast("double").alias(k) for k, c in feats.items()])
+    return matching.greedy_controls(t.where("p_partkey % 20 = 0"), t.where("p_partkey % 20 > 0"), list(feats), 7, ["p_partkey"])
 
 
 @query("power_simulation", A)

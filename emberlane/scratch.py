@@ -1,6 +1,7 @@
 """Tables that one step writes and later steps read: in the folder that driver and executors share, deleted when done."""
 from __future__ import annotations
 
+import atexit
 import re
 import uuid
 from types import TracebackType
@@ -27,19 +28,27 @@ def shared_folder(spark: SparkSession) -> str:
 class Scratch:
     """``with Scratch(spark) as s``: ``s.keep(df)`` writes a table and reads it back, which also cuts its lineage.
 
-    All tables go at the end of the block, so what leaves it must not read them; ``s.drop(df)`` deletes one sooner.
+    All tables go at the end of the block, so what leaves it must not read them; ``s.drop(df)`` deletes one sooner. Without
+    ``with``, for tables behind a result that is yet to be read, they go when the driver ends.
     """
 
+    _open: dict[str, Scratch] = {}
+
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
         self._at: dict[int, str] = {}
+        Scratch._open[self.folder] = self
 
     def __enter__(self) -> Scratch:
         return self
 
     def __exit__(self, kind: type | None, error: BaseException | None, trace: TracebackType | None) -> None:
-        self._delete(self.folder)
+        self.close()
+
+    def close(self) -> None:
+        if Scratch._open.pop(self.folder, None) is not None and self.spark.sparkContext._jsc is not None:
+            self._delete(self.folder)
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.folder}/{uuid.uuid4().hex}"
@@ -55,3 +64,9 @@ class Scratch:
     def _delete(self, path: str) -> None:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@atexit.register
+def _close_all() -> None:
+    for scratch in list(Scratch._open.values()):
+        scratch.close()

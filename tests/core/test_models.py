@@ -148,15 +148,6 @@ def test_exposure_grid(spark):
     assert len({r["noisy_text"] for r in rows if r["message_id"] == "m1" and r["cer_target"] == 0.4}) == 3
 
 
-def test_greedy_controls(spark):
-    crit = spark.createDataFrame([("c1", 1.0), ("c2", 1.1)], "message_id string, x double")
-    pool = spark.createDataFrame([("p1", 1.0), ("p2", 5.0), ("p3", 1.3)], "message_id string, x double")
-    got = {r["crit_message_id"]: r["message_id"] for r in sampling.greedy_controls(crit, pool, ["x"], 0).collect()}
-    assert got == {"c1": "p1", "c2": "p3"}
-    with pytest.raises(ValueError, match="candidates"):
-        sampling.greedy_controls(pool, crit, ["x"], 0)
-
-
 def test_sources_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("i1", 'a "q", b', "n"), ("i2", "x\ny", None)], "item_id string, rating string, notes string")
     io.write_csv(df, f"{tmp_path}/csv")
