@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from emberlane.operators import agreement as ag
 from emberlane.operators import calibration as cal
 from emberlane.operators import glm, mixed
+from emberlane.operators import resampling as rs
 from emberlane.schema import CLASSES, CONDITIONS, Z_EXACT
 
 
@@ -264,62 +265,58 @@ def slope_bootstrap(df: DataFrame, cluster: str = "message_id", x: str = "realiz
         t.unpersist()
 
 
-def risk_difference_bootstrap(sums: DataFrame, draws: int = 1000, seed: int = 0) -> DataFrame:
-    """Pair-clustered bootstrap of the risk difference from per-pair arm sums."""
-    t = sums.orderBy("pair_id").toPandas()
-    a = t[["k_crit", "n_crit", "k_ctrl", "n_ctrl"]].to_numpy(float)
-    rd = lambda s: s[0] / s[1] - s[2] / s[3] if s[1] and s[3] else math.nan
-    rng = np.random.default_rng(seed)
-    return _interval(sums, rd(a.sum(0)), [rd(_weights(rng, len(a)) @ a) for _ in range(draws)], n_pairs=len(a))
+def risk_difference_bootstrap(sums: DataFrame, by: tuple[str, ...] = (), draws: int = 1000, seed: int = 0) -> DataFrame:
+    """Pair-clustered bootstrap of the risk difference from per-pair arm sums, by any keys."""
+    terms = {c: F.col(c) for c in ("k_crit", "n_crit", "k_ctrl", "n_ctrl")}
+    metric = rs.of_sums(terms, lambda s: s["k_crit"] / s["n_crit"] - s["k_ctrl"] / s["n_ctrl"])
+    drawn = rs.bootstrap(sums, metric, by, "pair_id", draws, seed)
+    n = sums.groupBy(*[F.col(c).cast("string").alias(c) for c in by]).agg(F.countDistinct("pair_id").alias("n_pairs"))
+    found = drawn.groupBy(*by).agg(*rs.interval("value"))
+    return found.join(n, list(by)) if by else found.crossJoin(F.broadcast(n))
 
 
 def ece_auroc_bootstrap(df: DataFrame, draws: int = 1000, seed: int = 0) -> DataFrame:
-    """Message-clustered bootstrap of ECE and AUROC per model, from counts per (message, confidence value)."""
+    """Message-clustered bootstrap of ECE and AUROC per model, both from the same draws."""
     rows = cal.calibration_frame(df)
-    t = rows.groupBy("model", "message_id", "confidence").agg(F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("k"))
-
-    def metrics(c: np.ndarray, n: np.ndarray, k: np.ndarray) -> tuple[float, float]:
-        values, at = np.unique(c, return_inverse=True)
-        nn, kk = np.bincount(at, n), np.bincount(at, k)
-        b = np.minimum(np.searchsorted(np.arange(1, 10) / 10, values, side="right"), 9)
-        tot, pos, conf = (np.bincount(b, v, minlength=10) for v in (nn, kk, nn * values))
-        some = tot > 0
-        ece = float((tot[some] / tot.sum() * np.abs(pos[some] / tot[some] - conf[some] / tot[some])).sum())
-        neg = nn - kk
-        if kk.sum() == 0 or neg.sum() == 0:
-            return ece, math.nan
-        return ece, float((kk * (np.cumsum(neg) - neg / 2)).sum() / (kk.sum() * neg.sum()))
-
-    def one(pdf):  # noqa: ANN001, ANN202
+    score, hit = F.col("confidence"), F.col("correct")
+    drawn = rs.bootstrap(rows, rs.both(rs.calibration_error(score, hit), rs.auroc(score, hit)), ["model"], "message_id", draws, seed)
+    t = drawn.groupBy("model").agg(*rs.interval("ece", "e_"), *rs.interval("auroc", "a_"))
+    n = rows.groupBy("model").agg(F.countDistinct("message_id").alias("n_clusters"))
+    names = {"ece": "e_point", "auroc": "a_point", "ece_lo": "e_lo", "ece_hi": "e_hi", "auroc_lo": "a_lo", "auroc_hi": "a_hi"}
+    return t.join(n, "model").select("model", *[F.col(c).alias(k) for k, c in names.items()], "n_clusters")
+
+
+def _prevalence(columns: list[str], target: int):  # noqa: ANN202
+    """Draws' class counts and confusion cells to the target's corrected share."""
+
+    def run(batches):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        ids, at = np.unique(pdf["message_id"].to_numpy(), return_inverse=True)
-        c, n, k = (pdf[x].to_numpy(float) for x in ("confidence", "n", "k"))
-        rng = np.random.default_rng(seed)
-        d = np.array([metrics(c, n * w, k * w) for w in (_weights(rng, len(ids))[at] for _ in range(draws))])
-        point = metrics(c, n, k)
-        ci = [np.nanpercentile(d[:, j], q) for j in (0, 1) for q in (2.5, 97.5)]
-        return pd.DataFrame([[pdf["model"].iloc[0], *point, *ci, len(ids)]])
+        for pdf in batches:
+            q, m = pdf[columns[:3]].to_numpy(), pdf[columns[3:]].to_numpy().reshape(-1, 3, 3)
+            yield pd.DataFrame({"draw": pdf["draw"], "value": [float(ag.solve_prevalence(a, b)["corrected"][target]) for a, b in zip(q, m, strict=True)]})
 
-    return t.groupBy("model").applyInPandas(one, "model string, ece double, auroc double, ece_lo double, ece_hi double, auroc_lo double, auroc_hi double, n_clusters long")
+    return run
 
 
 def prevalence_bootstrap(cohort: DataFrame, validated: DataFrame, target: str = "drift", draws: int = 1000, seed: int = 0, method: str = "cluster") -> DataFrame:
     """Interval of a corrected class share: clusters of both frames resampled apart, or counts redrawn (parametric)."""
     k = CLASSES.index(target)
-    co = cohort.groupBy("message_id").agg(*[F.count_if(F.col("auto_label") == c).alias(c) for c in CLASSES]).orderBy("message_id").toPandas()[list(CLASSES)].to_numpy(float)
+    counts = {f"q{i}": (F.col("auto_label") == c).cast("double") for i, c in enumerate(CLASSES)}
     cells = [(h, a) for h in CLASSES for a in CLASSES]
-    va = validated.groupBy("message_id").agg(*[F.count_if((F.col("human") == h) & (F.col("auto") == a)).alias(f"{h}_{a}") for h, a in cells]).orderBy("message_id").toPandas()
-    va = va[[f"{h}_{a}" for h, a in cells]].to_numpy(float)
-    share = lambda q, m: float(ag.solve_prevalence(q, m.reshape(3, 3))["corrected"][k])
+    pairs = {f"m{i}": ((F.col("human") == h) & (F.col("auto") == a)).cast("double") for i, (h, a) in enumerate(cells)}
+    if method == "cluster":
+        sums = []
+        for i, (frame, terms) in enumerate(((cohort, counts), (validated, pairs))):
+            filled = {n: F.coalesce(c, F.lit(0.0)) for n, c in terms.items()}
+            metric = rs.Metric(tuple(terms), filled, lambda _, s: [v.sum(1) for v in s.values()])
+            sums.append(rs.bootstrap(frame, metric, (), "message_id", draws, seed + i))
+        drawn = sums[0].join(sums[1], "draw").mapInPandas(_prevalence([*counts, *pairs], k), "draw long, value double")
+        return drawn.agg(*rs.interval("value")).withColumn("method", F.lit(method))
+    q, m = (np.array(f.agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in t.values()]).first(), dtype=float) for f, t in ((cohort, counts), (validated, pairs)))
+    share = lambda a, b: float(ag.solve_prevalence(a, b.reshape(3, 3))["corrected"][k])
     rng = np.random.default_rng(seed)
-    q, m = co.sum(0), va.sum(0)
-    out = []
-    for _ in range(draws):
-        if method == "cluster":
-            out.append(share(_weights(rng, len(co)) @ co, _weights(rng, len(va)) @ va))
-        else:
-            out.append(share(rng.multinomial(int(q.sum()), q / q.sum()).astype(float), rng.multinomial(int(m.sum()), m / m.sum()).astype(float)))
+    out = [share(rng.multinomial(int(q.sum()), q / q.sum()).astype(float), rng.multinomial(int(m.sum()), m / m.sum()).astype(float)) for _ in range(draws)]
     return _interval(cohort, share(q, m), out, method=method)
 
 
@@ -349,53 +346,25 @@ def paired_rate_bootstrap(df: DataFrame, arm: str, a: str, b: str, draws: int =
 def resample(df: DataFrame, terms: dict[str, Column], statistic: Callable[[dict[str, np.ndarray]], np.ndarray], draws: int = 2000, seed: int = 0) -> DataFrame:
     """Row bootstrap of a statistic of sums: ``statistic`` gets each term's sum over the rows, one value a draw.
 
-    Rows of equal terms are counted first; a draw weighs such a cell by a Poisson of its count, which is the sum of a Poisson
-    weight for each of its rows. Weights are seeded by the cell, so partitions don't show. All draws are made in one pass,
-    and only sums a draw reach the driver. A row with a null term is left out.
+    Rows of equal terms are counted first and picked together, n of n in all. A row with a null term is left out. Any other
+    metric, with score cells or of several groups or clusters, goes through :mod:`emberlane.operators.resampling` itself.
     """
-    names = list(terms)
-    rows = df.select(*[c.cast("double").alias(n) for n, c in terms.items()]).dropna()
-    cells = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).withColumn("_key", F.xxhash64(*names))
-
-    def run(batches):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        sums = np.zeros((draws + 1, len(names)))
-        for pdf in batches:
-            for key, n, x in zip(pdf["_key"], pdf["_n"], pdf[names].to_numpy(float), strict=True):
-                rng = np.random.default_rng([seed, int(key) & (1 << 64) - 1])
-                sums += np.concatenate(([n], rng.poisson(n, draws)))[:, None] * x  # the first line is the table itself
-        yield pd.DataFrame(sums, columns=names).assign(_draw=np.arange(draws + 1))
-
-    shape = ", ".join([*[f"`{n}` double" for n in names], "_draw int"])
-    t = cells.mapInPandas(run, shape).groupBy("_draw").agg(*[F.sum(n).alias(n) for n in names]).orderBy("_draw").toPandas()
-    with np.errstate(divide="ignore", invalid="ignore"):
-        got = statistic({n: t[n].to_numpy() for n in names})
-    return _interval(df, got[0], got[1:].tolist())
+    return rs.bootstrap(df, rs.of_sums(terms, statistic), draws=draws, seed=seed).agg(*rs.interval("value"))
 
 
 def curve_bootstrap(df: DataFrame, draws: int = 1000, seed: int = 0) -> DataFrame:
-    """Per model: interval of the drift curve's slope, messages resampled, on (model, level, message) counts."""
-    t = df.groupBy("model", F.round("cer_target", 1).alias("x"), "message_id").agg(F.count(F.lit(1)).alias("n"), F.sum(_drift()).alias("k"))
-
-    def slope(x: np.ndarray, n: np.ndarray, k: np.ndarray) -> float:
-        levels, at = np.unique(x, return_inverse=True)
-        tot = np.bincount(at, n)
-        ok = tot > 0
-        if ok.sum() < 2:
-            return math.nan
-        return float(np.polyfit(levels[ok], 100 * np.bincount(at, k)[ok] / tot[ok], 1)[0] / 10)
-
-    def one(pdf):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        _, at = np.unique(pdf["message_id"].to_numpy(), return_inverse=True)
-        x, n, k = (pdf[c].to_numpy(float) for c in ("x", "n", "k"))
-        rng = np.random.default_rng(seed)
-        d = [slope(x, n * w, k * w) for w in (_weights(rng, at.max() + 1)[at] for _ in range(draws))]
-        return pd.DataFrame([[pdf["model"].iloc[0], slope(x, n, k), *np.nanpercentile(d, [2.5, 97.5])]])
-
-    return t.groupBy("model").applyInPandas(one, "model string, slope_pp double, lo double, hi double")
+    """Per model: interval of the drift curve's slope, messages resampled."""
+
+    def slope(levels: np.ndarray, sums: dict[str, np.ndarray]) -> tuple[np.ndarray]:
+        some = sums["n"] > 0
+        y = np.where(some, 100 * sums["k"] / np.where(some, sums["n"], 1), 0)
+        n = some.sum(1, keepdims=True)
+        off = np.where(some, levels - (some * levels).sum(1, keepdims=True) / n, 0)
+        return ((off * y).sum(1) / (off**2).sum(1) / 10,)
+
+    metric = rs.Metric(("slope",), {"n": F.lit(1.0), "k": _drift()}, slope, F.round("cer_target", 1))
+    t = rs.bootstrap(df, metric, ["model"], "message_id", draws, seed).groupBy("model").agg(*rs.interval("slope"))
+    return t.select("model", F.col("point").alias("slope_pp"), "lo", "hi")
 
 
 def power(n_messages: int, replicates: int, slope: float, base: float, sd: float, n_sim: int, seed: int, spark, alpha: float = 0.05) -> DataFrame:  # noqa: ANN001

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -110,10 +111,12 @@ def anchor(matched: DataFrame, stratum: Sequence[str], outcome: str, models: Seq
 
 def risk_difference_by_rate(matched: DataFrame, draws: int = 1000, seed: int = 0) -> DataFrame:
     """The risk difference within each target rate, ascending, with a pair-clustered bootstrap of seed + i for the i-th rate."""
-    sums = balance.arm_sums(matched.withColumn("cer_target", F.round("cer_target", 1)), "cer_target").persist()
-    try:
-        rates = sorted(r[0] for r in sums.select("cer_target").distinct().collect())
-        rows = [{"cer_target": float(c), **risk_difference_bootstrap(sums.where(F.col("cer_target") == c), draws, seed + i).first().asDict()} for i, c in enumerate(rates)]
-        return _frame(matched, [r | {"per_thousand": 1000 * r["point"], "seed": seed + i} for i, r in enumerate(rows)])
-    finally:
-        sums.unpersist()
+    sums = balance.arm_sums(matched.withColumn("cer_target", F.round("cer_target", 1)), "cer_target")
+    rates = sorted(r[0] for r in sums.select("cer_target").distinct().collect())  # the levels of the design
+    parts = [
+        risk_difference_bootstrap(sums.where(F.col("cer_target") == c), (), draws, seed + i).select(
+            F.lit(float(c)).alias("cer_target"), "*", (1000 * F.col("point")).alias("per_thousand"), F.lit(seed + i).alias("seed")
+        )
+        for i, c in enumerate(rates)
+    ]
+    return reduce(DataFrame.unionByName, parts)

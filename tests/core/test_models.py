@@ -262,7 +262,7 @@ def test_random_intercept_of_balanced_data_is_the_analysis_of_variance(spark):
 def test_numbering_in_buckets_is_the_order(spark):
     rng = np.random.default_rng(1)
     df = spark.createDataFrame([(int(v), f"k{v % 7}", i) for i, v in enumerate(rng.integers(0, 400, 3000))], "a long, b string, i long")
-    out = sorted(sampling.numbered(df, ["b", "a", "i"], "place", buckets=9).collect(), key=lambda r: r["place"])
+    out = sorted(sampling.numbered(df, ["b", "a", "i"], "place", ranges=9).collect(), key=lambda r: r["place"])
     assert [r["place"] for r in out] == list(range(1, 3001)) and [(r["b"], r["a"], r["i"]) for r in out] == sorted((r["b"], r["a"], r["i"]) for r in out)
     assert sampling.numbered(df.limit(0), ["a"], "place").count() == 0 and sampling.numbered(df.limit(1), ["a"], "place").first()["place"] == 1
 
