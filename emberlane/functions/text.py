@@ -5,6 +5,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from emberlane.functions import blocks
+
 # The word lists and patterns that decide results.
 NEGATIONS = (
     "not", "no", "never", "cannot", "can't", "don't", "didn't", "doesn't", "won't", "wouldn't", "couldn't", "shouldn't", "isn't", "wasn't", "aren't", "weren't",
@@ -206,37 +208,24 @@ def corruption_flags(text, positions):  # noqa: ANN001, ANN201
     return pd.DataFrame(rows, columns=["corrupted_content_words", "corrupted_negation", "corrupted_numeral"])
 
 
-@F.pandas_udf(T.ArrayType(T.BooleanType()))
-def changed_words(before, after):  # noqa: ANN001, ANN201
-    """For each word of ``after``: not part of a block of words that matches ``before``."""
-    import difflib
+def _changed(split):  # noqa: ANN001, ANN202
+    def flags(before, after):  # noqa: ANN001, ANN202
+        import pandas as pd
 
-    import pandas as pd
+        pairs = (blocks.coded(split(a or ""), split(b or "")) for a, b in zip(before, after, strict=True))
+        return pd.Series([blocks.changed(*p) for p in pairs], dtype=object)
 
-    out = []
-    for a, b in zip(before, after, strict=True):
-        x, y = (a or "").split(), (b or "").split()
-        flags = [True] * len(y)
-        for _, at, n in difflib.SequenceMatcher(a=x, b=y, autojunk=False).get_matching_blocks():
-            flags[at : at + n] = [False] * n
-        out.append(flags)
-    return pd.Series(out)
+    return F.pandas_udf(flags, T.ArrayType(T.BooleanType()))
 
 
-@F.pandas_udf(T.ArrayType(T.BooleanType()))
-def changed_characters(before, after):  # noqa: ANN001, ANN201
-    """For each character of ``after``: not part of a block that matches ``before``."""
-    import difflib
+def changed_words(before: Column, after: Column) -> Column:
+    """For each word of ``after``: not part of a run of words that it shares with ``before`` (longest runs first)."""
+    return _changed(str.split)(before, after)
 
-    import pandas as pd
 
-    out = []
-    for a, b in zip(before, after, strict=True):
-        flags = [True] * len(b or "")
-        for _, at, n in difflib.SequenceMatcher(a=a or "", b=b or "", autojunk=False).get_matching_blocks():
-            flags[at : at + n] = [False] * n
-        out.append(flags)
-    return pd.Series(out)
+def changed_characters(before: Column, after: Column) -> Column:
+    """For each character of ``after``: not part of a run that it shares with ``before`` (longest runs first)."""
+    return _changed(list)(before, after)
 
 
 def prompts(rows: DataFrame, bank: DataFrame, name: str, text: Column, suffix: str) -> DataFrame:

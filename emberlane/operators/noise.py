@@ -1,6 +1,7 @@
 """Seeded character corruption over a confusion matrix, exposure tables, matrix diagnostics."""
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Sequence
 
 import numpy as np
@@ -15,6 +16,8 @@ from emberlane.operators import ordered as od
 ALPHABET = tx.GRID
 #: Share of the error budget for insertions and deletions together (fixed value).
 INDEL_SHARE = 0.1
+#: Texts that a task draws noise for, about.
+DRAWN_ROWS = 20_000
 _META = T.StructType([
     T.StructField("noisy_text", T.StringType()), T.StructField("sub_count", T.IntegerType()), T.StructField("ins_count", T.IntegerType()), T.StructField("del_count", T.IntegerType()),
     T.StructField("error_positions", T.ArrayType(T.IntegerType())), T.StructField("n_passthrough_chars", T.IntegerType()),
@@ -32,7 +35,8 @@ class Channel:
         off = np.array(matrix, dtype=float)
         np.fill_diagonal(off, 0.0)
         total = off.sum(axis=1)
-        self.rows = [row / s if s > 0 else None for row, s in zip(off, total, strict=True)]
+        self.rows = [np.cumsum(row / s) if s > 0 else None for row, s in zip(off, total, strict=True)]
+        self.rows = [None if r is None else (r / r[-1]).tolist() for r in self.rows]
         self.others = [[j for j in range(len(alphabet)) if j != i] for i in range(len(alphabet))]
 
     def corrupt(self, text: str, rate: float, seed: int) -> tuple[str, int, int, int, list[int], int]:
@@ -51,7 +55,7 @@ class Channel:
                     made += [self.alphabet[rng.integers(len(self.alphabet))], c]
             elif own is not None and u < both:
                 kind, row = "sub", self.rows[own]
-                to = self.others[own][rng.integers(len(self.others[own]))] if row is None else rng.choice(len(self.alphabet), p=row)
+                to = self.others[own][rng.integers(len(self.others[own]))] if row is None else bisect_right(row, rng.random())
                 made.append(self.alphabet[to])
             else:
                 made.append(c)
@@ -120,7 +124,8 @@ def exposure(messages: DataFrame, matrix: np.ndarray, rates: Sequence[float] = (
     """Message x rate x replicate with seeded noise, realised rate and what was touched."""
     grid = F.explode(F.array(*[F.struct(F.lit(float(r)).alias("cer_target"), F.lit(str(float(r))).alias("_r")) for r in rates])).alias("_g")
     t = messages.select("message_id", "corpus", F.upper("text").alias("text"), grid).select("message_id", "corpus", "text", "_g.*")
-    t = t.withColumn("replicate_idx", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).repartition("message_id")
+    parts = messages.count() * len(rates) * replicates // DRAWN_ROWS + messages.sparkSession.sparkContext.defaultParallelism
+    t = t.withColumn("replicate_idx", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).repartition(parts, "message_id", "_r", "replicate_idx")
     t = t.withColumn("seed", tx.stable_seed(F.col("message_id"), F.col("_r"), F.col("replicate_idx").cast("string"), F.lit(str(master_seed))))
     out = corrupted(t.drop("_r"), matrix)
     flags = tx.corruption_flags("text", "error_positions")
