@@ -2,7 +2,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -14,15 +13,15 @@ from emberlane.operators import calibration as cal
 from emberlane.operators import inference, noise
 from emberlane.plans.modelling import FIT, POOLED
 from emberlane.plans.registry import query
-from emberlane.sources import io
+from emberlane.scratch import Scratch
+from emberlane.sources import io, memo
 
 R, A, P = "fx_ratings", "fx_attempts", "fx_reply_pairs"
 
 
 def _place(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all executors share."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{at.rstrip('/')}/sources/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the folder that all executors share; what is written there goes when the driver ends."""
+    return f"{Scratch(spark).folder}/{name}"
 
 
 _ORDERS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice"
@@ -73,11 +72,11 @@ def _(p):
     t = p.select("conv_id", "turn", F.lit(None).cast("string").alias("model"), F.when(F.col("conv_id") % 7 == 0, "__ERROR__ timeout").otherwise(F.col("output_message")).alias("output_message"))
     at = f"{_place(spark, 'runs')}"
     lines = t.select(F.to_json(F.struct(*t.columns)).alias("value")).unionByName(spark.range(3).select(F.lit('{"conv_id": 1, "turn"').alias("value")))
-    lines.coalesce(1).write.text(f"{at}/parts")
+    lines.write.text(f"{at}/parts")
     fs, folder = io._file(spark, f"{at}/parts")
-    part = next(str(s.getPath()) for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-"))
-    fs.rename(spark._jvm.org.apache.hadoop.fs.Path(part), spark._jvm.org.apache.hadoop.fs.Path(f"{at}/tag_shard3.jsonl"))
-    return io.read_outputs(spark, f"{at}/tag_shard3.jsonl", t.schema).select("conv_id", "turn", "model", "output_message")
+    for k, part in enumerate(s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")):
+        fs.rename(part, io._file(spark, f"{at}/tag_shard{k}.jsonl")[1])
+    return io.read_outputs(spark, f"{at}/tag_shard*.jsonl", t.schema).select("conv_id", "turn", "model", "output_message")
 
 
 @query("jsonl_shards", "orders", sql="SELECT shard::INT AS shard, count(*) AS n, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key FROM (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey, o_custkey) - 1) * 6 // count(*) OVER () AS shard FROM orders) GROUP BY 1")
@@ -104,12 +103,47 @@ def _(n):
     return io.read_probes(spark, path).select("message_id", "intended_text", F.lit(bank).alias("bank_sha256"))
 
 
-@query("matrix_round_trip", "nation", doubles="p", sql="SELECT substr('ABCDE', i::INT + 1, 1) AS intended, substr('ABCDE', j::INT + 1, 1) AS selected, (i * 5 + j) / 100.0::DOUBLE AS p FROM range(5) a(i), range(5) b(j)")
-def _(n):
-    spark, m, path = n.sparkSession, np.arange(25).reshape(5, 5) / 100, _place(n.sparkSession, "matrix")
-    io.write_matrix(spark, m, "ABCDE", path)
-    back = io.read_matrix(spark, path, "ABCDE")
-    return spark.createDataFrame([("ABCDE"[i], "ABCDE"[j], float(back[i, j])) for i in range(5) for j in range(5)], "intended string, selected string, p double")
+@query("matrix_round_trip", "fx_words", doubles="p", sql="""
+    WITH w AS (SELECT intended, selected, count(*) AS n FROM fx_words WHERE intended BETWEEN 'A' AND 'Z' AND selected BETWEEN 'A' AND 'Z' GROUP BY ALL)
+    SELECT intended, selected, n / sum(n) OVER (PARTITION BY intended) AS p FROM w""")
+def _(w):
+    """The confusion matrix of the words' first two letters, written and read back."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    spark, path = w.sparkSession, _place(w.sparkSession, "matrix")
+    counts = w.where(F.col("intended").between("A", "Z") & F.col("selected").between("A", "Z")).groupBy("intended", "selected").count()
+    m = np.zeros((26, 26))
+    for r in counts.collect():  # a cell of the matrix a row
+        m[letters.index(r["intended"]), letters.index(r["selected"])] = r["count"]
+    io.write_matrix(spark, m / np.maximum(1, m.sum(1, keepdims=True)), letters, path)
+    back = io.read_matrix(spark, path, letters)
+    return spark.createDataFrame([(letters[i], letters[j], float(back[i, j])) for i, j in zip(*np.nonzero(back), strict=True)], "intended string, selected string, p double")
+
+
+@query("resumable_signals", P, doubles="length_ratio", sql=f"""
+    SELECT conv_id, turn, length(output_message)::DOUBLE / greatest(1, length(intended_text)) AS length_ratio, len(string_split(output_message, ' '))::BIGINT AS n_parts, true AS resumed FROM {P}""")
+def _(p):
+    """Signals of pairs in a memo: a first run is stopped after some blocks, the second scores what is left."""
+    spark, at = p.sparkSession, _place(p.sparkSession, "memo")
+    texts = ["intended_text", "output_message"]
+    ratio = lambda t: t.withColumn("length_ratio", F.length("output_message").cast("double") / F.greatest(F.lit(1), F.length("intended_text")))
+    parts = lambda t: t.withColumn("n_parts", F.size(F.split("output_message", " ")).cast("long"))
+    calls: list[int] = []
+
+    def stopped(t: DataFrame) -> DataFrame:
+        calls.append(1)
+        if len(calls) == 3:
+            raise InterruptedError
+        return ratio(t)
+
+    pairs = p.withColumn(memo.KEY, memo.pair_key(*map(F.col, texts))).select(memo.KEY, *texts).dropDuplicates([memo.KEY])
+    block = max(1, pairs.count() // 4)
+    try:
+        memo.scored(p, texts, {"ratio": (stopped, ["length_ratio"])}, at, block)
+    except InterruptedError:
+        pass
+    kept = len(memo.Memo(spark, at, "ratio").blocks())
+    out = memo.scored(p, texts, {"ratio": (ratio, ["length_ratio"]), "parts": (parts, ["n_parts"])}, at, block)
+    return out.select("conv_id", "turn", "length_ratio", "n_parts", F.lit(kept == 2).alias("resumed"))
 
 
 @query("digest_blocks", A, doubles="drift_rate", sql=f"SELECT corpus, count(*) AS n, avg((label = 'drift')::INT::DOUBLE) AS drift_rate, 2.5::DOUBLE AS plain FROM {A} GROUP BY corpus")
@@ -128,8 +162,9 @@ def _(r):
     spark, at = r.sparkSession, _place(r.sparkSession, "log")
     for x in r.collect():
         io.write_text(spark, x["r_name"], f"{at}/{x['r_regionkey']}.txt")
-        io.log_provenance(spark, f"{at}/log.json", x["r_name"], {"n": np.int64(len(x["r_name"])), "file_sha256": io.file_sha256(spark, f"{at}/{x['r_regionkey']}.txt")})
-        log = io.log_provenance(spark, f"{at}/log.json", x["r_name"], {"again": True})
+        io.log_provenance(spark, f"{at}/log", x["r_name"], {"n": np.int64(len(x["r_name"])), "file_sha256": io.file_sha256(spark, f"{at}/{x['r_regionkey']}.txt"), **io.run_facts(spark)})
+        io.log_provenance(spark, f"{at}/log", x["r_name"], {"again": True})
+    log = io.read_provenance(spark, f"{at}/log")
     return spark.createDataFrame([(k, v["n"], v["file_sha256"], v["again"]) for k, v in log.items()], "name string, n long, file_sha256 string, again boolean")
 
 

@@ -4,9 +4,14 @@ from __future__ import annotations
 import datetime
 import hashlib
 import json
-from collections.abc import Callable, Sequence
+import platform
+import time
+import uuid
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
+import pyarrow
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,8 +26,30 @@ def frame(spark: SparkSession, source: DataFrame | str, columns: Sequence[str] |
     return df.select(*columns) if columns else df
 
 
+#: Rows of a sheet that is written as one file; more make several.
+SHEET_ROWS = 100_000
+
+
+@contextmanager
+def published(spark: SparkSession, path: str) -> Iterator[str]:
+    """A place to write to; what is there at the end takes the place of ``path``, and after an error nothing has changed."""
+    made, old = (f"{path.rstrip('/')}.{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
+    fs, staged = _file(spark, made)
+    target, aside = _file(spark, path)[1], _file(spark, old)[1]
+    try:
+        yield made
+        if fs.exists(target):
+            fs.rename(target, aside)
+        if not fs.rename(staged, target):
+            raise OSError(f"{made} could not become {path}")
+    finally:
+        fs.delete(staged, True)
+        fs.delete(aside, True)
+
+
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    with published(df.sparkSession, path) as at:
+        df.write.partitionBy(*partition_by).parquet(at)
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], required: Sequence[str], schema: T.StructType | None = None) -> DataFrame:
@@ -41,8 +68,10 @@ def read_sheets(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """One file with a header: sheets are small."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """Files with a header: one where the sheet is small, else as many as the frame has partitions."""
+    few = df.limit(SHEET_ROWS + 1).count() <= SHEET_ROWS
+    with published(df.sparkSession, path) as at:
+        (df.coalesce(1) if few else df).write.option("header", True).option("escape", '"').csv(at)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -63,7 +92,8 @@ def write_shards(df: DataFrame, path: str, shards: int, order: Sequence[str]) ->
     """Contiguous shards of a total order as JSON lines under shard=k, numbered without one task for all rows."""
     n = df.count()
     ranked = numbered(df, list(order), "_id")
-    ranked.withColumn("shard", F.expr(f"cast((_id - 1) * {shards} div {max(1, n)} as int)")).drop("_id").write.mode("overwrite").partitionBy("shard").json(path)
+    with published(df.sparkSession, path) as at:
+        ranked.withColumn("shard", F.expr(f"cast((_id - 1) * {shards} div {max(1, n)} as int)")).drop("_id").write.partitionBy("shard").json(at)
 
 
 def _file(spark: SparkSession, path: str):  # noqa: ANN202
@@ -84,7 +114,7 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
-def write_text(spark: SparkSession, text: str, path: str) -> None:
+def _create(spark: SparkSession, text: str, path: str) -> None:
     fs, p = _file(spark, path)
     stream = fs.create(p, True)
     try:
@@ -93,6 +123,30 @@ def write_text(spark: SparkSession, text: str, path: str) -> None:
         stream.close()
 
 
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small file, replaced as a whole."""
+    with published(spark, path) as at:
+        _create(spark, text, at)
+
+
+def create_text(spark: SparkSession, text: str, path: str) -> None:
+    """A new small file that appears in one rename, complete; one that is there already raises."""
+    folder, _, name = path.rpartition("/")
+    hidden = f"{folder}/.{name}-{uuid.uuid4().hex}"
+    _create(spark, text, hidden)
+    fs, p = _file(spark, hidden)
+    if not fs.rename(p, _file(spark, path)[1]):
+        fs.delete(p, False)
+        raise FileExistsError(path)
+
+
+def read_texts(spark: SparkSession, folder: str) -> dict[str, str]:
+    """The small files of a folder by name, in the order of their names; hidden ones are not there yet."""
+    fs, p = _file(spark, folder)
+    names = sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+    return {n: read_text(spark, f"{folder}/{n}") or "" for n in names if not n.startswith(".")}
+
+
 def canonical_sha256(value: object) -> str:
     return hashlib.sha256(json.dumps(value, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
 
@@ -165,18 +219,32 @@ def file_sha256(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
-def log_provenance(spark: SparkSession, path: str, name: str, entry: dict) -> dict:
-    """Merge an entry into a JSON log."""
-    log = json.loads(read_text(spark, path) or "{}")
-    log[name] = {**log.get(name, {}), **entry}
-    write_text(spark, json.dumps(log, indent=1, sort_keys=True, default=_plain), path)
+def run_facts(spark: SparkSession) -> dict[str, object]:
+    """What a run was made with: versions, application, master and time."""
+    versions = {"spark": spark.version, "python": platform.python_version(), "numpy": np.__version__, "pyarrow": pyarrow.__version__}
+    context = spark.sparkContext
+    return {"versions": versions, "application": context.applicationId, "master": context.master, "at": datetime.datetime.now(datetime.UTC).isoformat()}
+
+
+def log_provenance(spark: SparkSession, path: str, name: str, entry: dict) -> None:
+    """Add an entry to a log: a file of its own in the folder ``path``, so writers at the same time lose nothing."""
+    line = {"name": name, "entry": entry}
+    create_text(spark, json.dumps(line, sort_keys=True, default=_plain), f"{path.rstrip('/')}/{time.time_ns():020}-{uuid.uuid4().hex}.json")
+
+
+def read_provenance(spark: SparkSession, path: str) -> dict[str, dict]:
+    """The log's entries by name, later ones merged over earlier ones."""
+    log: dict[str, dict] = {}
+    for text in read_texts(spark, path.rstrip("/")).values():
+        line = json.loads(text)
+        log[line["name"]] = {**log.get(line["name"], {}), **line["entry"]}
     return log
 
 
 def write_matrix(spark: SparkSession, matrix: np.ndarray, alphabet: str, path: str) -> None:
     """A confusion matrix as a long Parquet table."""
     rows = [(a, b, float(matrix[i, j])) for i, a in enumerate(alphabet) for j, b in enumerate(alphabet) if matrix[i, j]]
-    spark.createDataFrame(rows, "intended string, selected string, p double").coalesce(1).write.mode("overwrite").parquet(path)
+    write_parquet(spark.createDataFrame(rows, "intended string, selected string, p double").coalesce(1), path)
 
 
 def read_matrix(spark: SparkSession, path: str, alphabet: str) -> np.ndarray:

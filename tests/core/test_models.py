@@ -170,8 +170,9 @@ def test_sources_round_trip(spark, tmp_path):
     assert h == io.canonical_sha256(json.loads((tmp_path / "p.json").read_text())) and io.read_probes(spark, f"{tmp_path}/p.json").count() == 1
     io.write_digest(spark, {"a": df, "b": np.float64(2.5), "c": {1, 2}}, f"{tmp_path}/d.json")
     assert json.loads((tmp_path / "d.json").read_text())["b"] == 2.5
-    io.log_provenance(spark, f"{tmp_path}/l.json", "x", {"n": np.int64(1)})
-    assert io.log_provenance(spark, f"{tmp_path}/l.json", "x", {"m": 2})["x"] == {"n": 1, "m": 2}
+    io.log_provenance(spark, f"{tmp_path}/log", "x", {"n": np.int64(1)})
+    io.log_provenance(spark, f"{tmp_path}/log", "x", {"m": 2})
+    assert io.read_provenance(spark, f"{tmp_path}/log")["x"] == {"n": 1, "m": 2}
     m = np.eye(36)
     io.write_matrix(spark, m, noise.ALPHABET, f"{tmp_path}/m")
     assert np.array_equal(noise.matrix_array(spark.read.parquet(f"{tmp_path}/m")), m)
