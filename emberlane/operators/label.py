@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlane.functions import clauses
 from emberlane.functions import text as tx
 from emberlane.contracts import dedupe_apply
 from emberlane.schema import BORDERLINE, COSINE_GATE, CRIT_COLUMNS, FLUENCY_GATE, NEAR_EMPTY, NLI_COLUMNS, OVERGENERATION_RATIO
@@ -173,6 +174,17 @@ def critical_flags(intended: Column, output: Column) -> dict[str, Column]:
     }
 
 
+def clause_flags(intended: Column, output: Column) -> dict[str, Column]:
+    """The five detectors on lemmas and clauses: roles by lemma, omissions by what each request of the intended text is about."""
+    return {
+        "negation_flip": tx.has_negation(intended) != tx.has_negation(output),
+        "numeral_change": tx.numerals(intended) != tx.numerals(output),
+        "recipient_change": clauses.role_lemmas(intended) != clauses.role_lemmas(output),
+        "urgency_change": tx.has_urgency(intended) != tx.has_urgency(output),
+        "actionable_omission": clauses.omitted(intended, output),
+    }
+
+
 def any_candidate_faithful(attempts: DataFrame, labels: DataFrame, key: tuple[str, ...]) -> DataFrame:
     """Rows with candidates: the primary or any candidate is faithful. ``labels`` has (intended_text, output_message, label); null elsewhere."""
     each = attempts.where("candidates is not null").select(*key, "intended_text", F.explode("candidates").alias("output_message"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from emberlane import contracts as ct
+from emberlane.functions import tables
 from emberlane.functions import text as tx
 from emberlane.operators import agreement as ag
 from emberlane.operators import balance, corpus, glm, inference, rates
@@ -235,6 +236,16 @@ def _(p):
 _OFFERS = f"(SELECT conv_id, turn, intended_text, output_message, conv_id % 4 = 0 AS abstained, CASE WHEN turn % 4 < 2 THEN [upper(intended_text), output_message] END AS candidates FROM {P})"
 
 
+@query("candidate_rows", P, sql=f"""
+    SELECT conv_id, turn, place::INT AS place, candidate, trim(candidate) = trim(intended_text) AS faithful
+    FROM (SELECT conv_id, turn, intended_text, unnest([concat(intended_text, '?'), output_message, ' ', intended_text]) AS candidate, unnest([1, 2, 3, 4]) AS place FROM {P} WHERE turn % 4 < 2) WHERE trim(candidate) <> ''""")
+def _(p):
+    """Each offered candidate as a row, by a table function called from SQL."""
+    tables.register(p.sparkSession)
+    offers = "CASE WHEN turn % 4 < 2 THEN array(concat(intended_text, '?'), output_message, ' ', intended_text) END"
+    return p.sparkSession.sql(f"SELECT conv_id, turn, c.* FROM {{p}}, LATERAL candidate_rows(intended_text, {offers}) c", p=p)
+
+
 @query("substudy_labels", P, sql=f"""
     SELECT conv_id, turn, CASE WHEN NOT abstained THEN CASE WHEN intended_text = output_message THEN 'faithful' ELSE 'drift' END END AS label,
            CASE WHEN NOT abstained AND candidates IS NOT NULL THEN intended_text = output_message OR list_contains(candidates, intended_text) END AS any_candidate_faithful FROM {_OFFERS}""")

@@ -34,6 +34,7 @@ def query(name: str, *tables: str, sql: str | None = None, doubles: str = "", di
 
 
 def load() -> None:
-    from emberlane.plans import modelling, panels, relational, storage, texts  # noqa: F401
+    from emberlane.plans import modelling, panels, relational, storage, texts  # noqa: F401, I001
+    from emberlane.plans import composed  # noqa: F401  (after those whose SQL it compares with)
 
 

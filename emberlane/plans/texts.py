@@ -1,6 +1,7 @@
 """Queries on text functions, reply parsing, corpus lines and probes."""
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from emberlane.functions import stats
@@ -197,6 +198,29 @@ def _(p):
     return p.select("conv_id", "turn", *[c.alias(k) for k, c in lb.critical_flags(F.col("intended_text"), F.col("output_message")).items()])
 
 
+#: Sentence pairs around two words of a reply, and which detectors see them: n(egation), d(igits), r(ecipient), u(rgency), o(mission).
+_SENTENCES = (
+    ("Bring me the {a} now", "Get me the {a}", "u"), ("Please bring my {a} and call the nurses", "Please get my {a}, call a nurse", ""),
+    ("I need {a} and {b}", "I need {b}", "o"), ("I wanted the {a}. Stop", "I would like the {a}", "o"), ("Give {b} 5 mg", "Give {b} 15 mg", "d"),
+    ("Do not give me {a}", "Give me {a}", "n"), ("Call my daughter, I need help", "Call my son, I need help", "r"), ("{a} and {b}", "{b}", ""),
+)
+
+
+def _filled(which: int) -> Column:
+    """One side of the pair that a reply's conv_id names, with words made of its ids."""
+    sentence = F.element_at(F.array(*[F.lit(s[which]) for s in _SENTENCES]), (F.col("conv_id") % 8 + 1).cast("int"))
+    for hole, key in (("a", "conv_id"), ("b", "turn")):
+        sentence = F.replace(sentence, F.lit(f"{{{hole}}}"), F.concat(F.lit("q"), F.translate(F.col(key).cast("string"), "0123456789", "bcdfghjkmn"), F.lit(hole)))
+    return sentence
+
+
+@query("critical_flags_clauses", P, sql=f"""
+    WITH f AS (SELECT conv_id, turn, CASE conv_id % 8 {" ".join(f"WHEN {i} THEN '{s[2]}'" for i, s in enumerate(_SENTENCES))} END AS f FROM {P})
+    SELECT conv_id, turn, contains(f, 'n') AS negation_flip, contains(f, 'd') AS numeral_change, contains(f, 'r') AS recipient_change, contains(f, 'u') AS urgency_change, contains(f, 'o') AS actionable_omission FROM f""")
+def _(p):
+    return p.select("conv_id", "turn", *[c.alias(k) for k, c in lb.clause_flags(_filled(0), _filled(1)).items()])
+
+
 _LINES = f"""(SELECT doc_id, i - 1 AS line_no, trim(l[i]) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM {DOC}) WHERE trim(l[i]) <> '' AND NOT regexp_full_match(trim(l[i]), '[0-9]+') AND NOT contains(trim(l[i]), '©'))"""
 
 
