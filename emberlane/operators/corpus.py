@@ -42,3 +42,21 @@ def probe_set(seeds: DataFrame, text: str = "text", order: str = "seed_id") -> D
     rows = seeds.select(order, t.alias("intended_text"), F.explode(F.array_compact(F.array(*items))).alias("_i")).select(order, "intended_text", "_i.*")
     rows = numbered(rows, [order, "k"], "_at")
     return rows.select(F.format_string("probe_%04d", F.col("_at") - 1).alias("message_id"), F.lit("message_critical").alias("category"), "intended_text", "drift_type", "dangerous_variant")
+
+
+def word_frequencies(df: DataFrame, text: str) -> DataFrame:
+    """(word, zipf): how often a lower-cased word occurs in a billion words of the texts, as a logarithm to base 10."""
+    words = df.select(F.explode(F.transform(tx.tokens(F.col(text)), F.lower)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    total = words.agg(F.sum("n").alias("_n"))
+    return words.crossJoin(F.broadcast(total)).select("word", F.log10(F.col("n") * 1e9 / F.col("_n")).alias("zipf"))
+
+
+def mean_word_frequency(df: DataFrame, id_col: str, text: str, frequencies: DataFrame) -> DataFrame:
+    """(id, mean_word_freq): the mean of a text's words in a table (word, zipf), 0 for a word that it lacks and for a text without words.
+
+    Words are counted by text first, so a common word meets the table once a text. Ids are unique.
+    """
+    words = df.select(id_col, F.explode(F.transform(tx.tokens(F.col(text)), F.lower)).alias("word")).groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("_k"))
+    met = words.join(frequencies, "word", "left").groupBy(id_col)
+    mean = met.agg((F.sum(F.col("_k") * F.coalesce("zipf", F.lit(0.0))) / F.sum("_k")).alias("mean_word_freq"))
+    return df.select(id_col).join(mean, id_col, "left").select(id_col, F.coalesce("mean_word_freq", F.lit(0.0)).alias("mean_word_freq"))

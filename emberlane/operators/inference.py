@@ -384,5 +384,5 @@ def power(n_messages: int, replicates: int, slope: float, base: float, sd: float
                 rows.append((int(i), b, se, bool(ok and se > 0 and b > 0 and math.erfc(abs(b / se) / math.sqrt(2)) < alpha)))
             yield pd.DataFrame(rows, columns=["sim", "slope", "se", "hit"])
 
-    sims = spark.range(n_sim).repartition(8).mapInPandas(run, "sim long, slope double, se double, hit boolean")
+    sims = spark.range(0, n_sim, 1, max(1, min(n_sim, spark.sparkContext.defaultParallelism * 4))).mapInPandas(run, "sim long, slope double, se double, hit boolean")
     return sims.agg(F.avg(F.col("hit").cast("double")).alias("power"), F.count(F.lit(1)).alias("n_sim"))

@@ -117,16 +117,31 @@ def _(e): return _replies(e).select("event_id", tx.parse_reply(F.col("raw"), "AB
 def _(e): return e.groupBy("event_type", (F.get_json_object("props", "$.k").cast("long") % 7).alias("k")).agg(F.count(F.lit(1)).alias("n"))  # noqa: E704
 
 
-_LISTS = (
-    '{"candidates": ["a b", "c"], "message": "x"}', 'text {"candidates": ["d", "  "]} more', '{"candidates": ["e", "f",], broken', '{"message": "none"}', '{"candidates": []}', "nothing here", '{"candidates": "no list"}',
-)
-_WANT = ("a b|c", "d", "e|f", None, None, None, None)
+_SAID = "list_filter([intended_text, output_message], lambda t: trim(t) <> '')"
 
 
-@query("candidate_parse", "nation", sql="SELECT n_nationkey, CASE n_nationkey % 7 " + " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(_WANT) if w) + " END AS candidates FROM nation")
-def _(n):
-    raw = F.element_at(F.array(*[F.lit(x) for x in _LISTS]), (F.col("n_nationkey") % 7 + 1).cast("int"))
-    return n.select("n_nationkey", F.array_join(tx.parse_candidates(raw), "|").alias("candidates"))
+@query("candidate_parse", P, sql=f"""
+    SELECT conv_id, turn, CASE WHEN conv_id % 5 < 2 THEN nullif(array_to_string({_SAID}, '|'), '')
+           WHEN conv_id % 5 = 2 THEN nullif(regexp_extract(intended_text, '[A-Za-z]+', 0), '') END AS candidates FROM {P}""")
+def _(p):
+    """Replies that offer a conversation's texts as candidates: as JSON, as JSON within prose, broken off, without a list, as prose."""
+    offer = F.to_json(F.struct(F.array("intended_text", "output_message").alias("candidates"), F.lit("x").alias("message")))
+    word = F.regexp_extract("intended_text", "[A-Za-z]+", 0)
+    kind = F.col("conv_id") % 5
+    raw = (
+        F.when(kind == 0, offer).when(kind == 1, F.concat(F.lit("Sure: "), offer, F.lit(" done")))
+        .when(kind == 2, F.concat(F.lit('{"candidates": ["'), word, F.lit('", broken')))
+        .when(kind == 3, F.lit('{"message": "none"}')).otherwise(F.regexp_replace("intended_text", "[{}]", ""))
+    )
+    closed = F.when(kind == 2, F.concat(raw, F.lit("]"))).otherwise(raw)
+    return p.select("conv_id", "turn", F.array_join(tx.parse_candidates(closed), "|").alias("candidates"))
+
+
+@query("mean_word_frequency", DOC, doubles="mean_word_freq", digits=6, sql=f"""
+    WITH t AS (SELECT doc_id, unnest(list_transform({_TOK.format("coalesce(text, '')")}, lambda x: lower(x))) AS word FROM {DOC}), n AS (SELECT count(*) AS n FROM t),
+    f AS (SELECT word, log10(count(*)::DOUBLE * 1e9 / any_value(n.n)) AS zipf FROM t, n GROUP BY word)
+    SELECT d.doc_id, coalesce(m, 0.0) AS mean_word_freq FROM {DOC} d LEFT JOIN (SELECT doc_id, avg(zipf) AS m FROM t JOIN f USING (word) GROUP BY doc_id) USING (doc_id)""")
+def _(d): return corpus.mean_word_frequency(d, "doc_id", "text", corpus.word_frequencies(d, "text"))  # noqa: E704
 
 
 @query("stated_confidence", "events", doubles="confidence", sql="SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE (user_id % 100)::DOUBLE END AS confidence, 'said ' || event_type AS said FROM events")
