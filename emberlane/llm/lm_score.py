@@ -33,30 +33,33 @@ def _grams(words: np.ndarray, firsts: np.ndarray, order: int, bits: int) -> list
     return out
 
 
-def _entries(order: int, bits: int):
-    """A chunk's distinct n-grams of all lengths in order of their hashes, with their counts; one length at a time."""
-
-    def run(words: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        found = []
-        for key, more in _grams(words, firsts, order, bits):
-            key, more = key[key != 0], more[key != 0]
-            at, head = same_runs(key, more)
-            begin = np.flatnonzero(head)
-            found.append((key[at][begin], more[at][begin], np.diff([*begin, len(key)])))
-        key, more, counts = (np.concatenate(c) for c in zip(*found, strict=True))
-        at, head = same_runs(key, more)  # n-grams of different lengths have keys of their own
-        at = at[np.flatnonzero(head)]
-        return key[at], counts[at], more[at]
-
-    return run
+def numbered(words: np.ndarray, firsts: np.ndarray, order: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """A chunk's distinct n-grams of all lengths in order of their keys: sorting hashes, counts, further bits; and for each length
+    the number of the n-gram that ends at each word, -1 where the text has too few words before."""
+    found, ends = [], []
+    for key, more in _grams(words, firsts, order, bits):
+        some = np.flatnonzero(key)
+        key, more = key[some], more[some]
+        at, head = same_runs(key, more)
+        begin = np.flatnonzero(head)
+        which = np.full(len(words), -1)
+        which[some[at]] = np.cumsum(head) - 1
+        ends.append(which)
+        found.append((key[at][begin], more[at][begin], np.diff([*begin, len(key)])))
+    key, more, counts = (np.concatenate(c) for c in zip(*found, strict=True))
+    at, _ = same_runs(key, more)  # n-grams of different lengths have keys of their own
+    place = np.empty(len(at), dtype=np.int64)
+    place[at] = np.arange(len(at))
+    base = 0
+    for which, (own, _, _) in zip(ends, found, strict=True):
+        which[which >= 0] = place[base + which[which >= 0]]
+        base += len(own)
+    return key[at], counts[at], more[at], ends
 
 
-def _places(keys: np.ndarray, more: np.ndarray, key: np.ndarray, rest: np.ndarray) -> np.ndarray:
-    """Where the n-grams (``key``, ``rest``) stand among sorted distinct (``keys``, ``more``), which hold them all."""
-    at = np.searchsorted(keys, key)
-    while (off := np.flatnonzero(more[at] != rest)).size:
-        at[off] += 1
-    return at
+def _entries(order: int, bits: int):
+    """A chunk's distinct n-grams as the count table takes them."""
+    return lambda words, firsts: numbered(words, firsts, order, bits)[:3]
 
 
 def _blocks(firsts: np.ndarray) -> list[tuple[int, int]]:
@@ -69,21 +72,21 @@ def _blocks(firsts: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def score_words(words: np.ndarray, firsts: np.ndarray, place, total: np.ndarray, order: int, alpha: float, n_all: int, bits: int) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
-    """Each text's sum of word scores and number of words that back off; ``total`` are the corpus's counts by the n-grams' ``place``."""
-    n_own = np.diff(firsts)
+def score_words(ends: list[np.ndarray], firsts: np.ndarray, total: np.ndarray, alpha: float, n_all: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's sum of word scores and number of words that back off; ``total`` are the corpus's counts of the n-grams that ``ends`` number."""
+    order, n_own = len(ends), np.diff(firsts)
     doc = np.repeat(np.arange(len(n_own)), n_own)
     rest = (n_all - n_own)[doc]
     others = []
-    for key, more in _grams(words, firsts, order, bits):
-        some = np.flatnonzero(key)
-        at = place(key[some], more[some])
+    for which in ends:
+        some = np.flatnonzero(which >= 0)
+        at = which[some]
         _, where, own = np.unique(doc[some] * np.int64(len(total) + 1) + at, return_inverse=True, return_counts=True)
-        rest_of = np.zeros(len(key), dtype=np.int64)
+        rest_of = np.zeros(len(which), dtype=np.int64)
         rest_of[some] = total[at] - own[where]
         others.append(rest_of)
-    longest = np.minimum(order, np.arange(len(words)) - firsts[:-1][doc] + 1)
-    score, used = np.zeros(len(words)), np.zeros(len(words), dtype=np.int64)
+    longest = np.minimum(order, np.arange(len(doc)) - firsts[:-1][doc] + 1)
+    score, used = np.zeros(len(doc)), np.zeros(len(doc), dtype=np.int64)
     for n in range(order, 0, -1):
         below = np.concatenate(([1], others[n - 2][:-1])) if n > 1 else rest  # the context ends at the word before
         take = (used == 0) & (longest >= n) & (others[n - 1] > 0)
@@ -100,10 +103,9 @@ def _scored(order: int, alpha: float, n_all: int, bits: int, schema: T.StructTyp
     def run(group: pa.Table) -> pa.Table:
         own_row, elsewhere = answers(group)
         words, firsts = opened(own_row)
-        keys, here, more = _entries(order, bits)(words, firsts)
+        _, here, _, ends = numbered(words, firsts, order, bits)
         total = here + elsewhere
-        place = lambda key, rest: _places(keys, more, key, rest)
-        parts = [score_words(words[firsts[a] : firsts[b]], firsts[a : b + 1] - firsts[a], place, total, order, alpha, n_all, bits) for a, b in _blocks(firsts)]
+        parts = [score_words([e[firsts[a] : firsts[b]] for e in ends], firsts[a : b + 1] - firsts[a], total, alpha, n_all) for a, b in _blocks(firsts)]
         sums, backed = (np.concatenate(c) for c in zip(*parts, strict=True))
         n_own = np.diff(firsts)
         mean = np.where(n_own > 0, sums / np.maximum(n_own, 1), np.nan)

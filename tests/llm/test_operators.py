@@ -399,15 +399,14 @@ def test_backoff_where_sorting_hashes_collide(spark, docs, rows):
     out = {r["doc_id"]: (r["n_words"], r["n_backed_off"], r["log_score"]) for r in got(lm_score.stupid_backoff(docs, bits=6))}
     for i, (n, b, s) in want.items():
         assert out[i][:2] == (n, b) and out[i][2] == pytest.approx(s, rel=1e-9, abs=1e-9)
-    few = lm_score.np.array([7, 7, 7, 9], dtype="u8"), lm_score.np.array([1, 4, 6, 2], dtype="u4")
-    assert lm_score._places(*few, few[0][[2, 3, 0, 1]], few[1][[2, 3, 0, 1]]).tolist() == [2, 3, 0, 1]
+    order, head = lm_score.same_runs(np.array([7, 9, 7, 7, 9], dtype="u8"), np.array([1, 2, 6, 1, 2], dtype="u4"))
+    assert head.sum() == 3 and sorted(order.tolist()) == list(range(5))
 
 
 def test_an_uncounted_context_raises():
-    words, firsts = np.array([3, 5], dtype=np.uint64), np.array([0, 2])
-    place = lambda key, more: np.arange(len(key)) + (0 if len(key) == 2 else 2)
+    ends = [np.array([0, 1]), np.array([-1, 2])]
     with pytest.raises(ArithmeticError):
-        lm_score.score_words(words, firsts, place, np.array([1, 1, 9]), 2, 0.4, 2, 64)
+        lm_score.score_words(ends, np.array([0, 2]), np.array([1, 1, 9]), 0.4, 2)
 
 
 def brute_top(vectors, k):
