@@ -56,7 +56,7 @@ def log_sd(levels: int, square: float, power: float, precision: float, old: tupl
     ``power`` says how that sum will follow the factor's ``precision`` (elasticity, at most 0), so that a step does not crawl.
     """
     (before, s2), m = old, old[0]
-    power = min(0.0, max(-0.8, power))
+    power = min(0.0, max(-0.998, power))
     for _ in range(50):
         lo, hi = -15.0, 15.0
         for _ in range(80):
@@ -118,7 +118,7 @@ def _level_sums(precision: float, p: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cross, gaps = np.zeros((p, p)), np.zeros(p)
-        square = moves = logs = 0.0
+        square = logs = 0.0
         for batch in batches:
             get = lambda c: batch.column(c).to_numpy(zero_copy_only=False)  # noqa: B023, E731
             x = np.stack([get(f"c{k}") for k in range(p)], axis=1)
@@ -127,9 +127,8 @@ def _level_sums(precision: float, p: int) -> Callable:
             cross += (x / held[:, None]).T @ x
             gaps += ((gap - precision * mu) / held) @ x
             square += float((mu**2 + get("s2")).sum())
-            moves += float((2 * mu**2 / held + 1 / held**2).sum())
             logs += float(np.log(get("s2")).sum())
-        yield _parts(np.array([None], dtype=object), np.concatenate([cross.ravel(), gaps, [square, moves, logs]])[None])
+        yield _parts(np.array([None], dtype=object), np.concatenate([cross.ravel(), gaps, [square, logs]])[None])
 
     return run
 
@@ -187,7 +186,7 @@ def _fitted(scratch: Scratch, counted: DataFrame, names: list[str], center: np.n
     n_large = table.count()
     design = lambda batch: _design(batch, names, center, scale, small)
     held: list[DataFrame] = []
-    converged, bound, before, step = False, math.nan, 1.0, 0
+    converged, bound, step = False, math.nan, 0
     for step in range(1, steps + 1):
         precision = np.array([math.exp(-2 * m + 2 * s) for m, s in sds])
         prior = np.where(owner == 0, COEFFICIENT_SD**-2, precision[owner])
@@ -197,22 +196,17 @@ def _fitted(scratch: Scratch, counted: DataFrame, names: list[str], center: np.n
         add = [F.sum(F.col("part")[k]).alias(c) for k, c in enumerate(["gap", "w", *[f"c{j}" for j in range(p)]])]
         sums = scratch.keep(parts.where("g is not null").groupBy("g").agg(*add).join(table, "g"))
         level = _total(sums.mapInArrow(_level_sums(precision[0], p), "g string, part array<double>"))
-        away, lost, (square, moves, logs) = level[: p * p].reshape(p, p), level[p * p : -3], level[-3:]
+        away, lost, (square, logs) = level[: p * p].reshape(p, p), level[p * p : -2], level[-2:]
         move = np.linalg.solve(cross + np.diag(prior) - away, gaps - prior * mean - lost)
         move *= min(1.0, LARGEST_MOVE / np.abs(move).max())
         bound = fit + _prior_terms(sds, owner, mean, var, n_large, square, logs)
         old = np.array([m for m, _ in sds])
-        # the large factor's means are those of the step before, so their squares go with the precision of then
-        sds[0] = log_sd(n_large, square, -moves * before / square if step > 1 else 0.0, before, sds[0])
-        before = precision[0]
         mean, new_var = mean + move, 1 / (prior + squares)
         for f in range(1, len(sizes)):
             mine = owner == f
             q = float((mean[mine] ** 2 + new_var[mine]).sum())
             follows = float((2 * mean[mine] ** 2 * new_var[mine] + new_var[mine] ** 2).sum())
             sds[f] = log_sd(sizes[f], q, -follows * precision[f] / q, precision[f], sds[f])
-        off = max(np.abs(move).max(), np.abs(np.array([m for m, _ in sds]) - old).max(), np.abs(np.sqrt(new_var) - np.sqrt(var)).max())
-        var = new_var
         pull = F.lit(0.0)
         for j in range(p):
             pull = pull + F.col(f"c{j}") * float(move[j])
@@ -220,6 +214,11 @@ def _fitted(scratch: Scratch, counted: DataFrame, names: list[str], center: np.n
         shift = (F.col("gap") - F.col("mu") * float(precision[0]) - pull) / hold
         shift = F.greatest(F.least(shift, F.lit(LARGEST_MOVE)), F.lit(-LARGEST_MOVE))
         table = sums.select("g", (F.col("mu") + shift).alias("mu"), (1 / hold).alias("s2"))
+        own = F.col("mu") * F.col("mu")
+        q, follows = table.agg(F.sum(own + F.col("s2")), F.sum((2 * own + F.col("s2")) * F.col("s2"))).first()
+        sds[0] = log_sd(n_large, q, -follows * precision[0] / q, precision[0], sds[0])
+        off = max(np.abs(move).max(), np.abs(np.array([m for m, _ in sds]) - old).max(), np.abs(np.sqrt(new_var) - np.sqrt(var)).max())
+        var = new_var
         scratch.drop(parts)
         held.append(sums)
         for old_table in held[:-2]:

@@ -123,3 +123,8 @@ def test_ladder_of_engines(spark):
     assert {r["engine"] for r in settled} == {"glmm_vb"} and {r["term"] for r in settled if r["kind"] == "deviation"} == {"message_id", "model"}
     short = inference.mixed_one_versus_rest(rows, only, "message_id", ("model",), steps=1).collect()
     assert {r["engine"] for r in short} == {"clustered_logit_fallback"} and {r["term"] for r in short} == {"intercept", "x"}
+
+
+def test_factors_without_any_effect_settle(spark):
+    fit = mixed.crossed_logit(frame(spark, simulate(6, messages=25, models=4, sd=(0, 0, 0), each=8)), F.col("y"), xs(), "message_id", ["model", "corpus"])
+    assert fit.converged and fit.steps <= 30 and all(v < 0.45 for v in fit.deviations.values())
