@@ -104,9 +104,9 @@ def _dealt(entries: Callable, parts: int, bits: int):
     return run
 
 
-def same_runs(hashes: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def same_runs(hashes: np.ndarray, more: np.ndarray | None = None, kind: str = "stable") -> tuple[np.ndarray, np.ndarray]:
     """An order that puts equal keys side by side, and where in it a new key begins; ``more`` are further bits of the keys."""
-    order = np.argsort(hashes)
+    order = np.argsort(hashes, kind=kind)
     head = np.ones(len(hashes), dtype=bool)
     head[1:] = hashes[order][1:] != hashes[order][:-1]
     if more is not None:

@@ -40,14 +40,14 @@ def numbered(words: np.ndarray, firsts: np.ndarray, order: int, bits: int) -> tu
     for key, more in _grams(words, firsts, order, bits):
         some = np.flatnonzero(key)
         key, more = key[some], more[some]
-        at, head = same_runs(key, more)
+        at, head = same_runs(key, more, "quicksort")
         begin = np.flatnonzero(head)
         which = np.full(len(words), -1)
         which[some[at]] = np.cumsum(head) - 1
         ends.append(which)
         found.append((key[at][begin], more[at][begin], np.diff([*begin, len(key)])))
     key, more, counts = (np.concatenate(c) for c in zip(*found, strict=True))
-    at, _ = same_runs(key, more)  # n-grams of different lengths have keys of their own
+    at, _ = same_runs(key, more, "quicksort")  # n-grams of different lengths have keys of their own
     place = np.empty(len(at), dtype=np.int64)
     place[at] = np.arange(len(at))
     base = 0
