@@ -265,47 +265,111 @@ def conditional_pairs(df: DataFrame, pair: str, critical: str, y: Column, xs: di
     return logit(t, F.lit(1.0), {n: sign * (F.col(f"{n}__1") - F.col(f"{n}__0")) for n in xs})
 
 
-def conditional_sums(x: np.ndarray, y: np.ndarray, b: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Log likelihood, score and information at ``b`` of strata that agree in rows and successes: x (strata, rows, terms), y (strata, rows).
+#: Tails of a stratum's count that are left out have a logarithm below minus this, far beyond a double's digits.
+_TAIL = 50.0
+#: Cells of small strata that are summed at a time.
+CELLS = 50_000
+
+
+def _tilts(eta: np.ndarray, n: np.ndarray, m: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """For each stratum the shift of ``eta`` at which as many successes are expected as there are (nearly; it need not be exact)."""
+    total = np.add.reduceat(n, start)
+    size = np.diff(np.append(start, len(eta)))
+    at = np.log(m / (total - m))
+    low, high = at - np.maximum.reduceat(eta, start), at - np.minimum.reduceat(eta, start)
+    shift = np.clip(at - np.add.reduceat(n * eta, start) / total, low, high)
+    for _ in range(60):
+        q = 1 / (1 + np.exp(-np.clip(eta + np.repeat(shift, size), -700, 700)))
+        gap, var = np.add.reduceat(n * q, start) - m, np.add.reduceat(n * q * (1 - q), start)
+        if (np.abs(gap) <= 1e-3 * np.sqrt(var) + 1e-9 * m).all():
+            break
+        low, high = np.where(gap < 0, shift, low), np.where(gap > 0, shift, high)
+        step = shift - gap / np.maximum(var, 1e-300)
+        shift = np.where((step > low) & (step < high), step, (low + high) / 2)
+    return shift
+
 
-    The denominator is an elementary symmetric sum; it and its derivatives come by a recursion over rows, for all strata at once.
+def conditional_cells(x: np.ndarray, n: np.ndarray, k: np.ndarray, start: np.ndarray, b: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log likelihood, score and information at ``b`` of strata made of cells: x (cells, terms), rows and successes of each; a stratum begins at each ``start``.
+
+    Given its tilt, a stratum's successes are a sum of independent draws, so the denominator is the chance that it comes to
+    the successes seen: the inverse Fourier transform of its characteristic function, and likewise for the first two moments.
+    The transform is exact at as many points as there are rows; points at which aliases or the function itself fall below
+    exp(-50) are left out, so that large strata need some twenty points rather than a step for each row and success.
     """
-    strata, n, p = x.shape
-    m = int(y[0].sum())
+    p, size = x.shape[1], np.diff(np.append(start, len(x)))
     eta = x @ b
-    shift = eta.max(axis=1)
-    u = np.exp(eta - shift[:, None])
-    f, g, h = np.zeros((strata, m + 1)), np.zeros((strata, m + 1, p)), np.zeros((strata, m + 1, p, p))
-    f[:, 0] = 1.0
-    for r in range(n):
-        v, w = x[:, r], u[:, r]
-        f0, g0 = f[:, :-1], g[:, :-1]
-        across = g0[:, :, :, None] * v[:, None, None, :]
-        more_h = h[:, :-1] + across + across.swapaxes(2, 3) + f0[:, :, None, None] * (v[:, :, None] * v[:, None, :])[:, None]
-        more_g = g0 + f0[:, :, None] * v[:, None, :]
-        more_f = f0 * w[:, None]
-        h[:, 1:] += more_h * w[:, None, None, None]
-        g[:, 1:] += more_g * w[:, None, None]
-        f[:, 1:] += more_f
-    mean = g[:, m] / f[:, m, None]
-    var = h[:, m] / f[:, m, None, None] - mean[:, :, None] * mean[:, None, :]
-    won = np.einsum("sr,srp->sp", y, x)
-    return float((won @ b - np.log(f[:, m]) - m * shift).sum()), (won - mean).sum(0), var.sum(0)
+    m, total = np.add.reduceat(k, start), np.add.reduceat(n, start)
+    shift = _tilts(eta, n, m, start)
+    tilted = eta + np.repeat(shift, size)
+    q = 1 / (1 + np.exp(-tilted))
+    spread = n * q * (1 - q)
+    var = np.add.reduceat(spread, start)
+    middle = np.add.reduceat(spread[:, None] * x, start) / np.maximum(var, 1e-300)[:, None]
+    centred = x - np.repeat(middle, size, axis=0)  # successes are fixed, so a stratum's constants tell nothing
+    upper = np.triu_indices(p)
+    squares = centred[:, upper[0]] * centred[:, upper[1]]
+    reach = _TAIL / 3 + np.sqrt(_TAIL**2 / 9 + 2 * _TAIL * var)
+    points = np.minimum(total + 1, np.ceil(reach) + 2)
+    points += points % 2 == 0
+    last = np.minimum((points - 1) / 2, np.ceil(np.arccos(np.maximum(-1.0, 1 - _TAIL / np.maximum(var, 1e-300))) * points / (2 * np.pi)))
+    mass, first, second = np.zeros(len(start)), np.zeros((len(start), p)), np.zeros((len(start), len(upper[0])))
+    large = size > 200
+    for g in np.flatnonzero(large):  # matrix products, a stratum at a time
+        c, j = slice(start[g], start[g] + size[g]), np.arange(int(last[g]) + 1)
+        angle = 2 * np.pi * j / points[g]
+        both = 1 + np.multiply.outer(np.exp(1j * angle) - 1, q[c])
+        moved = 1 - (1 - q[c]) / both
+        value = np.exp(np.log(both) @ n[c] - 1j * angle * m[g]) * np.where(j == 0, 1, 2) / points[g]
+        off = (n[c] * (moved - q[c])) @ centred[c]
+        mass[g], first[g] = value.real.sum(), (value @ off).real
+        second[g] = (value @ ((n[c] * moved * (1 - moved)) @ squares[c] + off[:, upper[0]] * off[:, upper[1]])).real
+    for j in range(int(last[~large].max(initial=-1)) + 1):  # all others at once, a point at a time
+        some = ~large & (last >= j)
+        live, cell, c = np.flatnonzero(some), size[some], np.repeat(some, size)
+        begin = np.concatenate(([0], np.cumsum(cell)[:-1]))
+        angle = 2 * np.pi * j / points[live]
+        qc, nc = q[c], n[c]
+        both = 1 + qc * np.repeat(np.exp(1j * angle) - 1, cell)
+        moved = 1 - (1 - qc) / both
+        value = np.exp(np.add.reduceat(nc * np.log(both), begin) - 1j * angle * m[live]) * ((1 if j == 0 else 2) / points[live])
+        off = np.add.reduceat((nc * (moved - qc))[:, None] * centred[c], begin)
+        more = np.add.reduceat((nc * moved * (1 - moved))[:, None] * squares[c], begin) + off[:, upper[0]] * off[:, upper[1]]
+        mass[live] += value.real
+        first[live] += (value[:, None] * off).real
+        second[live] += (value[:, None] * more).real
+    mean = first / mass[:, None]
+    cov = (second / mass[:, None] - mean[:, upper[0]] * mean[:, upper[1]]).sum(0)
+    info = np.zeros((p, p))
+    info[upper] = cov
+    info.T[upper] = cov
+    whole = np.add.reduceat(k * tilted - n * np.logaddexp(0, tilted), start) - np.log(mass)
+    grad = ((k - n * q)[:, None] * centred).sum(0) - mean.sum(0)
+    return float(whole.sum()), grad, info
+
+
+def conditional_sums(x: np.ndarray, y: np.ndarray, b: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """:func:`conditional_cells` of strata that agree in rows: x (strata, rows, terms), y (strata, rows)."""
+    strata, n, p = x.shape
+    return conditional_cells(x.reshape(-1, p), np.ones(strata * n), y.reshape(-1).astype(float), np.arange(strata) * n, b)
 
 
 def conditional_by(df: DataFrame, key: Column, stratum: Sequence[str], y: Column, xs: dict[str, Column]) -> dict[object, Fit]:
     """A conditional logit of m:n strata for each value of ``key``, all in step with each other.
 
-    Concordant strata drop out first. A stratum's rows (a design's replicates: tens of rows) are gathered once into arrays;
-    every Newton step is one pass over them in batches, and only sums per key reach the driver. Keys are a design's models or
-    categories. ``clusters`` counts the strata used.
+    Rows of a stratum that agree in their terms are one cell, concordant strata drop out. A stratum's cells are gathered once into
+    arrays; every Newton step is one pass over them, in time that grows with the cells and not with the square of a
+    stratum, and only sums per key reach the driver. A task holds one stratum's cells at least. Keys are a design's
+    models or categories. ``clusters`` counts the strata used. ``y`` is 0 or 1; rows without it are left out.
     """
     names, p = list(xs), len(xs)
-    row = F.struct(y.cast("double").alias("y"), *[x.cast("double").alias(f"x{i}") for i, x in enumerate(xs.values())])
+    terms, keys = [f"x{i}" for i in range(p)], [f"key{i}" for i in range(len(stratum))]
+    rows = df.select(key.alias("_k"), *[F.col(f"`{c}`").alias(a) for c, a in zip(stratum, keys, strict=True)], y.cast("double").alias("y"), *[x.cast("double").alias(t) for t, x in zip(terms, xs.values(), strict=True)])
+    cells = rows.where("y IS NOT NULL").groupBy("_k", *keys, *terms).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("y").alias("s"))
+    t = cells.groupBy("_k", *keys).agg(F.collect_list(F.struct("n", "s", *terms)).alias("_r"), F.sum("n").alias("_rows"), F.sum("s").alias("_won"))
     flat = lambda c: F.transform("_r", lambda r: r[c])
-    t = df.select(key.alias("_k"), *stratum, row.alias("_v")).groupBy("_k", *stratum).agg(F.collect_list("_v").alias("_r"))
-    t = t.withColumn("y", flat("y")).withColumn("x", F.flatten(F.transform("_r", lambda r: F.array(*[r[f"x{i}"] for i in range(p)]))))
-    t = t.where(F.array_min("y") < F.array_max("y")).select("_k", "y", "x").persist()
+    t = t.where("_won > 0 AND _won < _rows").select("_k", flat("n").alias("n"), flat("s").alias("s"), F.flatten(F.transform("_r", lambda r: F.array(*[r[c] for c in terms]))).alias("x"))
+    t = t.repartition(df.sparkSession.sparkContext.defaultParallelism * 4).persist()
     shape = ", ".join(["_k " + dict(t.dtypes)["_k"], "ll double", *[f"g{i} double" for i in range(p)], *[f"h{i}_{j} double" for i, j in _pairs(p)]])
 
     def stats(betas: dict[object, np.ndarray]) -> dict[object, tuple]:
@@ -313,21 +377,25 @@ def conditional_by(df: DataFrame, key: Column, stratum: Sequence[str], y: Column
             import pandas as pd
 
             for pdf in batches:
-                rows = []
-                pdf = pdf.assign(n=pdf["y"].map(len), m=pdf["y"].map(sum))
-                for (k, n, _), part in pdf.groupby(["_k", "n", "m"], dropna=False):
+                out = []
+                for k, part in pdf.groupby("_k", dropna=False):
                     if k in betas:
-                        x, yy = np.stack(part["x"].to_numpy()).reshape(len(part), n, p), np.stack(part["y"].to_numpy())
-                        ll, g, h = conditional_sums(x, yy, betas[k])
-                        rows.append((k, ll, *g, *[h[i, j] for i, j in _pairs(p)]))
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in shape.split(", ")])
+                        size = part["n"].map(len).to_numpy()
+                        deal = np.cumsum(size) // CELLS
+                        for d in np.unique(deal):
+                            some, cells = part[deal == d], size[deal == d]
+                            begin = np.concatenate(([0], np.cumsum(cells)[:-1]))
+                            n, s, x = (np.concatenate(some[c].to_numpy()) for c in ("n", "s", "x"))
+                            ll, g, h = conditional_cells(x.reshape(len(n), p), n, s, begin, betas[k])
+                            out.append((k, ll, *g, *[h[i, j] for i, j in _pairs(p)]))
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in shape.split(", ")])
 
         sums = t.mapInPandas(run, shape)
         got = sums.groupBy("_k").agg(*[F.sum(c).alias(c) for c in sums.columns[1:]]).collect()
         return {r["_k"]: (float(r[1]), np.array(r[2 : p + 2], dtype=float), _square(r[p + 2 :], p)) for r in got}
 
     try:
-        sizes = {r["_k"]: (r["s"], r["n"]) for r in t.groupBy("_k").agg(F.count(F.lit(1)).alias("s"), F.sum(F.size("y")).alias("n")).collect()}
+        sizes = {r["_k"]: (r["s"], r["n"]) for r in t.groupBy("_k").agg(F.count(F.lit(1)).alias("s"), F.sum(F.aggregate("n", F.lit(0.0), lambda a, v: a + v)).alias("n")).collect()}
         beta = {k: np.zeros(p) for k in sizes}
         at = stats(beta) if beta else {}
         step = {k: np.linalg.lstsq(at[k][2], at[k][1], rcond=None)[0] for k in beta}

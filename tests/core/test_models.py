@@ -209,6 +209,33 @@ def test_conditional_fit_against_all_subsets(spark):
     assert a[0] == pytest.approx(ll) and np.allclose(a[1], g) and np.allclose(a[2], h)
 
 
+def test_large_strata_equal_the_hypergeometric_counts(spark):
+    """Strata of thousands of rows, whose number of ways is beyond a double's range."""
+    rng = np.random.default_rng(4)
+    rows = [(f"s{s}", c, float(rng.random() < (0.5 if c else 0.42))) for s in range(3) for c in (1, 0) for _ in range(1500)]
+    df = spark.createDataFrame(rows, "s string, critical int, y double")
+    cells = glm.conditional_strata(df, "s", F.col("y"), {"critical": F.col("critical")})
+    counts = glm.conditional_counts(df, "s", "critical", F.col("y"))
+    assert cells.converged and cells.n == 9000 and cells.clusters["strata"] == 3
+    assert cells.beta[0] == pytest.approx(counts.beta[0], abs=1e-9) and cells.bread[0, 0] == pytest.approx(counts.bread[0, 0], rel=1e-9)
+
+
+def test_strata_alone_and_together_give_the_same_sums():
+    """Many cells by matrix products, few by the flat path, every row its own cell or rows gathered into cells."""
+    rng = np.random.default_rng(6)
+    b = np.array([0.6, -1.1])
+    x = rng.integers(0, 3, (4, 250, 2)).astype(float)
+    y = (rng.random((4, 250)) < 0.4).astype(float)
+    ll, g, h = glm.conditional_sums(x, y, b)
+    cells = []
+    for s in range(4):
+        kinds, at = np.unique(x[s], axis=0, return_inverse=True)
+        cells.append((kinds, np.bincount(at.ravel()).astype(float), np.bincount(at.ravel(), weights=y[s])))
+    start = np.cumsum([0, *[len(c[0]) for c in cells[:-1]]])
+    got = glm.conditional_cells(*[np.concatenate([c[i] for c in cells]) for i in range(3)], start, b)
+    assert got[0] == pytest.approx(ll, rel=1e-12) and np.allclose(got[1], g, rtol=1e-9, atol=1e-9) and np.allclose(got[2], h, rtol=1e-9)
+
+
 def test_adjusted_effect_by_group_equals_each_fit_alone(spark):
     from emberlane.contracts import ContractError
     from emberlane.operators import matched
