@@ -10,7 +10,9 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberlane.operators import ordered as od
@@ -21,8 +23,8 @@ from emberlane.scratch import Scratch
 BLOCK, RANGE, SPARE = 4096, 200_000, 16
 #: Digits at which squared distances are compared, so that the order of a sum doesn't decide ties.
 DIGITS = 9
-_POINT = "point long, block int, need long, first long, z array<double>"
-_FOUND = "point long, block int, control long, tie string, d double, holder long"
+_POINT = "point long, need long, first long, z array<double>"
+_FOUND = "point long, control long, tie string, d double, holder long"
 
 
 def _lists(col: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
@@ -49,8 +51,8 @@ def _routed(meta: list[tuple[int, float, float]], width: int, far: bool):
             else:
                 row, at = np.arange(len(z)), own
             if len(row):
-                cols = [batch.column(c).take(pa.array(row)) for c in ("point", "block", "need", "first", "z")]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(number[at].astype(np.int32))], names=["point", "block", "need", "first", "z", od.BUCKET])
+                cols = [batch.column(c).take(pa.array(row)) for c in ("point", "need", "first", "z")]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(number[at].astype(np.int32))], names=["point", "need", "first", "z", od.BUCKET])
 
     return run
 
@@ -61,10 +63,10 @@ def _searched(width: int):
     def run(points: pa.Table, pool: pa.Table) -> pa.Table:
         out: list[pa.Table] = []
         if points.num_rows and pool.num_rows:
+            pool = pool.take(pc.sort_indices(pool.column("tie")))  # once, so that a stable order of distances settles ties
             z, x = _lists(points.column("z"), width), _lists(pool.column("z"), width)
             holder = pool.column("holder").to_numpy()
-            tie = pool.column("tie").to_numpy()
-            need, first = points.column("need").to_numpy(), points.column("first").to_numpy()
+            need, first, point = (points.column(c).to_numpy() for c in ("need", "first", "point"))
             for r in range(len(z)):
                 free = np.flatnonzero(holder > first[r])
                 d = np.round(((x[free] - z[r]) ** 2).sum(1), DIGITS)
@@ -72,10 +74,9 @@ def _searched(width: int):
                 if k == 0:
                     continue
                 near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
-                near = near[np.lexsort((tie[free[near]], d[near]))][:k]
+                near = near[np.argsort(d[near], kind="stable")][:k]
                 at = pa.array(free[near])
-                cols = [pa.array(np.full(k, v)) for v in (points.column("point")[r].as_py(), points.column("block")[r].as_py())]
-                out.append(pa.table([cols[0], cols[1].cast(pa.int32()), pool.column("control").take(at), pool.column("tie").take(at), pa.array(d[near]), pool.column("holder").take(at)], names=_names(_FOUND)))
+                out.append(pa.table([pa.array(np.full(k, point[r])), pool.column("control").take(at), pool.column("tie").take(at), pa.array(d[near]), pool.column("holder").take(at)], names=_names(_FOUND)))
         return pa.concat_tables(out) if out else _nothing(_FOUND)
 
     return run
@@ -93,8 +94,7 @@ def _nothing(schema: str) -> pa.Table:
 def _proposed(rows: pa.Table, found: pa.Table, spare: int) -> pa.Table:
     """A block's rows in order: each proposes to the nearest control that no earlier row of the block wants or anyone earlier holds.
 
-    Of what several ranges found for a point only as many count as each of them searched for: beyond them a nearer one may
-    lack. A row whose candidates are all taken waits for the next round.
+    A row whose candidates are all taken waits for the next round.
     """
     order = np.lexsort((found.column("tie").to_numpy(), found.column("d").to_numpy(), found.column("point").to_numpy())) if found.num_rows else np.zeros(0, int)
     point, control, holder = (found.column(c).to_numpy()[order] for c in ("point", "control", "holder"))
@@ -124,8 +124,7 @@ def greedy_controls(critical: DataFrame, pool: DataFrame, features: Sequence[str
     Distances are Euclidean on z-scores over both sides (a constant feature counts for nothing), squared and compared at
     :data:`DIGITS` digits; ties go by the SHA-256 of seed and control id. Both sides may be of any size: controls lie in ranges of
     the first feature, a point searches its own range and then those that its farthest candidate so far can reach; critical
-    rows propose in blocks of neighbours. Rows at one point share a search, so a point with very many rows costs a round for
-    each :data:`BLOCK` of them. Fewer controls than critical rows raise, as do null features. Ids are unique on each side.
+    rows propose in blocks of neighbours. Rows at one point share a search in all their blocks. Fewer controls than critical rows raise, as do null features. Ids are unique on each side.
     """
     spark = critical.sparkSession
     width, cols = len(features), [F.col(f"`{f}`").cast("double") for f in features]
@@ -157,12 +156,20 @@ def greedy_controls(critical: DataFrame, pool: DataFrame, features: Sequence[str
 
 
 def _round(scratch: Scratch, rows: DataFrame, waiting: DataFrame, left: int, controls: DataFrame, holders: DataFrame, meta: list, width: int) -> tuple[DataFrame, DataFrame]:
-    """One round of proposals: who holds what after it, and who is still, or again, without a control."""
+    """One round of proposals: who holds what after it, and who is still, or again, without a control.
+
+    A point's candidates are numbered once. A block of its rows starts after as many of them as the point has rows in earlier
+    blocks: each of those candidates is taken by an earlier row, or was passed by one since someone earlier still has it.
+    """
     keys = [f"z{k}" for k in range(width)]
     spread = waiting.withColumns({k: F.col("z")[i] for i, k in enumerate(keys)})
     blocks = scratch.keep(od.in_ranges(spread, [*keys, "rank"], left // BLOCK + 1).select("rank", "z", F.col(od.BUCKET).alias("block")))
-    count = blocks.groupBy("block", "z").agg((F.count(F.lit(1)) + SPARE).alias("need"), F.min("rank").alias("first"))
-    points = scratch.keep(count.select(F.monotonically_increasing_id().alias("point"), "block", "need", "first", "z"))
+    parts = blocks.groupBy("block", "z").agg(F.count(F.lit(1)).alias("need"), F.min("rank").alias("first"))
+    of_point = W.partitionBy("z")
+    before = F.coalesce(F.sum("need").over(of_point.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = scratch.keep(parts.select("z", "block", "need", F.min("first").over(of_point).alias("first"), before.alias("skip")))
+    whole = parts.groupBy("z").agg((F.sum("need") + SPARE).alias("need"), F.min("first").alias("first"))
+    points = scratch.keep(whole.select(F.monotonically_increasing_id().alias("point"), "need", "first", "z"))
     held = controls.join(holders, "control", "left").select("control", "z", "tie", od.BUCKET, F.coalesce("rank", F.lit(1 << 62)).alias("holder"))
     search = lambda some: some.groupBy(od.BUCKET).cogroup(held.groupBy(od.BUCKET)).applyInArrow(_searched(width), _FOUND)
     found = scratch.keep(search(points.mapInArrow(_routed(meta, width, far=False), f"{_POINT}, {od.BUCKET} int")))
@@ -170,7 +177,12 @@ def _round(scratch: Scratch, rows: DataFrame, waiting: DataFrame, left: int, con
         reach = found.groupBy("point").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("far"))
         wide = points.join(reach, "point", "left").withColumn("reach", F.when(F.col("n") >= F.col("need"), F.col("far")).otherwise(float("inf")))
         found = found.unionByName(search(wide.mapInArrow(_routed(meta, width, far=True), f"{_POINT}, {od.BUCKET} int")))
-    placed = blocks.join(points.select("block", "z", "point"), ["block", "z"]).select("block", "rank", "point")
+    # of what several ranges found for a point only as many count as each of them searched for: beyond them a nearer one may lack
+    found = found.withColumn("place", F.row_number().over(W.partitionBy("point").orderBy("d", "tie")))
+    shares = parts.join(points.select("z", "point"), "z").select("point", "block", "need", "skip")
+    theirs = (F.col("place") > F.col("skip")) & (F.col("place") <= F.col("skip") + F.col("need") + SPARE)
+    found = scratch.keep(shares.join(found, "point").where(theirs).select("point", "block", "control", "tie", "d", "holder"))
+    placed = blocks.join(points.select("z", "point"), "z").select("block", "rank", "point")
     spare = SPARE
     propose = lambda some, near: _proposed(some, near, spare)
     proposals = placed.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(propose, "control long, rank long")

@@ -68,3 +68,15 @@ def test_what_cannot_be_matched_raises(spark):
     with pytest.raises(ValueError, match="nulls"):
         matching.greedy_controls(b.limit(1), a.selectExpr("message_id", "cast(null as double) x"), ["x"], 1, ["message_id"])
     assert matching.greedy_controls(a.limit(0), b, ["x", "y"], 1, ["message_id"]).collect() == []
+
+
+def test_rows_at_one_point_settle_in_one_round(spark, monkeypatch):
+    """Blocks of one point start after one another's candidates, so their number doesn't add rounds."""
+    monkeypatch.setattr(matching, "BLOCK", 10)
+    rounds, real = [], matching._round
+    monkeypatch.setattr(matching, "_round", lambda *a: rounds.append(1) or real(*a))
+    critical, pool = sides("one point", 3, n=60, m=120)
+    a, b = (spark.createDataFrame(t, SCHEMA) for t in (critical, pool))
+    got = matching.greedy_controls(a, b, ["x", "y", "w"], 11, ["message_id"]).collect()
+    assert {r["crit_message_id"]: r["message_id"] for r in got} == {k: v[0] for k, v in sequential(critical, pool, 11).items()}
+    assert len(rounds) == 1
