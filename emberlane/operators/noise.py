@@ -121,11 +121,15 @@ def corrupted(df: DataFrame, matrix: np.ndarray, rate: str = "cer_target", seed:
 
 
 def exposure(messages: DataFrame, matrix: np.ndarray, rates: Sequence[float] = (0.0, 0.1, 0.2, 0.3, 0.4), replicates: int = 3, master_seed: int = 0) -> DataFrame:
-    """Message x rate x replicate with seeded noise, realised rate and what was touched."""
-    grid = F.explode(F.array(*[F.struct(F.lit(float(r)).alias("cer_target"), F.lit(str(float(r))).alias("_r")) for r in rates])).alias("_g")
-    t = messages.select("message_id", "corpus", F.upper("text").alias("text"), grid).select("message_id", "corpus", "text", "_g.*")
+    """Message x rate x replicate with seeded noise, realised rate and what was touched.
+
+    Messages are dealt first and multiplied where they then lie, so a task sends each of its messages once.
+    """
     parts = messages.count() * len(rates) * replicates // DRAWN_ROWS + messages.sparkSession.sparkContext.defaultParallelism
-    t = t.withColumn("replicate_idx", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).repartition(parts, "message_id", "_r", "replicate_idx")
+    t = messages.select("message_id", "corpus", F.upper("text").alias("text")).repartition(parts, "message_id")
+    grid = F.explode(F.array(*[F.struct(F.lit(float(r)).alias("cer_target"), F.lit(str(float(r))).alias("_r")) for r in rates])).alias("_g")
+    t = t.select("message_id", "corpus", "text", grid).select("message_id", "corpus", "text", "_g.*")
+    t = t.withColumn("replicate_idx", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     t = t.withColumn("seed", tx.stable_seed(F.col("message_id"), F.col("_r"), F.col("replicate_idx").cast("string"), F.lit(str(master_seed))))
     out = corrupted(t.drop("_r"), matrix)
     flags = tx.corruption_flags("text", "error_positions")

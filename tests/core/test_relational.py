@@ -199,3 +199,13 @@ def test_corruption_flags(spark):
 def test_fixture_views_have_unique_keys(spark):
     raw = view(spark, DATA, "fx_raw")
     ct.assert_unique(raw, ["message_id", "corpus", "cer_target", "replicate_idx"], "fx_raw")
+
+
+def test_noise_deals_messages_before_multiplying_them(spark):
+    """What is shuffled is a message once, not once for each rate and replicate."""
+    from emberlane.operators import noise
+
+    df = spark.createDataFrame([(f"m{i}", "AUTH", "HELLO") for i in range(4)], "message_id string, corpus string, text string")
+    out = noise.exposure(df, np.eye(len(noise.ALPHABET)))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan and "Generate" not in plan.split("Repartition", 1)[1]
