@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from emberlane.functions import text as tx
 from emberlane.operators import ordered as od
+from emberlane.scratch import Scratch
 
 ALPHABET = tx.GRID
 #: Share of the error budget for insertions and deletions together (fixed value).
@@ -102,9 +103,10 @@ def row_column_mass(long: DataFrame, alphabet: str = ALPHABET, side: int = 6) ->
 
 
 def off_grid_summary(df: DataFrame, text: str = "text") -> DataFrame:
-    share = tx.off_grid_fraction(F.col(text))
-    (median,) = od.quantiles(df, share, [0.5])
-    return df.select(share.alias("f")).agg(F.avg("f").alias("mean"), F.lit(median).cast("double").alias("median"), F.count(F.lit(1)).alias("n"))
+    """Mean and exact median of the texts' off-grid shares; texts are read once, later passes see a number a text."""
+    shares = Scratch(df.sparkSession).keep(df.select(tx.off_grid_fraction(F.col(text)).alias("f")))
+    (median,) = od.quantiles(shares, F.col("f"), [0.5])
+    return shares.agg(F.avg("f").alias("mean"), F.lit(median).cast("double").alias("median"), F.count(F.lit(1)).alias("n"))
 
 
 def corrupted(df: DataFrame, matrix: np.ndarray, rate: str = "cer_target", seed: str = "seed", text: str = "text") -> DataFrame:

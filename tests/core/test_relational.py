@@ -209,3 +209,19 @@ def test_noise_deals_messages_before_multiplying_them(spark):
     out = noise.exposure(df, np.eye(len(noise.ALPHABET)))
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Repartition" in plan and "Generate" not in plan.split("Repartition", 1)[1]
+
+
+def test_off_grid_summary_reads_texts_once(spark):
+    from emberlane.operators import noise
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(i):
+        seen.add(1)
+        return "A" * i + "?" * (i % 3)
+
+    df = spark.range(1, 31).select(F.udf(read, "string")("id").alias("text"))
+    got = noise.off_grid_summary(df).first()
+    shares = [(i % 3) / (i + i % 3) for i in range(1, 31)]
+    assert got["n"] == 30 and got["mean"] == pytest.approx(np.mean(shares)) and got["median"] == pytest.approx(np.median(shares))
+    assert seen.value == 30
