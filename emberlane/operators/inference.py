@@ -103,19 +103,20 @@ def mixed_one_versus_rest(df: DataFrame, xs: dict[str, Column], large: str, smal
     """Adjusted model of each class against the rest with crossed random intercepts; where that doesn't settle, the clustered logit.
 
     One row a coefficient (mean, sd, 95 % interval) and one a factor (median deviation, its number of levels); ``engine`` says
-    which fit it was. The classes' fits are independent, so their jobs run side by side.
+    which fit it was. The classes are fitted in step, over one table of patterns.
     """
+    ys = {c: (F.col("label") == c).cast("double") for c in CLASSES}
+    fits = mixed.crossed_logits(df, ys, {**_intercept(), **xs}, large, small, steps)
 
     def one(c: str) -> list[dict]:
-        y = (F.col("label") == c).cast("double")
-        fit = mixed.crossed_logit(df, y, {**_intercept(), **xs}, large, small, steps)
+        fit = fits[c]
         about = {"class": c, "engine": "glmm_vb", "converged": True, "n_obs": fit.n}
         rows = [
             {**about, "kind": "coefficient", "term": t, "est": float(m), "sd": float(s), "lo": float(m - 1.96 * s), "hi": float(m + 1.96 * s), "n_levels": None}
             for t, m, s in zip(fit.names, fit.mean, fit.sd, strict=True)
         ]
         if not fit.converged:
-            plain = glm.logit(df, y, {**_intercept(), **xs}, [large])
+            plain = glm.logit(df, ys[c], {**_intercept(), **xs}, [large])
             about |= {"engine": "clustered_logit_fallback", "converged": plain.converged}
             keep = {"est": "beta", "sd": "se", "lo": "lo", "hi": "hi"}
             return [{**about, "kind": "coefficient", "term": r["term"], **{a: r[b] for a, b in keep.items()}, "n_levels": None} for r in plain.table(large)]

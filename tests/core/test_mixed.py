@@ -128,3 +128,23 @@ def test_ladder_of_engines(spark):
 def test_factors_without_any_effect_settle(spark):
     fit = mixed.crossed_logit(frame(spark, simulate(6, messages=25, models=4, sd=(0, 0, 0), each=8)), F.col("y"), xs(), "message_id", ["model", "corpus"])
     assert fit.converged and fit.steps <= 30 and all(v < 0.45 for v in fit.deviations.values())
+
+
+def test_outcomes_share_their_patterns_and_passes(spark, monkeypatch):
+    kept = []
+    keep = mixed.Scratch.keep
+    monkeypatch.setattr(mixed.Scratch, "keep", lambda self, df: kept.append(1) or keep(self, df))
+    rows = frame(spark, simulate(7, messages=12, models=3))
+    fits = mixed.crossed_logits(rows, {"yes": F.col("y"), "no": 1 - F.col("y")}, xs(), "message_id", ["model", "corpus"])
+    a, b = fits["yes"], fits["no"]
+    assert a.converged and b.converged and len(kept) == 3 + 2 * max(a.steps, b.steps)
+    assert np.allclose(a.mean, -b.mean, atol=1e-6) and np.allclose(a.sd, b.sd) and a.bound == pytest.approx(b.bound)
+
+
+def test_expectations_in_pairs_of_nodes():
+    m, v = np.array([-40.0, -3.0, 0.0, 0.7, 30.0]), np.array([0.0, 2.0, 0.3, 50.0, 1.0])
+    at, weight = np.polynomial.hermite.hermgauss(mixed.NODES)
+    eta, w = m[:, None] + np.sqrt(2 * v)[:, None] * at, weight / math.sqrt(math.pi)
+    p = 1 / (1 + np.exp(-eta))
+    for got, wanted in zip(mixed.expectations(m, v, True), (p @ w, (p * (1 - p)) @ w, np.logaddexp(0, eta) @ w), strict=True):
+        assert np.allclose(got, wanted, atol=1e-12)
