@@ -14,6 +14,7 @@ from emberlane.functions.stats import share
 from emberlane.operators import balance, glm
 from emberlane.operators.inference import _frame, risk_difference_bootstrap
 from emberlane.schema import Z_EXACT
+from emberlane.scratch import Scratch
 
 #: Prescribed adjusters of the matched fit, in order (fixed values).
 ADJUSTERS = ("char_len", "n_errors", "corrupted_negation", "corrupted_numeral", "realized_cer")
@@ -110,8 +111,11 @@ def anchor(matched: DataFrame, stratum: Sequence[str], outcome: str, models: Seq
 
 
 def risk_difference_by_rate(matched: DataFrame, draws: int = 1000, seed: int = 0) -> DataFrame:
-    """The risk difference within each target rate, ascending, with a pair-clustered bootstrap of seed + i for the i-th rate."""
-    sums = balance.arm_sums(matched.withColumn("cer_target", F.round("cer_target", 1)), "cer_target")
+    """The risk difference within each target rate, ascending, with a pair-clustered bootstrap of seed + i for the i-th rate.
+
+    The arms' sums by pair and rate are stored, so the attempts are read once for all rates.
+    """
+    sums = Scratch(matched.sparkSession).keep(balance.arm_sums(matched.withColumn("cer_target", F.round("cer_target", 1)), "cer_target"))
     rates = sorted(r[0] for r in sums.select("cer_target").distinct().collect())  # the levels of the design
     parts = [
         risk_difference_bootstrap(sums.where(F.col("cer_target") == c), (), draws, seed + i).select(

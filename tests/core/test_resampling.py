@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from emberlane.operators import inference
+from emberlane.operators import inference, matched
 from emberlane.operators import resampling as rs
 
 
@@ -111,3 +111,21 @@ def test_pair_risk_difference_by_key(spark):
     assert one["n_pairs"] == 120 and one["lo"] < 0.4 < one["hi"]
     assert one["point"] == pytest.approx(sum(r[2] for r in rows) / 600 - sum(r[4] for r in rows) / 600)
     assert {r["cer_target"]: r["n_pairs"] for r in inference.risk_difference_bootstrap(df, ("cer_target",), draws=50).collect()} == {"0.0": 60, "1.0": 60}
+
+
+def counting(df, column):
+    """``df`` with a column that counts the rows that pass it, and that count."""
+    seen = df.sparkSession.sparkContext.accumulator(0)
+
+    def one(x):
+        seen.add(1)
+        return x
+
+    passing = F.udf(one, df.schema[column].dataType).asNondeterministic()
+    return df.withColumn(column, passing(column)), seen
+
+
+def test_rates_share_one_pass_over_the_attempts(spark):
+    rows = [(f"p{i % 12}", i % 2, "drift" if i % 3 else "faithful", (i % 4) / 10) for i in range(480)]
+    df, seen = counting(spark.createDataFrame(rows, "pair_id string, critical int, label string, cer_target double"), "label")
+    assert len(matched.risk_difference_by_rate(df, draws=20).collect()) == 4 and seen.value == len(rows)
