@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlane.operators import ordered as od
+from emberlane.scratch import Scratch
 
 #: Rows of a range of units, about; numbers (draws times cells times ranges) that a task merges, about; cells of a group at most.
 RANGE_ROWS, MERGED, MOST_CELLS = 20_000, 4_000_000, 100_000
@@ -154,7 +155,7 @@ def bootstrap(df: DataFrame, metric: Metric, by: Sequence[str] = (), cluster: st
 
     Units are the clusters of a group, or its rows, of which equal ones are counted. A draw takes as many units as there are,
     with replacement. (group, range) tasks multiply their units' picks with the sums by cell; sums of several ranges are merged by
-    cell and block of draws; a task finishes a block. A group of more than :data:`MOST_CELLS` cells raises: round its score.
+    cell and block of draws; a task finishes a block. Units are stored, so ``df`` is read once. A group of more than :data:`MOST_CELLS` cells raises: round its score.
     Rows with a null in a term, the cell or the cluster are left out.
     """
     names = list(metric.terms)
@@ -171,6 +172,7 @@ def bootstrap(df: DataFrame, metric: Metric, by: Sequence[str] = (), cluster: st
         units = rows.groupBy(*keys, "cell", *ts).agg(F.count(F.lit(1)).cast("double").alias("m"))
         units = units.withColumn("unit", F.concat_ws("|", F.col("cell").cast("string"), *[F.col(t).cast("string") for t in ts]))
         order = [*keys, "cell", *ts]
+    units = Scratch(df.sparkSession).keep(units)
     n_units = units.count()
     most = units.select(*keys, "cell").distinct().groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
     if most > MOST_CELLS:

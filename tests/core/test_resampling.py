@@ -129,3 +129,11 @@ def test_rates_share_one_pass_over_the_attempts(spark):
     rows = [(f"p{i % 12}", i % 2, "drift" if i % 3 else "faithful", (i % 4) / 10) for i in range(480)]
     df, seen = counting(spark.createDataFrame(rows, "pair_id string, critical int, label string, cer_target double"), "label")
     assert len(matched.risk_difference_by_rate(df, draws=20).collect()) == 4 and seen.value == len(rows)
+
+
+def test_a_bootstrap_reads_its_table_once(spark):
+    df, seen = counting(frame(spark, scored(2)), "s")
+    rs.bootstrap(df, rs.auroc(F.col("s"), F.col("y")), ["g"], "c", draws=5).collect()
+    assert seen.value == 400
+    rs.bootstrap(df, rs.rate(F.col("s") > 0.5), draws=5).collect()
+    assert seen.value == 800
