@@ -39,6 +39,17 @@ def test_long_and_repetitive_sequences():
     assert blocks.changed(*blocks.coded([], ["a"])).tolist() == [True] and blocks.changed(*blocks.coded(["a"], [])).tolist() == []
 
 
+def test_listed_runs_equal_numbered_runs(monkeypatch):
+    rng = random.Random(5)
+    pairs = [blocks.coded(rng.choices(letters, k=rng.randint(1, 150)), rng.choices(letters, k=rng.randint(1, 400))) for letters in ("ab", "abcdefgh ") for _ in range(60)]
+    assert all(p[0].size * p[1].size < blocks.TABLE for p in pairs)
+    with monkeypatch.context() as m:
+        m.setattr(blocks, "Runs", None)  # texts as short as these don't need it
+        listed = [blocks.changed(*p).tolist() for p in pairs]
+    monkeypatch.setattr(blocks, "TABLE", 0)
+    assert listed == [blocks.changed(*p).tolist() for p in pairs]
+
+
 def test_flags_as_columns(spark):
     rows = [("Send the water now", "Send the cold water now"), (None, "a b"), ("a b", None), ("", ""), ("naïve ê", "naive ê")]
     df = spark.createDataFrame(rows, "a string, b string")
