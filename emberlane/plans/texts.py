@@ -141,7 +141,7 @@ def _(p):
     WITH t AS (SELECT doc_id, unnest(list_transform({_TOK.format("coalesce(text, '')")}, lambda x: lower(x))) AS word FROM {DOC}), n AS (SELECT count(*) AS n FROM t),
     f AS (SELECT word, log10(count(*)::DOUBLE * 1e9 / any_value(n.n)) AS zipf FROM t, n GROUP BY word)
     SELECT d.doc_id, coalesce(m, 0.0) AS mean_word_freq FROM {DOC} d LEFT JOIN (SELECT doc_id, avg(zipf) AS m FROM t JOIN f USING (word) GROUP BY doc_id) USING (doc_id)""")
-def _(d): return corpus.mean_word_frequency(d, "doc_id", "text", corpus.word_frequencies(d, "text"))  # noqa: E704
+def _(d): return corpus.mean_word_frequency(d, "doc_id", "text")  # noqa: E704
 
 
 @query("stated_confidence", "events", doubles="confidence", sql="SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE (user_id % 100)::DOUBLE END AS confidence, 'said ' || event_type AS said FROM events")

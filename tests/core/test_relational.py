@@ -225,3 +225,21 @@ def test_off_grid_summary_reads_texts_once(spark):
     shares = [(i % 3) / (i + i % 3) for i in range(1, 31)]
     assert got["n"] == 30 and got["mean"] == pytest.approx(np.mean(shares)) and got["median"] == pytest.approx(np.median(shares))
     assert seen.value == 30
+
+
+def test_words_are_counted_as_texts_are_read_once(spark):
+    from pyspark.sql import functions as F
+
+    from emberlane.operators import corpus
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def one(x):
+        seen.add(1)
+        return x
+
+    docs = spark.createDataFrame([(1, "The the cat"), (2, "a cat's 12"), (3, None), (4, "")], "doc_id long, text string")
+    passing = docs.withColumn("text", F.udf(one, "string")("text"))
+    got = {r["doc_id"]: r["mean_word_freq"] for r in corpus.mean_word_frequency(passing, "doc_id", "text").collect()}
+    given = corpus.mean_word_frequency(docs, "doc_id", "text", corpus.word_frequencies(docs, "text")).collect()
+    assert got == {r["doc_id"]: r["mean_word_freq"] for r in given} and got[3] == got[4] == 0 and seen.value == 4
