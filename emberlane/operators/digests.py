@@ -19,11 +19,20 @@ AT_ONCE = 6
 #: Percent that an estimator's slope may lie off the anchor's and still count as stable (fixed value).
 STABLE_WITHIN = 10.0
 
+#: Columns of the attempts that the blocks read; covariates come besides.
+READ = ("model", "message_id", "corpus", "cer_target", "replicate_idx", "realized_cer", "confidence", "label")
+
 Blocks = dict[str, Callable[[], DataFrame]]
 
 
-def sections(a: DataFrame, raw: DataFrame | None, audited: DataFrame, xs: dict[str, Column], draws: int) -> dict[str, Blocks]:
-    """What each section of the run consists of; every block is a frame of few rows."""
+def patterns(a: DataFrame, covariates: list[str]) -> DataFrame:
+    """Attempts that are equal in all that the fits read, counted once (``_rows``)."""
+    return a.groupBy("model", "message_id", "realized_cer", "label", *covariates).agg(F.count(F.lit(1)).alias("_rows"))
+
+
+def sections(a: DataFrame, raw: DataFrame | None, audited: DataFrame, t: DataFrame, xs: dict[str, Column], draws: int) -> dict[str, Blocks]:
+    """What each section of the run consists of; every block is a frame of few rows. Fits read the :func:`patterns` ``t``."""
+    n = F.col("_rows")
     scores = cal.calibration_frame(a)
     out: dict[str, Blocks] = {
         "drift_curve": {
@@ -35,19 +44,19 @@ def sections(a: DataFrame, raw: DataFrame | None, audited: DataFrame, xs: dict[s
             "ece": lambda: cal.binned_error(scores, "confidence", "correct", "model"), "auroc": lambda: cal.auroc(scores, "confidence", "correct", "model"),
             "intervals": lambda: inference.ece_auroc_bootstrap(a, draws),
         },
-        "mixed_model": {"one_versus_rest": lambda: inference.one_versus_rest(a, xs)},
+        "mixed_model": {"one_versus_rest": lambda: inference.one_versus_rest(t, xs, n)},
         "multinomial": {
-            "coefficients": lambda: inference.multinomial_model(a, xs), "drift_vs_degraded": lambda: inference.binary_contrast(a, "drift", "degraded", xs),
-            "drift_vs_faithful": lambda: inference.binary_contrast(a, "drift", "faithful", xs),
+            "coefficients": lambda: inference.multinomial_model(t, xs, n), "drift_vs_degraded": lambda: inference.binary_contrast(t, "drift", "degraded", xs, n),
+            "drift_vs_faithful": lambda: inference.binary_contrast(t, "drift", "faithful", xs, n),
         },
         "confidence": {
             "confidently_wrong": lambda: rates.confidently_wrong(a), "missing": lambda: rates.missing_confidence_grid(a),
-            "predicted_drift": lambda: inference.predicted_grid(a),
+            "predicted_drift": lambda: inference.predicted_grid(t, weight=n),
         },
         "dependence_sensitivity": {
-            "anchor": lambda: inference.dose_model(a, "realized_cer"), "per_model_pooled": lambda: inference.pooled_slope(a), "per_model": lambda: inference.model_slopes(a),
-            "gee": lambda: inference.gee_slope(a), "bootstrap_message": lambda: inference.slope_bootstrap(a, "message_id", draws=draws),
-            "bootstrap_model": lambda: inference.slope_bootstrap(a, "model", draws=draws),
+            "anchor": lambda: inference.dose_model(t, "realized_cer", n), "per_model_pooled": lambda: inference.pooled_slope(t, weight=n), "per_model": lambda: inference.model_slopes(t, weight=n),
+            "gee": lambda: inference.gee_slope(t, weight=n), "bootstrap_message": lambda: inference.slope_bootstrap(t, "message_id", draws=draws, weight=n),
+            "bootstrap_model": lambda: inference.slope_bootstrap(t, "model", draws=draws, weight=n),
         },
     }
     if raw is not None:
@@ -68,13 +77,17 @@ def stability(blocks: dict[str, list[dict]]) -> dict:
 def compose(attempts: DataFrame, raw: DataFrame | None, audited: DataFrame, xs: dict[str, Column], path: str, draws: int = 500) -> dict[str, str]:
     """Build all sections and write them: a digest a section, ``stats.json`` with all of them, and a provenance log.
 
-    The attempts are stored once and read by every block. Blocks run :data:`AT_ONCE` at a time; only their few rows reach the
+    The attempts are stored once, the columns that are read, for every table of rates; so are their :func:`patterns`, which
+    the fits read. Blocks run :data:`AT_ONCE` at a time; only their few rows reach the
     driver. Returns the digests' hashes by section. Without raw decode labels the benefit section says that it was skipped.
     """
     spark = attempts.sparkSession
     with Scratch(spark) as scratch:
-        a = scratch.keep(attempts)
-        plan = [(s, b, make) for s, blocks in sections(a, raw, audited, xs, draws).items() for b, make in blocks.items()]
+        own = {k: f"_x{i}" for i, k in enumerate(xs)}
+        a = scratch.keep(attempts.select(*READ, *[xs[k].alias(c) for k, c in own.items()]))
+        t = scratch.keep(patterns(a, list(own.values())))
+        xs = {k: F.col(c) for k, c in own.items()}
+        plan = [(s, b, make) for s, blocks in sections(a, raw, audited, t, xs, draws).items() for b, make in blocks.items()]
         with ThreadPoolExecutor(AT_ONCE) as pool:
             rows = list(pool.map(lambda p: [r.asDict(recursive=True) for r in p[2]().collect()], plan))
         n, messages = a.agg(F.count(F.lit(1)), F.count_distinct(F.when(F.col("corpus") == "AUTH", F.col("message_id")))).first()

@@ -36,6 +36,10 @@ def _linear(xs: Sequence[Column], beta: np.ndarray) -> Column:
     return eta
 
 
+def _weight(weight: Column | None) -> Column:
+    return (weight if weight is not None else F.lit(1.0)).cast("double")
+
+
 def sigmoid(eta: Column) -> Column:
     return 1 / (1 + F.exp(-F.greatest(F.least(eta, F.lit(35.0)), F.lit(-35.0))))
 
@@ -97,7 +101,7 @@ def _inverse(info: np.ndarray) -> np.ndarray:
 def logit(df: DataFrame, y: Column, xs: dict[str, Column], clusters: Sequence[str | tuple[str, ...]] = (), weight: Column | None = None, trials: Column | None = None) -> Fit:
     """Logistic regression (no intercept unless given as a column): y is 0/1, or a count of ``trials``."""
     names = list(xs)
-    w = (weight if weight is not None else F.lit(1.0)).cast("double")
+    w = _weight(weight)
     n = (trials if trials is not None else F.lit(1.0)).cast("double")
     keys = sorted({c for k in clusters for c in ((k,) if isinstance(k, str) else k)})
     base = df.select(*keys, y.cast("double").alias("_y"), n.alias("_n"), w.alias("_w"), *[x.cast("double").alias(f"_x{i}") for i, x in enumerate(xs.values())])
@@ -140,12 +144,12 @@ def two_way(fit: Fit, a: str, b: str, term: int, fallback: str = "max") -> dict:
     return {"beta": beta, f"se_{a}": se[a], f"se_{b}": se[b], "se_twoway": both, "lo": beta - Z_EXACT * both, "hi": beta + Z_EXACT * both, "fallback": not good}
 
 
-def multinomial(df: DataFrame, label: str, classes: Sequence[str], xs: dict[str, Column], cluster: str) -> tuple[Fit, Sequence[str]]:
-    """Multinomial logit against the first class, clustered errors; terms are named class:term."""
+def multinomial(df: DataFrame, label: str, classes: Sequence[str], xs: dict[str, Column], cluster: str, weight: Column | None = None) -> tuple[Fit, Sequence[str]]:
+    """Multinomial logit against the first class, clustered errors; terms are named class:term. A row counts ``weight`` times."""
     rest, p = list(classes[1:]), len(xs)
     names = [f"{c}:{t}" for c in rest for t in xs]
-    base = df.select(F.col(cluster).alias("_g"), F.col(label).alias("_l"), *[x.cast("double").alias(f"_x{i}") for i, x in enumerate(xs.values())])
-    base = base.groupBy("_g", *[f"_x{i}" for i in range(p)]).agg(F.count(F.lit(1)).cast("double").alias("_n"), *[F.count_if(F.col("_l") == c).cast("double").alias(f"_k{j}") for j, c in enumerate(rest)]).persist()
+    base = df.select(F.col(cluster).alias("_g"), F.col(label).alias("_l"), _weight(weight).alias("_w"), *[x.cast("double").alias(f"_x{i}") for i, x in enumerate(xs.values())])
+    base = base.groupBy("_g", *[f"_x{i}" for i in range(p)]).agg(F.sum("_w").alias("_n"), *[F.sum(F.when(F.col("_l") == c, F.col("_w")).otherwise(0.0)).alias(f"_k{j}") for j, c in enumerate(rest)]).persist()
     cols = [F.col(f"_x{i}") for i in range(p)]
 
     def parts(beta: np.ndarray) -> tuple[list[Column], Column, list[Column]]:
@@ -469,24 +473,26 @@ def conditional_counts(df: DataFrame, stratum: str, critical: str, y: Column) ->
         cells.unpersist()
 
 
-def gee_exchangeable(df: DataFrame, y: Column, xs: dict[str, Column], cluster: str, steps: int = 40) -> dict:
+def gee_exchangeable(df: DataFrame, y: Column, xs: dict[str, Column], cluster: str, steps: int = 40, weight: Column | None = None) -> dict:
     """Population-averaged logit with exchangeable working correlation, robust errors; falls back to independence.
 
     The inverse correlation is aI + bJ, so each cluster enters by sums only. A fit that runs away, whose slope exceeds
-    :data:`PLAUSIBLE` or whose error collapses counts as not converged, whatever the steps say.
+    :data:`PLAUSIBLE` or whose error collapses counts as not converged, whatever the steps say. Equal rows of a cluster are
+    counted once before the steps, which read these counts; a row counts ``weight`` times.
     """
     names, p = list(xs), len(xs)
-    base = df.select(F.col(cluster).alias("_g"), y.cast("double").alias("_y"), *[x.cast("double").alias(f"_x{i}") for i, x in enumerate(xs.values())]).persist()
-    cols = [F.col(f"_x{i}") for i in range(p)]
-    start = logit(df, y, xs, [cluster])
+    base = df.select(F.col(cluster).alias("_g"), y.cast("double").alias("_y"), _weight(weight).alias("_w"), *[x.cast("double").alias(f"_x{i}") for i, x in enumerate(xs.values())])
+    base = base.groupBy(*[c for c in base.columns if c != "_w"]).agg(F.sum("_w").alias("_n")).persist()
+    cols, n = [F.col(f"_x{i}") for i in range(p)], F.col("_n")
+    start = logit(base, F.col("_y"), dict(zip(names, cols, strict=True)), ["_g"], weight=n)
 
     def clusters(beta: np.ndarray) -> DataFrame:
         mu = sigmoid(_linear(cols, beta))
         sd = F.sqrt(mu * (1 - mu))
         r = (F.col("_y") - mu) / sd
         return base.groupBy("_g").agg(
-            F.count(F.lit(1)).cast("double").alias("m"), F.sum(r).alias("r"), F.sum(r * r).alias("rr"), *[F.sum(sd * x).alias(f"d{i}") for i, x in enumerate(cols)],
-            *[F.sum(sd * x * r).alias(f"e{i}") for i, x in enumerate(cols)], *[F.sum(sd * sd * cols[i] * cols[j]).alias(f"v{i}_{j}") for i, j in _pairs(p)],
+            F.sum(n).alias("m"), F.sum(n * r).alias("r"), F.sum(n * r * r).alias("rr"), *[F.sum(n * sd * x).alias(f"d{i}") for i, x in enumerate(cols)],
+            *[F.sum(n * sd * x * r).alias(f"e{i}") for i, x in enumerate(cols)], *[F.sum(n * sd * sd * cols[i] * cols[j]).alias(f"v{i}_{j}") for i, j in _pairs(p)],
         )
 
     def solve(alpha: float, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -529,9 +535,10 @@ def gee_exchangeable(df: DataFrame, y: Column, xs: dict[str, Column], cluster: s
         base.unpersist()
 
 
-def slopes_by(df: DataFrame, key: str, y: Column, x: str, cluster: str) -> DataFrame:
+def slopes_by(df: DataFrame, key: str, y: Column, x: str, cluster: str, weight: Column | None = None) -> DataFrame:
     """Univariate clustered logit per key in one distributed pass: (cluster, x) counts, Newton per key in its own task."""
-    t = df.groupBy(F.col(key).alias("key"), F.col(cluster).alias("g"), F.col(x).cast("double").alias("x")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(y.cast("double")).alias("k"))
+    w = _weight(weight)
+    t = df.groupBy(F.col(key).alias("key"), F.col(cluster).alias("g"), F.col(x).cast("double").alias("x")).agg(F.sum(w).alias("n"), F.sum(y.cast("double") * w).alias("k"))
 
     def one(pdf):  # noqa: ANN001, ANN202
         import pandas as pd

@@ -37,14 +37,14 @@ def _frame(df: DataFrame, rows: list[dict]) -> DataFrame:
     return df.sparkSession.createDataFrame(clean, ", ".join(f"`{k}` {v}" for k, v in cols.items()))
 
 
-def dose_model(df: DataFrame, x: str = "cer_target") -> DataFrame:
+def dose_model(df: DataFrame, x: str = "cer_target", weight: Column | None = None) -> DataFrame:
     """drift ~ 1 + x, errors clustered by message; odds ratio per ten points of x."""
-    fit = glm.logit(df, _drift(), {**_intercept(), x: F.col(x)}, ["message_id"])
+    fit = glm.logit(df, _drift(), {**_intercept(), x: F.col(x)}, ["message_id"], weight)
     return _frame(df, [r | {"n": int(fit.n), "n_clusters": fit.clusters["message_id"], "converged": fit.converged} for r in fit.table("message_id", scale=0.1)])
 
 
-def predicted_grid(df: DataFrame, x: str = "realized_cer", grid: tuple[float, ...] = (0.0, 0.1, 0.2, 0.3, 0.4)) -> DataFrame:
-    fit = glm.logit(df, _drift(), {**_intercept(), x: F.col(x)})
+def predicted_grid(df: DataFrame, x: str = "realized_cer", grid: tuple[float, ...] = (0.0, 0.1, 0.2, 0.3, 0.4), weight: Column | None = None) -> DataFrame:
+    fit = glm.logit(df, _drift(), {**_intercept(), x: F.col(x)}, weight=weight)
     return _frame(df, [{x: g, "predicted": 1 / (1 + math.exp(-(fit.beta[0] + fit.beta[1] * g)))} for g in grid])
 
 
@@ -72,9 +72,9 @@ def meats_at(df: DataFrame, beta: tuple[float, float], x: str = "realized_cer")
     return out
 
 
-def multinomial_model(df: DataFrame, xs: dict[str, Column]) -> DataFrame:
+def multinomial_model(df: DataFrame, xs: dict[str, Column], weight: Column | None = None) -> DataFrame:
     """Multinomial logit against faithful, clustered by message: Newton steps, or the quasi-Newton fit where they don't settle."""
-    fit, _ = glm.multinomial(df, "label", CLASSES, {**_intercept(), **xs}, "message_id")
+    fit, _ = glm.multinomial(df, "label", CLASSES, {**_intercept(), **xs}, "message_id", weight)
     return _frame(df, [r | {"converged": fit.converged} for r in fit.table("message_id")])
 
 
@@ -84,17 +84,17 @@ def mixed_curve(df: DataFrame, x: str = "cer_target") -> DataFrame:
     return _frame(df, [r | {"residual_variance": float(residual), "message_variance": float(between), "n": int(fit.n), "n_messages": fit.clusters["message_id"]} for r in fit.table()])
 
 
-def binary_contrast(df: DataFrame, positive: str, negative: str, xs: dict[str, Column]) -> DataFrame:
+def binary_contrast(df: DataFrame, positive: str, negative: str, xs: dict[str, Column], weight: Column | None = None) -> DataFrame:
     rows = df.where(F.col("label").isin(positive, negative))
-    fit = glm.logit(rows, F.col("label") == positive, {**_intercept(), **xs}, ["message_id"])
+    fit = glm.logit(rows, F.col("label") == positive, {**_intercept(), **xs}, ["message_id"], weight)
     return _frame(df, fit.table("message_id"))
 
 
-def one_versus_rest(df: DataFrame, xs: dict[str, Column]) -> DataFrame:
+def one_versus_rest(df: DataFrame, xs: dict[str, Column], weight: Column | None = None) -> DataFrame:
     """Adjusted model of each class against the rest by the clustered logit, which is the engine at scale; engine is told."""
     rows = []
     for c in CLASSES:
-        fit = glm.logit(df, F.col("label") == c, {**_intercept(), **xs}, ["message_id"])
+        fit = glm.logit(df, F.col("label") == c, {**_intercept(), **xs}, ["message_id"], weight)
         rows += [{"class": c, **r, "engine": "clustered_logit", "converged": fit.converged} for r in fit.table("message_id")]
     return _frame(df, rows)
 
@@ -159,19 +159,19 @@ def matched_effect_strata(matched: DataFrame, stratum: list[str], xs: dict[str,
     return _frame(matched, [r | {"n_rows": int(fit.n), "converged": fit.converged} for r in fit.table()])
 
 
-def gee_slope(df: DataFrame, x: str = "realized_cer") -> DataFrame:
-    g = glm.gee_exchangeable(df, _drift(), {**_intercept(), x: F.col(x)}, "message_id")
+def gee_slope(df: DataFrame, x: str = "realized_cer", weight: Column | None = None) -> DataFrame:
+    g = glm.gee_exchangeable(df, _drift(), {**_intercept(), x: F.col(x)}, "message_id", weight=weight)
     b, se = float(g["beta"][-1]), float(g["se"][-1])
     return _frame(df, [{"slope": b, "se": se, "lo": b - Z_EXACT * se, "hi": b + Z_EXACT * se, "alpha": g["alpha"], "cov_struct_used": g["cov_struct_used"], "n_groups": g["n_groups"]}])
 
 
-def model_slopes(df: DataFrame, x: str = "realized_cer") -> DataFrame:
-    return glm.slopes_by(df, "model", F.col("label") == "drift", x, "message_id")
+def model_slopes(df: DataFrame, x: str = "realized_cer", weight: Column | None = None) -> DataFrame:
+    return glm.slopes_by(df, "model", F.col("label") == "drift", x, "message_id", weight)
 
 
-def pooled_slope(df: DataFrame, x: str = "realized_cer") -> DataFrame:
+def pooled_slope(df: DataFrame, x: str = "realized_cer", weight: Column | None = None) -> DataFrame:
     """Per-model slopes pooled with random effects; models without a usable fit stay out."""
-    s = model_slopes(df, x).where("converged and se > 0")
+    s = model_slopes(df, x, weight).where("converged and se > 0")
     t = s.select("slope", (F.col("slope") - 1.96 * F.col("se")).alias("lo"), (F.col("slope") + 1.96 * F.col("se")).alias("hi"))
     return cal.random_effects(t, "slope", "lo", "hi")
 
@@ -208,14 +208,15 @@ def _interval(df: DataFrame, point: float, draws: list[float], **more: object) -
 WEIGHT_CELLS = 100_000_000
 
 
-def slope_bootstrap(df: DataFrame, cluster: str = "message_id", x: str = "realized_cer", draws: int = 500, seed: int = 0) -> DataFrame:
+def slope_bootstrap(df: DataFrame, cluster: str = "message_id", x: str = "realized_cer", draws: int = 500, seed: int = 0, weight: Column | None = None) -> DataFrame:
     """Cluster bootstrap of a logit slope; few clusters are flagged unstable, draws whose fit fails are skipped.
 
     Only the clusters' names are collected (a number that the design fixes; more than :data:`WEIGHT_CELLS` weights raise).
     Their weights are drawn in sorted order and broadcast; (cluster, x) counts stay in Spark, and each Newton step sums the
     scores of all draws in one pass over them.
     """
-    t = df.groupBy(F.col(cluster).alias("g"), F.col(x).cast("double").alias("x")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(_drift()).alias("k")).persist()
+    w = (weight if weight is not None else F.lit(1.0)).cast("double")
+    t = df.groupBy(F.col(cluster).alias("g"), F.col(x).cast("double").alias("x")).agg(F.sum(w).alias("n"), F.sum(_drift() * w).alias("k")).persist()
     try:
         ids = np.array(sorted(r[0] for r in t.select("g").distinct().limit(WEIGHT_CELLS // max(1, draws) + 1).collect()))
         if len(ids) * draws > WEIGHT_CELLS:

@@ -1,8 +1,9 @@
 """The composed run writes what its blocks say, remembers their hashes, and skips what it has no input for."""
+import pytest
 from pyspark.sql import functions as F
 
 from emberlane.functions import tables
-from emberlane.operators import digests
+from emberlane.operators import digests, glm, inference
 from emberlane.plans.modelling import _covariates
 from emberlane.plans.relational import _zero
 from emberlane.plans.registry import view
@@ -33,3 +34,23 @@ def test_table_function_in_sql(spark):
     df = spark.createDataFrame(rows, "id long, intended string, candidates array<string>")
     got = spark.sql("SELECT id, c.* FROM {df}, LATERAL candidate_rows(intended, candidates) c", df=df).collect()
     assert sorted((r["id"], r["place"], r["candidate"], r["faithful"]) for r in got) == [(1, 1, "stop", False), (1, 2, " go ", True), (2, 1, "x", False)]
+
+
+FITS = {
+    "slopes": lambda t, xs, n: [tuple(r) for r in inference.model_slopes(t, weight=n).orderBy("model").collect()],
+    "gee": lambda t, xs, n: [tuple(map(float, v)) for k, v in glm.gee_exchangeable(t, (F.col("label") == "drift").cast("double"), {"one": F.lit(1.0), "x": F.col("realized_cer")}, "message_id", 1, n).items() if k in ("beta", "se")],
+    "multinomial": lambda t, xs, n: [tuple(r) for r in inference.multinomial_model(t, xs, n).collect()],
+}
+
+
+@pytest.mark.parametrize("name", FITS)
+def test_fits_of_counted_patterns_are_those_of_their_rows(spark, name):
+    xs = {"realized_cer": F.col("realized_cer")}
+    a = view(spark, SF, "fx_attempts").select("model", "message_id", "realized_cer", "label", F.col("realized_cer").alias("_x0")).coalesce(1).persist()
+    t = digests.patterns(a.unionByName(a), ["_x0"]).coalesce(1).persist()
+    assert t.count() < 2 * a.count() == t.agg(F.sum("_rows")).first()[0]
+    for x, y in zip(FITS[name](a.unionByName(a), xs, None), FITS[name](t, {"realized_cer": F.col("_x0")}, F.col("_rows")), strict=True):
+        for u, v in zip(x, y, strict=True):
+            assert u == v or (isinstance(u, float) and (abs(u - v) <= 1e-6 * max(1.0, abs(u)) or (u != u and v != v)))
+    a.unpersist()
+    t.unpersist()
