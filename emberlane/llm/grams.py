@@ -68,8 +68,8 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, size: int = CHUNK, word
     return stored(docs.select(F.col(id_col), F.col(text_col)).mapInArrow(_written(size, word_bits), CHUNK_TYPE.format(id=kind)))
 
 
-def opened(row: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of the one chunk in ``row``, and where each of its texts begins."""
+def vocabulary(row: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the different words of the one chunk in ``row``, the number of each word in it, and where each of its texts begins."""
     get = lambda c: row.column(c)[0].as_py()
     codes = unpacked(get("codes"), get("n")).astype(np.int64)
     known, raw = int(codes.max(initial=-1)) + 1, np.frombuffer(get("vocab"), dtype=np.uint8)
@@ -78,7 +78,13 @@ def opened(row: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     vocab[:, :width] = raw.reshape(known, width)
     vocab = mix(vocab.view("<u8").ravel())
     sizes = unpacked(get("sizes"), len(row.column("ids")[0])).astype(np.int64)
-    return vocab[codes], np.concatenate(([0], np.cumsum(sizes)))
+    return vocab, codes, np.concatenate(([0], np.cumsum(sizes)))
+
+
+def opened(row: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of the one chunk in ``row``, and where each of its texts begins."""
+    vocab, codes, firsts = vocabulary(row)
+    return vocab[codes], firsts
 
 
 def _part_of(h: np.ndarray, parts: int, bits: int) -> np.ndarray:
@@ -104,9 +110,9 @@ def _dealt(entries: Callable, parts: int, bits: int):
     return run
 
 
-def same_runs(hashes: np.ndarray, more: np.ndarray | None = None, kind: str = "stable") -> tuple[np.ndarray, np.ndarray]:
+def same_runs(hashes: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """An order that puts equal keys side by side, and where in it a new key begins; ``more`` are further bits of the keys."""
-    order = np.argsort(hashes, kind=kind)
+    order = np.argsort(hashes, kind="stable")
     head = np.ones(len(hashes), dtype=bool)
     head[1:] = hashes[order][1:] != hashes[order][:-1]
     if more is not None:
@@ -117,37 +123,52 @@ def same_runs(hashes: np.ndarray, more: np.ndarray | None = None, kind: str = "s
     return order, head
 
 
-def _elsewhere(group: pa.Table) -> pa.Table:
-    """One partition of the count table: for every chunk's n-grams in it, their counts in all other chunks."""
+def gathered(group: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """One partition of the count table: entries of each row, their counts, an order that puts equal keys side by side, and where in it each key begins."""
     sizes = group.column("m").to_pylist()
     open_up = lambda name: [unpacked(b.as_buffer(), n) for b, n in zip(group.column(name), sizes, strict=True)]
     hashes, counts = np.concatenate([np.cumsum(d, dtype=np.uint64) for d in open_up("hashes")]), np.concatenate(open_up("counts"))
     more = [b for b in group.column("more") if b.is_valid]
     more = np.concatenate([np.frombuffer(b.as_buffer(), dtype="<u4") for b in more]) if more else None
     order, head = same_runs(hashes, more)
-    begin = np.flatnonzero(head)
-    rest = np.empty(len(hashes), dtype=np.uint64)
-    rest[order] = np.repeat(np.add.reduceat(counts[order], begin), np.diff([*begin, len(hashes)]))
-    rest -= counts
-    return pa.table({"chunk": group.column("chunk"), "p": group.column("p"), "m": group.column("m"), "rest": pa.array([packed(t) for t in np.split(rest, np.cumsum(sizes)[:-1])], pa.binary())})
+    return sizes, counts, order, np.flatnonzero(head)
+
+
+def counts_elsewhere(counts: np.ndarray, order: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """For every entry the sum of the other entries of its key."""
+    rest = np.empty_like(counts)
+    rest[order] = np.repeat(np.add.reduceat(counts[order], begin), np.diff(begin, append=len(counts)))
+    return rest - counts
+
+
+def cut(values: np.ndarray, sizes: list[int]) -> pa.Array:
+    return pa.array([packed(v) for v in np.split(values, np.cumsum(sizes)[:-1])], pa.binary())
+
+
+def _elsewhere(group: pa.Table) -> pa.Table:
+    """For every chunk's n-grams in one partition of the count table, their counts in all other chunks."""
+    sizes, counts, order, begin = gathered(group)
+    return pa.table({"chunk": group.column("chunk"), "p": group.column("p"), "m": group.column("m"), "rest": cut(counts_elsewhere(counts, order, begin), sizes)})
 
 
-def answered(chunks: DataFrame, entries: Callable, expected: int, n_chunks: int, bits: int) -> DataFrame:
+def answered(chunks: DataFrame, entries: Callable, expected: int, n_chunks: int, bits: int, answer: Callable | None = None, columns: str = "rest binary", own: DataFrame | None = None) -> DataFrame:
     """Each chunk (p = -1) together with the answers of all count partitions: to be grouped by ``chunk``.
 
     ``entries`` makes a chunk's sorted distinct hashes of ``bits`` bits, their counts, and where hashes alone are
     too few bits to tell keys apart, 32 more for each (the keys being sorted by both). Both shuffles have
-    as many partitions as the ``expected`` entries and the chunks need, so tasks don't grow with the corpus.
+    as many partitions as the ``expected`` entries and the chunks need, so tasks don't grow with the corpus. ``answer``
+    makes another answer than counts elsewhere for the given number of partitions, with ``columns`` of its own; ``own`` are
+    the rows that meet the answers, where that aren't the chunks themselves.
     """
     parts = max(8, expected // PARTITION + 1)
     dealt = chunks.mapInArrow(_dealt(entries, parts, bits), "chunk long, p int, m long, hashes binary, counts binary, more binary").repartition(parts, "p")
-    totals = dealt.groupBy("p").applyInArrow(_elsewhere, "chunk long, p int, m long, rest binary")
-    both = chunks.withColumn("p", F.lit(-1)).unionByName(totals, allowMissingColumns=True)
+    totals = dealt.groupBy("p").applyInArrow(answer(parts) if answer else _elsewhere, f"chunk long, p int, m long, {columns}")
+    both = (chunks if own is None else own).withColumn("p", F.lit(-1)).unionByName(totals, allowMissingColumns=True)
     return both.repartition(max(1, n_chunks), "chunk")
 
 
-def answers(group: pa.Table) -> tuple[pa.Table, np.ndarray]:
-    """A chunk's own row, and for its distinct hashes in order the counts in all other chunks."""
+def answers(group: pa.Table, name: str = "rest") -> tuple[pa.Table, np.ndarray]:
+    """A chunk's own row, and for its distinct hashes in order the counts in all other chunks, or another answer by its ``name``."""
     group = group.sort_by("p")
-    some = [unpacked(b.as_buffer(), m.as_py()) for b, m in zip(group.column("rest").slice(1), group.column("m").slice(1), strict=True)]
+    some = [unpacked(b.as_buffer(), m.as_py()) for b, m in zip(group.column(name).slice(1), group.column("m").slice(1), strict=True)]
     return group.slice(0, 1), np.concatenate(some or [np.zeros(0, np.uint64)]).astype(np.int64)

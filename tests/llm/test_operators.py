@@ -3,6 +3,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from emberlane.llm import common, exact_dedup, jaccard_join, language, lm_score, mixing, packing, quality, queries, substring_dedup, tokens, topk
+from emberlane.llm import common, exact_dedup, grams, jaccard_join, language, lm_score, mixing, packing, quality, queries, substring_dedup, tokens, topk
 from emberlane.llm.words import slices, windows, word_hashes
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -409,6 +410,51 @@ def test_an_uncounted_context_raises():
         lm_score.score_words(ends, np.array([0, 2]), np.array([1, 1, 9]), 0.4, 2)
 
 
+def test_backoff_moves_word_numbers(spark):
+    """5.3 shuffled bytes a word here, where n-grams as 76 bits of hashes took 12.9."""
+    gen = np.random.default_rng(7)
+    words = np.minimum(gen.zipf(1.2, 200_000), 30_000).reshape(40, -1)
+    some = spark.createDataFrame([(i, " ".join(f"w{w}" for w in row)) for i, row in enumerate(words.tolist())], "doc_id long, text string").coalesce(4)
+
+    def moved():
+        time.sleep(1)  # until the last tasks are listed
+        executors = spark._jsc.sc().statusStore().executorList(False)
+        return sum(executors.apply(k).totalShuffleWrite() for k in range(executors.size()))
+
+    before = moved()
+    assert len(got(lm_score.stupid_backoff(some))) == 40
+    assert 0 < (moved() - before) / words.size < 8
+
+
+def test_ngrams_are_counted_by_their_words(monkeypatch):
+    """Chunks' n-grams through the count partitions, with hot words and numbers too wide to be sorted as one, against counters."""
+    monkeypatch.setattr(lm_score, "HOT", 40)
+    gen = np.random.default_rng(3)
+    numbers = np.sort(gen.choice(1 << 31, 30, replace=False))  # of words that several chunks have; codes from 30 on are a chunk's own
+    texts = [[np.minimum(gen.geometric(0.15, int(n)) - 1, 33).tolist() for n in (0, 1, 2, 300, 40)] for _ in range(3)]
+    seen = [Counter(w if w < 30 else (c, w) for t in chunk for w in t) for c, chunk in enumerate(texts)]
+    rows = []
+    for c, chunk in enumerate(texts):
+        rest = [sum(s[w] for s in seen) - seen[c][w] for w in range(30)]
+        cols = {"codes": [w for t in chunk for w in t], "sizes": [len(t) for t in chunk], "numbers": np.diff(numbers, prepend=0), "elsewhere": rest}
+        blobs = {k: pa.array([grams.packed(np.array(v))]) for k, v in cols.items()}
+        rows.append(pa.table({"chunk": [c], "ids": [list(range(5))], "n": [len(cols["codes"])], "known": [34], "shared": [30]} | blobs))
+    dealt = pa.Table.from_batches([b for row in rows for b in lm_score._dealt(3, 5)(iter(row.to_batches()))])
+    parts = np.asarray(dealt["p"])
+    totals = pa.concat_tables([lm_score._totals(dealt.filter(pa.array(parts == p))) for p in np.unique(parts)])
+    runs = lambda chunk, n: Counter(tuple(t[i : i + n]) for t in chunk for i in range(len(t) - n + 1))
+    for c, (row, chunk) in enumerate(zip(rows, texts)):
+        mine = lm_score.Chunk(row, 3)
+        for n in (2, 3):
+            answer = sorted((r for r in totals.to_pylist() if r["chunk"] == c and r["order"] == n), key=lambda r: r["p"])
+            rest = np.concatenate([grams.unpacked(r["rest"], r["m"]) for r in answer])
+            at = mine.ends[n - 1][mine.dealt(n, 5)[0]]
+            keys = [tuple(mine.codes[i - n + 1 : i + 1].tolist()) for i in at]
+            want = {k: sum(runs(o, n)[k] for o in texts) - runs(chunk, n)[k] for k in runs(chunk, n) if max(k) < 30}
+            assert len(keys) == len(want) and dict(zip(keys, rest.tolist())) == want
+            assert mine.counts[n - 1].sum() == sum(runs(chunk, n).values()) and (mine.which[n - 1] < 0).sum() == sum(min(len(t), n - 1) for t in chunk)
+
+
 def brute_top(vectors, k):
     out = {}
     for q, v, *_ in vectors:
