@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlane.scratch import Scratch
@@ -24,8 +24,10 @@ from emberlane.scratch import Scratch
 COEFFICIENT_SD, LOG_SD_SD = 2.0, 1.0
 #: Levels of all small factors together, at most; they are columns of the driver's system.
 SMALL_LEVELS = 300
-#: Patterns of a block, at most, and those that a task works on at a time.
-BLOCK, CHUNK = 4096, 8192
+#: Bytes of a block, at most: Spark's Parquet reader holds 4096 blocks at a time, whatever their size. Patterns that a task works on at a time.
+BLOCK_BYTES, CHUNK = 16 << 10, 8192
+#: Bytes of an Arrow batch, at most.
+BATCH_BYTES = 8 << 20
 STEPS, TOLERANCE, NODES, LARGEST_MOVE, LARGEST_LOG_MOVE = 80, 1e-5, 12, 2.0, 0.5
 
 
@@ -93,6 +95,7 @@ def _packed(xs: int, ys: int, center: np.ndarray, scale: np.ndarray, small: list
     """Patterns, sorted by level, as blocks of one level of the large factor: scaled covariates, places of small levels, counts."""
     first = np.cumsum([xs, *map(len, small)])
     names = ["g", "m", "x", "f", "k"]
+    block = max(1, BLOCK_BYTES // (8 * xs + 4 * len(small) + 8 * (1 + ys)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,7 +110,7 @@ def _packed(xs: int, ys: int, center: np.ndarray, scale: np.ndarray, small: list
             counts = np.stack([get("n"), *[get(f"k{c}") for c in range(ys)]], axis=1)
             at = batch.column("g").dictionary_encode().indices.to_numpy()
             begin = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-            cut = [i for a, b in zip(begin, [*begin[1:], n], strict=True) for i in range(a, b, BLOCK)]
+            cut = [i for a, b in zip(begin, [*begin[1:], n], strict=True) for i in range(a, b, block)]
             ends = [*cut[1:], n]
             blobs = [pa.array([v[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary()) for v in (x, f, counts)]
             yield pa.RecordBatch.from_arrays([batch.column("g").take(pa.array(cut)), pa.array(np.subtract(ends, cut), pa.int64()), *blobs], names=names)
@@ -241,6 +244,14 @@ def _total(parts: DataFrame) -> np.ndarray:
     return out
 
 
+def _bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of :data:`BATCH_BYTES` in this session, unless fewer bytes are set: a task holds some of them beside its heap."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = spark.conf.get(key, "67108864b").rstrip("b")
+    if not given.isdigit() or int(given) > BATCH_BYTES:  # -1 is no limit
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def crossed_logit(df: DataFrame, y: Column, xs: dict[str, Column], large: str, small: Sequence[str] = (), steps: int = STEPS) -> MixedFit:
     """The fit of one outcome, see :func:`crossed_logits`."""
     return crossed_logits(df, {"y": y}, xs, large, small, steps)["y"]
@@ -264,6 +275,7 @@ def crossed_logits(df: DataFrame, ys: dict[str, Column], xs: dict[str, Column],
     any_null = F.lit(False)
     for c in rows.columns:
         any_null = any_null | F.col(c).isNull()
+    _bounded_batches(df.sparkSession)
     with Scratch(df.sparkSession) as scratch:
         sums = [F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(f"y{k}").alias(f"k{k}") for k in range(len(ys))], F.max(any_null.cast("int")).alias("bad")]
         counted = scratch.keep(rows.groupBy(*keys).agg(*sums))

@@ -141,6 +141,21 @@ def test_outcomes_share_their_patterns_and_passes(spark, monkeypatch):
     assert np.allclose(a.mean, -b.mean, atol=1e-6) and np.allclose(a.sd, b.sd) and a.bound == pytest.approx(b.bound)
 
 
+def test_blocks_are_bounded_in_bytes_for_the_reader():
+    """Spark's Parquet reader decodes 4096 rows of blobs at once: 64 MiB of them a task, with many covariates too."""
+    import pyarrow as pa
+
+    for xs, ys in ((8, 3), (200, 1), (3000, 1)):
+        n = 9000 if xs < 100 else 40
+        columns = {"g": ["a"] * (n - 1) + ["b"], "f0": ["u", "v"] * (n // 2)} | {f"x{k}": np.arange(n) + float(k) for k in range(xs)} | {"n": np.ones(n)} | {f"k{c}": np.zeros(n) for c in range(ys)}
+        packed = pa.Table.from_batches(mixed._packed(xs, ys, np.zeros(xs), np.ones(xs), [["u", "v"]])(iter([pa.RecordBatch.from_pydict(columns)])))
+        sizes = np.array([sum(len(r[c]) for c in "xfk") for r in packed.to_pylist()])
+        m = np.array(packed["m"].to_pylist())
+        assert m.sum() == n and packed["g"].to_pylist()[-2:] == ["a", "b"] and np.all((sizes <= 16 << 10) | (m == 1))
+        got = np.concatenate([np.frombuffer(r, np.float64).reshape(-1, xs)[:, 0] for r in packed["x"].to_pylist()])
+        assert np.array_equal(got, np.arange(n))
+
+
 def test_expectations_in_pairs_of_nodes():
     m, v = np.array([-40.0, -3.0, 0.0, 0.7, 30.0]), np.array([0.0, 2.0, 0.3, 50.0, 1.0])
     at, weight = np.polynomial.hermite.hermgauss(mixed.NODES)
